@@ -1 +1,8 @@
 """Document-structure analytics and training-data preparation on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that tasks run travel with them: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
