@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import decontaminate, mixing, rules, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
         "op3_secrets": secrets.op3_secrets,
+        "op6_quality": rules.op6_quality,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
