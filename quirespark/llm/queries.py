@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, rules, secrets, toxicity
+from . import decontaminate, mixing, neighbours, rules, secrets, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
         "op3_secrets": secrets.op3_secrets,
+        "op5_neighbours": neighbours.op5_neighbours,
         "op6_quality": rules.op6_quality,
+        "op8_warc": warc.op8_warc,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_toxicity": toxicity.op10_toxicity,
     }
