@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neighbours, rules, secrets, toxicity, warc
+from . import decontaminate, mixing, neighbours, rules, secrets, spans, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_secrets": secrets.op3_secrets,
         "op5_neighbours": neighbours.op5_neighbours,
         "op6_quality": rules.op6_quality,
+        "op7_spans": spans.op7_spans,
         "op8_warc": warc.op8_warc,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_toxicity": toxicity.op10_toxicity,
