@@ -82,13 +82,13 @@ def mixed(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def vocabulary(lists: list[list[bytes]]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Words of all texts as numbers one after another, the distinct words, and where each text begins."""
+def vocabulary(lists) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Words of all texts, given as lists one after another, as numbers; the distinct words, and where each text begins."""
     seen: dict[bytes, int] = {}
     add = seen.setdefault
-    begins = np.cumsum([0, *map(len, lists)])
-    a = np.fromiter((add(w, len(seen)) for ws in lists for w in ws), dtype=np.int32, count=int(begins[-1]))
-    return a, list(seen), begins
+    each = [np.fromiter((add(w, len(seen)) for w in ws), dtype=np.int32, count=len(ws)) for ws in lists]
+    begins = np.cumsum([0, *map(len, each)])
+    return np.concatenate([*each, np.zeros(0, dtype=np.int32)]), list(seen), begins
 
 
 def hashes(distinct: list[bytes]) -> np.ndarray:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neighbours, rules, secrets, spans, toxicity, warc
+from . import decontaminate, language_model, mixing, neighbours, rules, secrets, spans, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_language_model": language_model.op1_language_model,
         "op2_mixing": mixing.op2_mixing,
         "op3_secrets": secrets.op3_secrets,
         "op5_neighbours": neighbours.op5_neighbours,
