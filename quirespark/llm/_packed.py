@@ -76,7 +76,8 @@ def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def mixed(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
     """64-bit hash of two 64-bit numbers each."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) + (b if isinstance(b, np.ndarray) else np.uint64(b)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)
+    second = b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9) if isinstance(b, np.ndarray) else np.uint64((b * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9) % 2**64)
+    x = a * np.uint64(0x9E3779B97F4A7C15) + second
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_model, mixing, neighbours, rules, secrets, spans, toxicity, warc
+from . import decontaminate, language_model, mixing, near_dedup, neighbours, rules, secrets, spans, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_language_model": language_model.op1_language_model,
         "op2_mixing": mixing.op2_mixing,
         "op3_secrets": secrets.op3_secrets,
+        "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_neighbours": neighbours.op5_neighbours,
         "op6_quality": rules.op6_quality,
         "op7_spans": spans.op7_spans,
