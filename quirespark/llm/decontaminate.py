@@ -134,7 +134,7 @@ def _search(docs: DataFrame, held) -> DataFrame:
         for b in chunks(batches):
             tokens, begins = encoded(bytes_of(b.column("text")), ix.ids)
             doc, start, win = occurrences(tokens, begins, ix)
-            old_hits, old_items = b.column("_hits").to_pylist(), b.column("_items").to_pylist()
+            old_hits, old_items = b.column("hits").to_pylist(), b.column("items").to_pylist()
             hits, items = [], []
             cut = np.searchsorted(doc, np.arange(len(begins)), side="left") if (np.diff(doc) >= 0).all() else None
             if cut is None:
@@ -157,17 +157,18 @@ def _search(docs: DataFrame, held) -> DataFrame:
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(mark) > 0, [0]]).astype(np.int8)))
                 hits.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])])
                 items.append(sorted({*old_items[i], *(ix.items[k] for k in np.unique(ix.item_of[win[mine]]))}))
-            new = {"_n_words": pa.array(np.diff(begins), pa.int64()), "_hits": pa.array(hits, b.schema.field("_hits").type), "_items": pa.array(items, pa.list_(pa.string()))}
+            new = {"n_words": pa.array(np.diff(begins), pa.int64()), "hits": pa.array(hits, b.schema.field("hits").type), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(f.name, b.column(f.name)) for f in b.schema], names=b.schema.names)
 
     return docs.mapInArrow(find, docs.schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
-    """docs with _n_words, _hits (word ranges that lie in some window of an item, end exclusive) and _items (ids of items with such windows)."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """c0, c1 ...: the columns `kept` of docs; n_words; hits: word ranges that lie in some window of an item, end exclusive; items: ids of items with such windows."""
     spark = docs.sparkSession
     small_batches(spark)
-    out = docs.select("*", F.lit(0).cast("long").alias("_n_words"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("_hits"), F.expr("cast(array() as array<string>)").alias("_items"))
+    mine = [F.col(c).alias(f"c{k}") for k, c in enumerate(kept)]
+    out = docs.select(*mine, "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-size // block_bytes))
@@ -183,12 +184,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without those that contain a window of an item."""
-    return contaminated(docs, benchmark, window).where("size(_hits) = 0").select(*docs.columns)
+    names = [c for c in docs.columns if c != "text"]
+    found = contaminated(docs, benchmark, window, kept=tuple(names)).where("size(hits) = 0")
+    return found.select(*["text" if c == "text" else F.col(f"c{names.index(c)}").alias(c) for c in docs.columns])
 
 
 def op9_decontaminate(spark, sf_dir):
     found = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    n_hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["start"])
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["start"])
     return found.select(
-        "doc_id", F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+        F.col("c0").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

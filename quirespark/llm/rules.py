@@ -53,11 +53,11 @@ def features(s: dict[str, Column]) -> dict[str, Column]:
 
 
 def _with_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """df with the features as columns _f_*, each statistic being computed once."""
-    text = F.coalesce("text", F.lit(""))
-    df = df.withColumn("_s", F.struct(*[v.alias(k) for k, v in statistics(text).items()]))
-    made = features({k: F.col("_s")[k] for k in statistics(text)})
-    return df.select("*", *[v.alias(f"_f_{k}") for k, v in made.items()]).drop("_s"), list(made)
+    """(doc, f): df's row and its features as structs, each statistic being computed once."""
+    made = statistics(F.coalesce("text", F.lit("")))
+    d = df.select(F.struct("*").alias("doc"), F.struct(*[v.alias(k) for k, v in made.items()]).alias("s"))
+    f = features({k: F.col("s")[k] for k in made})
+    return d.select("doc", F.struct(*[v.alias(k) for k, v in f.items()]).alias("f")), list(f)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (feature, above, cut), all of which hold
@@ -131,12 +131,12 @@ class Ensemble:
     rules: list[tuple[Rule, float]]
 
     def score(self) -> Column:
-        """Probability of label 1, over columns _f_*."""
+        """Probability of label 1, over the struct f of features."""
         total = F.lit(self.bias)
         for rule, weight in self.rules:
             test = F.lit(True)
             for j, above, c in rule:
-                f = F.col(f"_f_{self.names[j]}")
+                f = F.col("f")[self.names[j]]
                 test = test & ((f > c) if above else (f <= c))
             total = total + F.when(test, weight).otherwise(0.0)
         return 1 / (1 + F.exp(-total))
@@ -148,13 +148,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
     marks = marks.groupBy("doc_id").agg(F.max("quality").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # The join's small side has `sample` rows at most.
     rows, names = _with_features(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"))
-    got = rows.select("doc_id", "_y", *[f"_f_{n}" for n in names]).toPandas().sort_values(["doc_id", *[f"_f_{n}" for n in names]]).head(2 * sample)
+    got = rows.select("doc.doc_id", "doc._y", "f.*").toPandas().sort_values(["doc_id", *names]).head(2 * sample)
     y = got["_y"].to_numpy(dtype=float)
     share = float(y.mean()) if len(y) else 0.5
     flat = Ensemble(names, math.log((share + 1e-3) / (1 - share + 1e-3)), [])
     if len(y) < 20 or share in (0.0, 1.0):
         return flat
-    x = got[[f"_f_{n}" for n in names]].to_numpy(dtype=float)
+    x = got[names].to_numpy(dtype=float)
     rules = grow(x, y)
     if not rules:
         return flat
@@ -164,16 +164,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
 
 
 def score(docs: DataFrame, model: Ensemble) -> DataFrame:
-    """docs with column _score."""
-    df, _ = _with_features(docs)
-    return df.withColumn("_score", model.score()).select(*docs.columns, "_score")
+    """(doc, score): each row of docs as a struct, and its score."""
+    return _with_features(docs)[0].select("doc", model.score().alias("score"))
 
 
 def keep(docs: DataFrame, model: Ensemble, least: float = 0.3) -> DataFrame:
-    return score(docs, model).where(F.col("_score") >= least).drop("_score")
+    return score(docs, model).where(F.col("score") >= least).select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op6_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     s = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return s.select("doc_id", (crc_mod(F.col("doc_id")) == 0).alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return s.select("doc.doc_id", (crc_mod(F.col("doc.doc_id")) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
