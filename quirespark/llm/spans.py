@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after . ! ? and at line ends; a sentence of over 16 words also after
-words that a hash picks, so that cuts follow the content and not the place). Every run of three
+words whose hash is the least of the seven around them, so that cuts follow the content and not the
+place, and a passage within a long sentence is cut alike wherever it stands). Every run of three
 consecutive sentences with at least 12 words is hashed, as is a shorter text as a whole. Runs meet
 over all documents; of equal runs the first, by doc_id and place, stays, and sentences that any
 other covers are removed.
@@ -24,12 +25,22 @@ from pyspark.sql import DataFrame
 from ._common import table
 from ._packed import answered, asked, cuts, hashes, mixed, narrow, own, pack, packed_keys, returned, unpack, unpacked_keys
 
-RUN, LEAST_WORDS, LONG = 3, 12, 16
+RUN, LEAST_WORDS, LONG, AROUND = 3, 12, 16, 3
 BREAK = re.compile(r"(?<=[.!?])[^\S\n]+|\s*\n\s*")
 TOKEN = re.compile(r"\S+\s*")
 LAST = np.iinfo(np.int64).max
 
 
+def picked(words: list[str]) -> list[int]:
+    """Places of the words after which a long sentence is cut: the least hash of AROUND words on either side, of equal ones the first."""
+    h = np.array([zlib.crc32(w.encode()) for w in words], dtype=np.int64)
+    edge = np.full(AROUND, np.iinfo(np.int64).max)
+    near = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, h, edge]), 2 * AROUND + 1)
+    least = (h < near[:, :AROUND].min(axis=1)) & (h <= near[:, AROUND + 1 :].min(axis=1))
+    least[:AROUND] = least[-AROUND:] = False  # what stands beyond the sentence's ends has no say
+    return np.flatnonzero(least).tolist()
+
+
 def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:
     """Ends of the sentences, which together are the whole text; their words in lower case; their numbers of words."""
     ends, keys, sizes = [], [], []
@@ -46,16 +57,12 @@ def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:
     for stop in [*(m.end() for m in BREAK.finditer(text)), len(text)]:
         words = text[at:stop].lower().split()
         if len(words) > LONG:
-            held: list[str] = []
-            place = at
-            for m in TOKEN.finditer(text, at, stop):
-                word = m.group().strip().lower()
-                held.append(word)
-                place = m.end()
-                if zlib.crc32(word.encode()) % 8 == 0:
-                    add(place, held)
-                    held = []
-            add(stop, held)
+            places = [m.end() for m in TOKEN.finditer(text, at, stop)]
+            begin = 0
+            for i in picked(words):
+                add(places[i], words[begin : i + 1])
+                begin = i + 1
+            add(stop, words[begin:])
         else:
             add(stop, words)
         at = stop
