@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of which nothing is needed any more: it does so once the driver has collected what refers to them, which takes a few rounds."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def crc_mod(doc_id: Column, mod: int = 5) -> Column:
     """crc32 of the id's decimal text, modulo `mod`; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

@@ -12,8 +12,9 @@ sets are one class, and the work is done on classes:
 3. In each bucket the class with the smallest share of shingles of its own is the hub, and all
    members are compared with it. Linked members form components.
 4. Members that are not in their hub's component are compared with the members of other components
-   in their buckets, save pairs that cannot reach the threshold given the sizes and the numbers of
-   own shingles. So no link between bucket mates is lost, and groups of copies don't form pairs.
+   in their buckets, save pairs that cannot reach the threshold given the sizes, the numbers of own
+   shingles, and how each differs from the hub. So no link between bucket mates is lost, and groups
+   of copies don't form pairs.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with
 nothing; with fewer words than a shingle the whole sequence is one; null ids are never smallest,
@@ -23,14 +24,12 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bytes_of, chunks, cut, small_batches, table
+from ._common import bytes_of, chunks, cut, released, small_batches, table
 from ._packed import answered, asked, cuts, hashes, mixed, narrow, own, pack, packed_keys, returned, unpack, unpacked_keys, vocabulary
 
 PLACES, ROWS = 128, 4
@@ -175,22 +174,22 @@ def _sets(words: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that are linked."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with the size of their intersection, and whether they are linked."""
 
     def run(batches):
         for b in batches:
-            keep = []
+            both, linked = [], []
             for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist()):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= 80 * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                both.append(len(np.intersect1d(x, y, assume_unique=True)))
+                linked.append(100 * both[-1] >= 80 * (len(x) + len(y) - both[-1]))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(both, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "both", "linked"])
 
     s = sets.select("fid", "set")
     both = pairs.join(s.select(F.col("fid").alias("a"), F.col("set").alias("set_a")).hint("merge"), "a")
     both = both.join(s.select(F.col("fid").alias("b"), F.col("set").alias("set_b")).hint("merge"), "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a binary, b binary, both long, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,46 +240,56 @@ def _possible(x: str, y: str) -> Column:
     return 9 * most >= 4 * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
+def _beyond_hub(x: str, y: str) -> Column:
+    """Whether classes x and y of a hub's bucket can be linked, by what they lack of the hub and have besides it: in their intersection is the hub less what either lacks, and what both have besides."""
+    shared = lambda c: F.coalesce(F.col(f"{c}_both"), F.least(F.col(f"{c}.n") - F.col(f"{c}.alone"), F.col("hub.n") - F.col("hub.alone")))
+    besides = lambda c: F.col(f"{c}.n") - F.coalesce(F.col(f"{c}_both"), F.lit(0)) - F.col(f"{c}.alone")
+    most = F.least(shared(x), shared(y)) + F.least(besides(x), besides(y))
+    return 9 * most >= 4 * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+def _known(df: DataFrame, x: str, label: DataFrame, stars: DataFrame) -> DataFrame:
+    """df with the component of struct x, and the size of its intersection with the hub where that was computed."""
+    df = df.join(label.select(F.col("node").alias("_n"), F.col("label").alias("_l")).hint("merge"), F.col(f"{x}.fid") == F.col("_n"), "left")
+    df = df.withColumn(f"{x}_label", F.coalesce("_l", F.col(f"{x}.fid"))).drop("_n", "_l")
+    s = stars.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("both").alias(f"{x}_both"))
+    return df.join(s.hint("merge"), (F.col(f"{x}.fid") == F.col("_a")) & (F.col("hub.fid") == F.col("_b")), "left").drop("_a", "_b")
+
+
 def groups(docs: DataFrame, words: int = 5) -> DataFrame:
     """A row a document of docs (doc_id, text): doc_id, n_shingles, class_id, component_id, kept."""
     spark = docs.sparkSession
     small_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     info = cut(returned(answered(asked(d, _asker(words)), _answer), _finish, "doc_id long, n long, fid binary, alone long"))
-    gc.collect()  # the exchange's files can go: what it found is in the checkpoint folder
-    spark.sparkContext._jvm.System.gc()
-    classes = info.where("n > 0").groupBy("fid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("alone").alias("alone"))
-    classes = cut(classes)
+    released(spark)  # the exchange's files: what it found is in the checkpoint folder
+    classes = cut(info.where("n > 0").groupBy("fid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("alone").alias("alone")))
     able = classes.where("5 * (n - alone) >= 4 * n")
     # One text for each class: by its smallest id; texts without id are few and are looked at one by one.
     texts = d.where("doc_id is not null").join(able.where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id").select("text").unionByName(d.where("doc_id is null").select("text"))
-    sets = texts.mapInArrow(_sets(words), "fid binary, set binary, bands array<long>").dropDuplicates(["fid"]).join(able.hint("merge"), "fid")
-    sets = cut(sets)
+    sets = cut(texts.mapInArrow(_sets(words), "fid binary, set binary, bands array<long>").dropDuplicates(["fid"]).join(able.hint("merge"), "fid"))
+    released(spark)
     members = sets.select(F.explode("bands").alias("key"), F.struct("fid", "n", "alone").alias("x"))
     hub = F.min(F.struct(F.col("x.alone") / F.col("x.n"), F.struct("x.fid", "x.n", "x.alone").alias("x"))).getField("x")
     buckets = members.groupBy("key").agg(F.count("*").alias("size"), hub.alias("hub"), F.min("x.n").alias("least")).where("size > 1").drop("size")
     inside = members.join(buckets.hint("merge"), "key").where("x.fid != hub.fid")
-    stars = inside.where(_possible("x", "hub")).select(F.col("x.fid").alias("a"), F.col("hub.fid").alias("b")).distinct()
-    links = cut(_verify(stars, sets))
-    comp = components(links)
-    label = comp.select(F.col("node"), F.col("label"))
+    stars = cut(_overlaps(inside.where(_possible("x", "hub")).select(F.col("x.fid").alias("a"), F.col("hub.fid").alias("b")).distinct(), sets))
+    links = stars.where("linked").select("a", "b")
+    label = components(links)
     # Members outside their hub's component that could be linked with the bucket's smallest set.
     rest = inside.where(4 * F.col("least") <= 5 * F.col("x.n") - 9 * F.col("x.alone"))
-    rest = rest.join(label.select(F.col("node").alias("h"), F.col("label").alias("hub_label")).hint("merge"), F.col("hub.fid") == F.col("h"), "left")
-    rest = rest.join(label.select(F.col("node").alias("xn"), F.col("label").alias("x_label")).hint("merge"), F.col("x.fid") == F.col("xn"), "left")
-    rest = rest.select("key", "x", "hub", F.coalesce("x_label", F.col("x.fid")).alias("x_label"), F.coalesce("hub_label", F.col("hub.fid")).alias("hub_label")).where("x_label != hub_label")
-    rest = cut(rest.drop("hub_label"))
-    keys = rest.select("key").distinct()
-    near = members.withColumnRenamed("x", "y").join(keys.hint("merge"), "key")
-    near = near.join(label.select(F.col("node").alias("yn"), F.col("label").alias("y_label")).hint("merge"), F.col("y.fid") == F.col("yn"), "left")
-    near = near.select("key", "y", F.coalesce("y_label", F.col("y.fid")).alias("y_label"))
-    more = rest.join(near.hint("merge"), "key").where("x_label != y_label and y.fid != hub.fid").where(_possible("x", "y"))
+    rest = _known(rest, "x", label, stars).join(label.select(F.col("node").alias("h"), F.col("label").alias("hub_label")).hint("merge"), F.col("hub.fid") == F.col("h"), "left")
+    rest = rest.where(F.col("x_label") != F.coalesce("hub_label", F.col("hub.fid")))
+    bands = lambda df, x: df.join(sets.select(F.col("fid").alias("f"), F.col("bands").alias(f"{x}_bands")).hint("merge"), F.col(f"{x}.fid") == F.col("f")).drop("f")
+    rest = cut(bands(rest.select("key", "x", "hub", "x_label", "x_both"), "x"))
+    near = members.withColumnRenamed("x", "y").join(rest.select("key", "hub").distinct().hint("merge"), "key").where("y.fid != hub.fid")
+    near = bands(_known(near, "y", label, stars), "y").drop("hub")
+    # A pair is looked at in the first bucket that it has in common.
+    more = rest.join(near.hint("merge"), "key").where(F.col("x_label") != F.col("y_label")).where(_possible("x", "y")).where(_beyond_hub("x", "y"))
+    more = more.where(F.element_at(F.array_intersect("x_bands", "y_bands"), 1) == F.col("key"))
     more = more.select(F.least("x.fid", "y.fid").alias("a"), F.greatest("x.fid", "y.fid").alias("b")).distinct()
-    late = cut(_verify(more, sets))
-    if late.isEmpty():
-        whole = comp
-    else:
-        whole = components(links.union(late))
+    late = cut(_overlaps(more, sets).where("linked").select("a", "b"))
+    whole = label if late.isEmpty() else components(links.union(late))
     rep = classes.join(whole.withColumnRenamed("node", "fid").hint("merge"), "fid", "left").withColumn("label", F.coalesce("label", "fid"))
     smallest = rep.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = rep.join(smallest.hint("merge"), "label").select("fid", F.col("rep").alias("class_id"), "component_id", F.lit(True).alias("has"))
