@@ -19,7 +19,6 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import zlib
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bytes_of, cut, table
+from ._common import bytes_of, cut, released, table
 from ._packed import answered, asked, cuts, hashes, mixed, narrow, own, pack, packed_keys, returned, unpack, unpacked_keys, vocabulary
 
 #: Keys of the end token and of the context before the first word; words hash to other values but by chance.
@@ -211,13 +210,13 @@ def _totals(batches):
 def score(docs: DataFrame, mod: int = 5, rest: int = 1) -> DataFrame:
     """A row a document of docs (doc_id, text); documents whose crc32 of the id leaves `rest` modulo `mod` take no part in training."""
     answers = cut(answered(asked(docs.select("doc_id", "text"), _asker(mod, rest)), _answer))
-    gc.collect()  # the exchange's files can go: the answers are in the checkpoint folder
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    released(docs.sparkSession)  # the exchange's files: the answers are in the checkpoint folder
     got = answers.mapInArrow(_totals, "k long, n long, tokens long").groupBy("k").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.sum("tokens").alias("tokens")).collect()
     n = {r.k: (r.tokens, r.n) for r in got if r.k >= 0}
     distinct = sum(r.top for r in got if r.k < 0)
     train, held = n.get(TRAIN, (0, 0)), n.get(HELD, (0, 0))
     hist = returned(answers, _histogram(train), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
+    released(docs.sparkSession)
     weights = mixture(hist["code"].to_numpy(dtype=np.int64), hist["n"].to_numpy(dtype=np.float64), distinct)
     tokens, texts = train[0] + held[0], train[1] + held[1]
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
