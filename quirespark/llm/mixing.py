@@ -103,7 +103,7 @@ class Mix:
         before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         sums = s.groupBy("source_no", "chunk").agg(F.sum("size").alias("n")).withColumn("chunk_begins", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
         s = s.withColumn("in_chunk", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-        return s.join(sums, ["source_no", "chunk"]).withColumn("begins", F.col("chunk_begins") + F.col("in_chunk")).drop("chunk", "mark", "chunk_begins", "in_chunk")
+        return s.join(sums.hint("merge"), ["source_no", "chunk"]).withColumn("begins", F.col("chunk_begins") + F.col("in_chunk")).drop("chunk", "mark", "chunk_begins", "in_chunk")
 
     def _slots(self, spark, slots, blocks, shards, seed) -> DataFrame:
         counts = draw(slots, shards, seed)
@@ -135,16 +135,17 @@ class Mix:
     def taken(self) -> DataFrame:
         """documents with source_size, target and taken: the words that the mix takes of each, repeats counted."""
         times = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        got = self.pieces().join(times, ["source_no", "block"]).groupBy("source_no", "begins").agg(F.sum(F.col("times") * F.col("n_words")).alias("got"))
+        got = self.pieces().join(times.hint("merge"), ["source_no", "block"])  # slots grow with the input, whatever size the optimizer takes them for
+        got = got.groupBy("source_no", "begins").agg(F.sum(F.col("times") * F.col("n_words")).alias("got"))
         got = got.withColumn("has", F.lit(True))
         docs = self.documents.select("doc_id", "source", "size", "source_size", "target", "source_no", "begins", (F.col("size") > 0).alias("has"))
-        return docs.join(got, ["source_no", "begins", "has"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+        return docs.join(got.hint("merge"), ["source_no", "begins", "has"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
 
     def blocks(self) -> DataFrame:
         """The mix itself: a row a slot, with its words as one text and the documents that they come from."""
         p = F.struct("begins", "doc_id", "word", "n_words", "text")
         whole = self.pieces(text=True).groupBy("source_no", "block").agg(F.sort_array(F.collect_list(p)).alias("p"), F.sum("n_words").alias("n_words"))
-        out = self.slots.join(whole, ["source_no", "block"]).join(F.broadcast(self.sources.select("source_no", "source")), "source_no")
+        out = self.slots.join(whole.hint("merge"), ["source_no", "block"]).join(F.broadcast(self.sources.select("source_no", "source")), "source_no")
         return out.select("shard", "j", "source", "block", "pass", "n_words", F.col("p.doc_id").alias("doc_ids"), F.array_join("p.text", " ").alias("text"))
 
 
