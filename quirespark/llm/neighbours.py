@@ -4,8 +4,9 @@ Nearness in Euclidean distance is a maximum inner product with the squared norm
 |x - q|^2 / 2 = |q|^2 / 2 + |x|^2 / 2 - q.x. The product quantiser has 16 centroids (four bits) for
 each pair of dimensions and is fitted on a bounded sample so that the part of the residual that
 lies along a vector, which changes large inner products most, weighs more than the rest. Every
-vector is coded. Codes stand in blocks; a task adds up table entries for a block of queries and a
-block of codes, and reranks the best of the block with the original vectors.
+vector is coded. Codes and queries stand in blocks that meet on a grid; a task adds up table entries
+for a block of queries and a block of codes, reranks the best of the block with the original vectors,
+and hands on each query's best over all the blocks of its place on the grid.
 
 Equal vectors are one entry with their smallest ids (k + 1, enough for any query's k), so that a
 common vector neither crowds out others nor gathers in one task.
@@ -133,10 +134,10 @@ def entries(v: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("embedding", "salt").agg(few).groupBy("embedding").agg(few)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 128, query_block: int = 512, code_block: int = 8192, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 128, query_block: int = 512, code_block: int = 8192, span_bytes: int = 64 << 20, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of vectors (vec_id, embedding) to each row of queries, itself left out.
 
-    pool: entries of each code block that the tables pass on to exact reranking.
+    pool: entries of each code block that the tables pass on to exact reranking. span_bytes: vectors of queries that one task holds at a time.
     """
     spark = vectors.sparkSession
     v, q = _usable(vectors), _usable(queries).dropDuplicates(["vec_id"])
@@ -174,35 +175,52 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 128
                 yield pd.DataFrame({"qs": [part["vec_id"].to_numpy(dtype=np.int64).tobytes()], "qv": [matrix(part["embedding"]).tobytes()]})
 
     def search(it):
+        best, where = {}, None
         for p in it:
             for r in p.itertuples():
+                if where != (r.cell, r.span):
+                    yield from said(best)
+                    best, where = {}, (r.cell, r.span)
                 qid, qv = np.frombuffer(r.qs, dtype=np.int64), np.frombuffer(r.qv).reshape(-1, wide)
                 a = np.frombuffer(r.raw).reshape(-1, wide)
                 n_ids, ids = np.frombuffer(r.n_ids, dtype=np.int32), np.frombuffer(r.ids, dtype=np.int64)
                 at = np.cumsum(n_ids) - n_ids
                 codes, half = _unpacked(r.codes, r.n, m), (a**2).sum(axis=1) / 2
-                out = []
+                far, near = np.full((len(qid), k), np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)
                 for i in range(0, len(qid), 64):
                     s = scan(qv[i : i + 64], c, codes, half)
-                    best = np.argpartition(-s, pool, axis=1)[:, :pool] if s.shape[1] > pool else np.tile(np.arange(s.shape[1]), (len(s), 1))
-                    for j, top in enumerate(best):
-                        dist = np.sqrt(((a[top] - qv[i + j]) ** 2).sum(axis=1))
-                        which = np.repeat(np.arange(len(top)), n_ids[top])
+                    tops = np.argpartition(-s, pool, axis=1)[:, :pool] if s.shape[1] > pool else np.tile(np.arange(s.shape[1]), (len(s), 1))
+                    for j, top in enumerate(tops, start=i):
+                        dist = np.repeat(np.sqrt(((a[top] - qv[j]) ** 2).sum(axis=1)), n_ids[top])
                         found = ids[np.concatenate([np.arange(at[t], at[t] + n_ids[t]) for t in top])]
-                        ok = found != qid[i + j]
-                        found, far = found[ok], dist[which][ok]
-                        o = np.lexsort((found, far))[:k]
-                        out.append(pd.DataFrame({"query_id": qid[i + j], "vec_id": found[o], "score": far[o]}))
-                yield pd.concat(out)
-
-    # Blocks are made of what stands together in evenly dealt partitions; each code block meets each query block.
+                        dist, found = dist[found != qid[j]], found[found != qid[j]]
+                        o = np.lexsort((found, dist))[:k]
+                        far[j, : len(o)], near[j, : len(o)] = dist[o], found[o]
+                if r.qs in best:
+                    far, near = np.hstack([best[r.qs][0], far]), np.hstack([best[r.qs][1], near])
+                    o = np.lexsort((near, far), axis=1)[:, :k]
+                    far, near = np.take_along_axis(far, o, axis=1), np.take_along_axis(near, o, axis=1)
+                best[r.qs] = far, near
+        yield from said(best)
+
+    def said(best: dict):
+        for qs, (far, near) in best.items():
+            ok = np.isfinite(far)
+            yield pd.DataFrame({"query_id": np.repeat(np.frombuffer(qs, dtype=np.int64), ok.sum(axis=1)), "vec_id": near[ok], "score": far[ok]})
+
+    # A grid of cells x spans: a code block goes to one cell of every span, a query block to all cells of its span.
+    # Each place of the grid keeps the k best of its queries; a span's queries are what one place holds at a time.
     n_q = q.count()
     tasks = partitions(spark)
-    codes = entries(v, k).repartition(tasks, "embedding").mapInPandas(code, "n int, codes binary, raw binary, n_ids binary, ids binary")
     q_parts = max(1, -(-n_q // query_block))
-    blocks = q.repartitionByRange(q_parts, F.xxhash64("vec_id")).mapInPandas(gather, "qs binary, qv binary").withColumn("part", F.spark_partition_id())
-    pairs = codes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))).join(blocks.hint("merge"), "part").repartition(tasks, F.xxhash64("part", "ids"))
-    found = pairs.mapInPandas(search, "query_id long, vec_id long, score double")
+    per_span = max(1, span_bytes // (8 * wide * query_block))
+    spans = -(-q_parts // per_span)
+    cells = -(-4 * tasks // spans)
+    codes = entries(v, k).repartition(tasks, "embedding").mapInPandas(code, "n int, codes binary, raw binary, n_ids binary, ids binary")
+    codes = codes.withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int")).withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1))))
+    blocks = q.repartitionByRange(q_parts, F.xxhash64("vec_id")).mapInPandas(gather, "qs binary, qv binary").withColumn("span", F.floor(F.spark_partition_id() / per_span).cast("int"))
+    blocks = blocks.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    found = codes.repartition(tasks, "cell", "span").join(blocks.hint("merge"), ["cell", "span"]).mapInPandas(search, schema.replace("rank int, ", ""))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

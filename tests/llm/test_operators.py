@@ -267,7 +267,8 @@ def test_groups_empty(spark, docs):
 # 5
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("span_bytes", [64 << 20, 1])
+def test_neighbours(spark, span_bytes):
     rng = np.random.default_rng(2)
     m = rng.normal(size=(600, 7)).astype(np.float32)
     m[50:90] = m[50]  # a common vector
@@ -275,7 +276,7 @@ def test_neighbours(spark):
     data += [(1000, None, 1), (1001, [], 1), (1002, [0.0] * 7, 1), (1003, [float("nan")] * 7, 1), (1004, [1.0, None] + [0.0] * 5, 1), (1005, [1.0] * 3, 1), (1006, [float("inf")] * 7, 1), (None, [1.0] * 7, 1), (3, data[3][1], 1)]
     v = spark.createDataFrame(data, "vec_id long, embedding array<float>, rank int").repartition(5)
     got = collections.defaultdict(list)
-    for r in neighbours.nearest(v, v.where("vec_id % 60 = 0"), code_block=100, query_block=4).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(v, v.where("vec_id % 60 = 0"), code_block=100, query_block=4, span_bytes=span_bytes).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     assert sorted(got) == list(range(0, 600, 60))
     x, hits = m.astype(np.float64), 0
