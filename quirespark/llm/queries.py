@@ -20,5 +20,36 @@ def queries() -> dict:
     }
 
 
+#: A-Z alone in lower case.
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({FOLDED}, '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
+p AS (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 3, 1) + 1)) AS i FROM w WHERE len(a) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(a[i:i + 3], ' ') AS s FROM p),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS h FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM b JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS d, doc_id AS r FROM w UNION SELECT l.b, r.r FROM r JOIN l ON l.a = r.d),
+m AS (SELECT d, min(r) AS component_id FROM r GROUP BY d)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN h IS NULL THEN w.doc_id ELSE min(w.doc_id) OVER (PARTITION BY h) END AS class_id, component_id, w.doc_id = component_id AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN m ON w.doc_id = d"""
+
+ARCHIVED = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM f"""
+
+LEAKS = f"""WITH d AS (SELECT doc_id, regexp_extract_all({FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS a FROM documents),
+t AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS a FROM benchmark WHERE item_id IS NOT NULL),
+u AS (SELECT item, a, least(10, len(a)) AS n, unnest(range(1, len(a) - least(10, len(a)) + 2)) AS i FROM t WHERE len(a) > 0),
+w AS (SELECT DISTINCT item, n, array_to_string(a[i:i + n - 1], ' ') AS s FROM u),
+v AS (SELECT doc_id, a, n, unnest(range(1, len(a) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM w) WHERE len(a) >= n),
+h AS (SELECT doc_id, i, v.n, item FROM v JOIN w ON v.n = w.n AND array_to_string(a[i:i + v.n - 1], ' ') = s),
+g AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM h) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(a) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN k ON d.doc_id = k.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries whose rows follow from the tables alone, whatever the method."""
+    return {"op4_near_dedup": NEAR, "op8_warc": ARCHIVED, "op9_decontaminate": LEAKS}
