@@ -110,6 +110,11 @@ def regex_payload(spark, sf_dir):
     return p.select("doc_id", *_long("total_matches", "matches_after_offset", "returned_matches"), "truncated", F.array_join(F.transform("sample", lambda m: m["full_match"]), "|").alias("sample"))
 
 
+def regex_payload_count(spark, sf_dir):
+    p = matches.match_payload(_table(spark, sf_dir), 3, count_only=True)
+    return p.select("doc_id", *_long("total_matches", "matches_after_offset", "returned_matches"), "truncated")
+
+
 def excluded_lines(spark, sf_dir):
     ls = _lines(spark, sf_dir)
     return ls.where(~outline.excluded(BLUEPRINT)).select("doc_id", *_long("line_number"), "line")
@@ -199,12 +204,23 @@ def tree_update(spark, sf_dir):
     return tree.update(n, edits).select("ast_id", _path(), "section_title", "content_summary")
 
 
+def tree_append_summary(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    edits = n.where(F.size("path") == 2).where(F.col("path") == F.array(F.lit(0), F.lit(0))).select("ast_id", "path", F.lit("\n more ").alias("append_text"))
+    return tree.append_summary(n, edits).select("ast_id", _path(), "section_title", "content_summary")
+
+
+def tree_json(spark, sf_dir):
+    n = tree.nodes_from_json(tree.nodes_to_json(_nodes(spark, sf_dir)))
+    return n.select("ast_id", _path(), "section_title", "content_summary")
+
+
 def trace_log(spark, sf_dir):
     t = trace.flatten_trace(_messages(spark, sf_dir))
     return t.select("conv_id", *_long("idx", "call_ord"), "type", "tool_call_id", "tool_name", "args", "content", "ai_content", "output", "status")
 
 
-QUERIES = [line_scan, text_segment, default_segment, char_length, regex_matches, regex_matches_exact, regex_counts, regex_page, regex_page_everywhere, regex_dedupe, regex_payload, excluded_lines, valid_headings, heading_outline, sections, audit_gaps, audit_collisions, audit_sequence, heading_sequence, pattern_stats, page_titles, tree_nodes, tree_children, tree_subtree, tree_find_title, tree_resolve, tree_titles, tree_insert, tree_upsert, tree_update, trace_log]
+QUERIES = [line_scan, text_segment, default_segment, char_length, regex_matches, regex_matches_exact, regex_counts, regex_page, regex_page_everywhere, regex_dedupe, regex_payload, regex_payload_count, excluded_lines, valid_headings, heading_outline, sections, audit_gaps, audit_collisions, audit_sequence, heading_sequence, pattern_stats, page_titles, tree_nodes, tree_children, tree_subtree, tree_find_title, tree_resolve, tree_titles, tree_insert, tree_upsert, tree_update, tree_append_summary, tree_json, trace_log]
 
 
 def queries() -> dict:
@@ -287,6 +303,7 @@ E AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {IN_DOC}) AS i F
 G AS (SELECT doc_id, count(*) AS returned_matches, string_agg(full_match, '|' ORDER BY {IN_DOC}) AS sample FROM E WHERE i <= 10 GROUP BY doc_id),
 Q AS (SELECT doc_id, count(*) AS total_matches, greatest(count(*) - 3, 0) AS matches_after_offset FROM M GROUP BY doc_id)
 SELECT doc_id, total_matches, matches_after_offset, coalesce(returned_matches, 0) AS returned_matches, matches_after_offset > coalesce(returned_matches, 0) AS truncated, sample FROM Q LEFT JOIN G USING (doc_id)""",
+        "regex_payload_count": w + ALL + " SELECT doc_id, count(*) AS total_matches, greatest(count(*) - 3, 0) AS matches_after_offset, CAST(0 AS BIGINT) AS returned_matches, false AS truncated FROM M GROUP BY doc_id",
         "excluded_lines": w + L + " SELECT doc_id, line_number, line FROM L WHERE NOT regexp_matches(line, '@')",
         "valid_headings": w + C + " SELECT doc_id, line_number, level, name, heading, hit_levels FROM H",
         "heading_outline": w + O + " SELECT doc_id, line_number, level, parent_line, ordinal, orphan, path FROM A",
@@ -306,6 +323,8 @@ SELECT doc_id, total_matches, matches_after_offset, coalesce(returned_matches, 0
         "tree_insert": w + T + " SELECT ast_id, CASE WHEN path = '' THEN '' ELSE concat_ws('.', CAST(p[1] + 1 AS VARCHAR), CAST(p[2] AS VARCHAR), CAST(p[3] AS VARCHAR)) END AS path, section_title, content_summary FROM K UNION ALL SELECT ast_id, '0', 'Start', 'new' FROM K WHERE path = ''",
         "tree_upsert": w + T + " SELECT ast_id, path, section_title, CASE WHEN path <> '0' THEN content_summary WHEN content_summary = '' THEN ' note' ELSE regexp_replace(content_summary, '\\s+\\z', '') || chr(10) || 'note' END AS content_summary FROM T",
         "tree_update": w + T + " SELECT ast_id, path, CASE WHEN path = '0' THEN 'new ' || section_title ELSE section_title END AS section_title, content_summary FROM T",
+        "tree_append_summary": w + T + " SELECT ast_id, path, section_title, CASE WHEN path <> '0.0' THEN content_summary WHEN content_summary = '' THEN chr(10) || ' more ' ELSE regexp_replace(content_summary, '\\s+\\z', '') || chr(10) || 'more ' END AS content_summary FROM T",
+        "tree_json": w + T + " SELECT ast_id, path, section_title, content_summary FROM T",
         "trace_log": """WITH c AS (SELECT *, conv_id || '-' || turn AS id, conv_id || '-' || (turn - 1) AS answers FROM conversations), r AS (SELECT conv_id, answers, text FROM c WHERE role = 'assistant')
 SELECT c.conv_id, turn AS idx, CAST(0 AS BIGINT) AS call_ord, CASE role WHEN 'user' THEN 'tool_call' WHEN 'assistant' THEN 'tool_result' ELSE 'human_message' END AS type,
   CASE role WHEN 'user' THEN c.id WHEN 'assistant' THEN c.answers END AS tool_call_id, CASE WHEN role = 'user' THEN 'ask' END AS tool_name, CASE WHEN role = 'user' THEN 'n=' || length(c.text) END AS args,
