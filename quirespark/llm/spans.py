@@ -1,11 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after . ! ? and at line ends; a sentence of over 16 words also after
-words whose hash is the least of the seven around them, so that cuts follow the content and not the
-place, and a passage within a long sentence is cut alike wherever it stands). Every run of three
-consecutive sentences with at least 12 words is hashed, as is a shorter text as a whole. Runs meet
-over all documents; of equal runs the first, by doc_id and place, stays, and sentences that any
-other covers are removed.
+A text is cut into sentences (after . ! ? and their full-width forms, and at line ends; a sentence
+of over 16 words also after words whose hash is the least of the seven around them, so that cuts
+follow the content and not the place, and a passage within a long sentence is cut alike wherever it
+stands). From every sentence on, and up to every sentence, the shortest run of at least three
+sentences and at least 12 words is hashed, as is a text of fewer sentences and at least 12 words as
+a whole: so each sentence of a passage of that size is in a run that lies within the passage. Runs
+meet over all documents; of equal runs the first, by doc_id and place, stays, and sentences that
+any other covers are removed.
+
+In scripts without spaces every character is cut off like a word; two of Chinese or Japanese, and
+four of Thai, Lao, Khmer or Burmese, count as a word, a sentence as one word at least.
 
 Defined cases: a null text has no sentences and stays null; null ids come after all ids; rows with
 equal ids are told apart by their place in the input; repeated rows lose all they share with the
@@ -26,8 +31,13 @@ from ._common import table
 from ._packed import answered, asked, cuts, hashes, mixed, narrow, own, pack, packed_keys, returned, unpack, unpacked_keys
 
 RUN, LEAST_WORDS, LONG, AROUND = 3, 12, 16, 3
-BREAK = re.compile(r"(?<=[.!?])[^\S\n]+|\s*\n\s*")
+BREAK = re.compile(r"(?<=[.!?])[^\S\n]+|[。！？｡．]+[」』”’）】》]*[^\S\n]*|\s*\n\s*")
 TOKEN = re.compile(r"\S+\s*")
+#: Letters written without spaces: about two of PAIRED a word, about four of FOURS.
+PAIRED, FOURS = "\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff", "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+UNSPACED = re.compile(f"[{PAIRED}{FOURS}]")
+#: Such a letter with the full-width marks after it, or what stands between white space and such letters.
+UNIT = re.compile(f"([{PAIRED}])[\u3001-\u3004\u3008-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]*\\s*|([{FOURS}])\\s*|[^\\s{PAIRED}{FOURS}]+\\s*")
 LAST = np.iinfo(np.int64).max
 
 
@@ -44,17 +54,28 @@ def picked(words: list[str]) -> list[int]:
 def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:
     """Ends of the sentences, which together are the whole text; their words in lower case; their numbers of words."""
     ends, keys, sizes = [], [], []
+    unspaced = not text.isascii() and UNSPACED.search(text) is not None
 
-    def add(end: int, words: list[str]) -> None:
+    def add(end: int, words: list[str], size: int | None = None) -> None:
         if words:
             ends.append(end)
             keys.append(" ".join(words).encode())
-            sizes.append(len(words))
+            sizes.append(len(words) if size is None else size)
         elif ends:
             ends[-1] = end
 
     at = 0
     for stop in [*(m.end() for m in BREAK.finditer(text)), len(text)]:
+        if unspaced and UNSPACED.search(text, at, stop):
+            found = list(UNIT.finditer(text, at, stop))
+            words = [m[0].strip().lower() for m in found]
+            quarters = [4 if m.lastindex is None else 2 if m.lastindex == 1 else 1 for m in found]
+            begin = 0
+            for i in [*(picked(words) if sum(quarters) > 4 * LONG else []), len(words) - 1]:
+                add(found[i].end() if i < len(words) - 1 else stop, words[begin : i + 1], max(1, (sum(quarters[begin : i + 1]) + 2) // 4))
+                begin = i + 1
+            at = stop
+            continue
         words = text[at:stop].lower().split()
         if len(words) > LONG:
             places = [m.end() for m in TOKEN.finditer(text, at, stop)]
@@ -71,6 +92,21 @@ def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:
     return ends, keys, sizes
 
 
+def runs(count: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, length and document of all runs: from each sentence on, and up to each, the shortest of RUN sentences (all, of a shorter text) and LEAST_WORDS at least."""
+    doc = np.repeat(np.arange(len(count)), count)
+    first = (np.cumsum(count) - count)[doc]
+    last = first + count[doc]
+    least = np.minimum(count[doc], RUN)
+    total, i = np.concatenate([[0], np.cumsum(size)]), np.arange(len(doc))
+    end = np.maximum(i + least, np.searchsorted(total, total[:-1] + LEAST_WORDS))
+    begin = np.minimum(i + 1 - least, np.searchsorted(total, total[1:] - LEAST_WORDS, side="right") - 1)
+    on = end <= last
+    # Up to a sentence, only what is not also a run from a sentence on.
+    up = (begin >= first) & (end[np.maximum(begin, 0)] != i + 1)
+    return np.concatenate([i[on], begin[up]]), np.concatenate([(end - i)[on], (i + 1 - begin)[up]]), np.concatenate([doc[on], doc[up]])
+
+
 def _ask(batch: pa.RecordBatch, number: int, parts: int):
     texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
     found = [sentences(t) if t else ([], [], []) for t in texts]
@@ -78,18 +114,11 @@ def _ask(batch: pa.RecordBatch, number: int, parts: int):
     h = hashes([k for f in found for k in f[1]])
     size = np.array([n for f in found for n in f[2]], dtype=np.int64)
     begins = np.cumsum(count) - count
-    # Runs of RUN sentences; of a shorter text, one run of all.
-    n_runs = np.where(count >= RUN, count - RUN + 1, np.minimum(count, 1))
-    doc = np.repeat(np.arange(len(texts)), n_runs)
-    start = np.repeat(begins, n_runs) + np.arange(n_runs.sum()) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
-    length = np.minimum(count[doc], RUN)
-    key, words = np.zeros(len(start), dtype=np.uint64), np.zeros(len(start), dtype=np.int64)
-    for k in range(RUN):
-        has = length > k
+    start, length, doc = runs(count, size)
+    key = np.zeros(len(start), dtype=np.uint64)
+    for k in range(int(length.max(initial=0))):
+        has = np.flatnonzero(length > k) if k else slice(None)
         key[has] = mixed(key[has], h[start[has] + k])
-        words[has] += size[start[has] + k]
-    ok = words >= LEAST_WORDS
-    key, start, length, doc = key[ok], start[ok], length[ok], doc[ok]
     order_of = np.array([LAST if i is None else i for i in ids], dtype=np.int64)
     # Of a key's places in this batch, the first.
     o = np.lexsort((start, doc, order_of[doc], key))

@@ -381,6 +381,20 @@ def test_spans_catch_a_passage_anywhere(spark):
     assert got[0].n_removed == 0 and got[9].n_removed == 0 and all(got[k].words_removed >= 25 for k in (1, 2, 3))
 
 
+def test_spans_of_short_sentences(spark):
+    """A passage's short sentences go to the last; a sentence written without spaces is as long as its characters say."""
+    rng = np.random.default_rng(11)
+    two = lambda n: " ".join(f"{a} {b}." for a, b in rng.choice(VOCAB, (n, 2)))
+    han = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA0, n)))
+    passages = [two(30), "\n".join(rng.choice(VOCAB, 60)), prose(11, rng) + " " + two(1) + " One. Two.", "".join(han(6) + "。！？"[k % 3] for k in range(20)), "".join(map(chr, rng.integers(0x0E01, 0x0E2F, 300)))]
+    made = [(10 * p + k, f"{prose(15, rng)}\n{x}\n{prose(15, rng)}") for p, x in enumerate(passages) for k in range(2)] + [(90, passages[0]), (91, "One. Two. Three."), (92, "One. Two. Three."), (93, "Yes.\n" * 3 + prose(20, rng))]
+    got = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()}
+    for p, x in enumerate(passages[:4]):
+        assert got[10 * p].n_removed == 0 and got[10 * p + 1].text == made[2 * p + 1][1].replace(x + "\n", ""), p
+    assert got[40].n_removed == 0 and got[41].words_removed >= 50 and got[90].text == ""
+    assert got[91].n_removed == got[92].n_removed == got[93].n_removed == 0  # under 12 words
+
+
 def test_sentences_are_the_text():
     for t in [x for x in TEXTS if x]:
         e, k, s = spans.sentences(t)
