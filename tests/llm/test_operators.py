@@ -512,6 +512,24 @@ def test_toxicity(spark):
     assert all(0 <= x <= 1 for x in least.values())
 
 
+def test_toxicity_sees_all_of_a_long_word(spark):
+    rng = np.random.default_rng(12)
+    same = b"a" * toxicity.BYTES
+    assert len({*toxicity.buckets([same, same + b"b", same + b"c"])[:, -1]}) == 3
+    made = []
+    for k in range(600):
+        letters = [chr(0x4E00 + x) for x in rng.integers(0, 300, rng.integers(20, 80))] if k % 2 else list("".join(rng.choice(VOCAB, 8)))
+        bad = k % 4 > 1
+        if bad:
+            letters.insert(int(rng.integers(8, len(letters))), "\u9f98\u9f99" if k % 2 else "grobian")
+        made.append((k, "".join(letters), "zh" if k % 2 else "en", int(bad)))
+    d = spark.createDataFrame(made, "doc_id long, text string, lang string, toxic int")
+    model, _ = toxicity.fit(d, d.select("doc_id", "toxic"))
+    held = [r for r in made if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    got = toxicity.predict(model, [toxicity.tokens(r[1].encode()) for r in held])
+    assert sum((p >= 0.5) == bool(r[3]) for p, r in zip(got, held)) >= 0.95 * len(held)
+
+
 def test_toxicity_without_labels(spark, docs):
     model, _ = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {round(r.score, 6) for r in toxicity.score(docs, model).collect()} == {0.5}
