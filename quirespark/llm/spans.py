@@ -3,7 +3,9 @@
 A text is cut into sentences (after . ! ? and their full-width forms, and at line ends; a sentence
 of over 16 words also after words whose hash is the least of the seven around them, so that cuts
 follow the content and not the place, and a passage within a long sentence is cut alike wherever it
-stands). From every sentence on, and up to every sentence, the shortest run of at least three
+stands; there equal words in a row count as one, three or more
+end with a cut, and where words come again within three they are
+cut every eight words). From every sentence on, and up to every sentence, the shortest run of at least three
 sentences and at least 12 words is hashed, as is a text of fewer sentences and at least 12 words as
 a whole: so each sentence of a passage of that size is in a run that lies within the passage. Runs
 meet over all documents; of equal runs the first, by doc_id and place, stays, and sentences that
@@ -14,7 +16,7 @@ four of Thai, Lao, Khmer or Burmese, count as a word, a sentence as one word at
 
 Defined cases: a null text has no sentences and stays null; null ids come after all ids; rows with
 equal ids are told apart by their place in the input; repeated rows lose all they share with the
-first; an empty table gives no rows; case and white space don't tell sentences apart; other
+first; of equal sentences in a row that make a repeated run the first stays; an empty table gives no rows; case and white space don't tell sentences apart; other
 columns are ignored.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from ._common import table
 from ._packed import answered, asked, cuts, hashes, mixed, narrow, own, pack, packed_keys, returned, unpack, unpacked_keys
 
-RUN, LEAST_WORDS, LONG, AROUND = 3, 12, 16, 3
+RUN, LEAST_WORDS, LONG, AROUND, STEP, MOST = 3, 12, 16, 3, 8, 32
 BREAK = re.compile(r"(?<=[.!?])[^\S\n]+|[。！？｡．]+[」』”’）】》]*[^\S\n]*|\s*\n\s*")
 TOKEN = re.compile(r"\S+\s*")
 #: Letters written without spaces: about two of PAIRED a word, about four of FOURS.
@@ -42,13 +44,28 @@ LAST = np.iinfo(np.int64).max
 
 
 def picked(words: list[str]) -> list[int]:
-    """Places of the words after which a long sentence is cut: the least hash of AROUND words on either side, of equal ones the first."""
+    """Places of the words after which a long sentence is cut: the least hash of AROUND words on either side, of equal ones the first; equal words in a row count as one there, and three or more end with a cut.
+
+    Stretches of words that are each among the AROUND before are cut at their ends and every STEP words from their begin, and pieces of over MOST words every MOST.
+    """
     h = np.array([zlib.crc32(w.encode()) for w in words], dtype=np.int64)
+    last = np.flatnonzero(np.diff(h, append=-1))  # of each run of equal words
     edge = np.full(AROUND, np.iinfo(np.int64).max)
-    near = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, h, edge]), 2 * AROUND + 1)
-    least = (h < near[:, :AROUND].min(axis=1)) & (h <= near[:, AROUND + 1 :].min(axis=1))
+    near = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, h[last], edge]), 2 * AROUND + 1)
+    least = (h[last] < near[:, :AROUND].min(axis=1)) & (h[last] <= near[:, AROUND + 1 :].min(axis=1))
     least[:AROUND] = least[-AROUND:] = False  # what stands beyond the sentence's ends has no say
-    return np.flatnonzero(least).tolist()
+    at = last[least | (np.diff(last, prepend=-1) >= 3)].tolist()
+    again = np.zeros(len(h) + 2, dtype=np.int8)
+    for k in range(1, AROUND + 1):
+        again[k + 1 : -1] |= h[k:] == h[:-k]
+    step = np.diff(again)
+    for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()):
+        if b - a >= STEP:
+            at += [*range(a - 1, b - 1, STEP), b - 1]
+    out = []
+    for i in [*sorted({i for i in at if i < len(h) - 1}), len(h) - 1]:
+        out += [*range((out[-1] if out else -1) + MOST, i, MOST), i]
+    return out[:-1]
 
 
 def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:

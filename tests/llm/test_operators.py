@@ -395,6 +395,15 @@ def test_spans_of_short_sentences(spark):
     assert got[91].n_removed == got[92].n_removed == got[93].n_removed == 0  # under 12 words
 
 
+def test_spans_catch_repeated_words_within_a_sentence(spark):
+    rng = np.random.default_rng(13)
+    passages = ["re " * 40 + "the " * 40, "re the " * 40, "".join(f"{w} " * n for w, n in zip(rng.choice(VOCAB, 30), rng.integers(1, 5, 30)))]
+    made = [(10 * p + k, f"{prose(15 + 3 * k, rng)[:-1]} {x}{prose(15, rng)}") for p, x in enumerate(passages) for k in range(3)]
+    got = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    for p, x in enumerate(passages):
+        assert all(got[10 * p + k].words_removed >= 0.6 * len(x.split()) for k in (1, 2)), p
+
+
 def test_sentences_are_the_text():
     for t in [x for x in TEXTS if x]:
         e, k, s = spans.sentences(t)
