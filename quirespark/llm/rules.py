@@ -32,7 +32,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "chars": F.length(text).cast("double"),
         "words": count(WORD),
         "upper": count("\\p{Lu}"),
-        "lower": count("\\p{Ll}"),
+        "lower": F.length(F.regexp_replace(text, "\\P{Ll}++", "")).cast("double"),  # most of a text: no array of single letters
         "digits": count("[0-9]"),
         "stops": count("[.?,;:]"),
         "bangs": count("!"),
@@ -52,12 +52,17 @@ def features(s: dict[str, Column]) -> dict[str, Column]:
     }
 
 
+def _held(made: dict[str, Column], name: str) -> Column:
+    """The columns as one struct that a generator puts out: no filter above it is pushed below it, so that what it holds is computed once a row, however often it is named."""
+    return F.explode(F.array(F.struct(*[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in made.items()]))).alias(name)
+
+
 def _with_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(doc, f): df's row and its features as structs, each statistic being computed once."""
+    """(doc, f): df's row and its features as structs, each statistic and feature being computed once."""
     made = statistics(F.coalesce("text", F.lit("")))
-    d = df.select(F.struct("*").alias("doc"), F.struct(*[v.alias(k) for k, v in made.items()]).alias("s"))
+    d = df.select(F.struct("*").alias("doc"), _held(made, "s"))
     f = features({k: F.col("s")[k] for k in made})
-    return d.select("doc", F.struct(*[v.alias(k) for k, v in f.items()]).alias("f")), list(f)
+    return d.select("doc", _held(f, "f")), list(f)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (feature, above, cut), all of which hold
