@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import search
 from ..functions.dialect import patterns
 from ..functions.text import heading_numbers
 from ..plans.blueprint import Blueprint
@@ -41,10 +42,12 @@ def sequence_breaks(placed: DataFrame) -> DataFrame:
 
 
 def pattern_stats(lines: DataFrame, given: list[str]) -> DataFrame:
-    """pattern_index, pattern, n_matches, n_lines, n_docs, first_line, last_line, mean_line. Sums by document come first, so that no pattern's rows gather."""
+    """pattern_index, pattern, n_matches, n_lines, n_docs, first_line, last_line, mean_line, of patterns with matches. Sums are columns, by document first; no line becomes a row a pattern."""
     ps = patterns(given)
-    each = F.array(*[F.struct(F.lit(k).alias("pattern_index"), F.lit(p.source).alias("pattern"), F.regexp_count("line", F.lit(p.java)).alias("n")) for k, p in enumerate(ps)])
-    rows = lines.select("doc_id", "line_number", F.explode(each).alias("m")).select("doc_id", "line_number", "m.*").where("n > 0")
-    by_doc = rows.groupBy("doc_id", "pattern_index", "pattern").agg(F.sum("n").alias("m"), F.count("*").alias("l"), F.min("line_number").alias("a"), F.max("line_number").alias("b"), F.sum("line_number").alias("s"))
-    out = by_doc.groupBy("pattern_index", "pattern").agg(F.sum("m").alias("n_matches"), F.sum("l").alias("n_lines"), F.count("*").alias("n_docs"), F.min("a").alias("first_line"), F.max("b").alias("last_line"), F.sum("s").alias("_s"))
-    return out.withColumn("mean_line", F.col("_s") / F.col("n_lines")).drop("_s")
+    rows = lines.select("doc_id", "line_number", *[search.count(F.col("line"), p).alias(f"n{k}") for k, p in enumerate(ps)])
+    own = lambda k: F.when(F.col(f"n{k}") > 0, F.col("line_number"))
+    by_doc = rows.groupBy("doc_id").agg(*[f.alias(f"{x}{k}") for k in range(len(ps)) for x, f in (("m", F.sum(f"n{k}")), ("l", F.count(own(k))), ("a", F.min(own(k))), ("b", F.max(own(k))), ("s", F.sum(own(k))))])
+    sums = by_doc.agg(*[f.alias(f"{x}{k}") for k in range(len(ps)) for x, f in (("n_matches", F.sum(f"m{k}")), ("n_lines", F.sum(f"l{k}")), ("n_docs", F.count_if(F.col(f"l{k}") > 0)), ("first_line", F.min(f"a{k}")), ("last_line", F.max(f"b{k}")), ("s", F.sum(f"s{k}")))])
+    each = F.array(*[F.struct(F.lit(k).alias("pattern_index"), F.lit(p.source).alias("pattern"), *[F.col(f"{x}{k}").alias(x) for x in ("n_matches", "n_lines", "n_docs", "first_line", "last_line", "s")]) for k, p in enumerate(ps)])
+    out = sums.select(F.explode(each).alias("m")).select("m.*").where("n_lines > 0")
+    return out.withColumn("mean_line", F.col("s") / F.col("n_lines")).drop("s")

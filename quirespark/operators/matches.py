@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import search
 from ..functions.dialect import Pattern, patterns
 from ..sources.text import lines as lines_of
 
@@ -57,43 +58,87 @@ def match_table(lines: DataFrame, given: list[str], exact: bool = False, line_te
 
 
 def match_counts(lines: DataFrame, given: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """by, pattern_index, pattern, n_matches, n_lines: one pass, no match becomes a row."""
+    """by, pattern_index, pattern, n_matches, n_lines: one pass in which each pattern's sums are columns, and no match or line becomes a row."""
     ps = patterns(given)
-    each = F.array(*[F.struct(F.lit(k).alias("pattern_index"), F.lit(p.source).alias("pattern"), F.regexp_count("line", F.lit(p.java)).alias("n")) for k, p in enumerate(ps)])
-    rows = lines.select(*by, F.explode(each).alias("m")).select(*by, "m.*")
-    return rows.groupBy(*by, "pattern_index", "pattern").agg(F.sum("n").alias("n_matches"), F.count_if(F.col("n") > 0).alias("n_lines"))
+    counts = lines.select(*by, *[search.count(F.col("line"), p).alias(f"n{k}") for k, p in enumerate(ps)])
+    sums = counts.groupBy(*by).agg(*[f for k in range(len(ps)) for f in (F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"m{k}"), F.count_if(F.col(f"n{k}") > 0).alias(f"l{k}"))])
+    each = F.array(*[F.struct(F.lit(k).alias("pattern_index"), F.lit(p.source).alias("pattern"), F.col(f"m{k}").alias("n_matches"), F.col(f"l{k}").alias("n_lines")) for k, p in enumerate(ps)])
+    return sums.select(*by, F.explode(each).alias("m")).select(*by, "m.*")
+
+
+#: An offset up to which the first rows are found by a top-k over all partitions.
+TOP = 10_000
+
+
+def after(matches: DataFrame, offset: int) -> DataFrame:
+    """Matches of all documents without the first `offset`. No rows are brought together: the place where the rest begins is found first, for a large offset by counts by document and range of documents."""
+    if offset <= 0:
+        return matches
+    if offset <= TOP:
+        at = matches.orderBy(*ORDER).offset(offset).limit(1).first()
+    else:
+        counts = matches.groupBy("doc_id").agg(F.count("*").alias("n"))
+        ranges = counts.repartitionByRange("doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n")).orderBy("low").collect()  # a row a partition
+        left, inside = offset, None
+        for r in ranges:
+            if left < r.n:
+                inside = r
+                break
+            left -= r.n
+        if inside is None:
+            return matches.limit(0)
+        few = counts.where(F.col("doc_id").between(inside.low, inside.high)).withColumn("upto", F.sum("n").over(Window.orderBy("doc_id")))
+        doc = few.where(F.col("upto") > left).orderBy("doc_id").first()
+        at = matches.where(F.col("doc_id") == F.lit(doc.doc_id)).orderBy(*ORDER).offset(left - doc.upto + doc.n).limit(1).first()
+    if at is None:
+        return matches.limit(0)
+    place = F.struct(*ORDER[1:]) >= F.struct(*[F.lit(at[c]).cast(dict(matches.dtypes)[c]).alias(c) for c in ORDER[1:]])
+    return matches.where((F.col("doc_id") > F.lit(at.doc_id)) | ((F.col("doc_id") == F.lit(at.doc_id)) & place))
+
+
+#: Equal matches of a line and pattern.
+ONCE = ["doc_id", "line_number", "pattern_index", "full_match", "groups"]
 
 
 def match_page(matches: DataFrame, offset: int = 0, limit: int = 50, dedupe: bool = False, everywhere: bool = False) -> DataFrame:
     """Matches after the first `offset`, `limit` at most, of each document or of all together. dedupe: equal matches of a line and pattern count once, after the offset."""
     offset, limit = max(0, offset), max(0, limit)
-    once = Window.partitionBy("doc_id", "line_number", "pattern_index", "full_match", "groups").orderBy("match_ord")
+    first = F.row_number().over(Window.partitionBy(*ONCE).orderBy("match_ord"))
     if everywhere:
-        rest = matches.orderBy(*ORDER).offset(offset)
+        rest = after(matches, offset)
         if dedupe:
-            rest = rest.withColumn("_again", F.row_number().over(once)).where("_again = 1").drop("_again")
+            rest = rest.withColumn("_again", first).where("_again = 1").drop("_again")
         return rest.orderBy(*ORDER).limit(limit)
     line = Window.partitionBy("doc_id").orderBy(*ORDER[1:])
     rest = matches.withColumn("_at", F.row_number().over(line)).where(F.col("_at") > offset).drop("_at")
     if dedupe:
-        rest = rest.withColumn("_again", F.row_number().over(once)).where("_again = 1").drop("_again")
+        rest = rest.withColumn("_again", first).where("_again = 1").drop("_again")
     return rest.withColumn("_at", F.row_number().over(line)).where(F.col("_at") <= limit).drop("_at")
 
 
-def match_payload(matches: DataFrame, offset: int = 0, limit: int = 50, dedupe: bool = False, count_only: bool = False) -> DataFrame:
-    """A row a document with matches: total_matches, matches_after_offset, returned_matches, truncated, sample (`limit` matches at most, in order)."""
-    offset = max(0, offset)
-    total = matches.groupBy("doc_id").agg(F.count("*").alias("total_matches")).withColumn("matches_after_offset", F.greatest(F.col("total_matches") - offset, F.lit(0)))
+def match_payload(matches: DataFrame, offset: int = 0, limit: int = 50, dedupe: bool = False, count_only: bool = False, docs: DataFrame | None = None) -> DataFrame:
+    """A row a document with matches: total_matches, matches_after_offset, returned_matches, truncated, sample (`limit` matches at most, in order). docs: its documents (doc_id) without matches have a row as well. One exchange, by document."""
+    offset, limit = max(0, offset), max(0, limit)
     fields = ["line_number", "pattern_index", "match_ord", *[c for c in matches.columns if c not in ORDER]]
-    sample = match_page(matches, offset, 0 if count_only else limit, dedupe).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("sample"))
-    out = total.join(sample, "doc_id", "left")
-    n = F.coalesce(F.size("sample"), F.lit(0)).cast("long")
-    return out.select("doc_id", "total_matches", "matches_after_offset", n.alias("returned_matches"), (F.lit(not count_only) & (F.col("matches_after_offset") > n)).alias("truncated"), "sample")
+    m = matches
+    sample = F.array().cast(f"array<struct<{', '.join(f'{c}:{k}' for c, k in m.select(*fields).dtypes)}>>")
+    if not count_only and limit:
+        line = Window.partitionBy("doc_id").orderBy(*ORDER[1:])
+        m = m.withColumn("_rest", F.row_number().over(line) > offset)
+        if dedupe:
+            m = m.withColumn("_rest", F.col("_rest") & (F.row_number().over(Window.partitionBy(*ONCE, "_rest").orderBy("match_ord")) == 1))
+        m = m.withColumn("_no", F.count_if("_rest").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+        sample = F.sort_array(F.collect_list(F.when(F.col("_rest") & (F.col("_no") <= limit), F.struct(*fields))))
+    out = m.groupBy("doc_id").agg(F.count("*").alias("total_matches"), sample.alias("sample"))
+    if docs is not None:
+        out = docs.select("doc_id").distinct().join(out, "doc_id", "left").withColumns({"total_matches": F.coalesce("total_matches", F.lit(0)), "sample": F.coalesce("sample", F.array().cast(out.schema["sample"].dataType))})
+    after_offset, n = F.greatest(F.col("total_matches") - offset, F.lit(0)).cast("long"), F.size("sample").cast("long")
+    return out.select("doc_id", "total_matches", after_offset.alias("matches_after_offset"), n.alias("returned_matches"), (F.lit(not count_only) & (after_offset > n)).alias("truncated"), "sample")
 
 
 def save_matches(matches: DataFrame, path: str, offset: int = 0) -> None:
     """JSON Lines in the order of matches, a folder of part files that are sorted among themselves; nulls stay."""
-    rest = matches.orderBy(*ORDER).offset(offset) if offset > 0 else matches.orderBy(*ORDER)
+    rest = after(matches, offset).orderBy(*ORDER)
     rest.select(F.to_json(F.struct(*matches.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
@@ -101,7 +146,15 @@ def _union(groups: list, n_groups: int):
     return groups if n_groups > 1 else groups[0]
 
 
-def extract_regex_matches(docs: DataFrame, regex_pattern: str, regex_patterns: list[str] | None = None, max_matches: int = 50, offset_matches: int = 0, max_output_chars: int | None = 8000, count_only: bool = False, dedupe: bool = False, save_to: str | None = None, include_line_text: bool = True) -> str:
+def extract_regex_matches(docs: DataFrame, *args, **options) -> str:
+    """`regex_result`; any failure as a text that says so."""
+    try:
+        return regex_result(docs, *args, **options)
+    except Exception as e:
+        return f"Error extracting matches: {e}"
+
+
+def regex_result(docs: DataFrame, regex_pattern: str, regex_patterns: list[str] | None = None, max_matches: int = 50, offset_matches: int = 0, max_output_chars: int | None = 8000, count_only: bool = False, dedupe: bool = False, save_to: str | None = None, include_line_text: bool = True) -> str:
     """The result for docs of one text as JSON text; the sample, of max_matches at most, is cut from its end until the text has max_output_chars."""
     budget = max_output_chars if max_output_chars and max_output_chars > 0 else 8000
     offset, limit = max(0, offset_matches or 0), max(0, max_matches or 0)
@@ -124,7 +177,10 @@ def extract_regex_matches(docs: DataFrame, regex_pattern: str, regex_patterns: l
         sample.append({"pattern_index": m.pattern_index, "pattern": m.pattern, "line_number": m.line_number, "match": _union(m.groups, n_groups[m.pattern_index]), "full_match": m.full_match} | ({"line": m.line} if include_line_text else {}))
     after = row.matches_after_offset if row else 0
     out = {"ok": True, "file_path": str(name[0]) if name else "", "regex_pattern": regex_pattern, "regex_patterns": given, "total_matches": row.total_matches if row else 0, "offset_matches": offset, "matches_after_offset": after, "returned_matches": len(sample), "truncated": not count_only and after > len(sample), "count_only": count_only, "dedupe": dedupe, "saved_to": save_to, "include_line_text": include_line_text, "sample": sample, "hint": "raise offset_matches for the next matches"}
-    while len(text := json.dumps(out, ensure_ascii=False)) > budget and sample:
+    said = lambda: json.dumps(out, ensure_ascii=False)
+    while not count_only and len(said()) > budget and sample:
         sample.pop()
-        out |= {"returned_matches": len(sample), "truncated": True, "hint": "the sample was cut to fit max_output_chars"}
-    return text
+        out |= {"returned_matches": len(sample), "truncated": True}
+    if not count_only and len(said()) > budget:
+        out |= {"sample": [], "returned_matches": 0, "truncated": True, "hint": "no sample fits max_output_chars: count first, or save the matches"}
+    return said()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import search
 from ..functions.dialect import pattern
 from ..functions.text import SPACE
 from ..plans.blueprint import Blueprint, HierarchyRule
@@ -15,12 +16,9 @@ from ..plans.blueprint import Blueprint, HierarchyRule
 
 def _rule(rule: HierarchyRule, previous: Column) -> tuple[Column, Column]:
     """Whether the line is a heading by this rule, and the heading."""
-    v, java = rule.validation_rules, pattern(rule.regex).java
-    if v is not None and v.requires_line_start:
-        java = f"^(?:{java})"
-    line = F.col("line")
-    heading = F.regexp_extract(line, java, 0)
-    tests = [F.rlike(line, F.lit(java))]
+    v, line = rule.validation_rules, F.col("line")
+    heading = search.first(line, pattern(rule.regex), at_start=bool(v is not None and v.requires_line_start))
+    tests = [heading.isNotNull()]
     if v is not None:
         if v.max_length is not None:
             tests.append(F.length(heading) <= v.max_length)
@@ -34,7 +32,7 @@ def _rule(rule: HierarchyRule, previous: Column) -> tuple[Column, Column]:
 
 def excluded(bp: Blueprint) -> Column:
     """Whether a line falls under an exclusion rule."""
-    found = [F.rlike("line", F.lit(pattern(r.regex).java)) for r in (bp.global_exclusion_rules or {}).values()]
+    found = [search.holds(F.col("line"), pattern(r.regex)) for r in (bp.global_exclusion_rules or {}).values()]
     return reduce(lambda a, b: a | b, found, F.lit(False))
 
 
@@ -82,22 +80,22 @@ def outline(found: DataFrame, bp: Blueprint) -> DataFrame:
             orphan = F.when(F.col("level") == level, (own == 0) | (above > own)).otherwise(orphan)
     placed = found.withColumns({"parent_line": parent, "orphan": orphan})
     siblings = Window.partitionBy("doc_id", "parent_line").orderBy("line_number")
-    placed = placed.withColumn("ordinal", F.row_number().over(siblings) - 1)
-    # A path has at most as many steps as there are levels.
-    up = placed.select(F.col("doc_id").alias("_doc"), F.col("line_number").alias("_line"), F.col("parent_line").alias("_up"), F.col("ordinal").alias("_ordinal"))
-    out = placed.withColumns({"path": F.array("ordinal"), "_next": F.col("parent_line")})
-    for _ in range(len(parent_of) - 1):
-        out = out.join(up, (F.col("doc_id") == F.col("_doc")) & (F.col("_next") == F.col("_line")), "left")
-        out = out.withColumn("path", F.when(F.col("_ordinal").isNotNull(), F.array_prepend("path", F.col("_ordinal"))).otherwise(F.col("path"))).withColumn("_next", F.coalesce("_up", F.lit(0))).drop("_doc", "_line", "_up", "_ordinal")
-    return out.drop("_next")
+    # The parent is the last heading before of the parent level or above it. Level by level its path is at hand: the windows are alike, so headings are dealt out once.
+    out = placed.withColumn("ordinal", F.row_number().over(siblings) - 1).withColumn("path", F.when(F.lit(False), F.array(F.lit(0))))
+    for level in sorted(parent_of):
+        p = parent_of[level]
+        up = F.array().cast("array<int>") if p is None else F.coalesce(F.last(F.when(F.col("level") <= p, F.col("path")), ignorenulls=True).over(before), F.array().cast("array<int>"))
+        out = out.withColumn("path", F.when(F.col("level") == level, F.array_append(up, F.col("ordinal"))).otherwise(F.col("path")))
+    return out
 
 
 def sections(lines: DataFrame, placed: DataFrame, summary: int = 200) -> DataFrame:
     """placed with end_line, body (lines up to the next heading, joined by newlines) and content_summary: the body's first characters."""
-    heads = placed.select("doc_id", "line_number", F.lit(True).alias("_head"))
+    heads = placed.select("doc_id", "line_number", F.struct(*placed.columns).alias("_head"))
     up_to = Window.partitionBy("doc_id").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.join(heads, ["doc_id", "line_number"], "left")
-    marked = marked.withColumn("_section", F.last(F.when(F.col("_head"), F.col("line_number")), ignorenulls=True).over(up_to)).where(F.col("_section").isNotNull())
+    marked = marked.withColumn("_section", F.last(F.when(F.col("_head").isNotNull(), F.col("line_number")), ignorenulls=True).over(up_to)).where(F.col("_section").isNotNull())
     text = F.when(F.col("_head").isNull(), F.struct("line_number", "line"))
-    body = marked.groupBy("doc_id", F.col("_section").alias("line_number")).agg(F.max("line_number").alias("end_line"), F.array_join(F.transform(F.sort_array(F.collect_list(text)), lambda x: x["line"]), "\n").alias("body"))
-    return placed.join(body, ["doc_id", "line_number"]).withColumn("content_summary", F.substring("body", 1, summary))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(text)), lambda x: x["line"]), "\n")
+    one = marked.groupBy("doc_id", "_section").agg(F.first("_head", ignorenulls=True).alias("_head"), F.max("line_number").alias("end_line"), body.alias("body"))
+    return one.select("_head.*", "end_line", "body").withColumn("content_summary", F.substring("body", 1, summary))

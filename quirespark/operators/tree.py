@@ -1,7 +1,8 @@
 """Document trees as node tables (ast_id, path, section_title, content_summary), for many trees at once.
 
 A path is an array of places from 0; [] is the root, and the order of arrays is the order of the
-text. Edits are tables with one row a tree; trees without an edit stay as they are.
+text. Edits are tables with one row a tree: two edits of one tree, or an edit of a node that isn't
+there, fail the job. Trees without an edit stay as they are; edits of unknown trees have no effect.
 """
 
 from __future__ import annotations
@@ -93,45 +94,60 @@ def titles_of(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return got.groupBy("ast_id", "path").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "_t")))), lambda x: x["_t"]).alias("titles"))
 
 
-def _edits(edits: DataFrame, **fields: str) -> DataFrame:
-    return edits.select(F.col("ast_id").alias("_id"), F.col("path").alias("_top"), *[F.col(c).alias(f"_{k}") for k, c in fields.items()])
+def _edited(nodes: DataFrame, edits: DataFrame, **fields: str) -> DataFrame:
+    """nodes with their tree's edit: _top (the node that it names) and the given fields, null without an edit. One exchange, by tree."""
+    alone = F.when(F.count("*").over(Window.partitionBy("ast_id")) == 1, F.col("path")).otherwise(F.raise_error(F.concat(F.lit("more than one edit of tree "), "ast_id")).cast("array<int>"))
+    e = edits.select(F.col("ast_id").alias("_id"), alone.alias("_top"), *[F.col(c).alias(f"_{k}") for k, c in fields.items()])
+    j = nodes.join(e, F.col("ast_id") == F.col("_id"), "left")
+    there = F.bool_or(F.coalesce(F.col("path") == F.col("_top"), F.lit(False))).over(Window.partitionBy("ast_id"))
+    return j.withColumn("path", F.when(F.col("_id").isNull() | there, F.col("path")).otherwise(F.raise_error(F.concat(F.lit("no node at the path of the edit of tree "), "ast_id")).cast("array<int>")))
 
 
-def insert(nodes: DataFrame, edits: DataFrame) -> DataFrame:
-    """Adds a child to the node at path of edits (ast_id, path, position, section_title, content_summary); later siblings move on with all below them. position null: at the end."""
-    counts = nodes.where(F.size("path") > 0).groupBy(F.col("ast_id").alias("_a"), parent_of("path").alias("_p")).agg(F.count("*").alias("_n"))
-    e = edits.join(counts, (F.col("ast_id") == F.col("_a")) & (F.col("path") == F.col("_p")), "left").withColumn("_n", F.coalesce("_n", F.lit(0)).cast("int"))
-    e = e.withColumn("position", F.coalesce(F.col("position").cast("int"), F.col("_n"))).drop("_a", "_p")
-    checked = F.when(F.col("position").between(0, F.col("_n")), F.col("position")).otherwise(F.raise_error(F.lit("position out of range")).cast("int"))
-    e = e.withColumn("position", checked)
-    j = nodes.join(_edits(e, pos="position"), F.col("ast_id") == F.col("_id"), "left")
+def _with_child(j: DataFrame, fresh: Column, position: Column) -> DataFrame:
+    """j, less its edits, and for trees where `fresh` holds the child _title, _summary of the node _top at `position`; later siblings move on with all below them."""
     d = F.size("_top")
-    moves = F.coalesce((F.size("path") > d) & under(F.col("path"), F.col("_top")) & (F.get("path", d) >= F.col("_pos")), F.lit(False))
+    moves = F.coalesce(fresh & (F.size("path") > d) & under(F.col("path"), F.col("_top")) & (F.get("path", d) >= position), F.lit(False))
     path = F.when(moves, F.transform("path", lambda x, i: F.when(i == d, x + 1).otherwise(x))).otherwise(F.col("path"))
-    new = e.select("ast_id", F.array_append("path", F.col("position")).alias("path"), "section_title", "content_summary")
-    return j.select("ast_id", path.alias("path"), "section_title", "content_summary").unionByName(new)
+    own = F.struct(path.alias("path"), "section_title", "content_summary")
+    new = F.struct(F.array_append("_top", position).alias("path"), F.col("_title").alias("section_title"), F.col("_summary").alias("content_summary"))
+    both = F.when(F.coalesce(fresh & (F.col("path") == F.col("_top")), F.lit(False)), F.array(own, new)).otherwise(F.array(own))
+    return j.select("ast_id", F.explode(both).alias("n")).select("ast_id", "n.*")
+
+
+def insert(nodes: DataFrame, edits: DataFrame) -> DataFrame:
+    """Adds a child to the node at path of edits (ast_id, path, position, section_title, content_summary); later siblings move on with all below them. position null: at the end; outside of 0 to the number of children: the job fails."""
+    j = _edited(nodes, edits, pos="position", title="section_title", summary="content_summary")
+    j = j.withColumn("_n", F.count_if(F.coalesce(child_of(F.col("path"), F.col("_top")), F.lit(False))).over(Window.partitionBy("ast_id")).cast("int"))
+    position = F.coalesce(F.col("_pos").cast("int"), F.col("_n"))
+    checked = F.when(F.col("_id").isNull() | position.between(0, F.col("_n")), position).otherwise(F.raise_error(F.lit("position out of range")).cast("int"))
+    j = j.withColumn("_at", checked)
+    return _with_child(j, F.col("_id").isNotNull(), F.col("_at"))
 
 
 def update(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     """Sets title and summary of the node at path to those of edits that are not null."""
-    j = nodes.join(_edits(edits, title="section_title", summary="content_summary"), (F.col("ast_id") == F.col("_id")) & (F.col("path") == F.col("_top")), "left")
-    return j.select("ast_id", "path", F.coalesce("_title", "section_title").alias("section_title"), F.coalesce("_summary", "content_summary").alias("content_summary"))
+    j = _edited(nodes, edits, title="section_title", summary="content_summary")
+    here = F.col("path") == F.col("_top")
+    new = lambda c, e: F.coalesce(F.when(here, F.col(e)), F.col(c)).alias(c)
+    return j.select("ast_id", "path", new("section_title", "_title"), new("content_summary", "_summary"))
 
 
 def append_summary(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     """Adds append_text of edits (ast_id, path, append_text) to the summary of the node at path."""
-    j = nodes.join(_edits(edits, text="append_text"), (F.col("ast_id") == F.col("_id")) & (F.col("path") == F.col("_top")), "left")
-    new = F.when(F.col("_text").isNotNull(), joined_summary(F.col("content_summary"), F.col("_text"))).otherwise(F.col("content_summary"))
+    j = _edited(nodes, edits, text="append_text")
+    here = (F.col("path") == F.col("_top")) & F.col("_text").isNotNull()
+    new = F.when(here, joined_summary(F.col("content_summary"), F.col("_text"))).otherwise(F.col("content_summary"))
     return j.select("ast_id", "path", "section_title", new.alias("content_summary"))
 
 
 def upsert(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     """Adds content_summary of edits (ast_id, path, section_title, content_summary) to the first child with an equal title, or a new child at the end."""
-    wanted = edits.withColumnRenamed("path", "_parent").withColumn("path", F.col("_parent"))
-    found = step(nodes, wanted, F.col("section_title"))
-    old = append_summary(nodes, found.where("path is not null").select("ast_id", "path", F.col("content_summary").alias("append_text")))
-    fresh = found.where("path is null").select("ast_id", F.col("_parent").alias("path"), F.lit(None).cast("int").alias("position"), "section_title", "content_summary")
-    return insert(old, fresh)
+    j = _edited(nodes, edits, title="section_title", summary="content_summary")
+    kid = F.coalesce(child_of(F.col("path"), F.col("_top")), F.lit(False))
+    j = j.withColumns({"_n": F.count_if(kid).over(Window.partitionBy("ast_id")).cast("int"), "_old": F.min(F.when(kid & same_title(F.col("section_title"), F.col("_title")), F.col("path"))).over(Window.partitionBy("ast_id"))})
+    new = F.when(F.col("path") == F.col("_old"), joined_summary(F.col("content_summary"), F.col("_summary"))).otherwise(F.col("content_summary"))
+    j = j.withColumn("content_summary", new)
+    return _with_child(j, F.col("_id").isNotNull() & F.col("_old").isNull(), F.col("_n"))
 
 
 def nodes_from_json(trees: DataFrame) -> DataFrame:
@@ -172,10 +188,25 @@ def nested(rows) -> dict:
     return top or {}
 
 
-def nodes_to_json(nodes: DataFrame) -> DataFrame:
-    """(ast_id, json) of each tree."""
+META = "ast_id string, file_name string, rev long, updated_at string"
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"ast_id": f["ast_id"].iloc[:1], "json": [json.dumps({"root": nested(f.to_dict("records"))}, ensure_ascii=False, indent=2)]})
 
+def meta_from_json(trees: DataFrame) -> DataFrame:
+    """(ast_id, file_name, rev, updated_at) of trees (ast_id, json): revision 0 and no time where the text has none."""
+    t = trees.select("ast_id", F.from_json("json", "file_name string, __meta__ struct<rev:long,updated_at:string>").alias("m"))
+    return t.select("ast_id", "m.file_name", F.coalesce("m.__meta__.rev", F.lit(0)).cast("long").alias("rev"), "m.__meta__.updated_at")
+
+
+def nodes_to_json(nodes: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """(ast_id, json) of each tree; meta: (ast_id, file_name, rev, updated_at), which come before the root."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        out = {"root": nested(f.to_dict("records"))}
+        if "_rev" in f:
+            rev = f["_rev"].iloc[0]
+            out = {"file_name": f["_file"].iloc[0], "__meta__": {"rev": 0 if pd.isna(rev) else int(rev), "updated_at": f["_time"].iloc[0]}} | out
+        return pd.DataFrame({"ast_id": f["ast_id"].iloc[:1], "json": [json.dumps(out, ensure_ascii=False, indent=2)]})
+
+    if meta is not None:
+        nodes = nodes.join(meta.select("ast_id", F.col("file_name").alias("_file"), F.col("rev").alias("_rev"), F.col("updated_at").alias("_time")), "ast_id", "left")
     return nodes.groupBy("ast_id").applyInPandas(run, "ast_id string, json string")

@@ -22,6 +22,11 @@ BLUEPRINT = Blueprint(
 )
 
 
+#: A group that may take no part, and a pattern that only Python runs: the same as th|ing.
+OPTIONAL, CONDITIONAL = "([0-9]+)?([A-Z])[a-z]", "(t)?(?(1)h|ing)"
+AFTER_EMPTY = Blueprint([{"level": 1, "name": "after", "regex": "[A-Z][a-z]+", "validation_rules": {"requires_prev_empty_line": True, "context_filters": ["before a list"]}}])
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -93,6 +98,19 @@ def regex_counts(spark, sf_dir):
     return matches.match_counts(_lines(spark, sf_dir), PATTERNS).select(*_long("pattern_index", "n_matches", "n_lines"), "pattern")
 
 
+def regex_matches_bare(spark, sf_dir):
+    return matches.match_table(_lines(spark, sf_dir), PATTERNS[:1], line_text=False).select("doc_id", *_long("line_number", "pattern_index", "match_ord"), "pattern", "full_match", F.array_join("groups", "|").alias("groups"))
+
+
+def regex_null_groups(spark, sf_dir):
+    m = matches.match_table(_lines(spark, sf_dir), [OPTIONAL], exact=True)
+    return m.select("doc_id", *_long("line_number", "match_ord"), "full_match", F.array_join("groups", "|", "null").alias("groups"))
+
+
+def regex_counts_exact(spark, sf_dir):
+    return matches.match_counts(_lines(spark, sf_dir), [CONDITIONAL, OPTIONAL], by=("doc_id",)).select("doc_id", *_long("pattern_index", "n_matches", "n_lines"))
+
+
 def regex_page(spark, sf_dir):
     return _shown(matches.match_page(_table(spark, sf_dir), 5, 20))
 
@@ -106,12 +124,12 @@ def regex_dedupe(spark, sf_dir):
 
 
 def regex_payload(spark, sf_dir):
-    p = matches.match_payload(_table(spark, sf_dir), 3, 10, dedupe=True)
+    p = matches.match_payload(_table(spark, sf_dir), 3, 10, dedupe=True, docs=_docs(spark, sf_dir))
     return p.select("doc_id", *_long("total_matches", "matches_after_offset", "returned_matches"), "truncated", F.array_join(F.transform("sample", lambda m: m["full_match"]), "|").alias("sample"))
 
 
 def regex_payload_count(spark, sf_dir):
-    p = matches.match_payload(_table(spark, sf_dir), 3, count_only=True)
+    p = matches.match_payload(_table(spark, sf_dir), 3, count_only=True, docs=_docs(spark, sf_dir))
     return p.select("doc_id", *_long("total_matches", "matches_after_offset", "returned_matches"), "truncated")
 
 
@@ -124,6 +142,12 @@ def valid_headings(spark, sf_dir):
     return outline.headings(_lines(spark, sf_dir), BLUEPRINT).select("doc_id", *_long("line_number", "level"), "name", "heading", F.array_join("hit_levels", ",").alias("hit_levels"))
 
 
+def headings_after_empty_lines(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[!?] ", "\n\n").alias("text"))
+    found = outline.headings(text.lines(d), AFTER_EMPTY)
+    return found.select("doc_id", *_long("line_number"), "heading", F.array_join("unevaluated_filters", ",").alias("unevaluated_filters"))
+
+
 def heading_outline(spark, sf_dir):
     return _placed(spark, sf_dir)[1].select("doc_id", *_long("line_number", "level", "parent_line", "ordinal"), "orphan", _path())
 
@@ -192,6 +216,18 @@ def tree_insert(spark, sf_dir):
     return tree.insert(n, edits).select("ast_id", _path(), "section_title", "content_summary")
 
 
+def tree_insert_middle(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    edits = n.where(F.col("path") == F.array(F.lit(0))).select("ast_id", tree.root_path().alias("path"), F.lit(1).alias("position"), F.lit("Middle").alias("section_title"), F.lit("new").alias("content_summary"))
+    return tree.insert(n, edits).select("ast_id", _path(), "section_title", "content_summary")
+
+
+def tree_upsert_new(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    edits = n.where(F.size("path") == 0).select("ast_id", "path", F.lit("A title of its own").alias("section_title"), F.lit("new").alias("content_summary"))
+    return tree.upsert(n, edits).select("ast_id", _path(), "section_title", "content_summary")
+
+
 def tree_upsert(spark, sf_dir):
     n = _nodes(spark, sf_dir)
     edits = n.where(F.col("path") == F.array(F.lit(0))).select("ast_id", tree.root_path().alias("path"), F.concat(F.lit(" "), "section_title").alias("section_title"), F.lit(" note").alias("content_summary"))
@@ -215,12 +251,18 @@ def tree_json(spark, sf_dir):
     return n.select("ast_id", _path(), "section_title", "content_summary")
 
 
+def tree_json_meta(spark, sf_dir):
+    d = _docs(spark, sf_dir).where("doc_id is not null").select(F.col("doc_id").cast("string").alias("ast_id"), F.concat("source", F.lit(".txt")).alias("file_name"), (F.col("doc_id") % 7).alias("rev"), F.lit("2024-01-01T00:00:00+00:00").alias("updated_at"))
+    roots = d.select("ast_id", tree.root_path().alias("path"), F.col("file_name").alias("section_title"), F.lit("").alias("content_summary"))
+    return tree.meta_from_json(tree.nodes_to_json(roots, d))
+
+
 def trace_log(spark, sf_dir):
     t = trace.flatten_trace(_messages(spark, sf_dir))
     return t.select("conv_id", *_long("idx", "call_ord"), "type", "tool_call_id", "tool_name", "args", "content", "ai_content", "output", "status")
 
 
-QUERIES = [line_scan, text_segment, default_segment, char_length, regex_matches, regex_matches_exact, regex_counts, regex_page, regex_page_everywhere, regex_dedupe, regex_payload, regex_payload_count, excluded_lines, valid_headings, heading_outline, sections, audit_gaps, audit_collisions, audit_sequence, heading_sequence, pattern_stats, page_titles, tree_nodes, tree_children, tree_subtree, tree_find_title, tree_resolve, tree_titles, tree_insert, tree_upsert, tree_update, tree_append_summary, tree_json, trace_log]
+QUERIES = [line_scan, text_segment, default_segment, char_length, regex_matches, regex_matches_exact, regex_matches_bare, regex_null_groups, regex_counts, regex_counts_exact, regex_page, regex_page_everywhere, regex_dedupe, regex_payload, regex_payload_count, excluded_lines, valid_headings, headings_after_empty_lines, heading_outline, sections, audit_gaps, audit_collisions, audit_sequence, heading_sequence, pattern_stats, page_titles, tree_nodes, tree_children, tree_subtree, tree_find_title, tree_resolve, tree_titles, tree_insert, tree_insert_middle, tree_upsert, tree_upsert_new, tree_update, tree_append_summary, tree_json, tree_json_meta, trace_log]
 
 
 def queries() -> dict:
@@ -293,6 +335,9 @@ def oracle_sql() -> dict[str, str]:
         "char_length": "SELECT doc_id, length(text) AS n_chars FROM documents",
         "regex_matches": w + ALL + f" SELECT {SHOWN} FROM M",
         "regex_matches_exact": w + _m([0, 1]) + f" SELECT {SHOWN} FROM M",
+        "regex_matches_bare": w + _m([0]) + f" SELECT {SHOWN} FROM M",
+        "regex_null_groups": w + L + ", G AS (SELECT doc_id, line_number, regexp_extract_all(line, '([0-9]+)?([A-Z])[a-z]') AS f, regexp_extract_all(line, '([0-9]+)?([A-Z])[a-z]', 1) AS a, regexp_extract_all(line, '([0-9]+)?([A-Z])[a-z]', 2) AS b FROM L), U AS (SELECT doc_id, line_number, unnest(range(0, len(f))) AS match_ord, unnest(f) AS full_match, unnest(a) AS a, unnest(b) AS b FROM G) SELECT doc_id, line_number, match_ord, full_match, CASE WHEN coalesce(a, '') = '' THEN 'null' ELSE a END || '|' || b AS groups FROM U",
+        "regex_counts_exact": w + L + ", G AS (SELECT doc_id, len(regexp_extract_all(line, 'th|ing')) AS a, len(regexp_extract_all(line, '([0-9]+)?([A-Z])[a-z]')) AS b FROM L) SELECT doc_id, CAST(0 AS BIGINT) AS pattern_index, CAST(sum(a) AS BIGINT) AS n_matches, count(*) FILTER (a > 0) AS n_lines FROM G GROUP BY doc_id UNION ALL SELECT doc_id, CAST(1 AS BIGINT), CAST(sum(b) AS BIGINT), count(*) FILTER (b > 0) FROM G GROUP BY doc_id",
         "regex_counts": w + ALL + " SELECT pattern_index, pattern, count(*) AS n_matches, count(DISTINCT (doc_id, line_number)) AS n_lines FROM M GROUP BY ALL",
         "regex_page": w + ALL + f" SELECT {SHOWN} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {IN_DOC}) AS n FROM M) WHERE n > 5 AND n <= 25",
         "regex_page_everywhere": w + ALL + f" SELECT {SHOWN} FROM M ORDER BY {EVERY} LIMIT 50 OFFSET 100",
@@ -302,10 +347,12 @@ D AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_number, pattern_ind
 E AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {IN_DOC}) AS i FROM D WHERE k = 1),
 G AS (SELECT doc_id, count(*) AS returned_matches, string_agg(full_match, '|' ORDER BY {IN_DOC}) AS sample FROM E WHERE i <= 10 GROUP BY doc_id),
 Q AS (SELECT doc_id, count(*) AS total_matches, greatest(count(*) - 3, 0) AS matches_after_offset FROM M GROUP BY doc_id)
-SELECT doc_id, total_matches, matches_after_offset, coalesce(returned_matches, 0) AS returned_matches, matches_after_offset > coalesce(returned_matches, 0) AS truncated, sample FROM Q LEFT JOIN G USING (doc_id)""",
-        "regex_payload_count": w + ALL + " SELECT doc_id, count(*) AS total_matches, greatest(count(*) - 3, 0) AS matches_after_offset, CAST(0 AS BIGINT) AS returned_matches, false AS truncated FROM M GROUP BY doc_id",
+SELECT doc_id, coalesce(total_matches, 0) AS total_matches, coalesce(matches_after_offset, 0) AS matches_after_offset, coalesce(returned_matches, 0) AS returned_matches, coalesce(matches_after_offset, 0) > coalesce(returned_matches, 0) AS truncated, coalesce(sample, '') AS sample
+FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN Q USING (doc_id) LEFT JOIN G USING (doc_id)""",
+        "regex_payload_count": w + ALL + " SELECT d.doc_id, count(M.doc_id) AS total_matches, greatest(count(M.doc_id) - 3, 0) AS matches_after_offset, CAST(0 AS BIGINT) AS returned_matches, false AS truncated FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN M USING (doc_id) GROUP BY d.doc_id",
         "excluded_lines": w + L + " SELECT doc_id, line_number, line FROM L WHERE NOT regexp_matches(line, '@')",
         "valid_headings": w + C + " SELECT doc_id, line_number, level, name, heading, hit_levels FROM H",
+        "headings_after_empty_lines": w + L.replace("regexp_replace(text, ", "regexp_replace(regexp_replace(text, '[!?] ', chr(10) || chr(10), 'g'), ") + ", P AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_number) AS b FROM L) SELECT doc_id, line_number, regexp_extract(line, '^[A-Z][a-z]+') AS heading, 'before a list' AS unevaluated_filters FROM P WHERE regexp_matches(line, '^[A-Z][a-z]+') AND (b IS NULL OR trim(b) = '')",
         "heading_outline": w + O + " SELECT doc_id, line_number, level, parent_line, ordinal, orphan, path FROM A",
         "sections": w + _sections(40) + " SELECT doc_id, line_number, end_line, md5(body) AS body_md5, content_summary FROM X",
         "audit_gaps": w + C + ", G AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS a FROM C), R AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS r FROM G WHERE NOT (h1 OR h2 OR h3)) SELECT doc_id, min(line_number) AS first_line, max(line_number) AS last_line, count(*) AS n_lines FROM R GROUP BY doc_id, r HAVING count(*) >= 2",
@@ -321,10 +368,13 @@ SELECT doc_id, total_matches, matches_after_offset, coalesce(returned_matches, 0
         "tree_resolve": w + T + f", V AS (SELECT ast_id, p[1] AS i, {NORMAL.format('section_title')} AS t, first_value(p[1]) OVER (PARTITION BY ast_id, {NORMAL.format('section_title')} ORDER BY p[1]) AS f FROM K WHERE len(p) = 1) SELECT ast_id, CASE WHEN t = '' THEN '' ELSE CAST(f AS VARCHAR) END AS path, count(*) AS n FROM V GROUP BY 1, 2",
         "tree_titles": w + T + " SELECT x.ast_id, x.path, coalesce(string_agg(y.section_title, ' / ' ORDER BY len(y.p)), '') AS titles FROM K x LEFT JOIN K y ON x.ast_id = y.ast_id AND len(y.p) > 0 AND len(y.p) <= len(x.p) AND x.p[1:len(y.p)] = y.p GROUP BY x.ast_id, x.path",
         "tree_insert": w + T + " SELECT ast_id, CASE WHEN path = '' THEN '' ELSE concat_ws('.', CAST(p[1] + 1 AS VARCHAR), CAST(p[2] AS VARCHAR), CAST(p[3] AS VARCHAR)) END AS path, section_title, content_summary FROM K UNION ALL SELECT ast_id, '0', 'Start', 'new' FROM K WHERE path = ''",
+        "tree_insert_middle": w + T + " SELECT ast_id, CASE WHEN path = '' OR p[1] < 1 THEN path ELSE concat_ws('.', CAST(p[1] + 1 AS VARCHAR), CAST(p[2] AS VARCHAR), CAST(p[3] AS VARCHAR)) END AS path, section_title, content_summary FROM K UNION ALL SELECT ast_id, '1', 'Middle', 'new' FROM K WHERE path = '0'",
+        "tree_upsert_new": w + T + " SELECT ast_id, path, section_title, content_summary FROM T UNION ALL SELECT ast_id, CAST(count(*) FILTER (len(p) = 1) AS VARCHAR), 'A title of its own', 'new' FROM K GROUP BY ast_id",
         "tree_upsert": w + T + " SELECT ast_id, path, section_title, CASE WHEN path <> '0' THEN content_summary WHEN content_summary = '' THEN ' note' ELSE regexp_replace(content_summary, '\\s+\\z', '') || chr(10) || 'note' END AS content_summary FROM T",
         "tree_update": w + T + " SELECT ast_id, path, CASE WHEN path = '0' THEN 'new ' || section_title ELSE section_title END AS section_title, content_summary FROM T",
         "tree_append_summary": w + T + " SELECT ast_id, path, section_title, CASE WHEN path <> '0.0' THEN content_summary WHEN content_summary = '' THEN chr(10) || ' more ' ELSE regexp_replace(content_summary, '\\s+\\z', '') || chr(10) || 'more ' END AS content_summary FROM T",
         "tree_json": w + T + " SELECT ast_id, path, section_title, content_summary FROM T",
+        "tree_json_meta": "SELECT CAST(doc_id AS VARCHAR) AS ast_id, source || '.txt' AS file_name, doc_id % 7 AS rev, '2024-01-01T00:00:00+00:00' AS updated_at FROM documents",
         "trace_log": """WITH c AS (SELECT *, conv_id || '-' || turn AS id, conv_id || '-' || (turn - 1) AS answers FROM conversations), r AS (SELECT conv_id, answers, text FROM c WHERE role = 'assistant')
 SELECT c.conv_id, turn AS idx, CAST(0 AS BIGINT) AS call_ord, CASE role WHEN 'user' THEN 'tool_call' WHEN 'assistant' THEN 'tool_result' ELSE 'human_message' END AS type,
   CASE role WHEN 'user' THEN c.id WHEN 'assistant' THEN c.answers END AS tool_call_id, CASE WHEN role = 'user' THEN 'ask' END AS tool_name, CASE WHEN role = 'user' THEN 'n=' || length(c.text) END AS args,

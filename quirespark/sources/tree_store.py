@@ -1,6 +1,7 @@
 """Guarded edits of one document tree, each a new revision of its node table.
 
-A revision is a Parquet folder rev-N; writing one that exists fails, so of two writers one loses.
+A revision is a Parquet folder rev-N, with the file's name and the time of the edit beside the nodes;
+writing one that exists fails, so of two writers one loses.
 Edits need a token, which is bound to purpose, node and revision, ends after ten minutes, and is
 used up by success. Tokens live in the driver; `init` starts a new generation, which ends them.
 """
@@ -10,8 +11,10 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import tree
 
@@ -37,28 +40,44 @@ class TreeStore:
             raise FileNotFoundError(self.path)
         return max(found)
 
-    def nodes(self) -> DataFrame:
+    def _table(self) -> DataFrame:
         return self.spark.read.parquet("{}/rev-{}-{}".format(self.path, *self._latest()))
 
+    def nodes(self) -> DataFrame:
+        return self._table().select(tree.NODE)
+
     @property
     def rev(self) -> int:
         return self._latest()[1]
 
-    def _commit(self, nodes: DataFrame, generation: int, rev: int) -> dict:
-        nodes.coalesce(1).write.mode("error").parquet(f"{self.path}/rev-{generation}-{rev}")  # one tree is one document
-        return {"ok": True, "rev": rev}
+    def meta(self) -> dict:
+        """file_name, rev, updated_at."""
+        row = self._table().select("file_name", "updated_at").first()
+        return {"file_name": row.file_name, "rev": self.rev, "updated_at": row.updated_at}
+
+    def to_json(self) -> str:
+        """The whole file: name, revision, time and nested nodes."""
+        m = self.meta()
+        one = self.spark.createDataFrame([("", m["file_name"], m["rev"], m["updated_at"])], tree.META)
+        return tree.nodes_to_json(self.nodes(), one).first().json
+
+    def _commit(self, nodes: DataFrame, generation: int, rev: int, file_name: str | None = None) -> dict:
+        now = datetime.fromtimestamp(self.clock(), timezone.utc).isoformat()
+        name = self.meta()["file_name"] if file_name is None else file_name
+        nodes.select(*tree.NODE, F.lit(name).alias("file_name"), F.lit(now).alias("updated_at")).coalesce(1).write.mode("error").parquet(f"{self.path}/rev-{generation}-{rev}")  # one tree is one document
+        return {"ok": True, "rev": rev, "updated_at": now}
 
     def _edit(self, **fields) -> DataFrame:
         return self.spark.createDataFrame([("", *fields.values())], "ast_id string, " + ", ".join(f"{k} {'array<int>' if k == 'path' else 'int' if k == 'position' else 'string'}" for k in fields))
 
     # reading
 
-    def init(self, file_name: str, root_title: str | None = None) -> dict:
+    def init(self, file_name: str, root_title: str | None = None, root_summary: str = "") -> dict:
         try:
             generation = self._latest()[0] + 1
         except FileNotFoundError:
             generation = 0
-        return self._commit(self.spark.createDataFrame([("", [], root_title or file_name, "")], tree.SCHEMA), generation, 0)
+        return self._commit(self.spark.createDataFrame([("", [], root_title or file_name, root_summary)], tree.SCHEMA), generation, 0, file_name)
 
     def load(self, path: list[int] | None = None) -> dict:
         """The tree, or what is at and below path, as nested nodes."""
@@ -76,21 +95,24 @@ class TreeStore:
             raise ValueError(f"no node {titles}")
         return list(got.path)
 
-    def list_children(self, path: list[int] | None = None, titles: list[str] | None = None) -> list[dict]:
+    def list_children(self, path: list[int] | None = None, titles: list[str] | None = None, include_children: bool = True) -> list[dict]:
         at = self.resolve_path(titles) if titles else path or []
         self._node(at)
-        return [{"index": r["index"], "section_title": r.section_title} for r in tree.children(self.nodes(), at).orderBy("index").collect()]
+        return [] if not include_children else [{"index": r["index"], "section_title": r.section_title} for r in tree.children(self.nodes(), at).orderBy("index").collect()]
 
     def find_by_title(self, query: str, ignore_case: bool = True, max_results: int = 20) -> list[dict]:
         found = tree.find_by_title(self.nodes(), query, ignore_case, max_results).orderBy("path").collect()
         return [{"path": list(r.path), "section_title": r.section_title} for r in found]
 
-    def load_meta(self, purpose: str, path: list[int] | None = None, titles: list[str] | None = None) -> dict:
+    def load_meta(self, purpose: str, path: list[int] | None = None, titles: list[str] | None = None, include_children: bool = True) -> dict:
         """A node's children, and a token for one edit of it."""
+        if not purpose:
+            raise ValueError("a purpose has to be given")
         at = self.resolve_path(titles) if titles else path or []
+        children, meta = self.list_children(at, include_children=include_children), self.meta()
         token = uuid.uuid4().hex
         self.tokens[token] = (purpose, tuple(at), self._latest(), self.clock() + TOKEN_LIFE)
-        return {"ok": True, "rev": self.rev, "path": at, "children": self.list_children(at), "edit_token": token}
+        return {"ok": True, "rev": meta["rev"], "updated_at": meta["updated_at"], "path": at, "children": children, "edit_token": token}
 
     # writing
 
@@ -140,8 +162,10 @@ class TreeStore:
     def append_to_summary(self, token: str, append_text: str, path: list[int] | None = None, titles: list[str] | None = None) -> dict:
         return self._write("append_to_summary", token, path, titles, lambda nodes, at: tree.append_summary(nodes, self._edit(path=at, append_text=append_text)))
 
-    def ensure_path(self, token: str, titles: list[str], create_missing: bool = False) -> dict:
-        """The path of titles; missing nodes are made at the end of their parents if asked for, as one revision."""
+    def ensure_path(self, token: str, titles: list[str], create_missing: bool = False, default_summary: str = "") -> dict:
+        """The path of titles; missing nodes are made at the end of their parents if asked for, with the default summary, as one revision."""
+        if not titles:
+            raise ValueError("titles are empty")
         generation, rev = self._use(token, "ensure_path", [])
         nodes, made = self.nodes(), False
         at: list[int] = []
@@ -152,8 +176,22 @@ class TreeStore:
                 if not create_missing:
                     raise ValueError(f"no node {titles[:k]}")
                 n = tree.children(nodes, at).count()
-                nodes, made = tree.insert(nodes, self._edit(path=at, position=n, section_title=titles[k - 1], content_summary="")), True
+                nodes, made = tree.insert(nodes, self._edit(path=at, position=n, section_title=titles[k - 1], content_summary=default_summary)), True
                 at = [*at, n]
             else:
                 at = list(got.path)
-        return {"path": at} | (self._commit(nodes, generation, rev + 1) if made else {"ok": True, "rev": rev})
+        return {"path": at, "created": made} | (self._commit(nodes, generation, rev + 1) if made else {"ok": True, "rev": rev})
+
+    # by name
+
+    ACTIONS = ("init", "load", "resolve_path", "list_children", "load_meta", "find_by_title", "ensure_path", "append_child", "upsert_child", "update_node", "append_to_summary")
+
+    def call(self, action: str, **arguments) -> dict:
+        """An action by its name; what fails, an unknown action too, is a record with ok false and the error, and never raises."""
+        if action not in self.ACTIONS:
+            return {"ok": False, "error": f"unknown action: {action}"}
+        try:
+            got = getattr(self, action)(**arguments)
+        except Exception as e:
+            return {"ok": False, "error": str(e)}
+        return got if isinstance(got, dict) and "ok" in got else {"ok": True, "result": got}

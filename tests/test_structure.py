@@ -1,11 +1,12 @@
 """Blueprints, outlines, audits, trees and traces on small cases."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quirespark.operators import audit, outline, trace, tree
+from quirespark.operators import audit, matches, outline, trace, tree
 from quirespark.plans.blueprint import Blueprint
 from quirespark.sources import text
 from quirespark.sources.tree_store import TOKEN_LIFE, TreeStore
@@ -95,6 +96,48 @@ def test_tree_json_and_titles(spark):
         tree.nodes_from_json(spark.createDataFrame([("t", '{"root": {"children": 3}}')], "ast_id string, json string")).collect()
 
 
+EDIT = "ast_id string, path array<int>, position int, section_title string, content_summary string"
+
+
+def test_tree_edits_that_cannot_be(spark):
+    """Two edits of one tree, a node that isn't there and a place outside fail; edits of other trees change nothing."""
+    n = tree.nodes_from_json(spark.createDataFrame([("t", JSON), ("u", JSON)], "ast_id string, json string"))
+    edit = lambda *rows: spark.createDataFrame(list(rows), EDIT)
+    for bad, what in (([("t", [], 0, "a", "b"), ("t", [0], 0, "a", "b")], "more than one edit"), ([("t", [7], 0, "a", "b")], "no node"), ([("t", [], 3, "a", "b")], "out of range"), ([("t", [], -1, "a", "b")], "out of range")):
+        with pytest.raises(Exception, match=what):
+            tree.insert(n, edit(*bad)).collect()
+    with pytest.raises(Exception, match="no node"):
+        tree.update(n, edit(("t", [7], None, "a", "b"))).collect()
+    key = lambda df: sorted((r.ast_id, list(r.path), r.section_title, r.content_summary) for r in df.collect())
+    assert key(tree.insert(n, edit(("x", [], 0, "a", "b")))) == key(tree.upsert(n, edit().limit(0))) == key(n)
+    got = key(tree.insert(n, edit(("t", [], 1, "mid", "m"))))
+    assert [(p, t) for a, p, t, _ in got if a == "t"] == [([], "R"), ([0], "X"), ([1], "mid"), ([2], "X"), ([2, 0], "c")] and [x for x in got if x[0] == "u"] == [x for x in key(n) if x[0] == "u"]
+    up = key(tree.upsert(n, edit(("t", [], None, " X\u3000", " more"), ("u", [1], None, "new", "s"))))
+    assert [(p, s) for a, p, _, s in up if a == "t"] == [([], ""), ([0], "x\nmore"), ([1], "y"), ([1, 0], "")]
+    assert [(p, t) for a, p, t, _ in up if a == "u"] == [([], "R"), ([0], "X"), ([1], "X"), ([1, 0], "c"), ([1, 1], "new")]
+
+
+def test_tree_json_with_meta(spark):
+    made = spark.createDataFrame([("t", '{"file_name": "f", "__meta__": {"rev": 4, "updated_at": "now"}, "root": {"section_title": "R"}}'), ("u", JSON)], "ast_id string, json string")
+    meta = tree.meta_from_json(made)
+    assert sorted(map(tuple, meta.collect())) == [("t", "f", 4, "now"), ("u", None, 0, None)]
+    got = {r.ast_id: json.loads(r.json) for r in tree.nodes_to_json(tree.nodes_from_json(made), meta).collect()}
+    assert got["t"] == {"file_name": "f", "__meta__": {"rev": 4, "updated_at": "now"}, "root": {"section_title": "R", "content_summary": "", "children": []}}
+    assert got["u"]["file_name"] is None and got["u"]["__meta__"] == {"rev": 0, "updated_at": None}
+
+
+def test_patterns_that_only_python_runs(spark):
+    """Counts, statistics, headings and exclusions go to Python where Java can't express the pattern."""
+    ls = lines(spark, "ab\nac\nxb\nb\nc", "(?")
+    p = r"(a)?(?(1)b|c)"
+    assert [(r.n_matches, r.n_lines) for r in matches.match_counts(ls, ["b", p]).orderBy("pattern_index").collect()] == [(3, 3), (3, 3)]
+    s = audit.pattern_stats(ls, [p]).first()
+    assert (s.n_matches, s.n_lines, s.n_docs, s.first_line, s.last_line) == (3, 3, 1, 1, 5)
+    bp = Blueprint([{"level": 1, "name": "h", "regex": p}], {"no": {"regex": r"(x)?(?(1)b|\Z\A)"}})
+    assert [(r.line_number, r.heading) for r in outline.headings(ls, bp).orderBy("line_number").collect()] == [(1, "ab"), (5, "c")]
+    assert ls.where(~outline.excluded(bp)).count() == 5
+
+
 def test_tree_edits_follow_a_model(spark):
     """Random edits against nested lists."""
     rng = random.Random(3)
@@ -123,7 +166,7 @@ def test_tree_store(spark, tmp_path):
         s.load()
     s.init("doc.txt")
     meta = s.load_meta("append_child", [])
-    assert meta["rev"] == 0 and s.append_child(meta["edit_token"], "A", "a \n") == {"ok": True, "rev": 1}
+    assert meta["rev"] == 0 and s.append_child(meta["edit_token"], "A", "a \n") == {"ok": True, "rev": 1, "updated_at": "1970-01-01T00:00:00+00:00"}
     with pytest.raises(PermissionError, match="unknown"):
         s.append_child(meta["edit_token"], "A", "a")
     token = s.load_meta("upsert_child")["edit_token"]
@@ -137,7 +180,8 @@ def test_tree_store(spark, tmp_path):
     with pytest.raises(PermissionError, match="ended"):
         s.update_node(late, "Z", titles=["A"])
     stale, fresh = s.load_meta("append_to_summary", [0])["edit_token"], s.load_meta("ensure_path")["edit_token"]
-    assert s.ensure_path(fresh, ["doc.txt", "A", "new"], create_missing=True) == {"path": [0, 0], "ok": True, "rev": 3}
+    assert s.ensure_path(fresh, ["doc.txt", "A", "new"], create_missing=True, default_summary="d") == {"path": [0, 0], "created": True, "ok": True, "rev": 3, "updated_at": "1970-01-01T00:10:01+00:00"}
+    assert s.load([0, 0])["content_summary"] == "d" and s.list_children(include_children=False) == s.load_meta("x", include_children=False)["children"] == []
     with pytest.raises(PermissionError, match="revision"):
         s.append_to_summary(stale, "x", [0])
     with pytest.raises(ValueError):
@@ -146,6 +190,9 @@ def test_tree_store(spark, tmp_path):
         s.load([-1])
     assert s.find_by_title("NEW") == [{"path": [0, 0], "section_title": "new"}] and s.list_children(titles=["A"]) == [{"index": 0, "section_title": "new"}]
     assert s.resolve_path(["A", "new"]) == [0, 0]
+    whole = json.loads(s.to_json())
+    assert list(whole) == ["file_name", "__meta__", "root"] and whole["file_name"] == "doc.txt" and whole["__meta__"] == {"rev": 3, "updated_at": "1970-01-01T00:10:01+00:00"}
+    assert s.call("nothing")["ok"] is False and s.call("load", path=[9])["error"].startswith("no node") and s.call("find_by_title", query="A")["result"][0]["path"] == [0]
     old = s.load_meta("append_child")["edit_token"]
     s.init("again.txt")
     with pytest.raises(PermissionError, match="revision"):

@@ -89,6 +89,33 @@ def test_payload(spark):
     assert json.loads(matches.extract_regex_matches(docs(spark), "a"))["total_matches"] == 0
 
 
+def test_pages_over_all_documents(spark, monkeypatch):
+    """The rest after an offset against a plain list, by a top-k and by counts; no exchange to one partition below the limit."""
+    d = spark.createDataFrame([(k, "\n".join("ab a" * (1 + (k + j) % 3) for j in range(k % 5))) for k in range(40)], "doc_id long, text string").repartition(7)
+    found = matches.match_table(text.lines(d), ["a", "b"])
+    rows = [(r.doc_id, r.line_number, r.pattern_index, r.match_ord, r.full_match) for r in found.orderBy(*matches.ORDER).collect()]
+    for top in (matches.TOP, 0):
+        monkeypatch.setattr(matches, "TOP", top)
+        for offset in (0, 1, 57, len(rows) - 1, len(rows), len(rows) + 5):
+            rest = rows[offset:]
+            key = lambda df: [(r.doc_id, r.line_number, r.pattern_index, r.match_ord, r.full_match) for r in df.collect()]
+            assert key(matches.match_page(found, offset, 9, everywhere=True)) == rest[:9], (top, offset)
+            once = [r for k, r in enumerate(rest) if r[:3] + r[4:] not in {x[:3] + x[4:] for x in rest[:k]}]
+            assert key(matches.match_page(found, offset, 9, dedupe=True, everywhere=True)) == once[:9], (top, offset)
+    assert "SinglePartition" not in matches.match_page(found, 57, 9, everywhere=True)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_payload_has_rows_for_documents_without_matches(spark):
+    d = docs(spark, "a a b", "none here", None)
+    p = {r.doc_id: r for r in matches.match_payload(matches.match_table(text.lines(d), ["a"]), 1, 5, docs=d).collect()}
+    assert sorted(p) == [0, 1, 2] and (p[0].total_matches, p[0].returned_matches, p[0].truncated) == (2, 1, False)
+    assert all((p[k].total_matches, p[k].matches_after_offset, p[k].truncated, list(p[k].sample)) == (0, 0, False, []) for k in (1, 2))
+
+
+def test_failures_are_text(spark, tmp_path):
+    assert matches.extract_regex_matches(spark.createDataFrame([(1, 2)], "doc_id long, other long"), "a").startswith("Error extracting matches: ")
+
+
 def test_sink_ignores_limits(spark, tmp_path):
     at = str(tmp_path / "out")
     matches.extract_regex_matches(docs(spark, "a a a"), "(x)?a", offset_matches=1, count_only=True, save_to=at)
