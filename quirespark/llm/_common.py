@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,27 +19,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate results; a local one only where none is configured."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        at = at or tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(at)
-    return at or sc.getCheckpointDir()
+    """The shared folder for intermediate results; a local one only where none is configured and Spark itself runs on this machine alone."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+#: Folders that this process has made for intermediate tables, until `tidy` removes them.
+MADE: list[str] = []
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    MADE.append(f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder and goes on from the files."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df as a table into the checkpoint folder and goes on from the files."""
+    at = fresh_folder(df.sparkSession, "cut")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
 
+def tidy(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of all operators; results that are not yet written are lost with them."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    while MADE:
+        at = path(MADE.pop())
+        at.getFileSystem(conf).delete(at, True)
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of which nothing is needed any more: it does so once the driver has collected what refers to them, which takes a few rounds."""
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+
+#: Tasks among which the rows of one key are dealt.
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """rows joined with lookup, which has a row a key. Rows of a hot key are dealt out by the columns `by`, and its lookup row is copied to those tasks only."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
+    copies = salted.select(*key, "_salt").distinct().join(lookup.hint("merge"), key)
+    return salted.join(copies.hint("merge"), [*key, "_salt"]).drop("_salt")
 
 
 def crc_mod(doc_id: Column, mod: int = 5) -> Column:
@@ -52,13 +73,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps Arrow batches of whole texts small; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def chunks(batches, column: str = "text", limit: int = 2 << 20):
     """Slices of the batches with about `limit` bytes of text each; a longer single row stays whole."""
     for batch in batches:

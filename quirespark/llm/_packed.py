@@ -1,26 +1,9 @@
-"""Counting and looking up very many keys of texts: Spark deals out packed arrays, numpy works on them.
-
-A task turns its documents into batches. Of a batch, each distinct 64-bit key goes to the part of
-the key space that it falls into, all keys of a batch and part as one row; equal keys of a batch
-meet before they are dealt out, so that a frequent key weighs no more than one entry a batch. What
-the batch itself needs later travels as one row of its own. A part sees all batches' keys, and its
-answers go back to the batches in the order in which the keys came.
-"""
+"""Sorted arrays of keys and counts as compressed values, so that a shuffle of very many keys stays small."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
-
-from ._common import chunks, partitions, small_batches
-
-SCHEMA = "batch long, part int, kind int, data binary"
-NAMES = ["batch", "part", "kind", "data"]
-TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-#: Text of a batch, in bytes; a longer single document is a batch of its own.
-BATCH = 24 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -72,87 +55,3 @@ def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each part of the key space begins in sorted keys."""
     edges = np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-
-def mixed(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
-    """64-bit hash of two 64-bit numbers each."""
-    second = b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9) if isinstance(b, np.ndarray) else np.uint64((b * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9) % 2**64)
-    x = a * np.uint64(0x9E3779B97F4A7C15) + second
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def vocabulary(lists) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Words of all texts, given as lists one after another, as numbers; the distinct words, and where each text begins."""
-    seen: dict[bytes, int] = {}
-    add = seen.setdefault
-    each = [np.fromiter((add(w, len(seen)) for w in ws), dtype=np.int32, count=len(ws)) for ws in lists]
-    begins = np.cumsum([0, *map(len, each)])
-    return np.concatenate([*each, np.zeros(0, dtype=np.int32)]), list(seen), begins
-
-
-def hashes(distinct: list[bytes]) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest
-
-    return np.fromiter(map(xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
-
-
-def rows(found: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), TYPES)] if found else [pa.array([], t) for t in TYPES], NAMES)
-
-
-def asked(docs: DataFrame, ask, size: int = BATCH) -> DataFrame:
-    """Rows of SCHEMA: ask(record batch, batch number, parts) gives rows (part, kind, data); a part from `parts` on is the batch's own."""
-    small_batches(docs.sparkSession)
-    parts = partitions(docs.sparkSession)
-
-    def run(batches):
-        held, held_bytes, n = [], 0, 0
-        task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
-
-        def out():
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return [(task + n, *r) for r in ask(whole, task + n, parts)]
-
-        for b in chunks(batches, limit=size):
-            more = b.column("text").nbytes
-            if held and held_bytes + more > size:
-                for r in out():
-                    yield rows([r])
-                held, held_bytes, n = [], 0, n + 1
-            held.append(b)
-            held_bytes += more
-        if held:
-            for r in out():
-                yield rows([r])
-
-    return docs.mapInArrow(run, SCHEMA)
-
-
-def answered(questions: DataFrame, answer) -> DataFrame:
-    """Rows of SCHEMA: answer(kinds, datas) gives each question of one part its data; what is the batch's own stays."""
-    parts = partitions(questions.sparkSession)
-
-    def run(t: pa.Table) -> pa.Table:
-        if t.num_rows and t.column("part")[0].as_py() >= parts:
-            return t
-        kinds, datas = t.column("kind").to_pylist(), t.column("data").to_pylist()
-        return t.set_column(3, "data", pa.array(answer(kinds, datas), pa.binary()))
-
-    return questions.groupBy("part").applyInArrow(run, SCHEMA)
-
-
-def own(parts: int, batch: int) -> int:
-    """The part of a batch's own row: no two of them meet in a group, as far as an int goes."""
-    return parts + batch % (2**31 - 1 - parts)
-
-
-def returned(answers: DataFrame, finish, schema: str) -> DataFrame:
-    """finish(rows of one batch as (part, kind, data), sorted by part) gives a table of `schema`."""
-
-    def run(t: pa.Table) -> pa.Table:
-        got = sorted(zip(t.column("part").to_pylist(), t.column("kind").to_pylist(), t.column("data").to_pylist()), key=lambda r: r[:2])
-        return finish(got)
-
-    return answers.groupBy("batch").applyInArrow(run, schema)

@@ -1,197 +1,214 @@
 """Benchmark decontamination by a prefix-filtered join of item windows with whole documents.
 
-An item's windows are its runs of `window` consecutive words (a shorter item is one window). The
-words of the items are ordered by how rare they are in all documents. A window is contained in a
-document only if its rarest word is there, so that word is its prefix: document words are joined
-with it, length and position give the one place where the window would have to stand, and the
-words there are compared one by one.
-
-The benchmark is dealt into blocks of at most `block_bytes` of text, so that what is broadcast has
-a bound; each block is one pass over the documents, which carry their findings along.
-
-Defined cases: words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z; a null
-or empty text has no words and is clean; an item without words or with a null id is left out (a
-null id cannot be reported); repeated items and rows count once in items and keep a row each in
-documents; an empty benchmark leaves all clean; other columns are ignored or, in `clean`, kept.
+An item's windows are its runs of `window` consecutive words (a shorter item is one window). Words are
+ordered by how rare they are in all documents. A window is contained in a document only if its rarest
+two words are there at their distance, so these and the distance are the window's prefix, on which it
+is joined with the documents. Length and position give the one place where the window would have to
+stand, and the words there are compared one by one.
+
+A task finds the prefixes in its texts: places of words that are the rarest of some window, and for
+each distance the pairs that some window has. It knows them by two bit fields of bounded size (`_fields.BITS`),
+which are all that is broadcast; what a bit field lets through by chance falls in the join. Counts of
+rarity, windows, prefixes and findings are tables, so the benchmark's size has no bound, and documents
+are read twice whatever it is.
+
+Defined cases: words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z, and are
+compared by 64-bit hashes, a window by those of all its words; a null or empty text has no words and
+is clean; an item without words or with a null id is left out (a null id cannot be reported); repeated
+items and rows count once in items and keep a row each in documents; an empty benchmark leaves all
+clean; doc_id is an integer; other columns are ignored or, in `clean`, kept.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._common import bytes_of, chunks, small_batches, table
+from ._common import bytes_of, chunks, cut, spread_join, table
+from ._fields import among, bit_field
+from ._keys import hashes, mixed, vocabulary
 
 #: a-z, 0-9 and bytes from 0x80 stand for themselves, A-Z for a-z, all else for a space.
 FOLD = bytes(c if c >= 0x80 or chr(c).isdigit() or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+#: Rows up to which a list of found documents is broadcast, for want of an exchange of all texts.
+FEW = 500_000
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-@dataclass
-class Index:
-    """Windows of a block of items. ids: by word; for each word, the windows of which it is the prefix."""
-
-    ids: dict[bytes, int]
-    seqs: np.ndarray  # windows x window, -1 after the end
-    lengths: np.ndarray
-    items: list[str]
-    item_of: np.ndarray
-    counts: np.ndarray | None = None
-    begins: np.ndarray | None = None  # into `order`, by word
-    order: np.ndarray | None = None
-    place: np.ndarray | None = None  # of the prefix in its window
-
-    def rank(self, counts: dict[int, int]) -> "Index":
-        """Chooses each window's rarest word; ties by word number."""
-        n = len(self.ids)
-        rare = np.array([counts.get(i, 0) for i in range(n)], dtype=np.int64)
-        seen = np.where(self.seqs >= 0, rare[self.seqs], np.iinfo(np.int64).max)
-        self.place = seen.argmin(axis=1)
-        prefix = self.seqs[np.arange(len(self.seqs)), self.place]
-        self.order = np.argsort(prefix, kind="stable")
-        self.begins = np.searchsorted(prefix[self.order], np.arange(n + 1))
-        return self
-
-
-def index(items: list[tuple[str, bytes]], window: int) -> Index | None:
-    ids: dict[bytes, int] = {}
-    seqs, lengths, item_of, names = [], [], [], []
-    for name, text in items:
-        w = [ids.setdefault(x, len(ids)) for x in words(text)]
-        if w:
-            n = min(window, len(w))
-            for i in range(len(w) - n + 1):
-                seqs.append(w[i : i + n] + [-1] * (window - n))
-                lengths.append(n)
-                item_of.append(len(names))
-            names.append(name)
-    if not seqs:
-        return None
-    return Index(ids, np.array(seqs, dtype=np.int32), np.array(lengths, dtype=np.int32), names, np.array(item_of, dtype=np.int32))
-
-
-def encoded(texts: list[bytes], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The words of all texts as numbers (-1: in no item), and where each text begins."""
-    lists = [words(t) for t in texts]
-    begins = np.cumsum([0, *map(len, lists)])
-    get = ids.get
-    return np.fromiter((get(w, -1) for ws in lists for w in ws), dtype=np.int32, count=begins[-1]), begins
-
-
-def occurrences(tokens: np.ndarray, begins: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, window number) of each window that a document contains."""
-    at = np.flatnonzero(tokens >= 0)
-    tok = tokens[at]
-    n = ix.begins[tok + 1] - ix.begins[tok]
-    at, tok, n = at[n > 0], tok[n > 0], n[n > 0]
-    out = [np.zeros((3, 0), dtype=np.int64)]
-    step = 1 << 20  # candidates side by side
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(n) // step)) + 1, [len(n)]]) if len(n) else [0]
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        k = n[a:b]
-        within = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        win = ix.order[np.repeat(ix.begins[tok[a:b]], k) + within]
-        start = np.repeat(at[a:b], k) - ix.place[win]
-        doc = np.searchsorted(begins, np.repeat(at[a:b], k), side="right") - 1
-        ok = (start >= begins[doc]) & (start + ix.lengths[win] <= begins[doc + 1])
-        win, start, doc = win[ok], start[ok], doc[ok]
-        for j in range(ix.seqs.shape[1]):
-            if not len(win):
-                break
-            want = ix.seqs[win, j]
-            ok = (want < 0) | (tokens[np.minimum(start + j, len(tokens) - 1)] == want)
-            win, start, doc = win[ok], start[ok], doc[ok]
-        out.append(np.stack([doc, start, win]))
-    return tuple(np.concatenate(out, axis=1))
-
-
-def _counts(docs: DataFrame, ids) -> dict[int, int]:
-    """How often each word of the items stands in the documents: at most as many rows as the block has words."""
-
-    def count(batches):
-        total = np.zeros(len(ids.value), dtype=np.int64)
+def _encoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, all texts' words as places among them, and where each text begins."""
+    seq, distinct, begins = vocabulary(map(words, bytes_of(batch.column("text"))))
+    return hashes(distinct), seq, begins
+
+
+def _windows(window: int):
+    """Task function: (item, text) to (item, seq): the hashes of each window's words."""
+
+    def run(batches):
         for b in chunks(batches):
-            tokens, _ = encoded(bytes_of(b.column("text")), ids.value)
-            total += np.bincount(tokens[tokens >= 0], minlength=len(total))
-        has = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], ["word", "n"])
+            h, seq, begins = _encoded(b)
+            for item, x, y in zip(b.column("item").to_pylist(), begins[:-1].tolist(), begins[1:].tolist()):
+                n = min(window, y - x)
+                if n:
+                    seen = np.unique(np.lib.stride_tricks.sliding_window_view(h[seq[x:y]], n), axis=0).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(seen)), pa.ListArray.from_arrays(np.arange(0, seen.size + 1, n, dtype=np.int32), pa.array(seen.ravel()))], ["item", "seq"])
+
+    return run
+
+
+def prefix_key(rare: np.ndarray, second: np.ndarray, distance) -> np.ndarray:
+    return mixed(mixed(rare, second), (np.asarray(distance, dtype=np.int64) + 4096).astype(np.uint64) + np.zeros(len(rare), dtype=np.uint64))
+
+
+def _keyed(batches):
+    """Task function: (seq, place, second) with the key of the prefix."""
+    for b in batches:
+        seqs, place, second = b.column("seq").to_pylist(), b.column("place").to_numpy(), b.column("second").to_numpy()
+        word = lambda at: np.array([s[k] for s, k in zip(seqs, at)], dtype=np.int64).view(np.uint64)
+        key = prefix_key(word(place), word(second), second - place) if len(seqs) else np.zeros(0, dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column("seq"), b.column("place"), pa.array(key.view(np.int64)), pa.array(word(place).view(np.int64))], ["seq", "place", "key", "rare"])
 
-    return {r.word: r.n for r in docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
+def _counts(held):
+    """Task function: how often each word that the field lets through stands in the texts of a task, summed up a few million words at a time."""
 
-def _search(docs: DataFrame, held) -> DataFrame:
-    """Adds a block's findings to the columns n_words, hits (start, end) and items."""
+    def rows(found: list) -> pa.RecordBatch:
+        keys, which = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        n = np.bincount(which, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    def find(batches):
-        ix = Index(**held.value)
+    def run(batches):
+        found, size = [], 0
         for b in chunks(batches):
-            tokens, begins = encoded(bytes_of(b.column("text")), ix.ids)
-            doc, start, win = occurrences(tokens, begins, ix)
-            old_hits, old_items = b.column("hits").to_pylist(), b.column("items").to_pylist()
-            hits, items = [], []
-            cut = np.searchsorted(doc, np.arange(len(begins)), side="left") if (np.diff(doc) >= 0).all() else None
-            if cut is None:
-                o = np.argsort(doc, kind="stable")
-                doc, start, win = doc[o], start[o], win[o]
-                cut = np.searchsorted(doc, np.arange(len(begins)), side="left")
-            for i in range(len(begins) - 1):
-                mine = slice(cut[i], cut[i + 1])
-                if cut[i] == cut[i + 1]:
-                    hits.append(old_hits[i])
-                    items.append(old_items[i])
-                    continue
-                mark = np.zeros(begins[i + 1] - begins[i] + 1, dtype=np.int64)
-                s = start[mine] - begins[i]
-                np.add.at(mark, s, 1)
-                np.add.at(mark, s + ix.lengths[win[mine]], -1)
-                for h in old_hits[i]:
-                    mark[h["start"]] += 1
-                    mark[h["end"]] -= 1
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(mark) > 0, [0]]).astype(np.int8)))
-                hits.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])])
-                items.append(sorted({*old_items[i], *(ix.items[k] for k in np.unique(ix.item_of[win[mine]]))}))
-            new = {"n_words": pa.array(np.diff(begins), pa.int64()), "hits": pa.array(hits, b.schema.field("hits").type), "items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new.get(f.name, b.column(f.name)) for f in b.schema], names=b.schema.names)
-
-    return docs.mapInArrow(find, docs.schema)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """c0, c1 ...: the columns `kept` of docs; n_words; hits: word ranges that lie in some window of an item, end exclusive; items: ids of items with such windows."""
+            h, seq, _ = _encoded(b)
+            some = np.flatnonzero(among(held.value, h))
+            found.append((h[some], np.bincount(seq, minlength=len(h))[some]))
+            size += len(some)
+            if size > 1 << 21:
+                yield rows(found)
+                found, size = [], 0
+        if found:
+            yield rows(found)
+
+    return run
+
+
+def prefixed(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """Distinct windows (seq, place of the rarest word, key of the prefix, rare: that word), with `items`: the ids of the items that have them."""
     spark = docs.sparkSession
-    small_batches(spark)
-    mine = [F.col(c).alias(f"c{k}") for k, c in enumerate(kept)]
-    out = docs.select(*mine, "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    blocks = max(1, -(-size // block_bytes))
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()
-        ix = index([(r.item, r.text.encode()) for r in rows], window)
-        if ix is None:
-            ix = Index({}, np.zeros((0, window), np.int32), np.zeros(0, np.int32), [], np.zeros(0, np.int32))
-        ids = spark.sparkContext.broadcast(ix.ids)
-        out = _search(out, spark.sparkContext.broadcast(vars(ix.rank(_counts(docs, ids) if ix.ids else {}))))
-    return out
+    each = cut(items.mapInArrow(_windows(window), "item string, seq array<long>"))
+    own = each.select(F.explode("seq").alias("word")).distinct()
+    counts = docs.select("text").mapInArrow(_counts(spark.sparkContext.broadcast(bit_field(own, "word"))), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rarity = own.join(counts.hint("merge"), "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    w = each.groupBy("seq").agg(F.collect_set("item").alias("items"))
+    placed = spread_join(w.select("seq", F.posexplode("seq").alias("at", "word")), rarity, ["word"], ["seq", "at"])
+    order = F.sort_array(F.collect_list(F.struct("n", "word", "at")))
+    rare = placed.groupBy("seq").agg(order.alias("o")).select("seq", F.get("o", F.lit(0))["at"].alias("place"), F.coalesce(F.get("o", F.lit(1))["at"], F.get("o", F.lit(0))["at"]).alias("second"))
+    return cut(rare.mapInArrow(_keyed, "seq array<long>, place int, key long, rare long").join(w.hint("merge"), "seq"))
+
+
+FOUND = "doc_id long, mark long, n_words long, at int, lead int, key long, context array<long>"
+
+
+def _prefixes(rare, keys, window: int):
+    """Task function: (doc_id, mark, text) to a row of FOUND for each text, with n_words, and for each prefix in it: the place of its rarest word, the words around (`lead` of them before), and the key."""
+
+    def run(batches):
+        for b in chunks(batches):
+            h, seq, begins = _encoded(b)
+            n = len(begins) - 1
+            none = lambda t: pa.nulls(n, t)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(np.diff(begins), pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.int64()), none(pa.list_(pa.int64()))], NAMES)
+            if not len(seq):
+                continue
+            at = np.flatnonzero(among(rare.value, h)[seq])
+            doc = np.searchsorted(begins, at, side="right") - 1
+            x, low, high = h[seq], begins[doc], begins[doc + 1]
+            found = []
+            for d in range(1 - window, window):
+                k = np.flatnonzero((at + d >= low) & (at + d < high))
+                key = prefix_key(x[at[k]], x[at[k] + d], d)
+                ok = among(keys.value, key)
+                found.append((k[ok], key[ok]))
+            k, key = (np.concatenate(c) for c in zip(*found))
+            for i in range(0, len(k), 20_000):
+                p, kk = at[k[i : i + 20_000]], key[i : i + 20_000]
+                first, last = np.maximum(p - window + 1, low[k[i : i + 20_000]]), np.minimum(p + window, high[k[i : i + 20_000]])
+                size = last - first
+                ends = np.concatenate([[0], np.cumsum(size)])
+                around = x[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(first, size)]
+                of = pa.array(doc[k[i : i + 20_000]])
+                yield pa.RecordBatch.from_arrays([
+                    b.column("doc_id").take(of), b.column("mark").take(of), pa.nulls(len(p), pa.int64()), pa.array(p - low[k[i : i + 20_000]], pa.int32()), pa.array(p - first, pa.int32()),
+                    pa.array(kk.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(around.view(np.int64)))], NAMES)
+
+    return run
+
+
+NAMES = [x.split()[0] for x in FOUND.split(", ")]
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull()})
+
+
+BY = ["_id", "_none", "mark"]
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(a row a document: doc_id, mark (hash of the text), n_words; a row a window's occurrence in a document: doc_id, mark, start, end, items)."""
+    sc = docs.sparkSession.sparkContext
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    w = prefixed(d, benchmark, window)
+    rare, keys = sc.broadcast(bit_field(w.select("rare").distinct(), "rare")), sc.broadcast(bit_field(w.select("key").distinct(), "key"))
+    found = cut(d.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_prefixes(rare, keys, window), FOUND))
+    met = spread_join(found.where("key is not null").select("doc_id", "mark", "at", "lead", "key", "context"), w.select("key", "seq", "place", "items"), ["key"], ["doc_id", "mark", "at"])
+    n, start = F.size("seq"), F.col("lead") - F.col("place")
+    inside = (start >= 0) & (start + n <= F.size("context"))
+    met = met.where(inside).where(F.slice("context", F.greatest(start, F.lit(0)) + 1, n) == F.col("seq"))
+    begin = F.col("at") - F.col("place")
+    # Of equal rows of documents one is enough.
+    hits = met.select("doc_id", "mark", begin.alias("start"), (begin + n).alias("end"), "items").dropDuplicates(["doc_id", "mark", "start", "end"])
+    return found.where("key is null").select("doc_id", "mark", "n_words"), hits
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """A row a document of docs (doc_id, text): doc_id, n_words, hits: word ranges that lie in some window of an item, end exclusive; items: ids of items with such windows."""
+    texts, hits = occurrences(docs, benchmark, window)
+    hits = cut(_named(hits))
+    line = Window.partitionBy(*BY).orderBy("start", "end")
+    reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = hits.withColumn("fresh", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("no", F.sum("fresh").over(line))
+    ranges = ranges.groupBy(*BY, "no").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy(*BY).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hits"))
+    items = hits.select(*BY, F.explode("items").alias("item")).distinct().groupBy(*BY).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    out = _named(texts).join(ranges.join(items.hint("merge"), BY).hint("merge"), BY, "left")
+    return out.select("doc_id", "n_words", _or_empty("hits", "array<struct<start:int,end:int>>"), _or_empty("items", "array<string>"))
+
+
+def _or_empty(column: str, kind: str) -> Column:
+    return F.coalesce(F.col(column), F.array().cast(kind)).alias(column)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without those that contain a window of an item."""
-    names = [c for c in docs.columns if c != "text"]
-    found = contaminated(docs, benchmark, window, kept=tuple(names)).where("size(hits) = 0")
-    return found.select(*["text" if c == "text" else F.col(f"c{names.index(c)}").alias(c) for c in docs.columns])
+    bad = cut(_named(occurrences(docs, benchmark, window)[1]).select(*BY).distinct())
+    bad = F.broadcast(bad) if bad.count() <= FEW else bad.hint("merge")
+    d = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull()})
+    # The mark has a name that no column of docs has.
+    d, bad = d.withColumn("_mark_of_text", F.xxhash64("text")), bad.withColumnRenamed("mark", "_mark_of_text")
+    return d.join(bad, ["_id", "_none", "_mark_of_text"], "left_anti").select(*docs.columns)
 
 
 def op9_decontaminate(spark, sf_dir):
     found = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["start"])
     return found.select(
-        F.col("c0").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

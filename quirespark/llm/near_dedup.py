@@ -3,12 +3,11 @@
 A document's set holds its distinct shingles of `words` consecutive words. Documents with equal
 sets are one class, and the work is done on classes:
 
-1. Packed exchange: for each class, the number of its shingles that no other class has. Such a
-   shingle is in no intersection, so a class with over a fifth of them is linked with nothing.
-2. SuperMinHash of the other classes: each element ranks the signature's places by a permutation
-   of its own, in step j it offers j plus a fraction to its j-th place, and the steps stop once no
-   offer can lower a place any more. 32 bands of 4 places miss a pair of similarity 0.8 once in
-   20 million.
+1. SuperMinHash: each element ranks the signature's places by a permutation of its own, in step j it
+   offers j plus a fraction to its j-th place, and the steps stop once no offer can lower a place any
+   more. 32 bands of 4 places miss a pair of similarity 0.8 once in 20 million.
+2. Of classes that share a bucket with another one: the number of shingles that no other of them has.
+   Such a shingle is in no intersection, so a class with over a fifth of them is linked with nothing.
 3. In each bucket the class with the smallest share of shingles of its own is the hub, and all
    members are compared with it. Linked members form components.
 4. Members that are not in their hub's component are compared with the members of other components
@@ -29,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bytes_of, chunks, cut, released, small_batches, table
-from ._packed import answered, asked, cuts, hashes, mixed, narrow, own, pack, packed_keys, returned, unpack, unpacked_keys, vocabulary
+from ._common import WORD, bytes_of, chunks, cut, spread_join, table
+from ._fields import among, bit_field
+from ._keys import hashes, mixed, vocabulary
 
 PLACES, ROWS = 128, 4
 #: Elements whose permutations are worked on side by side.
@@ -67,61 +67,6 @@ def shingled(texts: list[bytes], words: int) -> tuple[list[np.ndarray], np.ndarr
     return sets, marks
 
 
-def _asker(words: int):
-    def ask(batch: pa.RecordBatch, number: int, parts: int):
-        sets, marks = shingled(bytes_of(batch.column("text")), words)
-        n = np.array([len(s) for s in sets], dtype=np.int64)
-        keys, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-        o = np.argsort(keys, kind="stable")
-        keys, doc = keys[o], doc[o]
-        fresh = np.diff(keys, prepend=keys[:1] ^ np.uint64(1)) != 0 if len(keys) else np.zeros(0, dtype=bool)
-        at = np.flatnonzero(fresh)
-        # A key of this batch: its first document, and whether documents of other classes have it too.
-        group = np.cumsum(fresh) - 1
-        other = np.zeros(len(at), dtype=bool)
-        other[group[marks[doc, 0] != marks[doc[at], 0][group]]] = True
-        keys, doc = keys[at], doc[at]
-        cut_at = cuts(keys, parts)
-        for k in range(parts):
-            s = slice(cut_at[k], cut_at[k + 1])
-            if s.start < s.stop:
-                docs, local = np.unique(doc[s], return_inverse=True)
-                yield k, 0, pack(*packed_keys(keys[s]), narrow(local), narrow(docs), marks[docs, 0], np.packbits(other[s]))
-        ids = batch.column("doc_id").to_pylist()
-        yield own(parts, number), 1, pack(n, marks[:, 0], marks[:, 1], np.array([-1 if i is None else i for i in ids], dtype=np.int64), np.array([i is None for i in ids]))
-
-    return ask
-
-
-def _answer(kinds: list[int], datas: list[bytes]) -> list[bytes]:
-    """By batch: documents, and how many keys of this part only their class has."""
-    blobs = [unpack(d) for d in datas]
-    keys = [unpacked_keys(b[0], b[1]) for b in blobs]
-    every, which = np.unique(np.concatenate(keys), return_inverse=True)
-    mark = np.concatenate([b[4][b[2]] for b in blobs])
-    shared = np.concatenate([np.unpackbits(b[5], count=len(k)).astype(bool) for k, b in zip(keys, blobs)])
-    first = np.zeros(len(every), dtype=np.uint64)
-    first[which] = mark
-    alone = np.ones(len(every), dtype=bool)
-    alone[which[shared | (mark != first[which])]] = False
-    at, out = 0, []
-    for k, b in zip(keys, blobs):
-        mine = alone[which[at : at + len(k)]]
-        at += len(k)
-        out.append(pack(b[3], narrow(np.bincount(b[2][mine], minlength=len(b[3])))))
-    return out
-
-
-def _finish(got: list[tuple]) -> pa.Table:
-    n, f1, f2, ids, none = unpack(got[-1][2])
-    alone = np.zeros(len(n), dtype=np.int64)
-    for _, kind, data in got:
-        if kind == 0:
-            docs, m = unpack(data)
-            alone[docs.astype(np.int64)] += m.astype(np.int64)
-    return pa.table({"doc_id": pa.array(ids, mask=none.astype(bool)), "n": pa.array(n), "fid": _fids(f1, f2), "alone": pa.array(alone)})
-
-
 def _fids(f1: np.ndarray, f2: np.ndarray) -> pa.Array:
     return pa.array([a + b for a, b in zip((x.tobytes() for x in f1), (x.tobytes() for x in f2))], pa.binary())
 
@@ -150,30 +95,66 @@ def superminhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     return out
 
 
-def _sets(words: int):
-    """Task function: text to fid, set and band keys; documents without words go."""
+def _signed(words: int):
+    """Task function: (doc_id, mark, text) to doc_id, mark, n, fid and, of a class's first text at hand, its band keys."""
 
     def run(batches):
         for b in chunks(batches, limit=1 << 20):
             sets, marks = shingled(bytes_of(b.column("text")), words)
-            full = [i for i, s in enumerate(sets) if len(s)]
-            start, held = 0, 0
-            for stop in range(1, len(full) + 1):
-                held += len(sets[full[stop - 1]])
-                if held >= SIDE or stop == len(full):
-                    mine = full[start:stop]
-                    sig = superminhash([sets[i] for i in mine]).view(np.uint64).reshape(len(mine), -1, ROWS)
+            fids = _fids(marks[:, 0], marks[:, 1]).to_pylist()
+            n = np.array([len(s) for s in sets], dtype=np.int64)
+            first: dict[bytes, int] = {}
+            for i in np.flatnonzero(n).tolist():
+                first.setdefault(fids[i], i)
+            bands: list = [None] * len(sets)
+            mine, held = [], 0
+            for k, i in enumerate(first.values(), start=1):
+                mine.append(i)
+                held += len(sets[i])
+                if held >= SIDE or k == len(first):
+                    sig = superminhash([sets[j] for j in mine]).view(np.uint64).reshape(len(mine), -1, ROWS)
                     band = np.tile(np.arange(sig.shape[1], dtype=np.uint64), (len(mine), 1))
                     for r in range(ROWS):
                         band = mixed(band, sig[:, :, r])
-                    yield pa.RecordBatch.from_arrays([
-                        _fids(marks[mine, 0], marks[mine, 1]), pa.array([sets[i].tobytes() for i in mine], pa.binary()),
-                        pa.ListArray.from_arrays(np.arange(0, band.size + 1, band.shape[1], dtype=np.int32), pa.array(band.view(np.int64).ravel()))], ["fid", "set", "bands"])
-                    start, held = stop, 0
+                    for j, keys in zip(mine, band.view(np.int64)):
+                        bands[j] = keys
+                    mine, held = [], 0
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(n), pa.array(fids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", "n", "fid", "bands"])
 
     return run
 
 
+def _sets(words: int, wanted):
+    """Task function: (number, text) to fid and set of the texts whose number is in the field `wanted` or null; texts without words go."""
+
+    def run(batches):
+        for b in chunks(batches, limit=1 << 20):
+            number = b.column("number")
+            b = b.filter(pa.array(among(wanted.value, number.fill_null(0).to_numpy()) | number.is_null().to_numpy(zero_copy_only=False)))
+            sets, marks = shingled(bytes_of(b.column("text")), words)
+            full = [i for i, s in enumerate(sets) if len(s)]
+            yield pa.RecordBatch.from_arrays([_fids(marks[full, 0], marks[full, 1]), pa.array([sets[i].tobytes() for i in full], pa.binary())], ["fid", "set"])
+
+    return run
+
+
+def _elements(batches):
+    """Task function: a row an element of each set, with the class's number."""
+    for b in batches:
+        for c in chunks([b], "set", 1 << 20):
+            raw = c.column("set").to_pylist()
+            number = np.frombuffer(b"".join(c.column("fid").to_pylist()), dtype=np.int64)[::2]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), dtype=np.int64)), pa.array(np.repeat(number, [len(r) // 8 for r in raw]))], ["key", "class"])
+
+
+def alone(sets: DataFrame) -> DataFrame:
+    """(fid, alone): for each class how many elements of its set no other of these classes has; classes are told apart by half their fingerprints."""
+    found = sets.mapInArrow(_elements, "key long, class long").groupBy("key").agg(F.min("class").alias("class"), F.max("class").alias("_top"))
+    own = found.where(F.col("class") == F.col("_top")).groupBy("class").agg(F.count("*").alias("alone"))
+    classes = sets.select("fid").mapInArrow(lambda it: (pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.int64)[::2])], ["fid", "class"]) for b in it), "fid binary, class long")
+    return classes.join(own.hint("merge"), "class", "left").select("fid", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes with the size of their intersection, and whether they are linked."""
 
@@ -188,8 +169,8 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     s = sets.select("fid", "set")
     both = pairs.join(s.select(F.col("fid").alias("a"), F.col("set").alias("set_a")).hint("merge"), "a")
-    both = both.join(s.select(F.col("fid").alias("b"), F.col("set").alias("set_b")).hint("merge"), "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(run, "a binary, b binary, both long, linked boolean")
+    both = spread_join(both, s.select(F.col("fid").alias("b"), F.col("set").alias("set_b")), ["b"], ["a"])
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary, both long, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -219,18 +200,15 @@ def components(edges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     e = cut(edges.mapInArrow(forest, "a binary, b binary").where("a != b").distinct())
-    before = None
     while True:
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = e.join(least.hint("merge"), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
-        e = cut(e)
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s")).first()
-        if now == before:
+        new = spread_join(both.where("b > a"), least, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = new.groupBy("a").agg(F.min("b").alias("m"))
+        new = new.join(least.hint("merge"), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
+        e, old = cut(new), e
+        if e.count() == old.count() and e.join(old.hint("merge"), ["a", "b"], "left_anti").isEmpty():
             break
-        before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
@@ -256,19 +234,21 @@ def _known(df: DataFrame, x: str, label: DataFrame, stars: DataFrame) -> DataFra
     return df.join(s.hint("merge"), (F.col(f"{x}.fid") == F.col("_a")) & (F.col("hub.fid") == F.col("_b")), "left").drop("_a", "_b")
 
 
-def groups(docs: DataFrame, words: int = 5) -> DataFrame:
-    """A row a document of docs (doc_id, text): doc_id, n_shingles, class_id, component_id, kept."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """(a row a document: doc_id, mark (hash of the text), n, fid; a row a class: fid, rep (smallest id), label (equal within a component))."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    info = cut(returned(answered(asked(d, _asker(words)), _answer), _finish, "doc_id long, n long, fid binary, alone long"))
-    released(spark)  # the exchange's files: what it found is in the checkpoint folder
-    classes = cut(info.where("n > 0").groupBy("fid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("alone").alias("alone")))
-    able = classes.where("5 * (n - alone) >= 4 * n")
-    # One text for each class: by its smallest id; texts without id are few and are looked at one by one.
-    texts = d.where("doc_id is not null").join(able.where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id").select("text").unionByName(d.where("doc_id is null").select("text"))
-    sets = cut(texts.mapInArrow(_sets(words), "fid binary, set binary, bands array<long>").dropDuplicates(["fid"]).join(able.hint("merge"), "fid"))
-    released(spark)
+    info = cut(d.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_signed(words), "doc_id long, mark long, n long, fid binary, bands array<long>"))
+    classes = cut(info.where("n > 0").groupBy("fid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bands").alias("bands")))
+    keys = classes.select("fid", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    mates = cut(keys.join(shared.hint("merge"), "key", "left_semi").select("fid").distinct().join(classes.hint("merge"), "fid"))
+    # One text for each class with bucket mates: by its smallest id, which a bit field knows; texts without id are few and are looked at one by one.
+    number = F.xxhash64("doc_id")
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_field(mates.where("rep is not null").select(F.xxhash64("rep").alias("number")), "number"))
+    texts = d.select(F.when(F.col("doc_id").isNotNull(), number).alias("number"), "text")
+    sets = cut(texts.mapInArrow(_sets(words, wanted), "fid binary, set binary").dropDuplicates(["fid"]).join(mates.hint("merge"), "fid"))
+    able = alone(sets).join(sets.hint("merge"), "fid").where("5 * (n - alone) >= 4 * n")
+    sets = cut(able.select("fid", "set", "bands", "rep", "n", "alone"))
     members = sets.select(F.explode("bands").alias("key"), F.struct("fid", "n", "alone").alias("x"))
     hub = F.min(F.struct(F.col("x.alone") / F.col("x.n"), F.struct("x.fid", "x.n", "x.alone").alias("x"))).getField("x")
     buckets = members.groupBy("key").agg(F.count("*").alias("size"), hub.alias("hub"), F.min("x.n").alias("least")).where("size > 1").drop("size")
@@ -290,19 +270,31 @@ def groups(docs: DataFrame, words: int = 5) -> DataFrame:
     more = more.select(F.least("x.fid", "y.fid").alias("a"), F.greatest("x.fid", "y.fid").alias("b")).distinct()
     late = cut(_overlaps(more, sets).where("linked").select("a", "b"))
     whole = label if late.isEmpty() else components(links.union(late))
-    rep = classes.join(whole.withColumnRenamed("node", "fid").hint("merge"), "fid", "left").withColumn("label", F.coalesce("label", "fid"))
-    smallest = rep.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = rep.join(smallest.hint("merge"), "label").select("fid", F.col("rep").alias("class_id"), "component_id", F.lit(True).alias("has"))
-    out = info.withColumn("has", F.col("n") > 0).join(found.hint("merge"), ["fid", "has"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    rep = classes.select("fid", "rep").join(whole.withColumnRenamed("node", "fid").hint("merge"), "fid", "left")
+    return info.drop("bands"), rep.withColumn("label", F.coalesce("label", "fid"))
+
+
+def groups(docs: DataFrame, words: int = 5) -> DataFrame:
+    """A row a document of docs (doc_id, text): doc_id, n_shingles, class_id, component_id, kept."""
+    info, classes = _grouped(docs, words)
+    classes = cut(classes)
+    smallest = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
+    found = spread_join(classes, smallest, ["label"], ["fid"]).select("fid", F.col("rep").alias("class_id"), "component_id")
+    full = spread_join(info.where("n > 0"), found, ["fid"], ["doc_id", "mark"])
+    out = full.select("doc_id", "n", "class_id", "component_id").unionByName(info.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs with one document of each group. Rows with equal ids are one document; rows without an id stay, as nothing can name them."""
-    ids = groups(docs, words).where("kept").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """docs with one row of each group: that with the smallest id, then hash of its text; rows without id come last. Rows with equal ids and equal texts are one; rows without words are in no group and stay."""
+    info, classes = _grouped(docs, words)
+    rows = spread_join(info.where("n > 0"), classes.select("fid", "label"), ["fid"], ["doc_id", "mark"])
+    named = rows.select("label", F.isnull("doc_id").cast("int").alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("mark").alias("_mark"))
+    first = named.groupBy("label").agg(F.min(F.struct("_none", "_id", "_mark")).alias("k")).select("k.*")
+    by = ["_id", "_none", "_mark"]
+    words_in = F.rlike(F.coalesce("text", F.lit("")), F.lit(WORD))
+    d = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.isnull("doc_id").cast("int"), "_mark": F.xxhash64("text")})
+    return d.where(words_in).join(first.hint("merge"), by, "left_semi").dropDuplicates(by).select(*docs.columns).unionByName(docs.where(~words_in))
 
 
 def op4_near_dedup(spark, sf_dir):

@@ -5,8 +5,9 @@ Nearness in Euclidean distance is a maximum inner product with the squared norm
 each pair of dimensions and is fitted on a bounded sample so that the part of the residual that
 lies along a vector, which changes large inner products most, weighs more than the rest. Every
 vector is coded. Codes and queries stand in blocks that meet on a grid; a task adds up table entries
-for a block of queries and a block of codes, reranks the best of the block with the original vectors,
-and hands on each query's best over all the blocks of its place on the grid.
+for a block of queries and a block of codes and hands on each query's best entries over all the blocks
+of its place on the grid. Each query's `pool` best of all places are joined with the original vectors
+and reranked exactly. Vectors themselves travel in that join only; codes take a sixteenth of them.
 
 Equal vectors are one entry with their smallest ids (k + 1, enough for any query's k), so that a
 common vector neither crowds out others nor gathers in one task.
@@ -20,11 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import partitions, table
+from ._common import cut, partitions, spread_join, table
 
 CENTROIDS, PAIR = 16, 2
 #: Rows of the fit at most, by the hash of their ids.
@@ -134,10 +136,10 @@ def entries(v: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("embedding", "salt").agg(few).groupBy("embedding").agg(few)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 128, query_block: int = 512, code_block: int = 8192, span_bytes: int = 64 << 20, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 400, query_block: int = 512, code_block: int = 8192, span_bytes: int = 64 << 20, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of vectors (vec_id, embedding) to each row of queries, itself left out.
 
-    pool: entries of each code block that the tables pass on to exact reranking. span_bytes: vectors of queries that one task holds at a time.
+    pool: entries a query that the tables pass on to exact reranking. span_bytes: what the queries of one task's place may hold at a time.
     """
     spark = vectors.sparkSession
     v, q = _usable(vectors), _usable(queries).dropDuplicates(["vec_id"])
@@ -153,6 +155,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 128
     x[:, :d] = [r.embedding for r in some]
     c = fit(x)
     m = c.shape[0]
+    tasks = partitions(spark)
+    whole = cut(entries(v, k).withColumn("entry", F.get("ids", F.lit(0))))
 
     def matrix(column) -> np.ndarray:
         out = np.zeros((len(column), wide))
@@ -164,9 +168,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 128
             for i in range(0, len(p), code_block):
                 part = p.iloc[i : i + code_block]
                 a = matrix(part["embedding"])
-                n = part["ids"].map(len).to_numpy()
-                ids = np.concatenate([np.asarray(y, dtype=np.int64) for y in part["ids"]])
-                yield pd.DataFrame({"n": [len(part)], "codes": [_packed(assign(a, c).astype(np.uint8))], "raw": [a.tobytes()], "n_ids": [n.astype(np.int32).tobytes()], "ids": [ids.tobytes()]})
+                half = ((a**2).sum(axis=1) / 2).astype(np.float32)
+                yield pd.DataFrame({"n": [len(part)], "codes": [_packed(assign(a, c).astype(np.uint8))], "half": [half.tobytes()], "entries": [part["entry"].to_numpy(dtype=np.int64).tobytes()]})
 
     def gather(it):
         for p in it:
@@ -174,6 +177,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 128
                 part = p.iloc[i : i + query_block]
                 yield pd.DataFrame({"qs": [part["vec_id"].to_numpy(dtype=np.int64).tobytes()], "qv": [matrix(part["embedding"]).tobytes()]})
 
+    # A grid of cells x spans: a block of codes goes to one cell of every span, a block of queries to all cells of its span.
+    # Entries fall into cells by hash, so that a cell holds its share of a query's pool; it hands on three times that and some more.
+    n_q = q.count()
+    q_parts = max(1, -(-n_q // query_block))
+    per_span = max(1, span_bytes // (query_block * (8 * wide + 24 * pool)))
+    spans = -(-q_parts // per_span)
+    cells = max(1, -(-tasks // spans))
+    most = min(pool, 30 + -(-3 * pool // cells))
+
     def search(it):
         best, where = {}, None
         for p in it:
@@ -181,48 +193,44 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 128
                 if where != (r.cell, r.span):
                     yield from said(best)
                     best, where = {}, (r.cell, r.span)
-                qid, qv = np.frombuffer(r.qs, dtype=np.int64), np.frombuffer(r.qv).reshape(-1, wide)
-                a = np.frombuffer(r.raw).reshape(-1, wide)
-                n_ids, ids = np.frombuffer(r.n_ids, dtype=np.int32), np.frombuffer(r.ids, dtype=np.int64)
-                at = np.cumsum(n_ids) - n_ids
-                codes, half = _unpacked(r.codes, r.n, m), (a**2).sum(axis=1) / 2
-                far, near = np.full((len(qid), k), np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)
-                for i in range(0, len(qid), 64):
-                    s = scan(qv[i : i + 64], c, codes, half)
-                    tops = np.argpartition(-s, pool, axis=1)[:, :pool] if s.shape[1] > pool else np.tile(np.arange(s.shape[1]), (len(s), 1))
-                    for j, top in enumerate(tops, start=i):
-                        dist = np.repeat(np.sqrt(((a[top] - qv[j]) ** 2).sum(axis=1)), n_ids[top])
-                        found = ids[np.concatenate([np.arange(at[t], at[t] + n_ids[t]) for t in top])]
-                        dist, found = dist[found != qid[j]], found[found != qid[j]]
-                        o = np.lexsort((found, dist))[:k]
-                        far[j, : len(o)], near[j, : len(o)] = dist[o], found[o]
-                if r.qs in best:
-                    far, near = np.hstack([best[r.qs][0], far]), np.hstack([best[r.qs][1], near])
-                    o = np.lexsort((near, far), axis=1)[:, :k]
-                    far, near = np.take_along_axis(far, o, axis=1), np.take_along_axis(near, o, axis=1)
-                best[r.qs] = far, near
+                qv = np.frombuffer(r.qv).reshape(-1, wide)
+                codes, half, found = _unpacked(r.codes, r.n, m), np.frombuffer(r.half, dtype=np.float32), np.frombuffer(r.entries, dtype=np.int64)
+                s = np.vstack([scan(qv[i : i + 64], c, codes, half) for i in range(0, len(qv), 64)])
+                ids = np.tile(found, (len(s), 1))
+                for _ in range(2):  # the block's best, then the best of these and of those before
+                    if s.shape[1] > most:
+                        top = np.argpartition(-s, most - 1, axis=1)[:, :most]
+                        s, ids = np.take_along_axis(s, top, axis=1), np.take_along_axis(ids, top, axis=1)
+                    if r.qs in best:
+                        s, ids = np.hstack([best[r.qs][0], s]), np.hstack([best.pop(r.qs)[1], ids])
+                best[r.qs] = s, ids
         yield from said(best)
 
     def said(best: dict):
-        for qs, (far, near) in best.items():
-            ok = np.isfinite(far)
-            yield pd.DataFrame({"query_id": np.repeat(np.frombuffer(qs, dtype=np.int64), ok.sum(axis=1)), "vec_id": near[ok], "score": far[ok]})
-
-    # A grid of cells x spans: a code block goes to one cell of every span, a query block to all cells of its span.
-    # Each place of the grid keeps the k best of its queries; a span's queries are what one place holds at a time.
-    n_q = q.count()
-    tasks = partitions(spark)
-    q_parts = max(1, -(-n_q // query_block))
-    per_span = max(1, span_bytes // (8 * wide * query_block))
-    spans = -(-q_parts // per_span)
-    cells = -(-4 * tasks // spans)
-    codes = entries(v, k).repartition(tasks, "embedding").mapInPandas(code, "n int, codes binary, raw binary, n_ids binary, ids binary")
-    codes = codes.withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int")).withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1))))
+        for qs, (s, ids) in best.items():
+            yield pd.DataFrame({"query_id": np.repeat(np.frombuffer(qs, dtype=np.int64), s.shape[1]), "entry": ids.ravel(), "guess": s.ravel()})
+
+    def exact(it):
+        for b in it:
+            far = [np.zeros(0)]
+            for i in range(0, b.num_rows, 4096):  # arrays of d numbers each, side by side
+                x, y = (np.asarray(b.column(n).slice(i, 4096).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, d) for n in ("vector", "query"))
+                far.append(np.sqrt(((x - y) ** 2).sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("ids"), pa.array(np.concatenate(far))], ["query_id", "ids", "score"])
+
+    codes = whole.select("embedding", "entry").repartition(tasks, "entry").mapInPandas(code, "n int, codes binary, half binary, entries binary")
+    codes = codes.withColumn("cell", F.pmod(F.xxhash64("entries"), F.lit(cells)).cast("int")).withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1))))
     blocks = q.repartitionByRange(q_parts, F.xxhash64("vec_id")).mapInPandas(gather, "qs binary, qv binary").withColumn("span", F.floor(F.spark_partition_id() / per_span).cast("int"))
     blocks = blocks.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    found = codes.repartition(tasks, "cell", "span").join(blocks.hint("merge"), ["cell", "span"]).mapInPandas(search, schema.replace("rank int, ", ""))
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = codes.repartition(tasks, "cell", "span").join(blocks.hint("merge"), ["cell", "span"]).mapInPandas(search, "query_id long, entry long, guess float")
+    likely = Window.partitionBy("query_id").orderBy(F.desc("guess"), "entry")
+    pairs = cut(found.withColumn("at", F.row_number().over(likely)).where(F.col("at") <= pool).select("query_id", "entry"))
+    near = spread_join(pairs, whole.select("entry", "ids", F.col("embedding").alias("vector")), ["entry"], ["query_id"])
+    near = near.join(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).hint("merge"), "query_id")
+    near = near.select("query_id", "ids", "vector", "query").mapInArrow(exact, "query_id long, ids array<long>, score double")
+    near = near.select("query_id", F.explode("ids").alias("vec_id"), "score").where(F.col("vec_id") != F.col("query_id"))
+    nearest_first = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return near.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_neighbours(spark, sf_dir):

@@ -4,8 +4,9 @@ Parts of credentials are found by patterns and carry a role: identifier, secret
 Base kinds (assign, access, hex) are reported always. Weak kinds are reported only when
 complementary parts stand within `gap` code points in the same text: an identifier next to a
 secret, a bare key next to an identifier or endpoint, an endpoint with both an identifier and a
-secret. The interval join walks each text's parts in order and looks at the nearest part of each
-role on either side, so that no pairs are formed.
+secret. A part does not complement one that it overlaps. The interval join walks the begins and ends
+of each text's parts in order and looks at the nearest disjoint part of each role on either side, so
+that no pairs are formed.
 
 Defined cases: a null text is empty and has no spans; null ids and repeated rows keep a row each;
 an empty table gives no rows; other columns are ignored.
@@ -73,15 +74,22 @@ def scan(docs: DataFrame, gap: int = 200, text: bool = False) -> DataFrame:
     runs = Window.partitionBy("row_no", "kind").orderBy("i")
     d = d.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(runs).cast("int")).withColumn("start", F.col("end") - F.col("n"))
     d = d.where("good or kind < 0")
-    line = Window.partitionBy("row_no").orderBy("start", "kind")
+    # Each part stands at its begin and at its end; an end comes before a begin at the same place. So what ended
+    # before a begin, and what begins after an end, is disjoint from the part that is there.
+    edges = F.when(F.col("kind") < 0, F.array(F.struct(F.lit(-1).alias("at"), F.lit(False).alias("opens")))).otherwise(
+        F.array(F.struct(F.col("end").alias("at"), F.lit(False).alias("opens")), F.struct(F.col("start").alias("at"), F.lit(True).alias("opens"))))
+    d = d.select("row_no", "doc", "kind", "start", "end", F.explode(edges).alias("e")).select("row_no", "doc", "kind", "start", "end", "e.*")
+    line = Window.partitionBy("row_no").orderBy("at", "opens")
     back, ahead = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    roles = ("identifier", "secret", "endpoint")
 
     def near(role: str) -> Column:
         has = F.col("kind").isin([k for k, x in enumerate(KINDS) if x[4] == role])
-        before, after = F.max(F.when(has, F.col("end"))).over(back), F.min(F.when(has, F.col("start"))).over(ahead)
-        return F.coalesce(F.col("start") - before <= gap, F.lit(False)) | F.coalesce(after - F.col("end") <= gap, F.lit(False))
+        before, after = F.max(F.when(has & ~F.col("opens"), F.col("at"))).over(back), F.min(F.when(has & F.col("opens"), F.col("at"))).over(ahead)
+        return F.coalesce(F.when(F.col("opens"), F.col("at") - before).otherwise(after - F.col("at")) <= gap, F.lit(False)).alias(role)
 
-    d = d.select("*", *[near(r).alias(r) for r in ("identifier", "secret", "endpoint")])
+    d = d.select("row_no", "doc", "kind", "start", "end", *[near(r) for r in roles])
+    d = d.groupBy("row_no", "kind", "start", "end").agg(F.max_by("doc", F.when(F.col("kind") < 0, 1)).alias("doc"), *[F.bool_or(r).alias(r) for r in roles])
     ok = F.when(F.col("kind") == 3, F.col("secret")).when(F.col("kind") == 4, F.col("identifier") | F.col("endpoint")).when(F.col("kind") == 5, F.col("identifier") & F.col("secret"))
     span = F.struct("start", "kind", "end")
     base = F.sort_array(F.collect_list(F.when(F.col("kind").between(0, N_BASE - 1), span))).alias("base")

@@ -1,23 +1,30 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after . ! ? and their full-width forms, and at line ends; a sentence
-of over 16 words also after words whose hash is the least of the seven around them, so that cuts
-follow the content and not the place, and a passage within a long sentence is cut alike wherever it
-stands; there equal words in a row count as one, three or more
-end with a cut, and where words come again within three they are
-cut every eight words). From every sentence on, and up to every sentence, the shortest run of at least three
-sentences and at least 12 words is hashed, as is a text of fewer sentences and at least 12 words as
-a whole: so each sentence of a passage of that size is in a run that lies within the passage. Runs
-meet over all documents; of equal runs the first, by doc_id and place, stays, and sentences that
-any other covers are removed.
+A text is cut into sentences: after . ! ? and their full-width forms, and at line ends. Every run of
+`RUN` consecutive sentences is hashed (all sentences of a shorter text). Runs meet over all
+documents; of equal runs the first, by doc_id and place, stays, and sentences that any other covers
+are removed.
+
+So that a passage within long sentences is found as well, a sentence of over `LONG` words is also cut
+into pieces, after words whose hash is the least of the seven around them: cuts follow the content
+and not the place, and a passage is cut alike wherever it stands. (There equal words in a row count
+as one, three or more end with a cut, and where words come again within three they are cut every
+eight words.) From every piece on, and up to every piece, the shortest run of at least three pieces
+or sentences and at least `LEAST_WORDS` words is hashed besides, and pieces that it covers are removed
+in the same way.
 
 In scripts without spaces every character is cut off like a word; two of Chinese or Japanese, and
-four of Thai, Lao, Khmer or Burmese, count as a word, a sentence as one word at least.
+four of Thai, Lao, Khmer or Burmese, count as a word, a piece as one word at least.
 
-Defined cases: a null text has no sentences and stays null; null ids come after all ids; rows with
-equal ids are told apart by their place in the input; repeated rows lose all they share with the
-first; of equal sentences in a row that make a repeated run the first stays; an empty table gives no rows; case and white space don't tell sentences apart; other
-columns are ignored.
+Runs are rows with a 128-bit hash. A task puts out the first of equal runs of its texts alone, and
+the rest as repeats already, so that a frequent run weighs a row a chunk of text in the exchange. A
+document is known by its id and a hash of its text; what is to be removed goes back to it in one join.
+
+Defined cases: a null text has no sentences and stays null; doc_id is an integer (other types are
+cast to long); null ids come after all ids; of rows with equal ids the one with the smaller hash of
+its text is first; repeated rows lose all they share with the first; of equal sentences in a row
+that make a repeated run the first stays; an empty table gives no rows; case and white space don't
+tell sentences apart; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +35,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._common import table
-from ._packed import answered, asked, cuts, hashes, mixed, narrow, own, pack, packed_keys, returned, unpack, unpacked_keys
+from ._common import chunks, cut, table
+from ._keys import mixed
 
 RUN, LEAST_WORDS, LONG, AROUND, STEP, MOST = 3, 12, 16, 3, 8, 32
 BREAK = re.compile(r"(?<=[.!?])[^\S\n]+|[。！？｡．]+[」』”’）】》]*[^\S\n]*|\s*\n\s*")
@@ -68,9 +77,9 @@ def picked(words: list[str]) -> list[int]:
     return out[:-1]
 
 
-def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:
-    """Ends of the sentences, which together are the whole text; their words in lower case; their numbers of words."""
-    ends, keys, sizes = [], [], []
+def sentences(text: str) -> tuple[list[int], list[bytes], list[int], list[bool]]:
+    """Ends of the pieces, which together are the whole text; their words in lower case; their numbers of words; whether a sentence ends there."""
+    ends, keys, sizes, last = [], [], [], []
     unspaced = not text.isascii() and UNSPACED.search(text) is not None
 
     def add(end: int, words: list[str], size: int | None = None) -> None:
@@ -78,6 +87,7 @@ def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:
             ends.append(end)
             keys.append(" ".join(words).encode())
             sizes.append(len(words) if size is None else size)
+            last.append(False)
         elif ends:
             ends[-1] = end
 
@@ -91,6 +101,7 @@ def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:
             for i in [*(picked(words) if sum(quarters) > 4 * LONG else []), len(words) - 1]:
                 add(found[i].end() if i < len(words) - 1 else stop, words[begin : i + 1], max(1, (sum(quarters[begin : i + 1]) + 2) // 4))
                 begin = i + 1
+            last[-1:] = [True] * bool(last)
             at = stop
             continue
         words = text[at:stop].lower().split()
@@ -103,104 +114,117 @@ def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:
             add(stop, words[begin:])
         else:
             add(stop, words)
+        last[-1:] = [True] * bool(last)
         at = stop
     if ends:
         ends[-1] = len(text)
-    return ends, keys, sizes
-
-
-def runs(count: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, length and document of all runs: from each sentence on, and up to each, the shortest of RUN sentences (all, of a shorter text) and LEAST_WORDS at least."""
-    doc = np.repeat(np.arange(len(count)), count)
-    first = (np.cumsum(count) - count)[doc]
-    last = first + count[doc]
-    least = np.minimum(count[doc], RUN)
-    total, i = np.concatenate([[0], np.cumsum(size)]), np.arange(len(doc))
-    end = np.maximum(i + least, np.searchsorted(total, total[:-1] + LEAST_WORDS))
-    begin = np.minimum(i + 1 - least, np.searchsorted(total, total[1:] - LEAST_WORDS, side="right") - 1)
-    on = end <= last
-    # Up to a sentence, only what is not also a run from a sentence on.
-    up = (begin >= first) & (end[np.maximum(begin, 0)] != i + 1)
-    return np.concatenate([i[on], begin[up]]), np.concatenate([(end - i)[on], (i + 1 - begin)[up]]), np.concatenate([doc[on], doc[up]])
-
-
-def _ask(batch: pa.RecordBatch, number: int, parts: int):
-    texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-    found = [sentences(t) if t else ([], [], []) for t in texts]
-    count = np.array([len(f[0]) for f in found], dtype=np.int64)
-    h = hashes([k for f in found for k in f[1]])
-    size = np.array([n for f in found for n in f[2]], dtype=np.int64)
-    begins = np.cumsum(count) - count
-    start, length, doc = runs(count, size)
-    key = np.zeros(len(start), dtype=np.uint64)
-    for k in range(int(length.max(initial=0))):
-        has = np.flatnonzero(length > k) if k else slice(None)
-        key[has] = mixed(key[has], h[start[has] + k])
-    order_of = np.array([LAST if i is None else i for i in ids], dtype=np.int64)
-    # Of a key's places in this batch, the first.
-    o = np.lexsort((start, doc, order_of[doc], key))
-    key, start, length, doc = key[o], start[o], length[o], doc[o]
-    fresh = np.diff(key, prepend=key[:1] ^ np.uint64(1)) != 0 if len(key) else np.zeros(0, dtype=bool)
-    keys, firsts = key[fresh], order_of[doc[fresh]]
-    which = np.cumsum(fresh) - 1
-    at = cuts(keys, parts)
-    for k in range(parts):
-        if at[k] < at[k + 1]:
-            yield k, 0, pack(*packed_keys(keys[at[k] : at[k + 1]]), firsts[at[k] : at[k + 1]], np.array([number]))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as w:
-        w.write_batch(batch)
-    ends = np.array([e for f in found for e in f[0]], dtype=np.int64)
-    yield own(parts, number), 1, pack(narrow(count), narrow(ends), narrow(size), narrow(which), narrow(start), length.astype(np.uint8), np.packbits(fresh), np.frombuffer(sink.getvalue(), dtype=np.uint8))
-
-
-def _answer(kinds: list[int], datas: list[bytes]) -> list[bytes]:
-    """For each key of each batch: whether the batch has the key's first place."""
-    blobs = [unpack(d) for d in datas]
-    keys = [unpacked_keys(a, b) for a, b, *_ in blobs]
-    every, first = np.concatenate(keys), np.concatenate([b[2] for b in blobs])
-    number = np.concatenate([np.full(len(k), b[3][0]) for k, b in zip(keys, blobs)])
-    o = np.lexsort((number, first, every))
-    top = np.zeros(len(every), dtype=bool)
-    s = every[o]
-    top[o] = np.diff(s, prepend=s[:1] ^ np.uint64(1)) != 0
-    cut = np.cumsum([0, *map(len, keys)])
-    return [pack(np.packbits(top[a:b]), np.array([b - a])) for a, b in zip(cut[:-1], cut[1:])]
-
-
-def _finish(got: list[tuple]) -> pa.Table:
-    mine = []
-    for part, kind, data in got:
-        if kind == 0:
-            bits, n = unpack(data)
-            mine.append(np.unpackbits(bits, count=int(n[0])).astype(bool))
-    count, ends, size, which, start, length, fresh, raw = unpack(got[-1][2])
-    top = np.concatenate(mine) if mine else np.zeros(0, dtype=bool)
-    fresh = np.unpackbits(fresh, count=len(which)).astype(bool)
-    batch = pa.ipc.open_stream(pa.py_buffer(raw.tobytes())).read_all()
-    count, ends = count.astype(np.int64), ends.astype(np.int64)
-    gone = ~(top[which] & fresh) if len(which) else np.zeros(0, dtype=bool)
-    mark = np.zeros(len(ends) + 1, dtype=np.int64)
-    np.add.at(mark, start[gone].astype(np.int64), 1)
-    np.add.at(mark, start[gone].astype(np.int64) + length[gone], -1)
-    drop = np.cumsum(mark)[:-1] > 0
-    begins = np.cumsum(count) - count
-    texts, n_gone, words_gone = [], [], []
-    for t, b, n in zip(batch.column("text").to_pylist(), begins, count):
-        d = drop[b : b + n]
-        n_gone.append(int(d.sum()))
-        words_gone.append(int(size[b : b + n][d].sum()))
-        if n_gone[-1]:
-            e = [0, *ends[b : b + n].tolist()]
-            t = "".join(t[e[i] : e[i + 1]] for i in np.flatnonzero(~d))
-        texts.append(t)
-    return pa.table({"doc_id": batch.column("doc_id").cast(pa.int64()), "n_sentences": pa.array(count, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "words_removed": pa.array(words_gone, pa.int64()), "text": pa.array(texts, pa.string())})
+    return ends, keys, sizes, last
+
+
+def runs(size: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Begins and ends, in pieces, of all runs of one text: every RUN sentences (all, of a shorter text), and, where a sentence has several pieces, from each piece on and up to each the shortest run of RUN pieces and LEAST_WORDS words."""
+    n = len(size)
+    stops = np.flatnonzero(last) + 1
+    starts = np.concatenate([[0], stops[:-1]])
+    k = min(RUN, len(stops))
+    out = [np.stack([starts[: len(stops) - k + 1], stops[k - 1 :]], axis=1)]
+    if n > len(stops):
+        least = min(n, RUN)
+        total, i = np.concatenate([[0], np.cumsum(size)]), np.arange(n)
+        end = np.maximum(i + least, np.searchsorted(total, total[:-1] + LEAST_WORDS))
+        begin = np.minimum(i + 1 - least, np.searchsorted(total, total[1:] - LEAST_WORDS, side="right") - 1)
+        both = np.concatenate([np.stack([i, end], axis=1)[end <= n], np.stack([begin, i + 1], axis=1)[begin >= 0]])
+        # A run of whole sentences is covered by those of RUN sentences.
+        parts = np.concatenate([[0], np.cumsum(~(last & np.concatenate([[True], last[:-1]])))])
+        out.append(both[parts[both[:, 1]] > parts[both[:, 0]]])
+    return np.unique(np.concatenate(out), axis=0)
+
+
+ROW = "doc_id long, mark long, n int, first int, last int, begin int, end int, words_before long, words_after long, k1 long, k2 long"
+
+
+def _runs(batches):
+    """Task function: (doc_id, mark, text) to rows of ROW. n: sentences of a text, in a row of its own about the whole text; otherwise a run: its pieces, characters, words of the text before it and up to its end, and its hash, which is null where an earlier text or place of the chunk has the same run."""
+    from xxhash import xxh3_128_digest
+
+    for b in chunks(batches):
+        texts = b.column("text").to_pylist()
+        ids = [LAST if i is None else i for i in b.column("doc_id").to_pylist()]
+        marks = b.column("mark").to_pylist()
+        cols, hashed, counts, whole = [], [], [], []
+        for t in texts:
+            e, k, s, last = sentences(t) if t else ([], [], [], [])
+            whole.append((sum(last), 0, len(e), 0, len(t or ""), 0, sum(s)))
+            if not e:
+                counts.append(0)
+                continue
+            r = runs(np.array(s, dtype=np.int64), np.array(last, dtype=bool))
+            h = np.frombuffer(b"".join(map(xxh3_128_digest, k)), dtype=np.uint64).reshape(-1, 2)
+            key, length = np.zeros((len(r), 2), dtype=np.uint64), r[:, 1] - r[:, 0]
+            for j in range(int(length.max())):
+                has = np.flatnonzero(length > j)
+                key[has] = mixed(key[has], h[r[has, 0] + j])
+            edge, total = np.concatenate([[0], e]), np.concatenate([[0], np.cumsum(s)])
+            cols.append(np.stack([r[:, 0], r[:, 1], edge[r[:, 0]], edge[r[:, 1]], total[r[:, 0]], total[r[:, 1]]], axis=1))
+            hashed.append(key)
+            counts.append(len(r))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), *[pa.array(x, t) for x, t in zip(zip(*whole), _TYPES[2:9])], *[pa.nulls(len(texts), pa.int64())] * 2], _NAMES)
+        if not cols:
+            continue
+        c, key, doc = np.concatenate(cols), np.concatenate(hashed), np.repeat(np.arange(len(texts)), counts)
+        number, mark = np.array(ids, dtype=np.int64)[doc], np.array(marks, dtype=np.int64)[doc]
+        o = np.lexsort((c[:, 1], c[:, 0], mark, number, key[:, 1], key[:, 0]))
+        k, place = key[o], np.stack([number, mark, c[:, 0], c[:, 1]], axis=1)[o]
+        fresh = np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])
+        at = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        again = np.zeros(len(o), dtype=bool)
+        again[o] = (place != place[at]).any(axis=1)  # rows with equal ids and texts are one document here
+        ids_of = pa.array(number, mask=number == LAST)
+        yield pa.RecordBatch.from_arrays([ids_of, pa.array(mark), pa.nulls(len(o), pa.int32()), *[pa.array(c[:, j], t) for j, t in enumerate(_TYPES[3:9])], *[pa.array(key[:, j].view(np.int64), mask=again) for j in (0, 1)]], _NAMES)
+
+
+_NAMES = [x.split()[0] for x in ROW.split(", ")]
+_TYPES = [{"long": pa.int64(), "int": pa.int32()}[x.split()[1]] for x in ROW.split(", ")]
+
+
+def _without(batches):
+    """Task function: a document with its runs to be removed to what stays of it."""
+    for b in batches:
+        n, gone, words, texts = [], [], [], []
+        for t, r, copy in zip(*(b.column(c).to_pylist() for c in ("text", "r", "copy"))):
+            n.append(max((x["n"] for x in r if x["n"] is not None), default=0))
+            # Of a repeated row nothing stays: the runs cover all sentences.
+            spans = sorted((x["begin"], x["end"], x["first"], x["last"], x["words_before"], x["words_after"]) for x in r if x["n"] is None or copy > 1 and x["n"])
+            merged: list[list[int]] = []
+            for s in spans:
+                if merged and s[2] <= merged[-1][3]:
+                    m = merged[-1]
+                    if s[3] > m[3]:
+                        m[1], m[3], m[5] = s[1], s[3], s[5]
+                else:
+                    merged.append(list(s))
+            at, kept = 0, []
+            for m in merged:
+                kept.append(t[at : m[0]])
+                at = m[1]
+            texts.append("".join([*kept, t[at:]]) if merged else t)
+            gone.append(sum(m[3] - m[2] for m in merged))
+            words.append(sum(m[5] - m[4] for m in merged))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(words, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_sentences", "n_removed", "words_removed", "text"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """A row a document: doc_id, n_sentences, n_removed, words_removed and the text that stays."""
-    sent = asked(docs.select("doc_id", "text"), _ask)
-    return returned(answered(sent, _answer), _finish, "doc_id long, n_sentences long, n_removed long, words_removed long, text string")
+    """A row a document: doc_id, n_sentences, n_removed (pieces of the text, mostly sentences), words_removed and the text that stays."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    found = cut(d.mapInArrow(_runs, ROW))
+    # Rows of one document are ties, and a copy's rows with the same places rank first as well.
+    place = Window.partitionBy("k1", "k2").orderBy(F.col("doc_id").asc_nulls_last(), "mark", "first", "last")
+    again = found.where("k1 is not null").withColumn("rank", F.rank().over(place)).where("rank > 1").drop("rank").unionByName(found.where("k1 is null"))
+    by = ["_id", "_none", "mark"]
+    named = lambda df: df.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()})
+    gone = named(again).groupBy(*by).agg(F.collect_list(F.struct("n", "first", "last", "begin", "end", "words_before", "words_after")).alias("r"))
+    whole = named(d).join(gone.hint("merge"), by).withColumn("copy", F.row_number().over(Window.partitionBy(*by).orderBy("mark")))
+    return whole.select("doc_id", "text", "r", "copy").mapInArrow(_without, "doc_id long, n_sentences long, n_removed long, words_removed long, text string")
 
 
 def op7_spans(spark, sf_dir):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bytes_of, checkpoint_dir, chunks, partitions, small_batches, table
+from ._common import bytes_of, checkpoint_dir, chunks, partitions, table
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY = gzip.compress(b"", mtime=0)
@@ -58,7 +58,6 @@ def _kinds(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str) -> None:
     """Archives pages (page_id, url, html) under path."""
-    small_batches(pages.sparkSession, 500)
 
     def run(batches):
         for b in chunks(batches, "html", 4 << 20):
