@@ -45,11 +45,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Deletes the intermediate tables of all operators; results that are not yet written are lost with them."""
+def tidy(spark: SparkSession, folders: list[str] | None = None) -> None:
+    """Deletes these intermediate tables, or all that this process has made: results that read them and are not yet written are lost."""
     path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-    while MADE:
-        at = path(MADE.pop())
+    for folder in list(MADE) if folders is None else folders:
+        MADE.remove(folder)
+        at = path(folder)
         at.getFileSystem(conf).delete(at, True)
 
 

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import WORD, crc_mod, table
 
@@ -148,12 +149,14 @@ class Ensemble:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = 1e-3) -> Ensemble:
-    """Learns from labelled rows whose crc32 of the id is not 0 modulo 5, `sample` at most by the hash of their ids."""
+    """Learns from labelled rows whose crc32 of the id is not 0 modulo 5, `sample` at most by the hash of their ids; of rows with equal ids one, by its features."""
     marks = labels.where("doc_id is not null and quality is not null").where(crc_mod(F.col("doc_id")) != 0)
     marks = marks.groupBy("doc_id").agg(F.max("quality").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # The join's small side has `sample` rows at most.
+    # The join's small side has `sample` rows at most, and so has its result, a row an id.
     rows, names = _with_features(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"))
-    got = rows.select("doc.doc_id", "doc._y", "f.*").toPandas().sort_values(["doc_id", *names]).head(2 * sample)
+    one = Window.partitionBy("doc_id").orderBy("f")
+    rows = rows.select("doc.doc_id", "doc._y", "f").withColumn("_no", F.row_number().over(one)).where("_no = 1")
+    got = rows.select("doc_id", "_y", "f.*").toPandas().sort_values("doc_id")
     y = got["_y"].to_numpy(dtype=float)
     share = float(y.mean()) if len(y) else 0.5
     flat = Ensemble(names, math.log((share + 1e-3) / (1 - share + 1e-3)), [])

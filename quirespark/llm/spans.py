@@ -17,8 +17,9 @@ In scripts without spaces every character is cut off like a word; two of Chinese
 four of Thai, Lao, Khmer or Burmese, count as a word, a piece as one word at least.
 
 Runs are rows with a 128-bit hash. A task puts out the first of equal runs of its texts alone, and
-the rest as repeats already, so that a frequent run weighs a row a chunk of text in the exchange. A
-document is known by its id and a hash of its text; what is to be removed goes back to it in one join.
+the rest as repeats already, so that a frequent run weighs a row a chunk of text in the exchange,
+and runs whose hash no other chunk has stay out of it. A document is known by its id and a hash of its
+text; what is to be removed goes back to it in one join.
 
 Defined cases: a null text has no sentences and stays null; doc_id is an integer (other types are
 cast to long); null ids come after all ids; of rows with equal ids the one with the smaller hash of
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import chunks, cut, table
+from ._fields import among, bit_field
 from ._keys import mixed
 
 RUN, LEAST_WORDS, LONG, AROUND, STEP, MOST = 3, 12, 16, 3, 8, 32
@@ -57,22 +59,30 @@ def picked(words: list[str]) -> list[int]:
 
     Stretches of words that are each among the AROUND before are cut at their ends and every STEP words from their begin, and pieces of over MOST words every MOST.
     """
-    h = np.array([zlib.crc32(w.encode()) for w in words], dtype=np.int64)
-    last = np.flatnonzero(np.diff(h, append=-1))  # of each run of equal words
-    edge = np.full(AROUND, np.iinfo(np.int64).max)
-    near = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, h[last], edge]), 2 * AROUND + 1)
-    least = (h[last] < near[:, :AROUND].min(axis=1)) & (h[last] <= near[:, AROUND + 1 :].min(axis=1))
-    least[:AROUND] = least[-AROUND:] = False  # what stands beyond the sentence's ends has no say
-    at = last[least | (np.diff(last, prepend=-1) >= 3)].tolist()
-    again = np.zeros(len(h) + 2, dtype=np.int8)
-    for k in range(1, AROUND + 1):
-        again[k + 1 : -1] |= h[k:] == h[:-k]
-    step = np.diff(again)
-    for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()):
-        if b - a >= STEP:
-            at += [*range(a - 1, b - 1, STEP), b - 1]
+    h = [zlib.crc32(w.encode()) for w in words]
+    n = len(h)
+    last = [i for i in range(n - 1) if h[i] != h[i + 1]] + [n - 1]  # of each run of equal words
+    v = [h[i] for i in last]
+    at = set()
+    for j in range(3, len(v) - 3):  # what stands beyond the sentence's ends has no say
+        x = v[j]
+        if x < v[j - 1] and x < v[j - 2] and x < v[j - 3] and x <= v[j + 1] and x <= v[j + 2] and x <= v[j + 3]:
+            at.add(last[j])
+    if len(v) < n:
+        at.update(i for before, i in zip([-1, *last], last) if i - before >= 3)
+    if len(set(h)) <= n - STEP:
+        begin = None
+        for t in range(n + 1):
+            again = t < n and h[t] in h[max(0, t - AROUND) : t]
+            if again and begin is None:
+                begin = t
+            elif not again and begin is not None:
+                if t - begin >= STEP:
+                    at.update(range(begin - 1, t - 1, STEP))
+                    at.add(t - 1)
+                begin = None
     out = []
-    for i in [*sorted({i for i in at if i < len(h) - 1}), len(h) - 1]:
+    for i in [*sorted(i for i in at if i < n - 1), n - 1]:
         out += [*range((out[-1] if out else -1) + MOST, i, MOST), i]
     return out[:-1]
 
@@ -121,95 +131,86 @@ def sentences(text: str) -> tuple[list[int], list[bytes], list[int], list[bool]]
     return ends, keys, sizes, last
 
 
-def runs(size: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Begins and ends, in pieces, of all runs of one text: every RUN sentences (all, of a shorter text), and, where a sentence has several pieces, from each piece on and up to each the shortest run of RUN pieces and LEAST_WORDS words."""
+def runs(size: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends, in pieces, of all runs of one text: every RUN sentences (all, of a shorter text), and from each piece on the shortest run of RUN pieces and LEAST_WORDS words, if a piece of a sentence is in it."""
     n = len(size)
     stops = np.flatnonzero(last) + 1
-    starts = np.concatenate([[0], stops[:-1]])
     k = min(RUN, len(stops))
-    out = [np.stack([starts[: len(stops) - k + 1], stops[k - 1 :]], axis=1)]
+    begin, end = np.concatenate([[0], stops[: len(stops) - k]]), stops[k - 1 :]
     if n > len(stops):
-        least = min(n, RUN)
-        total, i = np.concatenate([[0], np.cumsum(size)]), np.arange(n)
-        end = np.maximum(i + least, np.searchsorted(total, total[:-1] + LEAST_WORDS))
-        begin = np.minimum(i + 1 - least, np.searchsorted(total, total[1:] - LEAST_WORDS, side="right") - 1)
-        both = np.concatenate([np.stack([i, end], axis=1)[end <= n], np.stack([begin, i + 1], axis=1)[begin >= 0]])
+        total = np.concatenate([[0], np.cumsum(size)])
+        upto = np.maximum(np.arange(n) + min(n, RUN), np.searchsorted(total, total[:-1] + LEAST_WORDS))
         # A run of whole sentences is covered by those of RUN sentences.
         parts = np.concatenate([[0], np.cumsum(~(last & np.concatenate([[True], last[:-1]])))])
-        out.append(both[parts[both[:, 1]] > parts[both[:, 0]]])
-    return np.unique(np.concatenate(out), axis=0)
+        some = np.flatnonzero(upto <= n)
+        some = some[parts[upto[some]] > parts[some]]
+        begin, end = np.concatenate([begin, some]), np.concatenate([end, upto[some]])
+    return begin, end
 
 
-ROW = "doc_id long, mark long, n int, first int, last int, begin int, end int, words_before long, words_after long, k1 long, k2 long"
+ROW = "doc_id long, mark long, n int, ends array<int>, sizes array<int>, first int, pieces int, k1 long, k2 long"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
+_NAMES, _TYPES = zip(*((x.split()[0], _KINDS[x.split()[1]]) for x in ROW.split(", ")))
 
 
 def _runs(batches):
-    """Task function: (doc_id, mark, text) to rows of ROW. n: sentences of a text, in a row of its own about the whole text; otherwise a run: its pieces, characters, words of the text before it and up to its end, and its hash, which is null where an earlier text or place of the chunk has the same run."""
+    """Task function: (doc_id, mark, text) to rows of ROW: one about each text (n: its sentences; ends and sizes of its pieces), and one for each run (its first piece, number of pieces, and hash, which is null where an earlier text or place of the chunk has the same run)."""
     from xxhash import xxh3_128_digest
 
     for b in chunks(batches):
         texts = b.column("text").to_pylist()
-        ids = [LAST if i is None else i for i in b.column("doc_id").to_pylist()]
-        marks = b.column("mark").to_pylist()
-        cols, hashed, counts, whole = [], [], [], []
+        number = np.array([LAST if i is None else i for i in b.column("doc_id").to_pylist()], dtype=np.int64)
+        mark = b.column("mark").to_numpy()
+        words, begins, lengths, counts, whole, done = [], [], [], [], [], 0
         for t in texts:
             e, k, s, last = sentences(t) if t else ([], [], [], [])
-            whole.append((sum(last), 0, len(e), 0, len(t or ""), 0, sum(s)))
-            if not e:
-                counts.append(0)
-                continue
-            r = runs(np.array(s, dtype=np.int64), np.array(last, dtype=bool))
-            h = np.frombuffer(b"".join(map(xxh3_128_digest, k)), dtype=np.uint64).reshape(-1, 2)
-            key, length = np.zeros((len(r), 2), dtype=np.uint64), r[:, 1] - r[:, 0]
-            for j in range(int(length.max())):
-                has = np.flatnonzero(length > j)
-                key[has] = mixed(key[has], h[r[has, 0] + j])
-            edge, total = np.concatenate([[0], e]), np.concatenate([[0], np.cumsum(s)])
-            cols.append(np.stack([r[:, 0], r[:, 1], edge[r[:, 0]], edge[r[:, 1]], total[r[:, 0]], total[r[:, 1]]], axis=1))
-            hashed.append(key)
-            counts.append(len(r))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), *[pa.array(x, t) for x, t in zip(zip(*whole), _TYPES[2:9])], *[pa.nulls(len(texts), pa.int64())] * 2], _NAMES)
-        if not cols:
+            whole.append((sum(last), e, s))
+            counts.append(0)
+            if e:
+                x, y = runs(np.array(s), np.array(last))
+                words += k
+                begins.append(x + done)
+                lengths.append(y - x)
+                counts[-1] = len(x)
+                done += len(k)
+        nothing = lambda n, at: [pa.nulls(n, t) for t in _TYPES[at]]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), *[pa.array(x, t) for x, t in zip(zip(*whole), _TYPES[2:5])], *nothing(len(texts), slice(5, None))], _NAMES)
+        if not words:
             continue
-        c, key, doc = np.concatenate(cols), np.concatenate(hashed), np.repeat(np.arange(len(texts)), counts)
-        number, mark = np.array(ids, dtype=np.int64)[doc], np.array(marks, dtype=np.int64)[doc]
-        o = np.lexsort((c[:, 1], c[:, 0], mark, number, key[:, 1], key[:, 0]))
-        k, place = key[o], np.stack([number, mark, c[:, 0], c[:, 1]], axis=1)[o]
+        h = np.frombuffer(b"".join(map(xxh3_128_digest, words)), dtype=np.uint64).reshape(-1, 2)
+        begin, length, doc = np.concatenate(begins), np.concatenate(lengths), np.repeat(np.arange(len(texts)), counts)
+        key = np.zeros((len(begin), 2), dtype=np.uint64)
+        for j in range(int(length.max())):
+            has = np.flatnonzero(length > j) if j else slice(None)
+            key[has] = mixed(key[has], h[begin[has] + j])
+        first = begin - np.concatenate([[0], np.cumsum([len(x[1]) for x in whole])])[doc]
+        o = np.lexsort((length, first, mark[doc], number[doc], key[:, 1], key[:, 0]))
+        k, place = key[o], np.stack([number[doc], mark[doc], first, length], axis=1)[o]
         fresh = np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])
         at = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
         again = np.zeros(len(o), dtype=bool)
         again[o] = (place != place[at]).any(axis=1)  # rows with equal ids and texts are one document here
-        ids_of = pa.array(number, mask=number == LAST)
-        yield pa.RecordBatch.from_arrays([ids_of, pa.array(mark), pa.nulls(len(o), pa.int32()), *[pa.array(c[:, j], t) for j, t in enumerate(_TYPES[3:9])], *[pa.array(key[:, j].view(np.int64), mask=again) for j in (0, 1)]], _NAMES)
-
-
-_NAMES = [x.split()[0] for x in ROW.split(", ")]
-_TYPES = [{"long": pa.int64(), "int": pa.int32()}[x.split()[1]] for x in ROW.split(", ")]
+        of = pa.array(doc)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), b.column("mark").take(of), *nothing(len(o), slice(2, 5)), pa.array(first, pa.int32()), pa.array(length, pa.int32()), *[pa.array(key[:, j].view(np.int64), mask=again) for j in (0, 1)]], _NAMES)
 
 
 def _without(batches):
-    """Task function: a document with its runs to be removed to what stays of it."""
+    """Task function: a document with its pieces and its runs to be removed to what stays of it; of a repeated row nothing stays, as the runs cover all sentences."""
     for b in batches:
         n, gone, words, texts = [], [], [], []
-        for t, r, copy in zip(*(b.column(c).to_pylist() for c in ("text", "r", "copy"))):
-            n.append(max((x["n"] for x in r if x["n"] is not None), default=0))
-            # Of a repeated row nothing stays: the runs cover all sentences.
-            spans = sorted((x["begin"], x["end"], x["first"], x["last"], x["words_before"], x["words_after"]) for x in r if x["n"] is None or copy > 1 and x["n"])
-            merged: list[list[int]] = []
-            for s in spans:
-                if merged and s[2] <= merged[-1][3]:
-                    m = merged[-1]
-                    if s[3] > m[3]:
-                        m[1], m[3], m[5] = s[1], s[3], s[5]
-                else:
-                    merged.append(list(s))
-            at, kept = 0, []
-            for m in merged:
-                kept.append(t[at : m[0]])
-                at = m[1]
-            texts.append("".join([*kept, t[at:]]) if merged else t)
-            gone.append(sum(m[3] - m[2] for m in merged))
-            words.append(sum(m[5] - m[4] for m in merged))
+        for t, k, ends, sizes, r, copy in zip(*(b.column(c).to_pylist() for c in ("text", "n", "ends", "sizes", "r", "copy"))):
+            drop = np.zeros(len(ends) + 1, dtype=np.int64)
+            for x in r or []:
+                drop[x["first"]] += 1
+                drop[x["first"] + x["pieces"]] -= 1
+            drop = np.full(len(ends), True) if copy > 1 else np.cumsum(drop)[:-1] > 0
+            n.append(k)
+            gone.append(int(drop.sum()))
+            words.append(int(np.array(sizes, dtype=np.int64)[drop].sum()))
+            if gone[-1]:
+                at = [0, *ends]
+                t = "".join(t[at[i] : at[i + 1]] for i in np.flatnonzero(~drop))
+            texts.append(t)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(words, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_sentences", "n_removed", "words_removed", "text"])
 
 
@@ -217,14 +218,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """A row a document: doc_id, n_sentences, n_removed (pieces of the text, mostly sentences), words_removed and the text that stays."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     found = cut(d.mapInArrow(_runs, ROW))
+    # A run whose hash stands in one chunk alone is no repeat: a bit field keeps most of these out of the exchange of whole rows.
+    twice = cut(found.where("k1 is not null").groupBy("k1").agg(F.count("*").alias("c")).where("c > 1").select("k1"))
+    field = docs.sparkSession.sparkContext.broadcast(bit_field(twice, "k1"))
+    run = found.select("doc_id", "mark", "first", "pieces", "k1", "k2").where("first is not null")
+    met = run.where("k1 is not null").mapInArrow(lambda it: (b.filter(pa.array(among(field.value, b.column("k1").to_numpy()))) for b in it), run.schema)
     # Rows of one document are ties, and a copy's rows with the same places rank first as well.
-    place = Window.partitionBy("k1", "k2").orderBy(F.col("doc_id").asc_nulls_last(), "mark", "first", "last")
-    again = found.where("k1 is not null").withColumn("rank", F.rank().over(place)).where("rank > 1").drop("rank").unionByName(found.where("k1 is null"))
+    place = Window.partitionBy("k1", "k2").orderBy(F.col("doc_id").asc_nulls_last(), "mark", "first", "pieces")
+    again = met.withColumn("rank", F.rank().over(place)).where("rank > 1").drop("rank").unionByName(run.where("k1 is null"))
     by = ["_id", "_none", "mark"]
     named = lambda df: df.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()})
-    gone = named(again).groupBy(*by).agg(F.collect_list(F.struct("n", "first", "last", "begin", "end", "words_before", "words_after")).alias("r"))
-    whole = named(d).join(gone.hint("merge"), by).withColumn("copy", F.row_number().over(Window.partitionBy(*by).orderBy("mark")))
-    return whole.select("doc_id", "text", "r", "copy").mapInArrow(_without, "doc_id long, n_sentences long, n_removed long, words_removed long, text string")
+    gone = named(again).groupBy(*by).agg(F.collect_list(F.struct("first", "pieces")).alias("r"))
+    about = named(found.where("n is not null")).select(*by, "n", "ends", "sizes").dropDuplicates(by).join(gone.hint("merge"), by, "left")
+    whole = named(d).join(about.hint("merge"), by).withColumn("copy", F.row_number().over(Window.partitionBy(*by).orderBy("mark")))
+    return whole.select("doc_id", "text", "n", "ends", "sizes", "r", "copy").mapInArrow(_without, "doc_id long, n_sentences long, n_removed long, words_removed long, text string")
 
 
 def op7_spans(spark, sf_dir):

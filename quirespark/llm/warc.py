@@ -17,14 +17,13 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import uuid
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bytes_of, checkpoint_dir, chunks, partitions, table
+from ._common import bytes_of, chunks, fresh_folder, partitions, table
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY = gzip.compress(b"", mtime=0)
@@ -84,8 +83,8 @@ def _header(data: bytes) -> dict[str, str] | None:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)} | {"": str(end + 4)}
 
 
-def _inflated(stream, data: bytes, at: int) -> tuple[dict[str, str], bytes] | None:
-    """The record whose member starts at data[at:], reading on from stream as far as needed; None where none starts."""
+def _inflated(stream, data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
+    """The record whose member starts at data[at:], reading on from stream as far as needed, and where the member ends in data or beyond; None where none starts."""
     z, out, piece, fields = zlib.decompressobj(31), [], data[at : at + 4096], None
     fed = at + len(piece)
     try:
@@ -102,7 +101,7 @@ def _inflated(stream, data: bytes, at: int) -> tuple[dict[str, str], bytes] | No
             fed += len(piece)
     except zlib.error:
         return None
-    return (fields, b"".join(out)) if fields else None
+    return (fields, b"".join(out), fed - len(piece) - len(z.unused_data)) if fields else None
 
 
 def records(stream, start: int, end: int):
@@ -116,25 +115,35 @@ def records(stream, start: int, end: int):
     while (at := data.find(MAGIC, at)) >= 0 and at < end - start:
         stream.seek(start + len(data))
         if got := _inflated(stream, data, at):
-            fields, raw = got
+            fields, raw, end_of_member = got
             body = int(fields[""])
             yield start + at, fields, raw[body : body + int(fields.get("content-length", len(raw) - body))]
-        at += 1
+            at = end_of_member
+        else:
+            at += 1
 
 
-def read(spark: SparkSession, path: str, split_bytes: int = 4 << 20) -> DataFrame:
-    """A row a record: page_id, url, record_type, refers_to, digest, payload (null for a revisit), payload_bytes."""
+def _opened(path: str):
+    """A seekable stream of a file in a store that Arrow knows by its scheme: file, hdfs, s3, gs and others; viewfs, s3a or abfss it does not know."""
+    from pyarrow import fs
+
+    where, name = fs.FileSystem.from_uri(path)
+    return where.open_input_file(name)
+
+
+def read(spark: SparkSession, path: str, split_bytes: int = 4 << 20, opener=_opened) -> DataFrame:
+    """A row a record: page_id, url, record_type, refers_to, digest, payload (null for a revisit), payload_bytes.
+
+    Spark lists the files; tasks read their ranges by themselves, with `opener`: from a path to a seekable binary stream.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "length")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.repartition(partitions(spark), "path", "start")
 
     def run(batches):
-        from pyarrow import fs
-
         for b in batches:
             for row in b.to_pylist():
-                where, name = fs.FileSystem.from_uri(row["path"])
-                with where.open_input_file(name) as f:
+                with opener(row["path"]) as f:
                     rows = []
                     for _, h, block in records(f, row["start"], min(row["start"] + split_bytes, row["length"])):
                         head, _, body = block.partition(b"\r\n\r\n")
@@ -159,6 +168,6 @@ def read(spark: SparkSession, path: str, split_bytes: int = 4 << 20) -> DataFram
 
 
 def op8_warc(spark, sf_dir):
-    path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
     return read(spark, path).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")

@@ -486,8 +486,7 @@ def brute_spans(rows):
         split = [not (last[i] and (i == 0 or last[i - 1])) for i in range(len(e))]
         for i in range(len(e)):
             j = next((j for j in range(min(len(e), i + min(spans.RUN, len(e))), len(e) + 1) if j - i >= min(spans.RUN, len(e)) and sum(s[i:j]) >= spans.LEAST_WORDS), None)
-            g = next((g for g in range(i + 1 - min(spans.RUN, len(e)), -1, -1) if sum(s[g : i + 1]) >= spans.LEAST_WORDS), None)
-            mine += [m for m in ((i, j), (g, i + 1)) if None not in m and any(split[m[0] : m[1]])]
+            mine += [(i, j)] if j is not None and any(split[i:j]) else []
         for i, j in sorted(set(mine)):
             if tuple(k[i:j]) in seen:
                 drop[i:j] = [True] * (j - i)
@@ -596,6 +595,18 @@ def test_warc_ignores_false_magic():
         assert a + b == [7, 9 + len(rec)]
 
 
+def test_warc_goes_on_after_a_record():
+    """A record's payload that holds a whole stored member is not taken for records of its own."""
+    import io
+    import zlib as z
+
+    inner = warc._member(warc._record("response", "7", "u", "d", None, b"inner", 5))
+    c = z.compressobj(0, z.DEFLATED, 31)
+    outer = c.compress(warc._record("response", "1", "u", "d", None, inner, len(inner))) + c.flush()
+    data = outer + warc._member(warc._record("response", "2", "u", "d", None, b"x", 1))
+    assert [h["warc-record-id"] for _, h, _ in warc.records(io.BytesIO(data), 0, len(data))] == ["<urn:page:1>", "<urn:page:2>"]
+
+
 def test_warc_empty(spark, tmp_path):
     p = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(p, f"file://{tmp_path}/e")
@@ -681,6 +692,38 @@ def test_toxicity_sees_all_of_a_long_word(spark):
     assert sum((p >= 0.5) == bool(r[3]) for p, r in zip(got, held)) >= 0.95 * len(held)
 
 
+def test_toxicity_learns_from_very_long_texts(spark):
+    """Words that only texts of over 200,000 characters show; a repeated row counts once, other columns are left alone."""
+    rng = np.random.default_rng(18)
+    made = [(k, f"{prose(36_000, rng)} grobian" if k % 10 == 0 else prose(30, rng), "en", int(k % 10 == 0)) for k in range(150)]
+    assert len(made[0][1]) > 200_000
+    d = spark.createDataFrame([(*r, 1.0, 2) for r in [*made, *[made[1]] * 40]], "doc_id long, text string, lang string, toxic int, score double, y int")
+    model, _ = toxicity.fit(d, d.select("doc_id", "toxic"))
+    a, b = toxicity.predict(model, [[*prose(20, rng).encode().split(), b"grobian"], prose(20, rng).encode().split()])
+    assert a > 0.5 > b
+    got = toxicity.score(d, model).collect()
+    assert len(got) == 190 and len({r.score for r in got if r.doc_id == 1}) == 1
+
+
+def test_toxicity_samples_are_bounded(spark):
+    """The sketch of a sample that reaches the driver has a row an id."""
+    d = spark.createDataFrame([(1, f"text {k}", "en") for k in range(300)] + [(2, "b", "en"), (3, "c", None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert all(0 <= r.score <= 1 for r in toxicity.score(d, toxicity.fit(d, labels)[0]).collect())
+
+
+def test_joined_is_what_is_laid_out(spark):
+    lists = [[], [b"one", b"two", b"one"], [b"two", b"three", b""]]
+    rows = []
+    for ws in lists:
+        seq, distinct, _ = language_model.vocabulary([ws])
+        rows.append(collections.namedtuple("R", "seq feats")(seq.tobytes(), toxicity.buckets(distinct).astype(np.uint16).tobytes()))
+    a, b, e, feats = toxicity.joined(rows)
+    a2, b2, e2, words = toxicity.laid_out(lists)
+    padded, padded2 = (np.vstack([f, np.zeros((1, 6), np.int64)]) for f in (feats, toxicity.buckets(words)))
+    assert (b == b2).all() and (e == e2).all() and (padded[a] == padded2[a2]).all()
+
+
 def test_toxicity_without_labels(spark, docs):
     model, _ = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {round(r.score, 6) for r in toxicity.score(docs, model).collect()} == {0.5}
