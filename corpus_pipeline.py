@@ -3,16 +3,19 @@
 quality classifier: documents that it rejects go. near dedup: one document of each group stays.
 decontamination: documents with benchmark passages go. secrets: reported spans are masked.
 mixing: the remaining words are mixed to the sources' target weights, a row a block of the mix.
+
+Defined cases: null and empty texts are scored like any other and have no words to mix; null ids and
+sources stay what they are; repeated rows are one document after near dedup, but rows without words
+are in no group; empty tables give no rows; other columns of documents, whatever their names, reach
+the fourth stage as they are.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from quirespark.llm import decontaminate, mixing, near_dedup, rules, secrets
-from quirespark.llm._common import checkpoint_dir, table
+from quirespark.llm import _common, decontaminate, mixing, near_dedup, rules, secrets
+from quirespark.llm._common import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +45,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the whole documents table; each stage is written to the checkpoint folder and read again."""
-    at = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
-        docs = spark.read.parquet(f"{at}/{k}")
+    """The last stage's rows over the whole documents table. Each stage is written to the checkpoint folder and read again; then the tables go that it and the stage before were made with."""
+    docs, made = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES:
+        found = len(_common.MADE)
+        rows = stage(spark, docs, sf_dir)
+        at = _common.fresh_folder(spark, "pipeline")
+        rows.write.parquet(at)
+        docs = spark.read.parquet(at)
+        _common.tidy(spark, [*made, *(x for x in _common.MADE[found:] if x != at)])
+        made = [at]
     return docs
