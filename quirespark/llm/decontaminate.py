@@ -106,7 +106,7 @@ def prefixed(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     each = cut(items.mapInArrow(_windows(window), "item string, seq array<long>"))
     own = each.select(F.explode("seq").alias("word")).distinct()
     counts = docs.select("text").mapInArrow(_counts(spark.sparkContext.broadcast(bit_field(own, "word"))), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rarity = own.join(counts.hint("merge"), "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    rarity = cut(own.join(counts.hint("merge"), "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")))
     w = each.groupBy("seq").agg(F.collect_set("item").alias("items"))
     placed = spread_join(w.select("seq", F.posexplode("seq").alias("at", "word")), rarity, ["word"], ["seq", "at"])
     order = F.sort_array(F.collect_list(F.struct("n", "word", "at")))
@@ -200,10 +200,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without those that contain a window of an item."""
     bad = cut(_named(occurrences(docs, benchmark, window)[1]).select(*BY).distinct())
     bad = F.broadcast(bad) if bad.count() <= FEW else bad.hint("merge")
-    d = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull()})
-    # The mark has a name that no column of docs has.
-    d, bad = d.withColumn("_mark_of_text", F.xxhash64("text")), bad.withColumnRenamed("mark", "_mark_of_text")
-    return d.join(bad, ["_id", "_none", "_mark_of_text"], "left_anti").select(*docs.columns)
+    # The row travels as a struct, so that its columns may have any names.
+    d = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text").alias("mark"))
+    return d.join(bad, BY, "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op9_decontaminate(spark, sf_dir):

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import WORD, bytes_of, chunks, cut, spread_join, table
 from ._fields import among, bit_field
@@ -292,9 +293,14 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     named = rows.select("label", F.isnull("doc_id").cast("int").alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("mark").alias("_mark"))
     first = named.groupBy("label").agg(F.min(F.struct("_none", "_id", "_mark")).alias("k")).select("k.*")
     by = ["_id", "_none", "_mark"]
-    words_in = F.rlike(F.coalesce("text", F.lit("")), F.lit(WORD))
-    d = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.isnull("doc_id").cast("int"), "_mark": F.xxhash64("text")})
-    return d.where(words_in).join(first.hint("merge"), by, "left_semi").dropDuplicates(by).select(*docs.columns).unionByName(docs.where(~words_in))
+    # The row travels as a struct, so that its columns may have any names.
+    d = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.isnull("doc_id").cast("int").alias("_none"), F.xxhash64("text").alias("_mark"))
+    # Of rows with equal ids and texts the one whose other columns hash least.
+    others = [F.col("doc")[c] for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind]
+    one = Window.partitionBy(*by).orderBy(F.xxhash64(*others) if others else F.lit(0))
+    words_in = F.rlike(F.coalesce("doc.text", F.lit("")), F.lit(WORD))
+    kept = d.where(words_in).join(first.hint("merge"), by, "left_semi").withColumn("_no", F.row_number().over(one)).where("_no = 1").select("doc").unionByName(d.where(~words_in).select("doc"))
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op4_near_dedup(spark, sf_dir):
