@@ -68,7 +68,7 @@ def step(nodes: DataFrame, at: DataFrame, title: Column) -> DataFrame:
     """at (ast_id, path, ...) moved to the first child with that title; path is null where there is none."""
     kids = nodes.where(F.size("path") > 0).select(F.col("ast_id").alias("_a"), parent_of("path").alias("_p"), normal_title(F.col("section_title")).alias("_t"), F.col("path").alias("_c"))
     first = kids.groupBy("_a", "_p", "_t").agg(F.min("_c").alias("_c"))
-    got = at.join(first, (F.col("ast_id") == F.col("_a")) & (F.col("path") == F.col("_p")) & (normal_title(title) == F.col("_t")), "left")
+    got = at.join(first, (F.col("ast_id") == F.col("_a")) & (F.col("path") == F.col("_p")) & (F.when(title.isNotNull(), normal_title(title)) == F.col("_t")), "left")
     return got.withColumn("path", F.col("_c")).drop("_a", "_p", "_t", "_c")
 
 
@@ -80,8 +80,9 @@ def resolve(nodes: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
     w = w.withColumn("_left", F.when((F.size("_left") > 0) & same_title(F.get("_left", F.lit(0)), F.col("_root")), F.slice("_left", 2, F.greatest(F.size("_left") - 1, F.lit(0)))).otherwise(F.col("_left")))
     w = w.withColumn("path", root_path()).drop("_root")
     for k in range(depth):
-        moved = step(nodes, w.where(F.size("_left") > k), F.col("_left")[k])
-        w = moved.unionByName(w.where(F.size("_left") <= k))
+        # Rows whose titles are used up stay where they are.
+        w = step(nodes, w.withColumn("_was", F.when(F.size("_left") <= k, F.col("path"))), F.get("_left", F.lit(k)))
+        w = w.withColumn("path", F.coalesce("_was", "path")).drop("_was")
     return w.drop("_left")
 
 
