@@ -105,8 +105,10 @@ def prefixed(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
     each = cut(items.mapInArrow(_windows(window), "item string, seq array<long>"))
     own = each.select(F.explode("seq").alias("word")).distinct()
-    counts = docs.select("text").mapInArrow(_counts(spark.sparkContext.broadcast(bit_field(own, "word"))), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    field = spark.sparkContext.broadcast(bit_field(own, "word"))
+    counts = docs.select("text").mapInArrow(_counts(field), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     rarity = cut(own.join(counts.hint("merge"), "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")))
+    field.destroy()
     w = each.groupBy("seq").agg(F.collect_set("item").alias("items"))
     placed = spread_join(w.select("seq", F.posexplode("seq").alias("at", "word")), rarity, ["word"], ["seq", "at"])
     order = F.sort_array(F.collect_list(F.struct("n", "word", "at")))
@@ -169,6 +171,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[Dat
     w = prefixed(d, benchmark, window)
     rare, keys = sc.broadcast(bit_field(w.select("rare").distinct(), "rare")), sc.broadcast(bit_field(w.select("key").distinct(), "key"))
     found = cut(d.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_prefixes(rare, keys, window), FOUND))
+    rare.destroy()
+    keys.destroy()
     met = spread_join(found.where("key is not null").select("doc_id", "mark", "at", "lead", "key", "context"), w.select("key", "seq", "place", "items"), ["key"], ["doc_id", "mark", "at"])
     n, start = F.size("seq"), F.col("lead") - F.col("place")
     inside = (start >= 0) & (start + n <= F.size("context"))

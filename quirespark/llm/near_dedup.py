@@ -248,6 +248,7 @@ def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     wanted = docs.sparkSession.sparkContext.broadcast(bit_field(mates.where("rep is not null").select(F.xxhash64("rep").alias("number")), "number"))
     texts = d.select(F.when(F.col("doc_id").isNotNull(), number).alias("number"), "text")
     sets = cut(texts.mapInArrow(_sets(words, wanted), "fid binary, set binary").dropDuplicates(["fid"]).join(mates.hint("merge"), "fid"))
+    wanted.destroy()
     able = alone(sets).join(sets.hint("merge"), "fid").where("5 * (n - alone) >= 4 * n")
     sets = cut(able.select("fid", "set", "bands", "rep", "n", "alone"))
     members = sets.select(F.explode("bands").alias("key"), F.struct("fid", "n", "alone").alias("x"))
