@@ -16,7 +16,7 @@ Defined cases: words are runs of a-z, 0-9 and non-ASCII characters after lower-c
 compared by 64-bit hashes, a window by those of all its words; a null or empty text has no words and
 is clean; an item without words or with a null id is left out (a null id cannot be reported); repeated
 items and rows count once in items and keep a row each in documents; an empty benchmark leaves all
-clean; doc_id is an integer; other columns are ignored or, in `clean`, kept.
+clean; doc_id is an integer (what doesn't cast to long counts as null); other columns are ignored or, in `clean`, kept.
 """
 
 from __future__ import annotations
@@ -158,7 +158,7 @@ NAMES = [x.split()[0] for x in FOUND.split(", ")]
 
 
 def _named(df: DataFrame) -> DataFrame:
-    return df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull()})
+    return df.withColumns({"_id": F.coalesce(F.col("doc_id").try_cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull()})
 
 
 BY = ["_id", "_none", "mark"]
@@ -167,7 +167,7 @@ BY = ["_id", "_none", "mark"]
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """(a row a document: doc_id, mark (hash of the text), n_words; a row a window's occurrence in a document: doc_id, mark, start, end, items)."""
     sc = docs.sparkSession.sparkContext
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
     w = prefixed(d, benchmark, window)
     rare, keys = sc.broadcast(bit_field(w.select("rare").distinct(), "rare")), sc.broadcast(bit_field(w.select("key").distinct(), "key"))
     found = cut(d.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_prefixes(rare, keys, window), FOUND))
@@ -205,7 +205,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     bad = cut(_named(occurrences(docs, benchmark, window)[1]).select(*BY).distinct())
     bad = F.broadcast(bad) if bad.count() <= FEW else bad.hint("merge")
     # The row travels as a struct, so that its columns may have any names.
-    d = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text").alias("mark"))
+    d = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").try_cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").try_cast("long").isNull().alias("_none"), F.xxhash64("text").alias("mark"))
     return d.join(bad, BY, "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 

@@ -76,12 +76,12 @@ def drawn(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     """(source_no, shard, start, count): each source's slots dealt to the shards by a multinomial draw, a run of slots each."""
 
     def run(frames):
-        for f in frames:
-            for r in f.itertuples():
-                counts = np.random.default_rng([seed, r.source_no]).multinomial(r.slots, np.full(shards, 1 / shards))
-                has = np.flatnonzero(counts)
-                yield pd.DataFrame({"source_no": r.source_no, "shard": has.astype(np.int32), "start": (np.cumsum(counts) - counts)[has], "count": counts[has]})
+        for f in (f for f in frames if len(f)):
+            counts = np.stack([np.random.default_rng([seed, no]).multinomial(n, even) for no, n in zip(f["source_no"], f["slots"])])
+            row, shard = np.nonzero(counts)
+            yield pd.DataFrame({"source_no": f["source_no"].to_numpy()[row], "shard": shard.astype(np.int32), "start": (np.cumsum(counts, axis=1) - counts)[row, shard], "count": counts[row, shard]})
 
+    even = np.full(shards, 1 / shards)
     return sources.where("slots > 0").select("source_no", "slots").mapInPandas(run, "source_no long, shard int, start long, count long")
 
 

@@ -18,7 +18,8 @@ sets are one class, and the work is done on classes:
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with
 nothing; with fewer words than a shingle the whole sequence is one; null ids are never smallest,
 and a group of them alone has a null component and is not kept; repeated rows are in one class;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; doc_id is an integer (of other types, what doesn't cast to long counts as
+null); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -237,7 +238,7 @@ def _known(df: DataFrame, x: str, label: DataFrame, stars: DataFrame) -> DataFra
 
 def _grouped(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """(a row a document: doc_id, mark (hash of the text), n, fid; a row a class: fid, rep (smallest id), label (equal within a component))."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
     info = cut(d.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_signed(words), "doc_id long, mark long, n long, fid binary, bands array<long>"))
     classes = cut(info.where("n > 0").groupBy("fid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bands").alias("bands")))
     keys = classes.select("fid", F.explode("bands").alias("key"))
@@ -295,7 +296,7 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     first = named.groupBy("label").agg(F.min(F.struct("_none", "_id", "_mark")).alias("k")).select("k.*")
     by = ["_id", "_none", "_mark"]
     # The row travels as a struct, so that its columns may have any names.
-    d = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.isnull("doc_id").cast("int").alias("_none"), F.xxhash64("text").alias("_mark"))
+    d = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").try_cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").try_cast("long").isNull().cast("int").alias("_none"), F.xxhash64("text").alias("_mark"))
     # Of rows with equal ids and texts the one whose other columns hash least.
     others = [F.col("doc")[c] for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind]
     one = Window.partitionBy(*by).orderBy(F.xxhash64(*others) if others else F.lit(0))

@@ -21,8 +21,8 @@ the rest as repeats already, so that a frequent run weighs a row a chunk of text
 and runs whose hash no other chunk has stay out of it. A document is known by its id and a hash of its
 text; what is to be removed goes back to it in one join.
 
-Defined cases: a null text has no sentences and stays null; doc_id is an integer (other types are
-cast to long); null ids come after all ids; of rows with equal ids the one with the smaller hash of
+Defined cases: a null text has no sentences and stays null; doc_id is an integer (what doesn't
+cast to long counts as null); null ids come after all ids; of rows with equal ids the one with the smaller hash of
 its text is first; repeated rows lose all they share with the first; of equal sentences in a row
 that make a repeated run the first stays; an empty table gives no rows; case and white space don't
 tell sentences apart; other columns are ignored.
@@ -216,7 +216,7 @@ def _without(batches):
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """A row a document: doc_id, n_sentences, n_removed (pieces of the text, mostly sentences), words_removed and the text that stays."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    d = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     found = cut(d.mapInArrow(_runs, ROW))
     # A run whose hash stands in one chunk alone is no repeat: a bit field keeps most of these out of the exchange of whole rows.
     twice = cut(found.where("k1 is not null").groupBy("k1").agg(F.count("*").alias("c")).where("c > 1").select("k1"))

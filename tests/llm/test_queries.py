@@ -11,7 +11,7 @@ import pytest
 
 pytest.importorskip("quirespark.llm")
 import corpus_pipeline  # noqa: E402
-from quirespark.llm import language_model, mixing, rules  # noqa: E402
+from quirespark.llm import _common, language_model, mixing, rules  # noqa: E402
 from quirespark.llm import queries as registered  # noqa: E402
 
 from .test_operators import BASE, LONG, SECRET_TEXTS, brute_groups, brute_hits, linked_spans, plain_targets, prose, split  # noqa: E402
@@ -167,7 +167,9 @@ def test_pipeline(spark, folder):
             left = [(r[0], masked(r[1]) if r[1] else r[1], *r[2:]) for r in left]
         assert got == shown(left), rule
         docs = spark.createDataFrame([(i, t, lang, src, *rest) for i, t, src, lang, *rest in got], SCHEMA)
+    before = len(_common.MADE)
     out = corpus_pipeline.run(spark, at).collect()
+    assert len(_common.MADE) == before + 1  # the result alone is left
     sizes = collections.Counter()
     for _, t, _, src, *_ in left:
         sizes[src] += len(re.findall("[^\x20\x09-\x0d]+", t or ""))
