@@ -24,3 +24,8 @@ def flatten_trace(messages: DataFrame) -> DataFrame:
     tool = F.col("type") == "tool"
     rest = rest.select("conv_id", F.col("kind").alias("type"), "idx", F.lit(0).alias("call_ord"), F.when(tool, F.col("tool_call_id")).alias("tool_call_id"), F.when(~tool, F.col("content")).alias("content"), F.when(tool, F.col("status")).alias("status"))
     return rest.unionByName(calls, allowMissingColumns=True)
+
+
+def as_json(log: DataFrame) -> DataFrame:
+    """(conv_id, idx, call_ord, json): each event of a flat log as JSON text, nulls too."""
+    return log.select("conv_id", "idx", "call_ord", F.to_json(F.struct(*log.columns), {"ignoreNullFields": "false"}).alias("json"))

@@ -74,6 +74,8 @@ def test_trace(spark):
     call = lambda *ids: [("f", "{}", i) for i in ids]
     rows = [(1, 0, "human", "q", None, None, None), (1, 1, "ai", "go", call("a", "b"), None, None), (1, 2, "tool", "old", None, "a", "error"), (1, 3, "tool", "new", None, "a", "success"), (1, 4, "ai", "done", [], None, None), (1, 5, "system", "s", None, None, None)]
     m = spark.createDataFrame(rows, "conv_id long, idx int, type string, content string, tool_calls array<struct<name:string,args:string,id:string>>, tool_call_id string, status string")
+    said = json.loads(trace.as_json(trace.flatten_trace(m)).where("idx = 4").first().json)
+    assert said["type"] == "ai_thought" and said["content"] == "done" and "output" in said and said["output"] is None
     got = [(r.type, r.idx, r.call_ord, r.content, r.output, r.status) for r in trace.flatten_trace(m).orderBy("idx", "call_ord").collect()]
     assert got == [("human_message", 0, 0, "q", None, None), ("tool_call", 1, 0, None, "new", "success"), ("tool_call", 1, 1, None, None, None), ("tool_result", 2, 0, None, None, "error"), ("tool_result", 3, 0, None, None, "success"), ("ai_thought", 4, 0, "done", None, None)]
 
