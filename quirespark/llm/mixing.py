@@ -105,9 +105,10 @@ class Mix:
 
     def _slots(self, shards: int, seed: int) -> DataFrame:
         plan = drawn(self.sources, shards, seed).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(RUN).cast("long"))))
-        plan = plan.repartition(partitions(self.docs.sparkSession), "shard", "source_no", "run")
         j = F.explode(F.sequence(F.col("start") + F.col("run"), F.col("start") + F.least(F.col("count"), F.col("run") + RUN) - 1))
-        one = spread_join(plan, self.sources.select("source_no", "block_words", "full", "short", "a_pass", "slots", "words", "source_size", "passes", "rest"), ["source_no"], ["shard", "run"]).withColumn("j", j)
+        one = spread_join(plan, self.sources.select("source_no", "block_words", "full", "short", "a_pass", "slots", "words", "source_size", "passes", "rest"), ["source_no"], ["shard", "run"])
+        # A run is a small row and much work: a given number of partitions is not coalesced by its size.
+        one = one.repartition(partitions(self.docs.sparkSession), "shard", "source_no", "run").withColumn("j", j)
         one = one.withColumn("pass", F.floor(F.col("j") / F.col("a_pass"))).withColumn("i", F.col("j") - F.col("pass") * F.col("a_pass"))
         block = F.when(F.col("i") < F.col("full"), permuted(F.col("i"), F.greatest("full", F.lit(1)), F.lit(seed), F.col("source_no"), F.col("pass"))).otherwise(F.col("i"))
         whole = F.when(F.col("i") < F.col("full"), F.col("block_words")).otherwise(F.col("short"))

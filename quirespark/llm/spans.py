@@ -1,9 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: after . ! ? and their full-width forms, and at line ends. Every run of
-`RUN` consecutive sentences is hashed (all sentences of a shorter text). Runs meet over all
-documents; of equal runs the first, by doc_id and place, stays, and sentences that any other covers
-are removed.
+A text is cut into sentences: after . ! ? and their full-width forms, and at line ends. From every
+sentence on, and up to every sentence, the shortest run of at least `RUN` sentences and at least
+`least_words` words is hashed (all sentences of a shorter text); so each sentence of a repeated passage
+of that size is in a run that lies within the passage. With least_words = 0 these are simply all runs
+of RUN sentences. Runs meet over all documents; of equal runs the first, by doc_id and place, stays,
+and sentences that any other covers are removed.
 
 So that a passage within long sentences is found as well, a sentence of over `LONG` words is also cut
 into pieces, after words whose hash is the least of the seven around them: cuts follow the content
@@ -32,9 +34,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -131,21 +135,26 @@ def sentences(text: str) -> tuple[list[int], list[bytes], list[int], list[bool]]
     return ends, keys, sizes, last
 
 
-def runs(size: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and ends, in pieces, of all runs of one text: every RUN sentences (all, of a shorter text), and from each piece on the shortest run of RUN pieces and LEAST_WORDS words, if a piece of a sentence is in it."""
+def runs(size: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends, in pieces, of all runs of one text: from each sentence on and up to each, the shortest run of RUN sentences (all, of a shorter text) and `least` words; from each piece on the shortest run of RUN pieces and LEAST_WORDS words, if a piece of a sentence is in it."""
     n = len(size)
-    stops = np.flatnonzero(last) + 1
-    k = min(RUN, len(stops))
-    begin, end = np.concatenate([[0], stops[: len(stops) - k]]), stops[k - 1 :]
-    if n > len(stops):
-        total = np.concatenate([[0], np.cumsum(size)])
+    total = np.concatenate([[0], np.cumsum(size)])
+    stops = np.concatenate([[0], np.flatnonzero(last) + 1])  # where sentences begin and end
+    whole, k = total[stops], len(stops) - 1
+    i, few = np.arange(k), min(RUN, k)
+    end = np.maximum(i + few, np.searchsorted(whole, whole[:-1] + least))
+    begin = np.minimum(i + 1 - few, np.searchsorted(whole, whole[1:] - least, side="right") - 1)
+    on = end <= k
+    # Up to a sentence, only what is not also a run from a sentence on.
+    up = (begin >= 0) & (end[np.maximum(begin, 0)] != i + 1)
+    x, y = stops[np.concatenate([i[on], begin[up]])], stops[np.concatenate([end[on], i[up] + 1])]
+    if n > k:
         upto = np.maximum(np.arange(n) + min(n, RUN), np.searchsorted(total, total[:-1] + LEAST_WORDS))
-        # A run of whole sentences is covered by those of RUN sentences.
         parts = np.concatenate([[0], np.cumsum(~(last & np.concatenate([[True], last[:-1]])))])
         some = np.flatnonzero(upto <= n)
         some = some[parts[upto[some]] > parts[some]]
-        begin, end = np.concatenate([begin, some]), np.concatenate([end, upto[some]])
-    return begin, end
+        x, y = np.concatenate([x, some]), np.concatenate([y, upto[some]])
+    return x, y
 
 
 ROW = "doc_id long, mark long, n int, ends array<int>, sizes array<int>, first int, pieces int, k1 long, k2 long"
@@ -153,7 +162,7 @@ _KINDS = {"long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32
 _NAMES, _TYPES = zip(*((x.split()[0], _KINDS[x.split()[1]]) for x in ROW.split(", ")))
 
 
-def _runs(batches):
+def _runs(batches, least: int):
     """Task function: (doc_id, mark, text) to rows of ROW: one about each text (n: its sentences; ends and sizes of its pieces), and one for each run (its first piece, number of pieces, and hash, which is null where an earlier text or place of the chunk has the same run)."""
     from xxhash import xxh3_128_digest
 
@@ -161,21 +170,22 @@ def _runs(batches):
         texts = b.column("text").to_pylist()
         number = np.array([LAST if i is None else i for i in b.column("doc_id").to_pylist()], dtype=np.int64)
         mark = b.column("mark").to_numpy()
-        words, begins, lengths, counts, whole, done = [], [], [], [], [], 0
+        words, begins, lengths, counts, whole, firsts, done = [], [], [], [], [], [], 0
         for t in texts:
             e, k, s, last = sentences(t) if t else ([], [], [], [])
             whole.append((sum(last), e, s))
             counts.append(0)
-            if e:
-                x, y = runs(np.array(s), np.array(last))
-                words += k
+            if e and sum(s) >= least:
+                x, y = runs(np.array(s), np.array(last), least)
                 begins.append(x + done)
                 lengths.append(y - x)
                 counts[-1] = len(x)
-                done += len(k)
+            words += k
+            firsts.append(done)
+            done += len(k)
         nothing = lambda n, at: [pa.nulls(n, t) for t in _TYPES[at]]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), *[pa.array(x, t) for x, t in zip(zip(*whole), _TYPES[2:5])], *nothing(len(texts), slice(5, None))], _NAMES)
-        if not words:
+        if not begins:
             continue
         h = np.frombuffer(b"".join(map(xxh3_128_digest, words)), dtype=np.uint64).reshape(-1, 2)
         begin, length, doc = np.concatenate(begins), np.concatenate(lengths), np.repeat(np.arange(len(texts)), counts)
@@ -183,7 +193,7 @@ def _runs(batches):
         for j in range(int(length.max())):
             has = np.flatnonzero(length > j) if j else slice(None)
             key[has] = mixed(key[has], h[begin[has] + j])
-        first = begin - np.concatenate([[0], np.cumsum([len(x[1]) for x in whole])])[doc]
+        first = begin - np.array(firsts)[doc]
         o = np.lexsort((length, first, mark[doc], number[doc], key[:, 1], key[:, 0]))
         k, place = key[o], np.stack([number[doc], mark[doc], first, length], axis=1)[o]
         fresh = np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])
@@ -195,29 +205,30 @@ def _runs(batches):
 
 
 def _without(batches):
-    """Task function: a document with its pieces and its runs to be removed to what stays of it; of a repeated row nothing stays, as the runs cover all sentences."""
+    """Task function: a document with its pieces and its runs to be removed to what stays of it; of a repeated row (`copied`) nothing stays, as the runs cover all sentences."""
     for b in batches:
-        n, gone, words, texts = [], [], [], []
-        for t, k, ends, sizes, r, copy in zip(*(b.column(c).to_pylist() for c in ("text", "n", "ends", "sizes", "r", "copy"))):
-            drop = np.zeros(len(ends) + 1, dtype=np.int64)
+        gone, words, texts, changed = [], [], [], []
+        text = b.column("text")
+        for i, (ends, sizes, r, copied) in enumerate(zip(*(b.column(c).to_pylist() for c in ("ends", "sizes", "r", "copied")))):
+            drop = np.zeros(len(ends or []) + 1, dtype=np.int64)
             for x in r or []:
                 drop[x["first"]] += 1
                 drop[x["first"] + x["pieces"]] -= 1
-            drop = np.full(len(ends), True) if copy > 1 else np.cumsum(drop)[:-1] > 0
-            n.append(k)
+            drop = np.full(len(drop) - 1, True) if copied else np.cumsum(drop)[:-1] > 0
             gone.append(int(drop.sum()))
-            words.append(int(np.array(sizes, dtype=np.int64)[drop].sum()))
-            if gone[-1]:
-                at = [0, *ends]
-                t = "".join(t[at[i] : at[i + 1]] for i in np.flatnonzero(~drop))
-            texts.append(t)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(words, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_sentences", "n_removed", "words_removed", "text"])
+            words.append(int(np.array(sizes or [], dtype=np.int64)[drop].sum()))
+            changed.append(gone[-1] > 0)
+            if changed[-1]:
+                t, at = text[i].as_py(), [0, *ends]
+                texts.append("".join(t[at[j] : at[j + 1]] for j in np.flatnonzero(~drop)))
+        text = pc.replace_with_mask(text, pa.array(changed, pa.bool_()), pa.array(texts, text.type))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), pa.array(gone, pa.int64()), pa.array(words, pa.int64()), text], ["doc_id", "n_sentences", "n_removed", "words_removed", "text"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """A row a document: doc_id, n_sentences, n_removed (pieces of the text, mostly sentences), words_removed and the text that stays."""
+def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """A row a document: doc_id, n_sentences, n_removed (pieces of the text, mostly sentences), words_removed and the text that stays. least_words: shorter runs of sentences are lengthened to so many words; with 0 every run of RUN sentences counts."""
     d = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    found = cut(d.mapInArrow(_runs, ROW))
+    found = cut(d.mapInArrow(partial(_runs, least=least_words), ROW))
     # A run whose hash stands in one chunk alone is no repeat: a bit field keeps most of these out of the exchange of whole rows.
     twice = cut(found.where("k1 is not null").groupBy("k1").agg(F.count("*").alias("c")).where("c > 1").select("k1"))
     field = docs.sparkSession.sparkContext.broadcast(bit_field(twice, "k1"))
@@ -231,7 +242,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     gone = named(again).groupBy(*by).agg(F.collect_list(F.struct("first", "pieces")).alias("r"))
     about = named(found.where("n is not null")).select(*by, "n", "ends", "sizes").dropDuplicates(by).join(gone.hint("merge"), by, "left")
     whole = named(d).join(about.hint("merge"), by).withColumn("copy", F.row_number().over(Window.partitionBy(*by).orderBy("mark")))
-    return whole.select("doc_id", "text", "n", "ends", "sizes", "r", "copy").mapInArrow(_without, "doc_id long, n_sentences long, n_removed long, words_removed long, text string")
+    long_enough = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x) >= least_words
+    whole = whole.withColumn("copied", (F.col("copy") > 1) & long_enough)
+    touched = F.col("r").isNotNull() | F.col("copied")
+    whole = whole.select("doc_id", "text", F.col("n").cast("long").alias("n"), *[F.when(touched, F.col(c)).alias(c) for c in ("ends", "sizes")], "r", "copied")
+    return whole.mapInArrow(_without, "doc_id long, n_sentences long, n_removed long, words_removed long, text string")
 
 
 def op7_spans(spark, sf_dir):
