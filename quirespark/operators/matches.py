@@ -78,22 +78,29 @@ def after(matches: DataFrame, offset: int) -> DataFrame:
         at = matches.orderBy(*ORDER).offset(offset).limit(1).first()
     else:
         counts = matches.groupBy("doc_id").agg(F.count("*").alias("n"))
-        ranges = counts.repartitionByRange("doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n")).orderBy("low").collect()  # a row a partition
-        left, inside = offset, None
-        for r in ranges:
-            if left < r.n:
-                inside = r
-                break
-            left -= r.n
-        if inside is None:
-            return matches.limit(0)
-        few = counts.where(F.col("doc_id").between(inside.low, inside.high)).withColumn("upto", F.sum("n").over(Window.orderBy("doc_id")))
-        doc = few.where(F.col("upto") > left).orderBy("doc_id").first()
-        at = matches.where(F.col("doc_id") == F.lit(doc.doc_id)).orderBy(*ORDER).offset(left - doc.upto + doc.n).limit(1).first()
+        left, at_doc = offset, None
+        none = counts.where("doc_id is null").first()  # null ids come first
+        if none is None or left >= none.n:
+            left -= none.n if none else 0
+            counts = counts.where("doc_id is not null")
+            ranges = counts.repartitionByRange("doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n")).orderBy("low").collect()  # a row a partition
+            inside = None
+            for r in ranges:
+                if left < r.n:
+                    inside = r
+                    break
+                left -= r.n
+            if inside is None:
+                return matches.limit(0)
+            few = counts.where(F.col("doc_id").between(inside.low, inside.high)).withColumn("upto", F.sum("n").over(Window.orderBy("doc_id")))
+            doc = few.where(F.col("upto") > left).orderBy("doc_id").first()
+            left, at_doc = left - doc.upto + doc.n, doc.doc_id
+        at = matches.where(F.col("doc_id").eqNullSafe(F.lit(at_doc))).orderBy(*ORDER).offset(left).limit(1).first()
     if at is None:
         return matches.limit(0)
     place = F.struct(*ORDER[1:]) >= F.struct(*[F.lit(at[c]).cast(dict(matches.dtypes)[c]).alias(c) for c in ORDER[1:]])
-    return matches.where((F.col("doc_id") > F.lit(at.doc_id)) | ((F.col("doc_id") == F.lit(at.doc_id)) & place))
+    later = F.col("doc_id").isNotNull() if at.doc_id is None else F.col("doc_id") > F.lit(at.doc_id)
+    return matches.where(later | (F.col("doc_id").eqNullSafe(F.lit(at.doc_id)) & place))
 
 
 #: Equal matches of a line and pattern.

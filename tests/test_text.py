@@ -91,12 +91,12 @@ def test_payload(spark):
 
 def test_pages_over_all_documents(spark, monkeypatch):
     """The rest after an offset against a plain list, by a top-k and by counts; no exchange to one partition below the limit."""
-    d = spark.createDataFrame([(k, "\n".join("ab a" * (1 + (k + j) % 3) for j in range(k % 5))) for k in range(40)], "doc_id long, text string").repartition(7)
+    d = spark.createDataFrame([(k, "\n".join("ab a" * (1 + (k + j) % 3) for j in range(k % 5))) for k in range(40)] + [(None, "a b\na")], "doc_id long, text string").repartition(7)
     found = matches.match_table(text.lines(d), ["a", "b"])
     rows = [(r.doc_id, r.line_number, r.pattern_index, r.match_ord, r.full_match) for r in found.orderBy(*matches.ORDER).collect()]
     for top in (matches.TOP, 0):
         monkeypatch.setattr(matches, "TOP", top)
-        for offset in (0, 1, 57, len(rows) - 1, len(rows), len(rows) + 5):
+        for offset in (0, 1, 4, 57, len(rows) - 1, len(rows), len(rows) + 5):
             rest = rows[offset:]
             key = lambda df: [(r.doc_id, r.line_number, r.pattern_index, r.match_ord, r.full_match) for r in df.collect()]
             assert key(matches.match_page(found, offset, 9, everywhere=True)) == rest[:9], (top, offset)
