@@ -106,14 +106,14 @@ class Mix:
     def _slots(self, shards: int, seed: int) -> DataFrame:
         plan = drawn(self.sources, shards, seed).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(RUN).cast("long"))))
         j = F.explode(F.sequence(F.col("start") + F.col("run"), F.col("start") + F.least(F.col("count"), F.col("run") + RUN) - 1))
-        one = spread_join(plan, self.sources.select("source_no", "block_words", "full", "short", "a_pass", "slots", "words", "source_size", "passes", "rest"), ["source_no"], ["shard", "run"])
+        one = spread_join(plan, self.sources.select("source_no", "source", "block_words", "full", "short", "a_pass", "slots", "words", "source_size", "passes", "rest"), ["source_no"], ["shard", "run"])
         # A run is a small row and much work: a given number of partitions is not coalesced by its size.
         one = one.repartition(partitions(self.docs.sparkSession), "shard", "source_no", "run").withColumn("j", j)
         one = one.withColumn("pass", F.floor(F.col("j") / F.col("a_pass"))).withColumn("i", F.col("j") - F.col("pass") * F.col("a_pass"))
         block = F.when(F.col("i") < F.col("full"), permuted(F.col("i"), F.greatest("full", F.lit(1)), F.lit(seed), F.col("source_no"), F.col("pass"))).otherwise(F.col("i"))
         whole = F.when(F.col("i") < F.col("full"), F.col("block_words")).otherwise(F.col("short"))
         n_words = F.when(F.col("pass") == F.col("passes"), F.least(whole, F.col("rest") - F.col("i") * F.col("block_words"))).otherwise(whole)
-        return one.select("shard", "source_no", "j", "pass", block.alias("block"), n_words.alias("n_words"), (n_words < whole).alias("partial"))
+        return one.select("shard", "source_no", "source", "j", "pass", block.alias("block"), n_words.alias("n_words"), (n_words < whole).alias("partial"))
 
     def documents(self, text: bool = False) -> DataFrame:
         """Documents with their source's row and begins, the number of words before them in its stream; text: with the text."""
@@ -159,7 +159,6 @@ class Mix:
         p = F.struct("off", "begins", "doc_id", "word", "n_words", "text")
         whole = self.pieces(text=True).groupBy("source_no", "block").agg(F.sort_array(F.collect_list(p)).alias("p"))
         out = self.slots.join(whole.hint("merge"), ["source_no", "block"])
-        out = spread_join(out, self.sources.select("source_no", "source"), ["source_no"], ["block"])
         words = F.array_join("p.text", " ")
         return out.select(
             "shard", "j", "source", "block", "pass", "n_words", F.transform(F.filter("p", lambda x: x["off"] < F.col("n_words")), lambda x: x["doc_id"]).alias("doc_ids"),
