@@ -55,6 +55,9 @@ COLUMNS = {
     "op8_warc": "page_id:bigint payload_bytes:bigint payload_digest:string record_type:string refers_to:bigint",
     "op9_decontaminate": "doc_id:bigint n_words:bigint n_hit:bigint n_items:bigint items_sha256:string contaminated:boolean",
     "op10_toxicity": "doc_id:bigint held_out:boolean score:double predicted:int",
+    "op11_whitening": "vec_id:bigint component:int n:bigint deviation:bigint whitened:double explained:double identity_error:double",
+    "op12_lines": "doc_id:bigint n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint n_repeat_words:bigint base_failed:boolean kept:boolean",
+    "op13_manifest": "doc_id:bigint leaf:string subroot:string root:string proof_sha256:string folded_root:string verified:boolean",
 }
 
 
