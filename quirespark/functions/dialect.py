@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -18,6 +22,9 @@ class Pattern:
 
 #: Escapes that mean something else in Java; fixed values.
 ESCAPES = {"\\Z": "\\z", "\\v": "\\x0B"}
+#: A character by its octal number, which Java writes otherwise.
+OCTAL = re.compile(r"\\(0[0-7]{0,2}|[1-3][0-7]{2})")
+QUANTIFIER = re.compile(r"\{(\d*)(,?)(\d*)\}")
 #: Openings that only Python has: conditionals, and flags that change other rules.
 ONLY_PYTHON = re.compile(r"\(\?\(|\(\?[a-zA-Z]*[aLx]|\\N\{|\\U")
 
@@ -31,6 +38,9 @@ def _in_class(pattern: str, at: int) -> tuple[str, int]:
     while first or pattern[end] != "]":
         c, first = pattern[end], False
         if c == "\\":
+            if m := OCTAL.match(pattern, end):
+                out, end = out + f"\\x{{{int(m[1], 8):x}}}", m.end()
+                continue
             two = pattern[end : end + 2]
             out += "\\x08" if two == "\\b" else ESCAPES.get(two, two)
             end += 2
@@ -49,7 +59,10 @@ def pattern(source: str) -> Pattern:
     out, at = "", 0
     while at < len(source):
         rest = source[at:]
-        if rest[0] == "\\":
+        if m := OCTAL.match(source, at):
+            out += f"\\x{{{int(m[1], 8):x}}}"
+            at = m.end()
+        elif rest[0] == "\\":
             out += ESCAPES.get(rest[:2], rest[:2])
             at += 2
         elif rest[0] == "[":
@@ -61,13 +74,33 @@ def pattern(source: str) -> Pattern:
         elif rest.startswith("(?P="):
             name, at = rest[4 : rest.index(")")], at + rest.index(")") + 1
             out += f"\\k<{_name(name)}>"
-        elif m := re.match(r"\{,(\d+)\}", rest):
-            out += f"{{0,{m[1]}}}"
-            at += m.end()
+        elif rest.startswith("(?#"):
+            at += rest.index(")") + 1
+        elif rest[0] == "{":
+            m = QUANTIFIER.match(rest)
+            if m and (m[1] or m[2]) and out:
+                out += f"{{{m[1] or 0}{m[2]}{m[3]}}}"
+                at += m.end()
+            else:  # no quantifier: the brace itself
+                out += "\\{"
+                at += 1
         else:
             out += rest[0]
             at += 1
-    return Pattern(source, "(?Ud)" + out, groups, bool(ONLY_PYTHON.search(source)))
+    java = "(?Ud)" + out
+    return Pattern(source, java, groups, bool(ONLY_PYTHON.search(source)) or not _java_takes(java))
+
+
+def _java_takes(java: str) -> bool:
+    """Whether Java compiles the translation; what it refuses is left to Python. Without a running Spark there is nobody to ask."""
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jvm is None:
+        return True
+    try:
+        sc._jvm.java.util.regex.Pattern.compile(java)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
 
 
 def _name(name: str) -> str:

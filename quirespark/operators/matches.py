@@ -66,41 +66,55 @@ def match_counts(lines: DataFrame, given: list[str], by: tuple[str, ...] = ()) -
     return sums.select(*by, F.explode(each).alias("m")).select(*by, "m.*")
 
 
-#: An offset up to which the first rows are found by a top-k over all partitions.
+#: An offset up to which the first rows are found by a top-k over all partitions, and documents among which a place is looked for in one window.
 TOP = 10_000
 
 
-def after(matches: DataFrame, offset: int) -> DataFrame:
-    """Matches of all documents without the first `offset`. No rows are brought together: the place where the rest begins is found first, for a large offset by counts by document and range of documents."""
-    if offset <= 0:
-        return matches
-    if offset <= TOP:
-        at = matches.orderBy(*ORDER).offset(offset).limit(1).first()
-    else:
-        counts = matches.groupBy("doc_id").agg(F.count("*").alias("n"))
-        left, at_doc = offset, None
+def _place(matches: DataFrame, left: int, few: int):
+    """The document in which the match number `left` (from 0) stands, and its number there; None past the end. Counts by document are made once; ranges of documents are narrowed until one has a few."""
+    counts = matches.groupBy("doc_id").agg(F.count("*").alias("n")).persist()
+    try:
         none = counts.where("doc_id is null").first()  # null ids come first
-        if none is None or left >= none.n:
-            left -= none.n if none else 0
-            counts = counts.where("doc_id is not null")
-            ranges = counts.repartitionByRange("doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n")).orderBy("low").collect()  # a row a partition
-            inside = None
-            for r in ranges:
+        if none is not None and left < none.n:
+            return None, left
+        left -= none.n if none else 0
+        some = counts.where("doc_id is not null")
+        while True:
+            rows = some.limit(few + 1).collect()
+            if len(rows) <= few:
+                for r in sorted(rows, key=lambda r: r.doc_id):
+                    if left < r.n:
+                        return r.doc_id, left
+                    left -= r.n
+                return None
+            ranges = some.repartitionByRange("doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n"), F.count("*").alias("docs")).collect()  # a row a partition
+            if len(ranges) == 1:  # no two ranges could be told apart: all of them, by number of documents
+                ranges = some.repartitionByRange(64, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n"), F.count("*").alias("docs")).collect()
+            for r in sorted(ranges, key=lambda r: r.low):
                 if left < r.n:
-                    inside = r
+                    some = some.where(F.col("doc_id").between(r.low, r.high))
                     break
                 left -= r.n
-            if inside is None:
-                return matches.limit(0)
-            few = counts.where(F.col("doc_id").between(inside.low, inside.high)).withColumn("upto", F.sum("n").over(Window.orderBy("doc_id")))
-            doc = few.where(F.col("upto") > left).orderBy("doc_id").first()
-            left, at_doc = left - doc.upto + doc.n, doc.doc_id
-        at = matches.where(F.col("doc_id").eqNullSafe(F.lit(at_doc))).orderBy(*ORDER).offset(left).limit(1).first()
+            else:
+                return None
+    finally:
+        counts.unpersist()
+
+
+def after(matches: DataFrame, offset: int, top: int = TOP) -> DataFrame:
+    """Matches of all documents without the first `offset`. No rows are brought together: the place where the rest begins is found first, for an offset over `top` by counts by document and range of documents."""
+    if offset <= 0:
+        return matches
+    if offset <= top:
+        at = matches.orderBy(*ORDER).offset(offset).limit(1).first()
+    else:
+        place = _place(matches, offset, top)
+        at = matches.where(F.col("doc_id").eqNullSafe(F.lit(place[0]))).orderBy(*ORDER).offset(place[1]).limit(1).first() if place else None
     if at is None:
         return matches.limit(0)
-    place = F.struct(*ORDER[1:]) >= F.struct(*[F.lit(at[c]).cast(dict(matches.dtypes)[c]).alias(c) for c in ORDER[1:]])
+    rest = F.struct(*ORDER[1:]) >= F.struct(*[F.lit(at[c]).cast(dict(matches.dtypes)[c]).alias(c) for c in ORDER[1:]])
     later = F.col("doc_id").isNotNull() if at.doc_id is None else F.col("doc_id") > F.lit(at.doc_id)
-    return matches.where(later | (F.col("doc_id").eqNullSafe(F.lit(at.doc_id)) & place))
+    return matches.where(later | (F.col("doc_id").eqNullSafe(F.lit(at.doc_id)) & rest))
 
 
 #: Equal matches of a line and pattern.
@@ -143,6 +157,50 @@ def match_payload(matches: DataFrame, offset: int = 0, limit: int = 50, dedupe:
     return out.select("doc_id", "total_matches", after_offset.alias("matches_after_offset"), n.alias("returned_matches"), (F.lit(not count_only) & (after_offset > n)).alias("truncated"), "sample")
 
 
+def _quoted(value: Column) -> Column:
+    """JSON text of a string, null too."""
+    said = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substring(said, F.lit(2), F.length(said) - 2)
+
+
+def result_json(payload: DataFrame, given: list[str], offset: int = 0, budget: int = 8000, count_only: bool = False, dedupe: bool = False, line_text: bool = True, saved_to: str | None = None) -> DataFrame:
+    """doc_id, returned_matches, truncated and json: each document's payload as JSON text, in the form of `regex_result`. The sample is its longest beginning with which the text has at most `budget` characters, found by running sums of the encoded lengths; where none fits, it is empty and the hint says so."""
+    ps, offset = patterns(given), max(0, offset)
+    groups = F.array(*[F.lit(p.groups) for p in ps])
+
+    def record(m: Column) -> Column:
+        n = F.element_at(groups, m["pattern_index"] + 1)
+        many = F.concat(F.lit("["), F.array_join(F.transform(m["groups"], _quoted), ", "), F.lit("]"))
+        parts = [F.lit('{"pattern_index": '), m["pattern_index"].cast("string"), F.lit(', "pattern": '), _quoted(m["pattern"]), F.lit(', "line_number": '), m["line_number"].cast("string"), F.lit(', "match": '), F.when(n > 1, many).otherwise(_quoted(F.get(m["groups"], F.lit(0)))), F.lit(', "full_match": '), _quoted(m["full_match"])]
+        return F.concat(*parts, *([F.lit(', "line": '), _quoted(m["line"])] if line_text else []), F.lit("}"))
+
+    said = lambda x: json.dumps(x, ensure_ascii=False)
+    number = lambda c: F.col(c).cast("string")
+    yes = lambda c: F.when(c, "true").otherwise("false")
+    head = F.concat(F.lit('{"ok": true, "file_path": '), _quoted(F.col("doc_id").cast("string")), F.lit(f', "regex_pattern": {said(given[0])}, "regex_patterns": {said([p.source for p in ps])}, "total_matches": '), number("total_matches"), F.lit(f', "offset_matches": {offset}, "matches_after_offset": '), number("matches_after_offset"), F.lit(', "returned_matches": '))
+    tail = F.lit(f', "count_only": {said(count_only)}, "dedupe": {said(dedupe)}, "saved_to": {said(saved_to)}, "include_line_text": {said(line_text)}, "sample": [')
+    hint, none = (f'], "hint": {said(h)}}}' for h in (HINT, NO_ROOM))
+    cut = lambda k: F.lit(not count_only) & (F.col("matches_after_offset") > k)
+    p = payload.select("doc_id", "matches_after_offset", F.transform("sample", record).alias("_records"), head.alias("_head"))
+    fixed = F.length("_head") + len(', "truncated": ') + F.length(tail) + len(hint)
+    fits = lambda k, n: fixed + F.length(k.cast("string")) + F.length(yes(cut(k))) + n <= budget
+    none_yet = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.when(fits(F.lit(0), F.lit(0)), 0).otherwise(-1).alias("best"))
+
+    def step(a, x):
+        k, n = a["k"] + 1, a["n"] + F.length(x) + F.when(a["k"] > 0, 2).otherwise(0)
+        return F.struct(k.alias("k"), n.alias("n"), F.when(fits(k, n), k).otherwise(a["best"]).alias("best"))
+
+    k = F.aggregate("_records", none_yet, step)["best"] if not count_only else F.lit(0)
+    p = p.withColumn("_k", k.cast("int")).withColumn("returned_matches", F.greatest("_k", F.lit(0)).cast("long"))
+    short = (F.col("_k") < 0) | cut(F.col("returned_matches"))
+    text = F.concat("_head", number("returned_matches"), F.lit(', "truncated": '), yes(short), tail, F.array_join(F.slice("_records", F.lit(1), F.greatest("_k", F.lit(0))), ", "), F.when(F.col("_k") < 0, none).otherwise(hint))
+    return p.select("doc_id", "returned_matches", short.alias("truncated"), text.alias("json"))
+
+
+#: What a result says next; the second where no sample fits.
+HINT, NO_ROOM = "raise offset_matches for the next matches", "no sample fits max_output_chars: count first, or save the matches"
+
+
 def save_matches(matches: DataFrame, path: str, offset: int = 0) -> None:
     """JSON Lines in the order of matches, a folder of part files that are sorted among themselves; nulls stay."""
     rest = after(matches, offset).orderBy(*ORDER)
@@ -183,11 +241,11 @@ def regex_result(docs: DataFrame, regex_pattern: str, regex_patterns: list[str]
     for m in (row["sample"] or []) if row else []:
         sample.append({"pattern_index": m.pattern_index, "pattern": m.pattern, "line_number": m.line_number, "match": _union(m.groups, n_groups[m.pattern_index]), "full_match": m.full_match} | ({"line": m.line} if include_line_text else {}))
     after = row.matches_after_offset if row else 0
-    out = {"ok": True, "file_path": str(name[0]) if name else "", "regex_pattern": regex_pattern, "regex_patterns": given, "total_matches": row.total_matches if row else 0, "offset_matches": offset, "matches_after_offset": after, "returned_matches": len(sample), "truncated": not count_only and after > len(sample), "count_only": count_only, "dedupe": dedupe, "saved_to": save_to, "include_line_text": include_line_text, "sample": sample, "hint": "raise offset_matches for the next matches"}
+    out = {"ok": True, "file_path": str(name[0]) if name else "", "regex_pattern": regex_pattern, "regex_patterns": given, "total_matches": row.total_matches if row else 0, "offset_matches": offset, "matches_after_offset": after, "returned_matches": len(sample), "truncated": not count_only and after > len(sample), "count_only": count_only, "dedupe": dedupe, "saved_to": save_to, "include_line_text": include_line_text, "sample": sample, "hint": HINT}
     said = lambda: json.dumps(out, ensure_ascii=False)
     while not count_only and len(said()) > budget and sample:
         sample.pop()
         out |= {"returned_matches": len(sample), "truncated": True}
     if not count_only and len(said()) > budget:
-        out |= {"sample": [], "returned_matches": 0, "truncated": True, "hint": "no sample fits max_output_chars: count first, or save the matches"}
+        out |= {"sample": [], "returned_matches": 0, "truncated": True, "hint": NO_ROOM}
     return said()

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions.text import normal_title
-from .operators import audit, matches, outline, trace, tree
+from .operators import audit, edits, matches, outline, prefilter, trace, tree
+from .plans import discover
 from .plans.blueprint import Blueprint
-from .sources import text
+from .sources import ranges, text
+from .sources._shared import shared_folder
 
 PATTERNS = ["[0-9]+", "([A-Za-z0-9._]+)@([A-Za-z0-9.]+)", "[A-Z][a-z]+", " ", "[a-z]+ing[.,]"]
 STARTS = "^(The|Le|La|El|Der|Die|Das|That|And) "
@@ -262,7 +265,80 @@ def trace_log(spark, sf_dir):
     return t.select("conv_id", *_long("idx", "call_ord"), "type", "tool_call_id", "tool_name", "args", "content", "ai_content", "output", "status")
 
 
-QUERIES = [line_scan, text_segment, default_segment, char_length, regex_matches, regex_matches_exact, regex_matches_bare, regex_null_groups, regex_counts, regex_counts_exact, regex_page, regex_page_everywhere, regex_dedupe, regex_payload, regex_payload_count, excluded_lines, valid_headings, headings_after_empty_lines, heading_outline, sections, audit_gaps, audit_collisions, audit_sequence, heading_sequence, pattern_stats, page_titles, tree_nodes, tree_children, tree_subtree, tree_find_title, tree_resolve, tree_titles, tree_insert, tree_insert_middle, tree_upsert, tree_upsert_new, tree_update, tree_append_summary, tree_json, tree_json_meta, trace_log]
+def line_scan_ranges(spark, sf_dir):
+    """All documents, in order, as one text in many files, read by ranges."""
+    at = shared_folder(spark, "text")
+    d = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").select("text").write.text(at)
+    return ranges.scan_lines(spark, at, together=True).select("line_number", "char_start", "line", "ended")
+
+
+STEMS = ["tion", "ing", "ment", "heit", "keit", "lich", "ción", "mente", "eaux", "ung", "able", "ness", "ther", "sch", "que", "ous"]
+MANY = [p for s in STEMS for p in (f"[a-z]*{s}[.,]", f"^[A-Z][a-z]*{s}", f"({s}|[0-9]{s[0]})([a-z]*)")] + ["[0-9]{4,}"]
+
+
+def regex_many(spark, sf_dir):
+    m = prefilter.match_many(_lines(spark, sf_dir), MANY, line_text=False)
+    return m.select("doc_id", *_long("line_number", "pattern_index", "match_ord"), "full_match", F.array_join("groups", "|").alias("groups"))
+
+
+def regex_page_far(spark, sf_dir):
+    return _shown(matches.match_page(_table(spark, sf_dir), matches.TOP * 2, 50, everywhere=True))
+
+
+#: A pattern with braces that are none of Java's, and one with a comment.
+ODD = ["[a-z]{2}{", "(?#a shout)[A-Z]{4,}!", "a{,2}re", "\\0"]
+
+
+def regex_odd_patterns(spark, sf_dir):
+    return matches.match_counts(_lines(spark, sf_dir), ODD, by=("doc_id",)).select("doc_id", *_long("pattern_index", "n_matches", "n_lines"))
+
+
+def regex_json(spark, sf_dir):
+    given, docs = [PATTERNS[0], PATTERNS[2]], _docs(spark, sf_dir)
+    p = matches.match_payload(matches.match_table(_lines(spark, sf_dir), given, line_text=False), 1, 40, docs=docs)
+    return matches.result_json(p, given, 1, 1200, line_text=False).select("doc_id", "returned_matches", "truncated", "json")
+
+
+def line_shapes(spark, sf_dir):
+    return discover.shape_stats(_lines(spark, sf_dir)).select("shape", *_long("n_lines", "n_docs", "n_long", "longest"))
+
+
+def _ledger(spark, sf_dir) -> DataFrame:
+    """A customer's orders and their items as lines of a text."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", F.concat(F.lit("§ "), "o_orderkey", F.lit(" "), "o_orderpriority").alias("line"), F.lit(0).alias("n"))
+    i = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("  ("), "l_linenumber", F.lit(") item")).alias("head"), F.col("l_linenumber").alias("n"))
+    i = o.select("o_custkey", "o_orderkey").join(i, "o_orderkey").select("o_custkey", "o_orderkey", F.explode(F.array(F.struct((F.col("n") * 2 - 1).alias("n"), F.col("head").alias("line")), F.struct((F.col("n") * 2).alias("n"), F.lit("packed as ordered").alias("line")))).alias("x")).select("o_custkey", "o_orderkey", "x.*")
+    rows = o.unionByName(i).withColumn("line_number", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey", "n")))
+    return rows.select(F.col("o_custkey").alias("doc_id"), "line_number", "line")
+
+
+def discovered_headings(spark, sf_dir):
+    """Headings by a blueprint that is found in the texts themselves."""
+    ls = _ledger(spark, sf_dir)
+    bp = discover.discover(ls)
+    placed = outline.outline(outline.headings(ls, bp), bp)
+    return placed.select("doc_id", *_long("line_number", "level", "parent_line"), "name", "orphan", _path())
+
+
+def _edit_log(nodes: DataFrame) -> DataFrame:
+    """Seven edits of each tree, of which paths depend on those before, and two fail."""
+    e = lambda no, action, path=None, titles=None, position=None, title=None, summary=None, more=None: F.struct(F.lit(no).alias("edit_no"), F.lit(action).alias("action"), (F.array(*map(F.lit, path)) if path is not None else F.lit(None)).cast("array<int>").alias("path"), (titles if titles is not None else F.lit(None)).cast("array<string>").alias("titles"), F.lit(position).cast("int").alias("position"), F.lit(title).cast("string").alias("section_title"), F.lit(summary).cast("string").alias("content_summary"), F.lit(more).cast("string").alias("append_text"), F.lit(True).alias("create_missing"))
+    each = [e(1, "append_child", [], position=0, title="Start", summary="new"), e(2, "append_child", [], position=0, title="Before", summary="b"), e(3, "update_node", [2], title="Renamed"), e(4, "append_to_summary", [1], more=" more"), e(5, "append_child", [], position=1_000_000, title="no", summary=""), e(6, "upsert_child", [], title=" Start ", summary="x"), e(7, "ensure_path", titles=F.array(F.concat(F.lit("doc "), "ast_id"), F.lit("Before"), F.lit("Deep")))]
+    return nodes.where(F.size("path") == 0).select("ast_id", F.explode(F.array(*each)).alias("e")).select("ast_id", "e.*")
+
+
+def tree_edit_log(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    return edits.nodes_after(edits.replay(n, _edit_log(n))).select("ast_id", _path(), "section_title", "content_summary")
+
+
+def tree_edit_outcomes(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    return edits.outcomes(edits.replay(n, _edit_log(n))).select("ast_id", "edit_no", "action", "ok", "op", _path(), "rev")
+
+
+QUERIES = [line_scan_ranges, regex_many, regex_page_far, regex_odd_patterns, regex_json, line_shapes, discovered_headings, tree_edit_log, tree_edit_outcomes, line_scan, text_segment, default_segment, char_length, regex_matches, regex_matches_exact, regex_matches_bare, regex_null_groups, regex_counts, regex_counts_exact, regex_page, regex_page_everywhere, regex_dedupe, regex_payload, regex_payload_count, excluded_lines, valid_headings, headings_after_empty_lines, heading_outline, sections, audit_gaps, audit_collisions, audit_sequence, heading_sequence, pattern_stats, page_titles, tree_nodes, tree_children, tree_subtree, tree_find_title, tree_resolve, tree_titles, tree_insert, tree_insert_middle, tree_upsert, tree_upsert_new, tree_update, tree_append_summary, tree_json, tree_json_meta, trace_log]
 
 
 def queries() -> dict:
@@ -326,9 +402,67 @@ K AS (SELECT *, CASE WHEN path = '' THEN CAST([] AS BIGINT[]) ELSE CAST(string_s
 NORMAL = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
 
+def _many() -> str:
+    each = []
+    for k, p in enumerate(MANY):
+        groups = f"unnest(regexp_extract_all(line, '{p}', 1)) || '|' || unnest(regexp_extract_all(line, '{p}', 2))" if "(" in p else f"unnest(regexp_extract_all(line, '{p}'))"
+        each.append(f"SELECT doc_id, line_number, CAST({k} AS BIGINT) AS pattern_index, unnest(range(0, len(regexp_extract_all(line, '{p}')))) AS match_ord, unnest(regexp_extract_all(line, '{p}')) AS full_match, {groups} AS groups FROM L")
+    return f"WITH {L} " + " UNION ALL ".join(each)
+
+
+def _json() -> str:
+    """Records as texts, running sums of their lengths, and the last one with which the whole fits."""
+    q = lambda c: f"CAST(to_json({c}) AS VARCHAR)"
+    record = f"'{{\"pattern_index\": ' || i || ', \"pattern\": ' || {q('pattern')} || ', \"line_number\": ' || line_number || ', \"match\": ' || {q('full_match')} || ', \"full_match\": ' || {q('full_match')} || '}}'"
+    head = f"'{{\"ok\": true, \"file_path\": \"' || doc_id || '\", \"regex_pattern\": \"{PATTERNS[0]}\", \"regex_patterns\": [\"{PATTERNS[0]}\", \"{PATTERNS[2]}\"], \"total_matches\": ' || total || ', \"offset_matches\": 1, \"matches_after_offset\": ' || rest || ', \"returned_matches\": '"
+    middle = "', \"truncated\": '"
+    tail = "', \"count_only\": false, \"dedupe\": false, \"saved_to\": null, \"include_line_text\": false, \"sample\": ['"
+    hint = f"'], \"hint\": \"{matches.HINT}\"}}'"
+    return _m([0, 2]) + f""", R AS (SELECT doc_id, pattern_index // 2 AS i, pattern, line_number, match_ord, full_match, row_number() OVER (PARTITION BY doc_id ORDER BY line_number, pattern_index, match_ord) - 1 AS n FROM M),
+S AS (SELECT doc_id, n, {record} AS record FROM R WHERE n BETWEEN 1 AND 40),
+V AS (SELECT doc_id, n, record, sum(length(record)) OVER w + 2 * (n - 1) AS so_far FROM S WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+T AS (SELECT d.doc_id, count(M.doc_id) AS total, greatest(count(M.doc_id) - 1, 0) AS rest FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN M ON d.doc_id = M.doc_id GROUP BY d.doc_id),
+H AS (SELECT *, {head} AS head FROM T),
+K AS (SELECT H.doc_id, max(CASE WHEN length(head) + length({middle}) + length({tail}) + length({hint}) + length(CAST(n AS VARCHAR)) + CASE WHEN rest > n THEN 4 ELSE 5 END + so_far <= 1200 THEN n END) AS k FROM H JOIN V ON H.doc_id = V.doc_id GROUP BY H.doc_id),
+J AS (SELECT H.*, coalesce(k, 0) AS k, coalesce((SELECT string_agg(record, ', ' ORDER BY n) FROM V WHERE V.doc_id = H.doc_id AND n <= k), '') AS sample FROM H LEFT JOIN K ON H.doc_id = K.doc_id)
+SELECT doc_id, CAST(k AS BIGINT) AS returned_matches, rest > k AS truncated, head || CAST(k AS BIGINT) || {middle} || CASE WHEN rest > k THEN 'true' ELSE 'false' END || {tail} || sample || {hint} AS json FROM J"""
+
+
+def _shapes() -> str:
+    q = lambda s: s.replace("'", "''")
+    mark = f"rtrim(regexp_extract(t, '{q(discover.MARK)}'), ' ')"
+    return L + f""", X AS (SELECT doc_id, line, least(length(regexp_extract(line, '{discover.INDENT}')), {discover.DEEPEST}) AS indent, regexp_replace(line, '{discover.INDENT}|[ \\t\\x{{3000}}]+$', '', 'g') AS t FROM L),
+Y AS (SELECT *, {mark} AS mark FROM X WHERE t <> ''),
+Z AS (SELECT doc_id, length(line) AS n, CASE WHEN mark = '' THEN 'plain' ELSE indent || ':' || CASE WHEN regexp_matches(mark, '{discover.DIGITS}') THEN regexp_replace(mark, '{discover.DIGITS}', '9', 'g') ELSE regexp_replace(regexp_replace(regexp_replace(mark, '{discover.ROMAN}', 'I', 'g'), '{discover.UPPER}', 'A', 'g'), '{discover.LOWER}', 'a', 'g') END END AS shape FROM Y)
+SELECT shape, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs, count(*) FILTER (n > 100) AS n_long, max(n) AS longest FROM Z GROUP BY shape"""
+
+
+LEDGER = """O AS (SELECT o_custkey, o_orderkey, 0 AS n FROM orders UNION ALL SELECT o_custkey, o_orderkey, l_linenumber * 2 - x.x FROM orders JOIN lineitem ON l_orderkey = o_orderkey, (VALUES (0), (1)) x(x)),
+E AS (SELECT o_custkey AS doc_id, o_orderkey, n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, n) AS line_number FROM O),
+G AS (SELECT *, max(CASE WHEN n = 0 THEN line_number END) OVER (PARTITION BY doc_id ORDER BY line_number) AS top FROM E WHERE n % 2 = 1 OR n = 0),
+Q AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY top) - 1 AS a, row_number() OVER (PARTITION BY doc_id, top ORDER BY line_number) - 2 AS b FROM G)
+SELECT doc_id, line_number, CAST(CASE n WHEN 0 THEN 1 ELSE 2 END AS BIGINT) AS level, CASE n WHEN 0 THEN 0 ELSE top END AS parent_line, CASE n WHEN 0 THEN '0:§ 9' ELSE '2:(9)' END AS name, false AS orphan, CASE n WHEN 0 THEN CAST(a AS VARCHAR) ELSE a || '.' || b END AS path FROM Q"""
+
+EDITED = """SELECT ast_id, '' AS path, section_title, content_summary FROM K WHERE len(p) = 0
+UNION ALL SELECT ast_id, x.path, x.title, x.summary FROM K, (VALUES ('0', 'Before', 'b'), ('0.0', 'Deep', ''), ('1', 'Start', 'new' || chr(10) || 'more' || chr(10) || 'x')) x(path, title, summary) WHERE len(p) = 0
+UNION ALL SELECT ast_id, concat_ws('.', CAST(p[1] + 2 AS VARCHAR), CAST(p[2] AS VARCHAR), CAST(p[3] AS VARCHAR)), CASE WHEN path = '0' THEN 'Renamed' ELSE section_title END, content_summary FROM K WHERE len(p) > 0"""
+OUTCOMES = """, F AS (SELECT ast_id, count(*) FILTER (len(p) = 1) > 0 AS had FROM K GROUP BY ast_id)
+SELECT ast_id, CAST(e.no AS BIGINT) AS edit_no, action, ok AND (e.no <> 3 OR had) AS ok, CASE WHEN e.no <> 3 OR had THEN op END AS op, CASE WHEN e.no <> 3 OR had THEN path END AS path, CAST(rev - CASE WHEN e.no >= 3 AND NOT had THEN 1 ELSE 0 END AS BIGINT) AS rev
+FROM F, (VALUES (1, 'append_child', true, 'created', '0', 1), (2, 'append_child', true, 'created', '0', 2), (3, 'update_node', true, 'updated', '2', 3), (4, 'append_to_summary', true, 'appended', '1', 4), (5, 'append_child', false, NULL, NULL, 4), (6, 'upsert_child', true, 'appended', '1', 5), (7, 'ensure_path', true, 'created', '0.0', 6)) e(no, action, ok, op, path, rev)"""
+
+
 def oracle_sql() -> dict[str, str]:
     w = "WITH "
     return {
+        "line_scan_ranges": "WITH D AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS d, string_split(regexp_replace(coalesce(text, '') || chr(10), '\\r\\n?', chr(10), 'g'), chr(10)) AS a FROM documents), U AS (SELECT d, unnest(range(1, len(a))) AS i, unnest(a[1:len(a) - 1]) AS line FROM D) SELECT row_number() OVER w AS line_number, CAST(coalesce(sum(length(line) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start, line, true AS ended FROM U WINDOW w AS (ORDER BY d, i)",
+        "regex_many": _many(),
+        "regex_page_far": w + ALL + f" SELECT {SHOWN} FROM M ORDER BY {EVERY} LIMIT 50 OFFSET 20000",
+        "regex_odd_patterns": w + L + ", N AS (SELECT doc_id, p.k, len(CASE p.k WHEN 0 THEN regexp_extract_all(line, '[a-z]{2}\\{') WHEN 1 THEN regexp_extract_all(line, '[A-Z]{4,}!') WHEN 2 THEN regexp_extract_all(line, 'a{0,2}re') ELSE [] END) AS n FROM L, (VALUES (0), (1), (2), (3)) p(k)) SELECT doc_id, CAST(k AS BIGINT) AS pattern_index, CAST(sum(n) AS BIGINT) AS n_matches, count(*) FILTER (n > 0) AS n_lines FROM N GROUP BY doc_id, k",
+        "regex_json": w + _json(),
+        "line_shapes": w + _shapes(),
+        "discovered_headings": w + LEDGER,
+        "tree_edit_log": w + T + " " + EDITED,
+        "tree_edit_outcomes": w + T + OUTCOMES,
         "line_scan": w + L + " SELECT doc_id, line_number, line FROM L",
         "text_segment": "SELECT doc_id, substring(text, 51, 100) AS middle, '' AS past, substring(text, 1, 7) AS head, md5(substring(text, 101)) AS rest_md5, '' AS none FROM documents",
         "default_segment": "SELECT doc_id, substring(text, 1, 100) AS segment FROM documents",
