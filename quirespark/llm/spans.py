@@ -2,12 +2,12 @@
 
 A text is cut into sentences: after . ! ? and their full-width forms, and at line ends. From every
 sentence on, and up to every sentence, the shortest run of at least `RUN` sentences and at least
-`least_words` words is hashed (all sentences of a shorter text); so each sentence of a repeated passage
+`least_words` words is hashed (all of a shorter text); so each sentence of a repeated passage
 of that size is in a run that lies within the passage. With least_words = 0 these are simply all runs
 of RUN sentences. Runs meet over all documents; of equal runs the first, by doc_id and place, stays,
 and sentences that any other covers are removed.
 
-So that a passage within long sentences is found as well, a sentence of over `LONG` words is also cut
+So that a passage within long sentences is found as well, a sentence of over `long` words is also cut
 into pieces, after words whose hash is the least of the seven around them: cuts follow the content
 and not the place, and a passage is cut alike wherever it stands. (There equal words in a row count
 as one, three or more end with a cut, and where words come again within three they are cut every
@@ -91,8 +91,9 @@ def picked(words: list[str]) -> list[int]:
     return out[:-1]
 
 
-def sentences(text: str) -> tuple[list[int], list[bytes], list[int], list[bool]]:
-    """Ends of the pieces, which together are the whole text; their words in lower case; their numbers of words; whether a sentence ends there."""
+def sentences(text: str, long: int | None = LONG) -> tuple[list[int], list[bytes], list[int], list[bool]]:
+    """Ends of the pieces, which together are the whole text; their words in lower case; their numbers of words; whether a sentence ends there. long: sentences of more words are cut; None: none are."""
+    long = len(text) if long is None else long
     ends, keys, sizes, last = [], [], [], []
     unspaced = not text.isascii() and UNSPACED.search(text) is not None
 
@@ -112,14 +113,14 @@ def sentences(text: str) -> tuple[list[int], list[bytes], list[int], list[bool]]
             words = [m[0].strip().lower() for m in found]
             quarters = [4 if m.lastindex is None else 2 if m.lastindex == 1 else 1 for m in found]
             begin = 0
-            for i in [*(picked(words) if sum(quarters) > 4 * LONG else []), len(words) - 1]:
+            for i in [*(picked(words) if sum(quarters) > 4 * long else []), len(words) - 1]:
                 add(found[i].end() if i < len(words) - 1 else stop, words[begin : i + 1], max(1, (sum(quarters[begin : i + 1]) + 2) // 4))
                 begin = i + 1
             last[-1:] = [True] * bool(last)
             at = stop
             continue
         words = text[at:stop].lower().split()
-        if len(words) > LONG:
+        if len(words) > long:
             places = [m.end() for m in TOKEN.finditer(text, at, stop)]
             begin = 0
             for i in picked(words):
@@ -162,7 +163,7 @@ _KINDS = {"long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32
 _NAMES, _TYPES = zip(*((x.split()[0], _KINDS[x.split()[1]]) for x in ROW.split(", ")))
 
 
-def _runs(batches, least: int):
+def _runs(batches, least: int, long: int | None):
     """Task function: (doc_id, mark, text) to rows of ROW: one about each text (n: its sentences; ends and sizes of its pieces), and one for each run (its first piece, number of pieces, and hash, which is null where an earlier text or place of the chunk has the same run)."""
     from xxhash import xxh3_128_digest
 
@@ -172,11 +173,11 @@ def _runs(batches, least: int):
         mark = b.column("mark").to_numpy()
         words, begins, lengths, counts, whole, firsts, done = [], [], [], [], [], [], 0
         for t in texts:
-            e, k, s, last = sentences(t) if t else ([], [], [], [])
+            e, k, s, last = sentences(t, long) if t else ([], [], [], [])
             whole.append((sum(last), e, s))
             counts.append(0)
-            if e and sum(s) >= least:
-                x, y = runs(np.array(s), np.array(last), least)
+            if e:
+                x, y = runs(np.array(s), np.array(last), min(least, sum(s)))
                 begins.append(x + done)
                 lengths.append(y - x)
                 counts[-1] = len(x)
@@ -225,10 +226,10 @@ def _without(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), pa.array(gone, pa.int64()), pa.array(words, pa.int64()), text], ["doc_id", "n_sentences", "n_removed", "words_removed", "text"])
 
 
-def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """A row a document: doc_id, n_sentences, n_removed (pieces of the text, mostly sentences), words_removed and the text that stays. least_words: shorter runs of sentences are lengthened to so many words; with 0 every run of RUN sentences counts."""
+def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, long: int | None = LONG) -> DataFrame:
+    """A row a document: doc_id, n_sentences, n_removed (pieces of the text, mostly sentences), words_removed and the text that stays. least_words: shorter runs of sentences are lengthened to so many words; with 0 every run of RUN sentences counts. long: sentences of more words are cut into pieces too; None: none are."""
     d = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    found = cut(d.mapInArrow(partial(_runs, least=least_words), ROW))
+    found = cut(d.mapInArrow(partial(_runs, least=least_words, long=long), ROW))
     # A run whose hash stands in one chunk alone is no repeat: a bit field keeps most of these out of the exchange of whole rows.
     twice = cut(found.where("k1 is not null").groupBy("k1").agg(F.count("*").alias("c")).where("c > 1").select("k1"))
     field = docs.sparkSession.sparkContext.broadcast(bit_field(twice, "k1"))
@@ -242,8 +243,7 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     gone = named(again).groupBy(*by).agg(F.collect_list(F.struct("first", "pieces")).alias("r"))
     about = named(found.where("n is not null")).select(*by, "n", "ends", "sizes").dropDuplicates(by).join(gone.hint("merge"), by, "left")
     whole = named(d).join(about.hint("merge"), by).withColumn("copy", F.row_number().over(Window.partitionBy(*by).orderBy("mark")))
-    long_enough = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x) >= least_words
-    whole = whole.withColumn("copied", (F.col("copy") > 1) & long_enough)
+    whole = whole.withColumn("copied", (F.col("copy") > 1) & (F.size("sizes") > 0))
     touched = F.col("r").isNotNull() | F.col("copied")
     whole = whole.select("doc_id", "text", F.col("n").cast("long").alias("n"), *[F.when(touched, F.col(c)).alias(c) for c in ("ends", "sizes")], "r", "copied")
     return whole.mapInArrow(_without, "doc_id long, n_sentences long, n_removed long, words_removed long, text string")

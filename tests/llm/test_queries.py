@@ -16,7 +16,7 @@ from quirespark.llm import queries as registered  # noqa: E402
 
 from .test_operators import BASE, LONG, SECRET_TEXTS, brute_groups, brute_hits, linked_spans, plain_targets, prose, split  # noqa: E402
 
-SCHEMA = "doc_id long, text string, lang string, source string, score double, _mark string, label long, s int, n_words int"
+SCHEMA = "doc_id long, text string, lang string, source string, score double, `a.b` string, label long, s int, n_words int"
 
 
 def documents():
@@ -146,7 +146,7 @@ def test_pipeline(spark, folder):
     """Each stage against plain Python on what its predecessor kept; the mix holds the words of what is left, as often as its targets say."""
     at, empty = folder
     docs, rows = spark.read.parquet(f"{at}/documents.parquet"), documents()
-    plain = lambda df: sorted(((r.doc_id, r.text, r.source, r.lang, r.score, r._mark, r.label, r.s, r.n_words) for r in df.collect()), key=str)
+    plain = lambda df: sorted(((r.doc_id, r.text, r.source, r.lang, r.score, r['a.b'], r.label, r.s, r.n_words) for r in df.collect()), key=str)
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality classifier", "near dedup", "decontamination", "secrets", "mixing"]
     model = rules.fit(docs, spark.read.parquet(f"{at}/labels.parquet"))
