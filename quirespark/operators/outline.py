@@ -12,9 +12,10 @@ from ..functions import search
 from ..functions.dialect import pattern
 from ..functions.text import SPACE
 from ..plans.blueprint import Blueprint, HierarchyRule
+from .context import CONTEXTS, Context, neighbours
 
 
-def _rule(rule: HierarchyRule, previous: Column) -> tuple[Column, Column]:
+def _rule(rule: HierarchyRule, previous: Column, contexts: dict[str, Context]) -> tuple[Column, Column]:
     """Whether the line is a heading by this rule, and the heading."""
     v, line = rule.validation_rules, F.col("line")
     heading = search.first(line, pattern(rule.regex), at_start=bool(v is not None and v.requires_line_start))
@@ -27,6 +28,7 @@ def _rule(rule: HierarchyRule, previous: Column) -> tuple[Column, Column]:
         tests += [F.contains(heading, F.lit(x)) for x in v.must_contain or []]
         tests += [~F.contains(heading, F.lit(x)) for x in v.must_not_contain or []]
         tests += [~F.endswith(line, F.lit(x)) for x in v.must_not_end_with or []]
+        tests += [F.coalesce(contexts[n].test(lambda k: F.col(f"_at{k}") if k else line), F.lit(False)) for n in v.context_filters or [] if n in contexts]
     return reduce(lambda a, b: a & b, tests), heading
 
 
@@ -36,24 +38,27 @@ def excluded(bp: Blueprint) -> Column:
     return reduce(lambda a, b: a | b, found, F.lit(False))
 
 
-def classify(lines: DataFrame, bp: Blueprint) -> DataFrame:
-    """lines less excluded ones, with hits: (level, place in the blueprint, name, heading, unevaluated filters) of each rule that holds, lowest level first. The line before is the raw one; a document's first line counts as after an empty one."""
+def classify(lines: DataFrame, bp: Blueprint, contexts: dict[str, Context] = CONTEXTS) -> DataFrame:
+    """lines less excluded ones, with hits: (level, place in the blueprint, name, heading, unevaluated filters) of each rule that holds, lowest level first. The line before is the raw one; a document's first line counts as after an empty one. contexts: the context filters that can be tested; others are carried along."""
     previous = F.col("_previous")
     needs = any(r.validation_rules and r.validation_rules.requires_prev_empty_line for r in bp.hierarchy_structure)
     if needs:
         lines = lines.withColumn("_previous", F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_number")))
+    filters = [n for r in bp.hierarchy_structure if r.validation_rules for n in r.validation_rules.context_filters or []]
+    around = neighbours([n for n in filters if n in contexts], contexts)
+    lines = lines.withColumns({f"_at{k}": c for k, c in around.items()}) if around else lines
     found = []
     for i, r in enumerate(bp.hierarchy_structure):
-        ok, heading = _rule(r, previous)
-        left = F.array(*[F.lit(x) for x in (r.validation_rules.context_filters if r.validation_rules else None) or []]).cast("array<string>")
+        ok, heading = _rule(r, previous, contexts)
+        left = F.array(*[F.lit(x) for x in (r.validation_rules.context_filters if r.validation_rules else None) or [] if x not in contexts]).cast("array<string>")
         found.append(F.when(ok, F.struct(F.lit(r.level).alias("level"), F.lit(i).alias("place"), F.lit(r.name).alias("name"), heading.alias("heading"), left.alias("unevaluated_filters"))))
     hits = F.array_sort(F.array_compact(F.array(*found)))
-    return lines.where(~excluded(bp)).withColumn("hits", hits).drop("_previous")
+    return lines.where(~excluded(bp)).withColumn("hits", hits).drop("_previous", *[f"_at{k}" for k in around])
 
 
-def headings(lines: DataFrame, bp: Blueprint) -> DataFrame:
+def headings(lines: DataFrame, bp: Blueprint, contexts: dict[str, Context] = CONTEXTS) -> DataFrame:
     """doc_id, line_number, level, name, heading, hit_levels, unevaluated_filters: a line with several hits has the lowest level, the first rule on ties."""
-    c = classify(lines, bp).where(F.size("hits") > 0)
+    c = classify(lines, bp, contexts).where(F.size("hits") > 0)
     top = F.element_at("hits", 1)
     return c.select("doc_id", "line_number", top["level"].alias("level"), top["name"].alias("name"), top["heading"].alias("heading"), F.transform("hits", lambda h: h["level"]).alias("hit_levels"), top["unevaluated_filters"].alias("unevaluated_filters"))
 

@@ -18,7 +18,7 @@ class ValidationRules:
     must_contain: list[str] | None = None
     must_not_contain: list[str] | None = None
     must_not_end_with: list[str] | None = None
-    context_filters: list[str] | None = None  # in words; carried along, not evaluated
+    context_filters: list[str] | None = None  # in words; those with a test (operators.context) are evaluated, others carried along
 
 
 @dataclass

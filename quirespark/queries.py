@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions.text import normal_title
-from .operators import audit, edits, matches, outline, prefilter, trace, tree
+from .operators import audit, edits, guard, matches, numbering, outline, prefilter, summary, trace, tree
 from .plans import discover
 from .plans.blueprint import Blueprint
 from .sources import ranges, text
+from .sources.document_files import DocumentFiles
 from .sources._shared import shared_folder
 
 PATTERNS = ["[0-9]+", "([A-Za-z0-9._]+)@([A-Za-z0-9.]+)", "[A-Z][a-z]+", " ", "[a-z]+ing[.,]"]
@@ -338,7 +339,61 @@ def tree_edit_outcomes(spark, sf_dir):
     return edits.outcomes(edits.replay(n, _edit_log(n))).select("ast_id", "edit_no", "action", "ok", "op", _path(), "rev")
 
 
-QUERIES = [line_scan_ranges, regex_many, regex_page_far, regex_odd_patterns, regex_json, line_shapes, discovered_headings, tree_edit_log, tree_edit_outcomes, line_scan, text_segment, default_segment, char_length, regex_matches, regex_matches_exact, regex_matches_bare, regex_null_groups, regex_counts, regex_counts_exact, regex_page, regex_page_everywhere, regex_dedupe, regex_payload, regex_payload_count, excluded_lines, valid_headings, headings_after_empty_lines, heading_outline, sections, audit_gaps, audit_collisions, audit_sequence, heading_sequence, pattern_stats, page_titles, tree_nodes, tree_children, tree_subtree, tree_find_title, tree_resolve, tree_titles, tree_insert, tree_insert_middle, tree_upsert, tree_upsert_new, tree_update, tree_append_summary, tree_json, tree_json_meta, trace_log]
+def tree_files(spark, sf_dir):
+    """Trees written as JSON, a file each, and read back."""
+    spark.dataSource.register(DocumentFiles)
+    at = shared_folder(spark, "trees")
+    trees = tree.nodes_to_json(_nodes(spark, sf_dir)).withColumnsRenamed({"ast_id": "name", "json": "text"})
+    trees.write.format("document_files").option("suffix", ".json").mode("append").save(at)
+    back = spark.read.format("document_files").option("suffix", ".json").load(at).withColumnsRenamed({"name": "ast_id", "text": "json"})
+    return tree.nodes_from_json(back).select("ast_id", _path(), "section_title", "content_summary")
+
+
+BEFORE_LONGER = Blueprint([{"level": 1, "name": "head", "regex": "[A-Z][a-z]+", "validation_rules": {"context_filters": ["followed by a longer line", "said in words"]}}])
+
+
+def headings_in_context(spark, sf_dir):
+    found = outline.headings(_lines(spark, sf_dir), BEFORE_LONGER)
+    return found.select("doc_id", *_long("line_number"), "heading", F.array_join("unevaluated_filters", ",").alias("unevaluated_filters"))
+
+
+def numbers_out_of_place(spark, sf_dir):
+    """Items of an order by date: how many of their numbers are in the longest rising run."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = items.select("l_orderkey", F.row_number().over(w).alias("place"), F.array("l_linenumber").alias("number"))
+    return numbering.in_place(rows, ["l_orderkey"], "place", "number").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if("in_place").alias("n_in_place"))
+
+
+def extractive_summaries(spark, sf_dir):
+    s = outline.sections(*_placed(spark, sf_dir))
+    return summary.extract(s, ["doc_id", "line_number"], length=300).select("doc_id", *_long("line_number"), "summary")
+
+
+def _guarded(spark, sf_dir) -> guard.Batch:
+    """Tokens of each tree, good and bad, and seven uses of them, of which one succeeds."""
+    n = _nodes(spark, sf_dir)
+    ids = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("ast_id"), "doc_id")
+    meta = ids.select("ast_id", (F.col("doc_id") % 3).alias("rev"), F.lit(None).cast("timestamp").alias("updated_at"))
+    now, path = F.lit("2024-01-01 12:00:00").cast("timestamp"), lambda *p: F.array(*map(F.lit, p)).cast("array<int>")
+    t = lambda name, purpose, at, minutes: F.struct(F.lit(name).alias("name"), F.lit(purpose).alias("purpose"), at.alias("path"), F.lit(minutes).alias("minutes"))
+    tokens = meta.select("ast_id", "rev", F.explode(F.array(t("a", "append_child", path(), 5), t("b", "update_node", path(), 5), t("c", "append_child", path(), -1), t("d", "append_child", path(0), 5))).alias("t"))
+    tokens = tokens.select(F.concat("t.name", "ast_id").alias("token"), "ast_id", "t.purpose", "t.path", F.col("rev").alias("issued_rev"), (now + F.make_dt_interval(mins=F.col("t.minutes"))).alias("expires_at"))
+    e = lambda no, name, action, at, position=None: F.struct(F.lit(no).alias("no"), F.lit(name).alias("name"), F.lit(action).alias("action"), at.alias("path"), F.lit(position).cast("int").alias("position"))
+    uses = [e(1, "c", "append_child", path()), e(2, "c", "append_child", path()), e(3, "b", "append_child", path()), e(4, "d", "append_child", path(0), 99), e(5, "a", "append_child", path(), 0), e(6, "b", "update_node", path()), e(7, "d", "append_child", path(0))]
+    batch = ids.select("ast_id", "doc_id", F.explode(F.array(*uses)).alias("e")).select("ast_id", (F.col("doc_id") * 10 + F.col("e.no")).alias("edit_no"), F.concat("e.name", "ast_id").alias("token"), "e.action", "e.path", "e.position", F.lit("New").alias("section_title"), F.lit("text").alias("content_summary"))
+    return guard.commit(n, meta, tokens, batch, now)
+
+
+def tree_guarded_outcomes(spark, sf_dir):
+    return _guarded(spark, sf_dir).outcomes.select("ast_id", "edit_no", "action", "ok", "error", "rev")
+
+
+def tree_guarded_nodes(spark, sf_dir):
+    return _guarded(spark, sf_dir).nodes.select("ast_id", _path(), "section_title", "content_summary")
+
+
+QUERIES = [tree_files, headings_in_context, numbers_out_of_place, extractive_summaries, tree_guarded_outcomes, tree_guarded_nodes, line_scan_ranges, regex_many, regex_page_far, regex_odd_patterns, regex_json, line_shapes, discovered_headings, tree_edit_log, tree_edit_outcomes, line_scan, text_segment, default_segment, char_length, regex_matches, regex_matches_exact, regex_matches_bare, regex_null_groups, regex_counts, regex_counts_exact, regex_page, regex_page_everywhere, regex_dedupe, regex_payload, regex_payload_count, excluded_lines, valid_headings, headings_after_empty_lines, heading_outline, sections, audit_gaps, audit_collisions, audit_sequence, heading_sequence, pattern_stats, page_titles, tree_nodes, tree_children, tree_subtree, tree_find_title, tree_resolve, tree_titles, tree_insert, tree_insert_middle, tree_upsert, tree_upsert_new, tree_update, tree_append_summary, tree_json, tree_json_meta, trace_log]
 
 
 def queries() -> dict:
@@ -446,14 +501,34 @@ SELECT doc_id, line_number, CAST(CASE n WHEN 0 THEN 1 ELSE 2 END AS BIGINT) AS l
 EDITED = """SELECT ast_id, '' AS path, section_title, content_summary FROM K WHERE len(p) = 0
 UNION ALL SELECT ast_id, x.path, x.title, x.summary FROM K, (VALUES ('0', 'Before', 'b'), ('0.0', 'Deep', ''), ('1', 'Start', 'new' || chr(10) || 'more' || chr(10) || 'x')) x(path, title, summary) WHERE len(p) = 0
 UNION ALL SELECT ast_id, concat_ws('.', CAST(p[1] + 2 AS VARCHAR), CAST(p[2] AS VARCHAR), CAST(p[3] AS VARCHAR)), CASE WHEN path = '0' THEN 'Renamed' ELSE section_title END, content_summary FROM K WHERE len(p) > 0"""
-OUTCOMES = """, F AS (SELECT ast_id, count(*) FILTER (len(p) = 1) > 0 AS had FROM K GROUP BY ast_id)
+OUTCOMES = """
 SELECT ast_id, CAST(e.no AS BIGINT) AS edit_no, action, ok AND (e.no <> 3 OR had) AS ok, CASE WHEN e.no <> 3 OR had THEN op END AS op, CASE WHEN e.no <> 3 OR had THEN path END AS path, CAST(rev - CASE WHEN e.no >= 3 AND NOT had THEN 1 ELSE 0 END AS BIGINT) AS rev
 FROM F, (VALUES (1, 'append_child', true, 'created', '0', 1), (2, 'append_child', true, 'created', '0', 2), (3, 'update_node', true, 'updated', '2', 3), (4, 'append_to_summary', true, 'appended', '1', 4), (5, 'append_child', false, NULL, NULL, 4), (6, 'upsert_child', true, 'appended', '1', 5), (7, 'ensure_path', true, 'created', '0.0', 6)) e(no, action, ok, op, path, rev)"""
 
 
+def _summaries() -> str:
+    sentence, words = summary.SENTENCE, summary.WORDS
+    return _sections(40) + f""", Q9 AS (SELECT doc_id, line_number, list_filter(list_transform(regexp_extract_all(body, '{sentence}'), lambda s: trim(s, ' ')), lambda s: regexp_matches(s, '{words}')) AS a FROM X),
+S9 AS (SELECT doc_id, line_number, unnest(range(0, len(a))) AS place, unnest(a) AS sentence FROM Q9),
+V9 AS (SELECT doc_id, line_number, place, unnest(regexp_extract_all(lower(sentence), '{words}')) AS word FROM S9),
+F9 AS (SELECT word, length(bin((SELECT count(*) FROM X) // count(*))) - 1 AS weight FROM (SELECT DISTINCT doc_id, line_number, word FROM V9) GROUP BY word),
+R9 AS (SELECT doc_id, line_number, place, CAST(sum(weight) * 100 AS BIGINT) // count(*) + {summary.BONUS} // (place + 1) AS score FROM V9 JOIN F9 USING (word) GROUP BY doc_id, line_number, place),
+U9 AS (SELECT S9.*, sum(length(sentence) + 1) OVER (PARTITION BY S9.doc_id, S9.line_number ORDER BY score DESC, S9.place) - 1 AS upto FROM S9 JOIN R9 ON S9.doc_id = R9.doc_id AND S9.line_number = R9.line_number AND S9.place = R9.place)
+SELECT X.doc_id, X.line_number, coalesce(string_agg(sentence, ' ' ORDER BY place) FILTER (upto <= 300), '') AS summary FROM X LEFT JOIN U9 ON X.doc_id = U9.doc_id AND X.line_number = U9.line_number GROUP BY X.doc_id, X.line_number"""
+
+
+HAD = ", F AS (SELECT ast_id, count(*) FILTER (len(p) = 1) > 0 AS had FROM K GROUP BY ast_id)"
+
+
 def oracle_sql() -> dict[str, str]:
     w = "WITH "
     return {
+        "tree_files": w + T + " SELECT ast_id, path, section_title, content_summary FROM T",
+        "headings_in_context": w + L + ", P AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_number) AS b FROM L) SELECT doc_id, line_number, regexp_extract(line, '^[A-Z][a-z]+') AS heading, 'said in words' AS unevaluated_filters FROM P WHERE regexp_matches(line, '^[A-Z][a-z]+') AND length(b) > length(line)",
+        "numbers_out_of_place": "WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS p FROM lineitem), r AS (SELECT l_orderkey, p, v, 1 AS n FROM i UNION SELECT i.l_orderkey, i.p, i.v, r.n + 1 FROM r JOIN i ON i.l_orderkey = r.l_orderkey AND i.p > r.p AND i.v > r.v) SELECT l_orderkey, (SELECT count(*) FROM i WHERE i.l_orderkey = r.l_orderkey) AS n, CAST(max(r.n) AS BIGINT) AS n_in_place FROM r GROUP BY l_orderkey",
+        "extractive_summaries": w + _summaries(),
+        "tree_guarded_outcomes": w + T + HAD + " SELECT ast_id, CAST(ast_id AS BIGINT) * 10 + no AS edit_no, action, no = 5 AS ok, CASE WHEN no = 4 AND NOT had THEN 'no node at the path' ELSE error END AS error, CAST(ast_id AS BIGINT) % 3 + CASE WHEN no >= 5 THEN 1 ELSE 0 END AS rev FROM F, (VALUES (1, 'append_child', 'token has expired'), (2, 'append_child', 'unknown token'), (3, 'append_child', 'token is for another purpose'), (4, 'append_child', 'position is out of range'), (5, 'append_child', NULL), (6, 'update_node', 'token is of another revision'), (7, 'append_child', 'unknown token')) e(no, action, error)",
+        "tree_guarded_nodes": w + T + " SELECT ast_id, '' AS path, section_title, content_summary FROM K WHERE len(p) = 0 UNION ALL SELECT ast_id, '0', 'New', 'text' FROM K WHERE len(p) = 0 UNION ALL SELECT ast_id, concat_ws('.', CAST(p[1] + 1 AS VARCHAR), CAST(p[2] AS VARCHAR), CAST(p[3] AS VARCHAR)), section_title, content_summary FROM K WHERE len(p) > 0",
         "line_scan_ranges": "WITH D AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS d, string_split(regexp_replace(coalesce(text, '') || chr(10), '\\r\\n?', chr(10), 'g'), chr(10)) AS a FROM documents), U AS (SELECT d, unnest(range(1, len(a))) AS i, unnest(a[1:len(a) - 1]) AS line FROM D) SELECT row_number() OVER w AS line_number, CAST(coalesce(sum(length(line) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start, line, true AS ended FROM U WINDOW w AS (ORDER BY d, i)",
         "regex_many": _many(),
         "regex_page_far": w + ALL + f" SELECT {SHOWN} FROM M ORDER BY {EVERY} LIMIT 50 OFFSET 20000",
@@ -462,7 +537,7 @@ def oracle_sql() -> dict[str, str]:
         "line_shapes": w + _shapes(),
         "discovered_headings": w + LEDGER,
         "tree_edit_log": w + T + " " + EDITED,
-        "tree_edit_outcomes": w + T + OUTCOMES,
+        "tree_edit_outcomes": w + T + HAD + OUTCOMES,
         "line_scan": w + L + " SELECT doc_id, line_number, line FROM L",
         "text_segment": "SELECT doc_id, substring(text, 51, 100) AS middle, '' AS past, substring(text, 1, 7) AS head, md5(substring(text, 101)) AS rest_md5, '' AS none FROM documents",
         "default_segment": "SELECT doc_id, substring(text, 1, 100) AS segment FROM documents",

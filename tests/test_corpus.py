@@ -281,3 +281,170 @@ def test_discovery_finds_planted_levels(spark):
     placed = outline.outline(outline.headings(text.lines(d), bp), bp)
     assert placed.where("orphan").count() == 0 and placed.where("level = 3").count() == sum(t.count("] point") for t in (r.text or "" for r in d.collect()))
     assert discover.discover(text.lines(docs(spark, "", None))).hierarchy_structure == []
+
+
+# Context, numbering, summaries
+
+
+def test_context_filters(spark):
+    from quirespark.operators.context import Context
+    from quirespark.plans.blueprint import Blueprint
+
+    def found(filters, t, contexts=None):
+        bp = Blueprint([{"level": 1, "name": "h", "regex": "H.*", "validation_rules": {"context_filters": filters}}], {"no": {"regex": "^skip"}})
+        rows = outline.headings(text.lines(docs(spark, t)), bp, **({"contexts": contexts} if contexts else {})).orderBy("line_number").collect()
+        return [r.line_number for r in rows], {x for r in rows for x in r.unevaluated_filters}
+
+    t = "H1\n  in\nH2\nskip\n  in\nH3\n\nH4\n\n- a\nH5\n1. b\nHH6\nHH longer than it"
+    assert found(["followed by an indented line"], t) == ([1], set())
+    assert found(["followed by a list"], t) == ([11], set())
+    assert found(["between empty lines"], t) == ([8], set()) and found(["followed by an empty line"], t)[0] == [6, 8, 14]
+    assert found(["followed by a longer line", "in words"], t) == ([1, 3, 11, 13], {"in words"})
+    own = {"two before is H1": Context(2, 0, lambda at: at(-2) == "H1")}
+    assert found(["two before is H1", "followed by a list"], t, own) == ([3], {"followed by a list"})
+
+
+def test_numbers_out_of_place(spark):
+    from quirespark.operators import numbering
+
+    assert [numbering.roman(x) for x in ("iv", "XIX", "IIX", "", "MCM")] == [4, 19, None, None, 1900]
+    rng = random.Random(4)
+    groups = {g: [rng.randrange(12) for _ in range(rng.randrange(1, 9))] for g in range(60)}
+    rows = [(g, i, [n // 4, n % 4]) for g, ns in groups.items() for i, n in enumerate(ns)] + [(99, 0, None)]
+    got = numbering.in_place(spark.createDataFrame(rows, "g long, i long, n array<int>").repartition(5), ["g"], "i", "n").collect()
+    for g, ns in groups.items():
+        kept = [r.in_place for r in sorted((r for r in got if r.g == g), key=lambda r: r.i)]
+        best = max(sum(m >> i & 1 for i in range(len(ns))) for m in range(1 << len(ns)) if (s := [n for i, n in enumerate(ns) if m >> i & 1]) == sorted(set(s)))
+        run = [n for n, k in zip(ns, kept) if k]
+        assert len(kept) == len(ns) and run == sorted(set(run)) and len(run) == best
+    assert all(r.g != 99 for r in got)
+    placed = spark.createDataFrame([(1, 0, 1, i, h) for i, h in enumerate(["I. a", "II. b", "X. no", "III) c", "IV. d"])] + [(2, 0, 1, i, h) for i, h in enumerate(["A. a", "C. b", "B. no", "D. d"])] + [(3, 0, 1, i, h) for i, h in enumerate(["2.9 a", "2.10 b", "１.1 no", "第三章 x", "plain"])], "doc_id long, parent_line int, level int, line_number int, heading string")
+    out = {(r.doc_id, r.line_number): r.in_place for r in numbering.heading_places(placed).collect()}
+    assert [k for k, v in out.items() if not v] in ([(1, 2), (2, 1), (3, 2)], [(2, 1), (1, 2), (3, 2)]) or {k for k, v in out.items() if not v} == {(1, 2), (2, 1), (3, 2)}
+    assert (3, 4) not in out
+
+
+def test_extracted_summaries(spark, monkeypatch):
+    from collections import Counter
+
+    from quirespark.operators import summary
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    bodies = [" ".join(" ".join(rng.choices(words, weights=[60 - i for i in range(60)], k=rng.randrange(1, 9))) + rng.choice([".", "!", "?\n"]) for _ in range(rng.randrange(0, 9))) for _ in range(40)] + ["", None, "!!! ...", "x" * 300 + ". Short one."]
+    d = spark.createDataFrame(list(enumerate(bodies)), "k long, body string")
+    said = [[s for x in re.findall(r"[^.!?\n]+[.!?]*", b or "") if re.search(r"[^\s.,;:!?\"()]", s := x.strip(" "))] for b in bodies]
+    split = lambda s: re.findall(r"[^\s.,;:!?\"()]+", s.lower())
+    df = Counter(w for ss in said for w in {w for s in ss for w in split(s)})
+    n, want = len(bodies), {}
+    for k, ss in enumerate(said):
+        score = [sum((n // df[w]).bit_length() - 1 for w in split(s)) * 100 // len(split(s)) + 300 // (i + 1) for i, s in enumerate(ss)]
+        upto, kept = -1, []
+        for i in sorted(range(len(ss)), key=lambda i: (-score[i], i)):
+            upto += len(ss[i]) + 1
+            kept += [i] if upto <= 60 else []
+        want[k] = " ".join(ss[i] for i in sorted(kept))
+    for frequent in (2, 256):
+        monkeypatch.setattr(summary, "FREQUENT", frequent)
+        assert {r.k: r.summary for r in summary.extract(d, ["k"], length=60).collect()} == want
+
+
+# Guarded batches
+
+
+def test_guarded_batches_follow_a_model(spark):
+    from datetime import datetime, timedelta
+
+    from quirespark.operators import guard
+
+    rng = random.Random(12)
+    now = datetime(2024, 1, 1, 12)
+    trees = [f"t{k}" for k in range(8)]
+    nodes = [(t, p, "x", "s") for t in trees for p in ([], [0], [1], [0, 0])]
+    meta = [(t, k % 3, None) for k, t in enumerate(trees)]
+    rev = {t: r for t, r, _ in meta}
+    tokens = []
+    for k in range(120):
+        t = rng.choice(trees)
+        tokens.append((f"k{k}", t, rng.choice(guard.PURPOSES), rng.choice([[], [0], [1], [5]]), rev[t] if rng.random() < 0.8 else rev[t] - 1, now + timedelta(minutes=rng.choice([-1, 5, 5, 5]))))
+    batch = []
+    for no in range(400):
+        k = rng.randrange(130)
+        name, t, purpose, path, *_ = tokens[k] if k < 120 else (f"k{k}", rng.choice(trees), "append_child", [], 0, None)
+        if rng.random() < 0.3:
+            t = rng.choice([*trees, "t99"])
+        if rng.random() < 0.2:
+            purpose = rng.choice([*guard.PURPOSES, "other"])
+        if rng.random() < 0.2:
+            path = rng.choice([[], [0], [7]])
+        batch.append((t, no, name, purpose, path, rng.choice([None, 0, 9]), rng.choice(["n", "n", None]), rng.choice(["b", "b", None]), rng.choice(["c", None])))
+    # The same, an edit after the other.
+    left, at, want, done = {t[0]: t for t in tokens}, dict(rev), [], {}
+    kids = {(t, tuple(p)): sum(q[:-1] == p and q != [] for _, q, *_ in nodes if _ == t) for t, p, *_ in nodes}
+    for t, no, name, action, path, position, title, summary, more in batch:
+        bad = {"append_child": summary is None, "upsert_child": not title or summary is None, "update_node": title is None and summary is None, "append_to_summary": more is None}
+        error = "unknown action" if action not in bad else "no such tree" if t not in at else "title or text is missing" if bad[action] else None
+        tok = left.get(name)
+        if error is None and tok is None:
+            error = "unknown token"
+        elif error is None and now > tok[5]:
+            error = "token has expired"
+            del left[name]
+        elif error is None:
+            error = "token is of another tree" if tok[1] != t else "token is of another revision" if tok[4] != at[t] else "token is for another purpose" if tok[2] != action else "token is for another node" if tok[3] != path else None
+            if error is None:
+                del left[name]
+                n = kids.get((t, tuple(path)))
+                error = "no node at the path" if n is None else "position is out of range" if action == "append_child" and position is not None and not 0 <= position <= n else None
+                if error is None:
+                    at[t] += 1
+                    done[t] = no
+        want.append((t, no, error is None, error, at.get(t)))
+    d = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = guard.commit(d(nodes, NODE), d(meta, "ast_id string, rev long, updated_at timestamp"), d(tokens, "token string, ast_id string, purpose string, path array<int>, issued_rev long, expires_at timestamp"), d(batch, "ast_id string, edit_no int, token string, action string, path array<int>, position int, section_title string, content_summary string, append_text string"), F.lit(now))
+    assert sorted((r.ast_id, r.edit_no, r.ok, r.error, r.rev) for r in got.outcomes.collect()) == sorted(want)
+    assert {r.ast_id: (r.rev, r.updated_at) for r in got.meta.collect()} == {t: (at[t], now if t in done else None) for t in trees}
+    assert {r.token for r in got.tokens.collect()} == set(left) and len(done) > 3 and len({w[3] for w in want}) > 8
+    log = [(t, no, action, path, None, *rest, None) for t, no, _, action, path, *rest in batch if done.get(t) == no]
+    after, _ = plain_replay(nodes, log)
+    assert sorted(((r.ast_id, list(r.path), r.section_title, r.content_summary) for r in got.nodes.collect()), key=repr) == sorted(after, key=repr)
+
+
+def test_versions(spark, tmp_path):
+    from quirespark.operators import guard
+
+    root = f"file://{tmp_path}/store"
+    one, two = spark.range(3), spark.range(5)
+    assert guard.version(spark, root) == 0 and guard.publish(spark, root, 0, {"n": one})
+    assert guard.version(spark, root) == 1 and guard.publish(spark, root, 1, {"n": two})
+    assert not guard.publish(spark, root, 1, {"n": one})  # another writer was first
+    assert guard.version(spark, root) == 2 and guard.read_version(spark, root, 2, "n").count() == 5 and guard.read_version(spark, root, 1, "n").count() == 3
+    meta = spark.createDataFrame([("a", 4)], "ast_id string, rev long")
+    t = guard.issue(spark.createDataFrame([("a", "append_child", None), ("b", "x", None)], "ast_id string, purpose string, path array<int>"), meta, F.current_timestamp()).collect()
+    assert len(t) == 1 and t[0].issued_rev == 4 and list(t[0].path) == [] and len(t[0].token) == 36
+
+
+# Files
+
+
+def test_document_files(spark, tmp_path):
+    from quirespark.sources.document_files import DocumentFiles
+
+    spark.dataSource.register(DocumentFiles)
+    at = str(tmp_path / "files")
+    rows = [(f"a/{k} é", "x" * k + "\né") for k in range(40)] + [("none", None)]
+    d = spark.createDataFrame(rows, "name string, text string").repartition(4)
+    d.write.format("document_files").option("suffix", ".json").mode("append").save(at)
+    read = lambda **o: spark.read.format("document_files").options(suffix=".json", **o).load(at)
+    assert sorted(map(tuple, read().collect())) == sorted((n, t or "") for n, t in rows) and read(group_bytes=100).rdd.getNumPartitions() > 10
+    with pytest.raises(Exception, match="has to have a name"):
+        spark.createDataFrame([(None, "x"), ("y", "z")], d.schema).coalesce(1).write.format("document_files").option("suffix", ".json").mode("append").save(at)
+    assert len(list((tmp_path / "files").glob("*.json"))) == 41
+    spark.createDataFrame([("only", "1")], d.schema).write.format("document_files").option("suffix", ".json").mode("overwrite").save(at)
+    assert [tuple(r) for r in read().collect()] == [("only", "1")] and (tmp_path / "files" / "_SUCCESS").exists()
+    # Trees, a file each.
+    nodes = spark.createDataFrame([("t1", [], "r", ""), ("t1", [0], "é", "s"), ("t2", [], None, "")], NODE)
+    spark_trees = tree.nodes_to_json(nodes).withColumnsRenamed({"ast_id": "name", "json": "text"})
+    spark_trees.write.format("document_files").option("suffix", ".ast").mode("append").save(at)
+    back = spark.read.format("document_files").option("suffix", ".ast").load(at).withColumnsRenamed({"name": "ast_id", "text": "json"})
+    assert sorted(map(str, tree.nodes_from_json(back).collect())) == sorted(map(str, nodes.collect()))
