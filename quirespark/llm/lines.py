@@ -5,7 +5,7 @@ navigation: separators (| > » • and the like, alone) among its words, at leas
 symbols: at least one of #*$%&|<>{} for every `SYMBOL_CHARS` characters, three at least;
 shouting: a run of ! or ? at at least one of every `SHOUT_WORDS` words, three at least;
 boilerplate: short lines with phrases of licences, cookies, scripts and placeholders, or braces;
-punctuation: no end of a sentence in its last characters.
+punctuation: no end of a sentence, neither in its last characters nor inside.
 Lines without a word are neither judged nor kept. A document goes if it fails the base rules or if
 more than `most_lost` of the characters of its words stood in failing lines.
 
@@ -37,6 +37,7 @@ SYMBOL = "[#*$%&|<>{}]"
 SHOUT = "[!?]{2,}"
 PHRASE = "(?i)all rights reserved|privacy policy|terms of (?:use|service)|cookie|javascript|lorem ipsum|licensed under|copyright|©|subscribe to|click here|sign up|log in|read more|[{}]"
 ENDS = "[.!?…。！？;:][\"'”’»)\\]]{0,9}$"
+STOPS = "[.!?…][\"'”’»)\\]]{0,9}[\\x20\\x09-\\x0D]|[。！？]"
 RULES = ["navigation", "symbols", "shouting", "boilerplate", "punctuation"]
 
 
@@ -59,7 +60,7 @@ def failure(line: Column) -> Column:
         .when((symbols >= 3) & (symbols * SYMBOL_CHARS >= n_chars), RULES[1])
         .when((shouts >= 3) & (shouts * SHOUT_WORDS >= n_words), RULES[2])
         .when((n_chars <= BOILERPLATE_CHARS) & F.rlike(line, F.lit(PHRASE)), RULES[3])
-        .when(~F.rlike(F.right(F.rtrim(line, F.lit(SPACES)), F.lit(10)), F.lit(ENDS)), RULES[4])
+        .when(~F.rlike(F.right(F.rtrim(line, F.lit(SPACES)), F.lit(10)), F.lit(ENDS)) & ~F.rlike(line, F.lit(STOPS)), RULES[4])
     )
 
 

@@ -62,7 +62,7 @@ def _cleaned() -> str:
   WHEN {n(lines.SYMBOL)} >= 3 AND {n(lines.SYMBOL)} * 12 >= length(line) THEN 'symbols'
   WHEN {n(lines.SHOUT)} >= 3 AND {n(lines.SHOUT)} * 4 >= {n(word)} THEN 'shouting'
   WHEN length(line) <= 200 AND regexp_matches(line, '{lines.PHRASE}') THEN 'boilerplate'
-  WHEN NOT regexp_matches(regexp_replace(line, '[\\x20\\x09-\\x0D]+$', ''), '{lines.ENDS.replace("'", "''")}') THEN 'punctuation' END"""
+  WHEN NOT regexp_matches(regexp_replace(line, '[\\x20\\x09-\\x0D]+$', ''), '{lines.ENDS.replace("'", "''")}') AND NOT regexp_matches(line, '{lines.STOPS.replace("'", "''")}') THEN 'punctuation' END"""
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
 o AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS a FROM d),
 x AS (SELECT doc_id, i, a || ' ' || lead(a) OVER p || ' ' || lead(a, 2) OVER p || ' ' || lead(a, 3) OVER p || ' ' || lead(a, 4) OVER p AS v FROM o WINDOW p AS (PARTITION BY doc_id ORDER BY i)),

@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bytes_of, chunks, fresh_folder, partitions, table
+from ._common import bytes_of, chunks, cut, fresh_folder, partitions, table
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY = gzip.compress(b"", mtime=0)
 #: Payloads below this size are never revisits.
 LEAST = 100
+#: Repeated digests that are broadcast at most.
+MOST_BROADCAST = 500_000
 
 
 def _member(data: bytes) -> bytes:
@@ -51,8 +53,11 @@ def _kinds(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
     # The first of equal payloads, aggregated before it is dealt out; a hot payload's rows are joined with one row.
-    same = p.where(F.col("size") >= LEAST).groupBy("digest").agg(F.min(F.col("page_id")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return p.join(same.hint("merge"), "digest", "left").withColumn("again", F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))))
+    same = cut(p.where(F.col("size") >= LEAST).groupBy("digest").agg(F.min(F.col("page_id")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("key"), "first"))
+    # Payloads travel only if more digests repeat than can be broadcast (some 100 bytes each); then each small payload has a key of its own.
+    key = F.when(F.col("size") >= LEAST, F.col("digest")).otherwise(F.concat_ws(" ", F.lit("small"), "page_id"))
+    j = p.withColumn("key", key).join(F.broadcast(same) if same.count() <= MOST_BROADCAST else same.hint("merge"), "key", "left").drop("key")
+    return j.withColumn("again", F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))))
 
 
 def write(pages: DataFrame, path: str) -> None:

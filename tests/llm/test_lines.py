@@ -22,7 +22,8 @@ def fails(line):
         return "shouting"
     if len(line) <= 200 and re.search(lines.PHRASE, line):
         return "boilerplate"
-    return None if line.rstrip(" \t\r\x0b\x0c")[-1] in ".!?…。！？;:" else "punctuation"
+    inside = re.search(r"[.!?…][\"'”’»)\]]{0,9}[\x20\x09-\x0D]|[。！？]", line)
+    return None if inside or line.rstrip(" \t\r\x0b\x0c")[-1] in ".!?…。！？;:" else "punctuation"
 
 
 def plain(text):
@@ -41,7 +42,7 @@ def plain(text):
 
 def made(n, seed):
     rng = np.random.default_rng(seed)
-    kinds = ["Home | News | About | Help", "a >> b >> c", "buy $$$ now *** %%% ok &&&.", "WOW!! GREAT!! YES!! NO!!", "All rights reserved.", "no end here", "ein Satz mit ß und ü steht hier.", "𝄞 music 漢字。", "x  y\tz \r", "  ", "", "one two three four five six.", "one two three four five six seven eight nine."]
+    kinds = ["Home | News | About | Help", "a >> b >> c", "buy $$$ now *** %%% ok &&&.", "WOW!! GREAT!! YES!! NO!!", "All rights reserved.", "no end here", "One end. And none here", "ein Satz mit ß und ü steht hier.", "𝄞 music 漢字。", "x  y\tz \r", "  ", "", "one two three four five six.", "one two three four five six seven eight nine."]
     return ["\n".join(rng.choice(kinds, int(k))) + "\n" + " ".join(rng.choice(list("abcdefghij"), int(m))) + "." for k, m in zip(rng.integers(0, 12, n), rng.integers(0, 60, n))]
 
 

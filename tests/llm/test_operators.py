@@ -649,7 +649,9 @@ def pages():
     return [(3, "http://a/3", big, 1), (1, "http://a/1", big, 1), (2, None, big, 1), (4, "u\r\nx", None, 1), (5, "u", "", 1), (6, "u", "short", 1), (7, "u", "short", 1), (8, "u", noise, 1), (None, "u", big, 1), (9, "u", "é" * 100, 1), (1, "dup", big, 1)]
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("most", [-1, 500_000])
+def test_warc(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(warc, "MOST_BROADCAST", most)
     data = pages()
     p = spark.createDataFrame(data, "page_id long, url string, html string, digest int").repartition(2)
     warc.write(p, f"file://{tmp_path}/w")
