@@ -86,6 +86,40 @@ def resolve(nodes: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
     return w.drop("_left")
 
 
+def ensure_paths(nodes: DataFrame, wanted: DataFrame, depth: int, summary: str = "") -> tuple[DataFrame, DataFrame]:
+    """(nodes with what is missing, wanted with path and created), for many lists of titles a tree: wanted (ast_id, no, titles), in the order of no.
+
+    Lists are merged into a trie a tree, level by level: equal titles under one node are one request, which
+    takes the first child with that title, or makes one after the children that are there, in the order of
+    first requests and with the first one's title. So nodes are what they would be if one list came after
+    the other. Blank titles and a leading title of the root don't count; lists of unknown trees are left
+    out. depth: most titles in a list. created: a node of the path was missing.
+    """
+    roots = nodes.where(F.size("path") == 0).select("ast_id", F.col("section_title").alias("_root"))
+    w = wanted.join(roots, "ast_id").withColumn("_left", F.filter("titles", lambda t: normal_title(t) != ""))
+    w = w.withColumn("_left", F.when((F.size("_left") > 0) & same_title(F.get("_left", F.lit(0)), F.col("_root")), F.slice("_left", 2, F.greatest(F.size("_left") - 1, F.lit(0)))).otherwise(F.col("_left"))).drop("_root")
+    w = w.withColumns({"path": root_path(), "created": F.lit(False)})
+    kids = nodes.where(F.size("path") > 0).select("ast_id", parent_of("path").alias("path"), normal_title(F.col("section_title")).alias("_t"), F.col("path").alias("_kid"))
+    first = kids.groupBy("ast_id", "path", "_t").agg(F.min("_kid").alias("_kid"))
+    number = kids.groupBy("ast_id", "path").agg(F.count("*").cast("int").alias("_n"))
+    made = []
+    for k in range(depth):
+        raw = F.get("_left", F.lit(k))
+        w = w.withColumn("_t", F.when(raw.isNotNull(), normal_title(raw)))
+        asked = w.where("_t is not null").groupBy("ast_id", "path", "_t").agg(F.min_by(raw, "no").alias("_raw"), F.min("no").alias("_no"))
+        asked = asked.join(first, ["ast_id", "path", "_t"], "left").join(number, ["ast_id", "path"], "left")
+        missing = F.col("_kid").isNull()
+        place = F.coalesce("_n", F.lit(0)) + F.count_if(missing).over(Window.partitionBy("ast_id", "path").orderBy("_no", "_t")).cast("int") - 1
+        asked = asked.withColumn("_to", F.when(missing, F.array_append("path", place.cast("int"))).otherwise(F.col("_kid"))).withColumn("_made", missing)
+        made.append(asked.where("_made").select("ast_id", F.col("_to").alias("path"), F.col("_raw").alias("section_title"), F.lit(summary).alias("content_summary")))
+        w = w.join(asked.select("ast_id", "path", "_t", "_to", "_made"), ["ast_id", "path", "_t"], "left")
+        w = w.withColumns({"path": F.coalesce("_to", "path"), "created": F.col("created") | F.coalesce("_made", F.lit(False))}).drop("_to", "_made", "_t")
+    every = nodes.select(*NODE)
+    for m in made:
+        every = every.unionByName(m)
+    return every, w.select(*wanted.columns, "path", "created")
+
+
 def titles_of(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (ast_id, path) with the titles along the path, without the root's."""
     steps = wanted.select("ast_id", "path", F.posexplode_outer(F.when(F.size("path") > 0, F.sequence(F.lit(1), F.size("path")))).alias("_i", "_n"))

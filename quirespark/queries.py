@@ -393,7 +393,24 @@ def tree_guarded_nodes(spark, sf_dir):
     return _guarded(spark, sf_dir).nodes.select("ast_id", _path(), "section_title", "content_summary")
 
 
-QUERIES = [tree_files, headings_in_context, numbers_out_of_place, extractive_summaries, tree_guarded_outcomes, tree_guarded_nodes, line_scan_ranges, regex_many, regex_page_far, regex_odd_patterns, regex_json, line_shapes, discovered_headings, tree_edit_log, tree_edit_outcomes, line_scan, text_segment, default_segment, char_length, regex_matches, regex_matches_exact, regex_matches_bare, regex_null_groups, regex_counts, regex_counts_exact, regex_page, regex_page_everywhere, regex_dedupe, regex_payload, regex_payload_count, excluded_lines, valid_headings, headings_after_empty_lines, heading_outline, sections, audit_gaps, audit_collisions, audit_sequence, heading_sequence, pattern_stats, page_titles, tree_nodes, tree_children, tree_subtree, tree_find_title, tree_resolve, tree_titles, tree_insert, tree_insert_middle, tree_upsert, tree_upsert_new, tree_update, tree_append_summary, tree_json, tree_json_meta, trace_log]
+def _ensured(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Lists of titles of each tree: two share a new node, one leads on from a node that is there."""
+    n = _nodes(spark, sf_dir)
+    lists = lambda *each: F.posexplode(F.array(*[F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]) for xs in each])).alias("no", "titles")
+    wanted = n.where(F.size("path") == 0).select("ast_id", lists(["New A", "Deep"], [F.col("section_title"), "New  B"], [" New A ", "Other", ""]))
+    below = n.where(F.col("path") == F.array(F.lit(0))).select("ast_id", F.lit(3).alias("no"), F.array("section_title", F.lit("Kid")).alias("titles"))
+    return tree.ensure_paths(n, wanted.unionByName(below), 3)
+
+
+def tree_ensure_paths(spark, sf_dir):
+    return _ensured(spark, sf_dir)[0].select("ast_id", _path(), "section_title", "content_summary")
+
+
+def tree_ensured_lists(spark, sf_dir):
+    return _ensured(spark, sf_dir)[1].select("ast_id", *_long("no"), _path(), "created")
+
+
+QUERIES = [tree_ensure_paths, tree_ensured_lists, tree_files, headings_in_context, numbers_out_of_place, extractive_summaries, tree_guarded_outcomes, tree_guarded_nodes, line_scan_ranges, regex_many, regex_page_far, regex_odd_patterns, regex_json, line_shapes, discovered_headings, tree_edit_log, tree_edit_outcomes, line_scan, text_segment, default_segment, char_length, regex_matches, regex_matches_exact, regex_matches_bare, regex_null_groups, regex_counts, regex_counts_exact, regex_page, regex_page_everywhere, regex_dedupe, regex_payload, regex_payload_count, excluded_lines, valid_headings, headings_after_empty_lines, heading_outline, sections, audit_gaps, audit_collisions, audit_sequence, heading_sequence, pattern_stats, page_titles, tree_nodes, tree_children, tree_subtree, tree_find_title, tree_resolve, tree_titles, tree_insert, tree_insert_middle, tree_upsert, tree_upsert_new, tree_update, tree_append_summary, tree_json, tree_json_meta, trace_log]
 
 
 def queries() -> dict:
@@ -517,12 +534,15 @@ U9 AS (SELECT S9.*, sum(length(sentence) + 1) OVER (PARTITION BY S9.doc_id, S9.l
 SELECT X.doc_id, X.line_number, coalesce(string_agg(sentence, ' ' ORDER BY place) FILTER (upto <= 300), '') AS summary FROM X LEFT JOIN U9 ON X.doc_id = U9.doc_id AND X.line_number = U9.line_number GROUP BY X.doc_id, X.line_number"""
 
 
+NEW = ", N9 AS (SELECT ast_id, count(*) FILTER (len(p) = 1) AS top, count(*) FILTER (len(p) = 2 AND p[1] = 0) AS below FROM K GROUP BY ast_id)"
 HAD = ", F AS (SELECT ast_id, count(*) FILTER (len(p) = 1) > 0 AS had FROM K GROUP BY ast_id)"
 
 
 def oracle_sql() -> dict[str, str]:
     w = "WITH "
     return {
+        "tree_ensure_paths": w + T + NEW + " SELECT ast_id, path, section_title, content_summary FROM T UNION ALL SELECT ast_id, CASE WHEN kid THEN '0.' || below ELSE concat_ws('.', CAST(top + a AS VARCHAR), b) END, title, '' FROM N9, (VALUES (0, NULL, 'New A', false), (0, '0', 'Deep', false), (0, '1', 'Other', false), (1, NULL, 'New  B', false), (0, NULL, 'Kid', true)) x(a, b, title, kid) WHERE NOT kid OR top > 0",
+        "tree_ensured_lists": w + T + NEW + " SELECT ast_id, no, CASE WHEN no = 3 THEN '0.' || below ELSE concat_ws('.', CAST(top + a AS VARCHAR), b) END AS path, true AS created FROM N9, (VALUES (CAST(0 AS BIGINT), 0, '0'), (1, 1, NULL), (2, 0, '1'), (3, 0, NULL)) x(no, a, b) WHERE no < 3 OR top > 0",
         "tree_files": w + T + " SELECT ast_id, path, section_title, content_summary FROM T",
         "headings_in_context": w + L + ", P AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_number) AS b FROM L) SELECT doc_id, line_number, regexp_extract(line, '^[A-Z][a-z]+') AS heading, 'said in words' AS unevaluated_filters FROM P WHERE regexp_matches(line, '^[A-Z][a-z]+') AND length(b) > length(line)",
         "numbers_out_of_place": "WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS p FROM lineitem), r AS (SELECT l_orderkey, p, v, 1 AS n FROM i UNION SELECT i.l_orderkey, i.p, i.v, r.n + 1 FROM r JOIN i ON i.l_orderkey = r.l_orderkey AND i.p > r.p AND i.v > r.v) SELECT l_orderkey, (SELECT count(*) FROM i WHERE i.l_orderkey = r.l_orderkey) AS n, CAST(max(r.n) AS BIGINT) AS n_in_place FROM r GROUP BY l_orderkey",

@@ -177,6 +177,21 @@ def test_edit_logs_follow_a_plain_replay(spark):
     assert edits.replay(spark.createDataFrame([], NODE), spark.createDataFrame([], LOG)).collect() == []
 
 
+def test_many_lists_of_titles_follow_a_plain_replay(spark):
+    rng = random.Random(6)
+    titles = ["a", "b", " a ", "c　d", "c d", "", "root", "e"]
+    nodes = [(f"t{n}", path, "root" if not path else rng.choice(titles[:5]), "s") for n in range(10) for path in ([], [0], [1], [0, 0], [0, 1])]
+    lists = [(f"t{n}", no, [rng.choice(titles) for _ in range(rng.randrange(1, 5))]) for n in range(12) for no in range(rng.randrange(0, 14))]
+    log = [(t, no, "ensure_path", None, names, None, None, "", None, True) for t, no, names in lists]
+    want, out = plain_replay(nodes, log)
+    every, found = tree.ensure_paths(spark.createDataFrame(nodes, NODE), spark.createDataFrame(lists, "ast_id string, no int, titles array<string>"), 4)
+    assert sorted(((r.ast_id, list(r.path), r.section_title, r.content_summary) for r in every.collect()), key=repr) == sorted(want, key=repr)
+    got = found.collect()
+    assert sorted((r.ast_id, r.no, True, list(r.path)) for r in got) == sorted(x for x in out if x[2])
+    had = {(t, tuple(p)) for t, p, *_ in nodes}
+    assert all(r.created == ((r.ast_id, tuple(r.path)) not in had) for r in got)
+
+
 # Many patterns
 
 
