@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.numbering import heading_places
+from ..operators.outline import headings, outline
 from .blueprint import Blueprint, HierarchyRule, ValidationRules
 
 # Patterns in the dialect that Java and RE2 share.
@@ -95,3 +97,36 @@ def discover(lines: DataFrame, support: float = 0.2, most_lines: float = 0.5, mo
         level[s] = level[parent] + 1 if parent else 1
         rules.append(HierarchyRule(level[s], s, pattern_of(s), parent_level=level[parent] if parent else None, validation_rules=ValidationRules(max_length=max(100, longest[s]))))
     return Blueprint(sorted(rules, key=lambda r: r.level))
+
+
+def review(lines: DataFrame, bp: Blueprint) -> DataFrame:
+    """level, name and what the documents say of each rule: n_headings, n_docs, n_collisions (headings that other rules take as well), n_orphans, n_numbers and n_out_of_place (headings outside the longest rising run of their siblings' numbers)."""
+    placed = outline(headings(lines, bp), bp)
+    places = heading_places(placed).select("doc_id", "line_number", "in_place")
+    j = placed.withColumn("line_number", F.col("line_number").cast("long")).join(places, ["doc_id", "line_number"], "left")
+    # By document first, so that documents are counted without being brought together.
+    own = j.groupBy("doc_id", "level", "name").agg(F.count("*").alias("n"), F.count_if(F.size("hit_levels") > 1).alias("c"), F.count_if("orphan").alias("o"), F.count("in_place").alias("m"), F.count_if(~F.col("in_place")).alias("w"))
+    return own.groupBy("level", "name").agg(F.sum("n").alias("n_headings"), F.count("*").alias("n_docs"), F.sum("c").alias("n_collisions"), F.sum("o").alias("n_orphans"), F.sum("m").alias("n_numbers"), F.sum("w").alias("n_out_of_place"))
+
+
+def refine(lines: DataFrame, bp: Blueprint, most_collisions: float = 0.2, most_out_of_place: float = 0.2) -> Blueprint:
+    """The blueprint without rules that find nothing, of whose headings more than these shares collide with other rules or are out of place; rules below one that goes hang on its parent, and levels close up."""
+    if not bp.hierarchy_structure:
+        return bp
+    found = {(r.level, r.name): r for r in review(lines, bp).collect()}  # a row a rule
+
+    def stays(rule: HierarchyRule) -> bool:
+        r = found.get((rule.level, rule.name))
+        return r is not None and r.n_collisions <= most_collisions * r.n_headings and r.n_out_of_place <= most_out_of_place * max(1, r.n_numbers)
+
+    kept = [r for r in bp.hierarchy_structure if stays(r)]
+    levels = {old: new for new, old in enumerate(sorted({r.level for r in kept}), 1)}
+    parent = {r.level: r.parent_level for r in bp.hierarchy_structure}
+
+    def above(level: int | None) -> int | None:
+        while level is not None and level not in levels:
+            level = parent.get(level)
+        return None if level is None else levels[level]
+
+    rules = [HierarchyRule(levels[r.level], r.name, r.regex, above(r.parent_level), r.description, r.validation_rules) for r in kept]
+    return Blueprint(rules, bp.global_exclusion_rules)

@@ -322,6 +322,12 @@ def discovered_headings(spark, sf_dir):
     return placed.select("doc_id", *_long("line_number", "level", "parent_line"), "name", "orphan", _path())
 
 
+def blueprint_review(spark, sf_dir):
+    """What the texts say of a blueprint that is found in them."""
+    ls = _ledger(spark, sf_dir)
+    return discover.review(ls, discover.discover(ls)).select(*_long("level", "n_headings", "n_docs", "n_collisions", "n_orphans", "n_numbers", "n_out_of_place"), "name")
+
+
 def _edit_log(nodes: DataFrame) -> DataFrame:
     """Seven edits of each tree, of which paths depend on those before, and two fail."""
     e = lambda no, action, path=None, titles=None, position=None, title=None, summary=None, more=None: F.struct(F.lit(no).alias("edit_no"), F.lit(action).alias("action"), (F.array(*map(F.lit, path)) if path is not None else F.lit(None)).cast("array<int>").alias("path"), (titles if titles is not None else F.lit(None)).cast("array<string>").alias("titles"), F.lit(position).cast("int").alias("position"), F.lit(title).cast("string").alias("section_title"), F.lit(summary).cast("string").alias("content_summary"), F.lit(more).cast("string").alias("append_text"), F.lit(True).alias("create_missing"))
@@ -410,7 +416,7 @@ def tree_ensured_lists(spark, sf_dir):
     return _ensured(spark, sf_dir)[1].select("ast_id", *_long("no"), _path(), "created")
 
 
-QUERIES = [tree_ensure_paths, tree_ensured_lists, tree_files, headings_in_context, numbers_out_of_place, extractive_summaries, tree_guarded_outcomes, tree_guarded_nodes, line_scan_ranges, regex_many, regex_page_far, regex_odd_patterns, regex_json, line_shapes, discovered_headings, tree_edit_log, tree_edit_outcomes, line_scan, text_segment, default_segment, char_length, regex_matches, regex_matches_exact, regex_matches_bare, regex_null_groups, regex_counts, regex_counts_exact, regex_page, regex_page_everywhere, regex_dedupe, regex_payload, regex_payload_count, excluded_lines, valid_headings, headings_after_empty_lines, heading_outline, sections, audit_gaps, audit_collisions, audit_sequence, heading_sequence, pattern_stats, page_titles, tree_nodes, tree_children, tree_subtree, tree_find_title, tree_resolve, tree_titles, tree_insert, tree_insert_middle, tree_upsert, tree_upsert_new, tree_update, tree_append_summary, tree_json, tree_json_meta, trace_log]
+QUERIES = [blueprint_review, tree_ensure_paths, tree_ensured_lists, tree_files, headings_in_context, numbers_out_of_place, extractive_summaries, tree_guarded_outcomes, tree_guarded_nodes, line_scan_ranges, regex_many, regex_page_far, regex_odd_patterns, regex_json, line_shapes, discovered_headings, tree_edit_log, tree_edit_outcomes, line_scan, text_segment, default_segment, char_length, regex_matches, regex_matches_exact, regex_matches_bare, regex_null_groups, regex_counts, regex_counts_exact, regex_page, regex_page_everywhere, regex_dedupe, regex_payload, regex_payload_count, excluded_lines, valid_headings, headings_after_empty_lines, heading_outline, sections, audit_gaps, audit_collisions, audit_sequence, heading_sequence, pattern_stats, page_titles, tree_nodes, tree_children, tree_subtree, tree_find_title, tree_resolve, tree_titles, tree_insert, tree_insert_middle, tree_upsert, tree_upsert_new, tree_update, tree_append_summary, tree_json, tree_json_meta, trace_log]
 
 
 def queries() -> dict:
@@ -541,6 +547,7 @@ HAD = ", F AS (SELECT ast_id, count(*) FILTER (len(p) = 1) > 0 AS had FROM K GRO
 def oracle_sql() -> dict[str, str]:
     w = "WITH "
     return {
+        "blueprint_review": "WITH J AS (SELECT o_custkey, o_orderkey, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey), K AS (SELECT o_custkey, o_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS d FROM J GROUP BY ALL) SELECT CAST(1 AS BIGINT) AS level, '0:§ 9' AS name, count(*) AS n_headings, count(DISTINCT o_custkey) AS n_docs, CAST(0 AS BIGINT) AS n_collisions, CAST(0 AS BIGINT) AS n_orphans, count(*) AS n_numbers, CAST(0 AS BIGINT) AS n_out_of_place FROM orders UNION ALL SELECT CAST(2 AS BIGINT), '2:(9)', CAST(sum(n) AS BIGINT), count(DISTINCT o_custkey), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(sum(n) AS BIGINT), CAST(sum(n - d) AS BIGINT) FROM K",
         "tree_ensure_paths": w + T + NEW + " SELECT ast_id, path, section_title, content_summary FROM T UNION ALL SELECT ast_id, CASE WHEN kid THEN '0.' || below ELSE concat_ws('.', CAST(top + a AS VARCHAR), b) END, title, '' FROM N9, (VALUES (0, NULL, 'New A', false), (0, '0', 'Deep', false), (0, '1', 'Other', false), (1, NULL, 'New  B', false), (0, NULL, 'Kid', true)) x(a, b, title, kid) WHERE NOT kid OR top > 0",
         "tree_ensured_lists": w + T + NEW + " SELECT ast_id, no, CASE WHEN no = 3 THEN '0.' || below ELSE concat_ws('.', CAST(top + a AS VARCHAR), b) END AS path, true AS created FROM N9, (VALUES (CAST(0 AS BIGINT), 0, '0'), (1, 1, NULL), (2, 0, '1'), (3, 0, NULL)) x(no, a, b) WHERE no < 3 OR top > 0",
         "tree_files": w + T + " SELECT ast_id, path, section_title, content_summary FROM T",

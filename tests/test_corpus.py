@@ -276,6 +276,19 @@ def test_shapes(spark):
     assert not re.match(discover.pattern_of("0:9.9"), "1.2.3 x") and not re.match(discover.pattern_of("0:9."), "1.2 x")
 
 
+def test_review_and_refinement(spark):
+    from quirespark.plans.blueprint import Blueprint
+
+    t = "# 1. a\n* 1\n* 2\n* 9\n* 3\n# 2. b\n* 1\n## 5 c\n## 4 d\n## 3 e"
+    bp = Blueprint([{"level": 1, "name": "top", "regex": "# .*"}, {"level": 2, "name": "sub", "regex": "## .*", "parent_level": 1}, {"level": 3, "name": "item", "regex": "[*] .*", "parent_level": 2}, {"level": 4, "name": "none", "regex": "zzz", "parent_level": 3}, {"level": 5, "name": "again", "regex": "# 2.*", "parent_level": 1}])
+    ls = text.lines(docs(spark, t, t, "nothing"))
+    got = {r.name: tuple(r)[2:] for r in discover.review(ls, bp).collect()}
+    assert got == {"top": (4, 2, 2, 0, 4, 0), "sub": (6, 2, 0, 0, 6, 4), "item": (10, 2, 0, 10, 10, 2)}
+    new = discover.refine(ls, bp, most_collisions=0.5)
+    assert [(r.level, r.name, r.parent_level) for r in new.hierarchy_structure] == [(1, "top", None), (2, "item", 1)]
+    assert discover.refine(ls, Blueprint([])).hierarchy_structure == []
+
+
 def test_discovery_finds_planted_levels(spark):
     rng = random.Random(8)
 
