@@ -163,7 +163,7 @@ def _quoted(value: Column) -> Column:
     return F.substring(said, F.lit(2), F.length(said) - 2)
 
 
-def result_json(payload: DataFrame, given: list[str], offset: int = 0, budget: int = 8000, count_only: bool = False, dedupe: bool = False, line_text: bool = True, saved_to: str | None = None) -> DataFrame:
+def result_json(payload: DataFrame, given: list[str], offset: int = 0, budget: int = 8000, count_only: bool = False, dedupe: bool = False, line_text: bool = True, saved_to: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, returned_matches, truncated and json: each document's payload as JSON text, in the form of `regex_result`. The sample is its longest beginning with which the text has at most `budget` characters, found by running sums of the encoded lengths; where none fits, it is empty and the hint says so."""
     ps, offset = patterns(given), max(0, offset)
     groups = F.array(*[F.lit(p.groups) for p in ps])
@@ -177,7 +177,7 @@ def result_json(payload: DataFrame, given: list[str], offset: int = 0, budget: i
     said = lambda x: json.dumps(x, ensure_ascii=False)
     number = lambda c: F.col(c).cast("string")
     yes = lambda c: F.when(c, "true").otherwise("false")
-    head = F.concat(F.lit('{"ok": true, "file_path": '), _quoted(F.col("doc_id").cast("string")), F.lit(f', "regex_pattern": {said(given[0])}, "regex_patterns": {said([p.source for p in ps])}, "total_matches": '), number("total_matches"), F.lit(f', "offset_matches": {offset}, "matches_after_offset": '), number("matches_after_offset"), F.lit(', "returned_matches": '))
+    head = F.concat(F.lit('{"ok": true, "file_path": '), _quoted(F.col("doc_id").cast("string")), F.lit(f', "regex_pattern": {said(given[0] if pattern is None else pattern)}, "regex_patterns": {said([p.source for p in ps])}, "total_matches": '), number("total_matches"), F.lit(f', "offset_matches": {offset}, "matches_after_offset": '), number("matches_after_offset"), F.lit(', "returned_matches": '))
     tail = F.lit(f', "count_only": {said(count_only)}, "dedupe": {said(dedupe)}, "saved_to": {said(saved_to)}, "include_line_text": {said(line_text)}, "sample": [')
     hint, none = (f'], "hint": {said(h)}}}' for h in (HINT, NO_ROOM))
     cut = lambda k: F.lit(not count_only) & (F.col("matches_after_offset") > k)
@@ -207,10 +207,6 @@ def save_matches(matches: DataFrame, path: str, offset: int = 0) -> None:
     rest.select(F.to_json(F.struct(*matches.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def _union(groups: list, n_groups: int):
-    return groups if n_groups > 1 else groups[0]
-
-
 def extract_regex_matches(docs: DataFrame, *args, **options) -> str:
     """`regex_result`; any failure as a text that says so."""
     try:
@@ -231,21 +227,12 @@ def regex_result(docs: DataFrame, regex_pattern: str, regex_patterns: list[str]
             patterns([p])
         except ValueError as e:
             return json.dumps({"ok": False, "error": f"pattern {k}: {e}", "pattern": p}, ensure_ascii=False)
-    name = docs.select("doc_id").first()
     found = match_table(lines_of(docs), given, exact=True)
     if save_to:
         save_matches(found if include_line_text else found.drop("line"), save_to, offset)
-    row = match_payload(found, offset, limit, dedupe, count_only).first()
-    n_groups = [re.compile(p).groups for p in given]
-    sample = []
-    for m in (row["sample"] or []) if row else []:
-        sample.append({"pattern_index": m.pattern_index, "pattern": m.pattern, "line_number": m.line_number, "match": _union(m.groups, n_groups[m.pattern_index]), "full_match": m.full_match} | ({"line": m.line} if include_line_text else {}))
-    after = row.matches_after_offset if row else 0
-    out = {"ok": True, "file_path": str(name[0]) if name else "", "regex_pattern": regex_pattern, "regex_patterns": given, "total_matches": row.total_matches if row else 0, "offset_matches": offset, "matches_after_offset": after, "returned_matches": len(sample), "truncated": not count_only and after > len(sample), "count_only": count_only, "dedupe": dedupe, "saved_to": save_to, "include_line_text": include_line_text, "sample": sample, "hint": HINT}
-    said = lambda: json.dumps(out, ensure_ascii=False)
-    while not count_only and len(said()) > budget and sample:
-        sample.pop()
-        out |= {"returned_matches": len(sample), "truncated": True}
-    if not count_only and len(said()) > budget:
-        out |= {"sample": [], "returned_matches": 0, "truncated": True, "hint": NO_ROOM}
-    return said()
+    payload = match_payload(found if include_line_text else found.drop("line"), offset, limit, dedupe, count_only, docs=docs)
+    row = result_json(payload, given, offset, budget, count_only, dedupe, include_line_text, save_to, regex_pattern).first()
+    if row:
+        return row.json
+    out = {"ok": True, "file_path": "", "regex_pattern": regex_pattern, "regex_patterns": given, "total_matches": 0, "offset_matches": offset, "matches_after_offset": 0, "returned_matches": 0, "truncated": False, "count_only": count_only, "dedupe": dedupe, "saved_to": save_to, "include_line_text": include_line_text, "sample": [], "hint": HINT}
+    return json.dumps(out, ensure_ascii=False)

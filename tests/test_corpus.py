@@ -249,6 +249,28 @@ def test_places_far_off(spark):
         assert got == whole[offset:], offset
 
 
+def plain_result(name, t, given, limit, offset, budget, count_only, dedupe, line_text):
+    """The result by json and re: samples go from the end until the text fits."""
+    found = []
+    for n, line in enumerate(t.split("\n")[: None if t and not t.endswith("\n") else -1], 1):
+        for k, p in enumerate(given):
+            for m in re.finditer(p, line):
+                match = m[0] if not m.re.groups else m[1] if m.re.groups == 1 else list(m.groups())
+                found.append({"pattern_index": k, "pattern": p, "line_number": n, "match": match, "full_match": m[0]} | ({"line": line} if line_text else {}))
+    rest, sample = found[offset:], []
+    for r in rest:
+        if not count_only and len(sample) < limit and not (dedupe and r in sample):
+            sample.append(r)
+    out = {"ok": True, "file_path": str(name), "regex_pattern": given[0], "regex_patterns": given, "total_matches": len(found), "offset_matches": offset, "matches_after_offset": len(rest), "returned_matches": len(sample), "truncated": not count_only and len(rest) > len(sample), "count_only": count_only, "dedupe": dedupe, "saved_to": None, "include_line_text": line_text, "sample": sample, "hint": matches.HINT}
+    said = lambda: json.dumps(out, ensure_ascii=False)
+    while not count_only and len(said()) > budget and sample:
+        sample.pop()
+        out |= {"returned_matches": len(sample), "truncated": True}
+    if not count_only and len(said()) > budget:
+        out |= {"sample": [], "returned_matches": 0, "truncated": True, "hint": matches.NO_ROOM}
+    return said()
+
+
 def test_results_as_json(spark):
     given = ["[a-z]+", r"(\d)(x)?", r"(q)?\"", "none"]
     texts = ['ab 1x 2 "q" é\\ \x07\t/', "no 3x\nmore \U0001f7e2 4 words here", "!", "", "z" * 300 + "\n" + "word " * 60]
@@ -258,9 +280,11 @@ def test_results_as_json(spark):
         payload = matches.match_payload(m.drop("line") if bare else m, offset, limit, dedupe, count_only, docs=d)
         got = {r.doc_id: r for r in matches.result_json(payload, given, offset, budget, count_only, dedupe, line_text=not bare).collect()}
         for i, t in enumerate(texts):
-            want = matches.regex_result(docs(spark, t).withColumn("doc_id", F.lit(i)), given[0], given, limit, offset, budget, count_only, dedupe, include_line_text=not bare)
+            want = plain_result(i, t, given, limit, offset, budget, count_only, dedupe, not bare)
             told = json.loads(want)
             assert got[i].json == want and got[i].returned_matches == told["returned_matches"] and got[i].truncated == told["truncated"]
+        assert matches.regex_result(docs(spark, texts[0]), given[0], given, limit, offset, budget, count_only, dedupe, include_line_text=not bare) == got[0].json
+    assert json.loads(matches.regex_result(docs(spark), "a"))["total_matches"] == 0
 
 
 # Discovery
