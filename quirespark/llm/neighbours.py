@@ -12,9 +12,9 @@ and reranked exactly. Vectors themselves travel in that join only; codes take a
 Equal vectors are one entry with their smallest ids (k + 1, enough for any query's k), so that a
 common vector neither crowds out others nor gathers in one task.
 
-Defined cases: vectors that are null, empty, zero, hold a null or non-finite component or are of
-another length than most take no part, neither do null ids; repeated rows with an id count once;
-an empty table gives no rows; other columns are ignored.
+Defined cases: vec_id is an integer (another type fails the job). Vectors that are null, empty, zero,
+hold a null or non-finite component or are of another length than most take no part, neither do null
+ids; repeated rows with an id count once; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

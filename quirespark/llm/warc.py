@@ -7,7 +7,7 @@ file is nothing but members. The reader deals files out in byte ranges. A task l
 magic in its range, takes a candidate for a record if it inflates to a WARC header, and reads on
 past the range's end for the last record that starts inside.
 
-Defined cases: a null html is an empty payload; a null url is empty; pages with a null id are
+Defined cases: page_id is an integer (another type fails the job). A null html is an empty payload; a null url is empty; pages with a null id are
 written and read back with a null id (they are referred to only if no page with an id has the
 same payload); repeated rows are records of their own, and those with the smallest id are all
 responses; an empty table gives an archive without records; other columns are ignored.

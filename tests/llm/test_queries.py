@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("quirespark.llm")
 import corpus_pipeline  # noqa: E402
@@ -37,7 +38,9 @@ def folder(spark, tmp_path_factory):
     vectors = [(k, [float(x) for x in rng.normal(size=6)], 0) for k in range(120)] + [(500, None, 0), (600, [0.0] * 6, 0)]
     page = [(k, f"http://x/{k}", "<p>" + "y" * (k % 5 * 60) + "</p>") for k in range(30)] + [(40, None, None)]
     for name, rows, schema in (("documents", docs, SCHEMA), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id long, text string"), ("embeddings", vectors, "vec_id long, embedding array<float>, label int"), ("pages", page, "page_id long, url string, html string")):
-        spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{at}/{name}.parquet")
+        df = spark.createDataFrame(rows, schema)
+        df = df.withColumn("n_chars", F.length("text").cast("long")) if name == "documents" else df
+        df.repartition(3).write.parquet(f"{at}/{name}.parquet")
     empty = tmp_path_factory.mktemp("none")
     for name in ("documents", "labels", "benchmark", "embeddings", "pages"):
         spark.read.parquet(f"{at}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
