@@ -6,8 +6,9 @@
 
 Reading: files are listed once, dealt out by size in groups of `group_bytes`, and read by tasks; a file
 is one row. Writing: a task writes each file under a name of its own attempt and moves it into place, so
-that a file is whole or not there, and a task that is run again writes the same. A job that fails takes
-its files away again and leaves those it replaced replaced; one that succeeds leaves `_SUCCESS`.
+that a file is whole or not there, and a task that is run again writes the same. Of equal names one stays.
+Mode overwrite deletes the folder's files with the suffix first. A job that fails deletes the files of its
+finished tasks again, also where they took the place of others; one that succeeds leaves `_SUCCESS`.
 
 Paths are what Arrow's file systems know by their scheme (file, hdfs, s3, gs and others). Names are
 encoded as in URLs. Files whose name begins with _ or . are left out. A null name fails the job; a null
@@ -39,15 +40,18 @@ class Written(WriterCommitMessage):
     files: list[str]
 
 
+def _listed(path: str, suffix: str) -> list:
+    where, base = _at(path)
+    return [f for f in where.get_file_info(fs.FileSelector(base)) if f.is_file and f.base_name[0] not in "_." and f.base_name.endswith(suffix)]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.suffix, self.most = options["path"], options.get("suffix", ""), int(options.get("group_bytes", 64 << 20))
 
     def partitions(self):
-        where, base = _at(self.path)
-        files = [f for f in where.get_file_info(fs.FileSelector(base)) if f.is_file and f.base_name[0] not in "_." and f.base_name.endswith(self.suffix)]
         groups, size = [[]], 0
-        for f in sorted(files, key=lambda f: f.path):
+        for f in sorted(_listed(self.path, self.suffix), key=lambda f: f.path):
             if groups[-1] and size + f.size > self.most:
                 groups, size = [*groups, []], 0
             groups[-1].append(f.path)
@@ -67,10 +71,8 @@ class _Writer(DataSourceWriter):
         self.path, self.suffix, self.overwrite = options["path"], options.get("suffix", ""), overwrite
         where, base = _at(self.path)
         where.create_dir(base, recursive=True)
-        if overwrite:
-            for f in where.get_file_info(fs.FileSelector(base)):
-                if f.is_file:
-                    where.delete_file(f.path)
+        for f in _listed(self.path, self.suffix) if overwrite else []:
+            where.delete_file(f.path)
 
     def write(self, iterator):
         where, base = _at(self.path)
