@@ -270,7 +270,7 @@ def line_scan_ranges(spark, sf_dir):
     """All documents, in order, as one text in many files, read by ranges."""
     at = shared_folder(spark, "text")
     d = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").select("text").write.text(at)
+    d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select("text").write.text(at)
     return ranges.scan_lines(spark, at, together=True).select("line_number", "char_start", "line", "ended")
 
 
