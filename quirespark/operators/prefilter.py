@@ -11,6 +11,7 @@ import re
 from re import _constants as C
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,42 +66,70 @@ def match_many(lines: DataFrame, given: list[str], line_text: bool = True, count
         raise ValueError("no pattern is left")
     sources = [p.source for p in ps]
 
+    fields = ["doc_id", "line_number", "pattern_index", "pattern", "match_ord", "full_match", "groups", *(["line"] if line_text else [])]
+
     def run(batches):
         import ahocorasick
 
         found = [re.compile(s) for s in sources]
-        texts: dict[str, list[int]] = {}
-        always = []
+        texts: dict[str, set[int]] = {}
+        always = set()
         for k, s in enumerate(sources):
             some = needed(s)
             if some is None:
-                always.append(k)
+                always.add(k)
             for t in some or ():
-                texts.setdefault(t, []).append(k)
-        automaton = ahocorasick.Automaton()
-        for t, ks in texts.items():
-            automaton.add_word(t, ks)
+                texts.setdefault(t, set()).add(k)
+        automaton, owners = ahocorasick.Automaton(), list(texts.values())
+        for i, t in enumerate(texts):
+            automaton.add_word(t, i)
         if texts:
             automaton.make_automaton()
         runs = [0] * len(sources)
+        names = pa.array(sources)
         for b in batches:
-            ids, at, out = b.column("doc_id"), [], []
-            for i, (number, line) in enumerate(zip(b.column("line_number").to_pylist(), b.column("line").to_pylist())):
+            # A run is a line and a pattern with their number of matches.
+            held, full, flat, sizes = [], [], [], []
+
+            def rows(b=b):
+                at, k, n = (np.array(x, dtype=np.int64) for x in zip(*held))
+                line, pattern = pa.array(np.repeat(at, n)), pa.array(np.repeat(k, n))
+                begins = np.repeat(np.cumsum(n) - n, n)
+                groups = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.repeat(sizes, n))]), pa.int32()), pa.array(flat, pa.string()))
+                order = pa.array((np.arange(len(begins)) - begins).astype(np.int32))
+                cols = [b.column("doc_id").take(line), b.column("line_number").take(line), pattern.cast(pa.int32()), names.take(pattern), order, pa.array(full, pa.string()), groups]
+                return pa.RecordBatch.from_arrays([*cols, *([b.column("line").take(line)] if line_text else [])], fields)
+
+            length = 0
+            for i, line in enumerate(b.column("line")):
+                line = line.as_py()
                 if line is None:
                     continue
-                ks = set(always)
-                if texts:
-                    for _, some in automaton.iter(line):
-                        ks.update(some)
+                ks = always.union(*[owners[h] for h in {h for _, h in automaton.iter(line)}]) if texts else always
                 for k in sorted(ks):
                     runs[k] += 1
                     p = found[k]
-                    for order, m in enumerate(p.finditer(line)):
-                        at.append(i)
-                        out.append((number, k, sources[k], order, m[0], list(m.groups()) if p.groups else [m[0]], line))
-            if out and not counted:
-                cols = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string()])]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *cols], ["doc_id", "line_number", "pattern_index", "pattern", "match_ord", "full_match", "groups", "line"])
+                    if counted:
+                        continue
+                    if p.groups:
+                        ms = list(p.finditer(line))
+                        mine = [m[0] for m in ms]
+                        for m in ms:
+                            flat += m.groups()
+                    else:
+                        mine = [m[0] for m in p.finditer(line)]
+                        flat += mine
+                    if mine:
+                        held.append((i, k, len(mine)))
+                        sizes.append(max(p.groups, 1))
+                        full += mine
+                        length += len(line) * len(mine) if line_text else 0
+                # A batch has some matches, or some text of lines that stand beside their matches.
+                if len(full) >= 8192 or length > 8 << 20:
+                    yield rows()
+                    held, full, flat, sizes, length = [], [], [], [], 0
+            if held:
+                yield rows()
         if counted:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(sources)), pa.int32()), pa.array(runs, pa.int64())], ["pattern_index", "n_runs"])
 
@@ -108,5 +137,4 @@ def match_many(lines: DataFrame, given: list[str], line_text: bool = True, count
     if counted:
         return rows.mapInArrow(run, "pattern_index int, n_runs long").groupBy("pattern_index").agg(F.sum("n_runs").alias("n_runs"))
     kind = dict(lines.dtypes)["doc_id"]
-    out = rows.mapInArrow(run, f"doc_id {kind}, line_number int, pattern_index int, pattern string, match_ord int, full_match string, groups array<string>, line string")
-    return out if line_text else out.drop("line")
+    return rows.mapInArrow(run, f"doc_id {kind}, line_number int, pattern_index int, pattern string, match_ord int, full_match string, groups array<string>" + (", line string" if line_text else ""))
