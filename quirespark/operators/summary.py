@@ -27,30 +27,34 @@ def _log2(x: Column) -> Column:
     return F.length(F.bin(x)) - 1
 
 
-def sentences(sections: DataFrame, key: list[str], text: str) -> DataFrame:
-    """key, place (from 0), sentence: those with a word."""
+def _sentences(text: str) -> Column:
+    """Sentences of a text that have a word."""
     parts = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(s))
-    some = F.filter(parts, lambda s: F.rlike(s, F.lit(WORDS)))
-    return sections.select(*key, F.posexplode(some).alias("place", "sentence"))
+    return F.filter(parts, lambda s: F.rlike(s, F.lit(WORDS)))
 
 
-def word_weights(words: DataFrame, key: list[str], n: int) -> DataFrame:
-    """word, df (sections that have it), weight."""
-    df = words.select(*key, "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
+
+
+def word_weights(sections: DataFrame, text: str, n: int) -> DataFrame:
+    """word, df (sections that have it), weight. A section's distinct words are found in its row, so that counts alone are exchanged."""
+    distinct = F.array_distinct(F.flatten(F.transform(_sentences(text), _words)))
+    df = sections.select(F.explode(distinct).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     return df.withColumn("weight", _log2(F.floor(F.lit(n) / F.col("df")).cast("long")))
 
 
 def extract(sections: DataFrame, key: list[str], text: str = "body", length: int = 200) -> DataFrame:
-    """key and summary: the best sentences of each section, of `length` characters together at most, joined by spaces; empty if none fits. key names a section; it is not null."""
-    s = sentences(sections, key, text)
-    words = s.select(*key, "place", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(WORDS), F.lit(0))).alias("word")).groupBy(*key, "place", "word").agg(F.count("*").alias("c"))
-    n = sections.select(*key).distinct().count()
-    weights = word_weights(words, key, n)
+    """key and summary: the best sentences of each section, of `length` characters together at most, joined by spaces; empty if none fits. key names a section, a row; it is not null."""
+    s = sections.select(*key, F.posexplode(_sentences(text)).alias("place", "sentence"))
+    words = s.select(*key, "place", F.explode(_words(F.col("sentence"))).alias("word"))
+    n = sections.count()
+    weights = word_weights(sections, text, n)
     often = F.col("df") * FREQUENT > n
     first = words.join(F.broadcast(weights.where(often).select("word", "weight")), "word", "left")
     rest = first.where("weight is null").drop("weight").join(weights.where(~often).select("word", "weight"), "word")
     every = first.where("weight is not null").unionByName(rest)
-    scores = every.groupBy(*key, "place").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("weight")).alias("w"))
+    scores = every.groupBy(*key, "place").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     score = (F.floor(F.col("w") * 100 / F.col("n")) + F.floor(F.lit(BONUS) / (F.col("place") + 1))).alias("score")
     ranked = s.join(scores.select(*key, "place", score), [*key, "place"])
     best = Window.partitionBy(*key).orderBy(F.desc("score"), "place")
