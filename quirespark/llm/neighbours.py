@@ -1,13 +1,18 @@
-"""Approximate nearest neighbours with score-aware anisotropic quantisation.
-
-Nearness in Euclidean distance is a maximum inner product with the squared norm as offset:
-|x - q|^2 / 2 = |q|^2 / 2 + |x|^2 / 2 - q.x. The product quantiser has 16 centroids (four bits) for
-each pair of dimensions and is fitted on a bounded sample so that the part of the residual that
-lies along a vector, which changes large inner products most, weighs more than the rest. Every
-vector is coded. Codes and queries stand in blocks that meet on a grid; a task adds up table entries
-for a block of queries and a block of codes and hands on each query's best entries over all the blocks
-of its place on the grid. Each query's `pool` best of all places are joined with the original vectors
-and reranked exactly. Vectors themselves travel in that join only; codes take a sixteenth of them.
+"""Nearest neighbours with score-aware anisotropic quantisation; what the tables can't rule out is measured exactly.
+
+Vectors are centred at the medians of a bounded sample, and their directions are coded: the product
+quantiser has 16 centroids (four bits) for each pair of dimensions and is fitted on that sample so that
+the part of the residual that lies along a vector, which changes large inner products most, weighs
+more than the rest. Every vector is coded, with the length that leaves a residual across the vector
+alone, and with the length of that residual. A code and its table entries give the distance from a
+query to the coded point; less the residual's length it is a bound that no vector falls below.
+
+Codes stand in blocks with their vectors, queries in blocks of their own, which meet on a grid. A task
+keeps the queries of its place and passes the blocks of codes by them: for a query's first block the
+`pool` best by the tables are measured, later k of each; then whatever the bound allows to be among the k
+nearest. So all of the nearest are found, whatever the vectors look like; where the tables part
+little (clusters much narrower than their distance from the middle), more has to be measured, by a matrix
+product first.
 
 Equal vectors are one entry with their smallest ids (k + 1, enough for any query's k), so that a
 common vector neither crowds out others nor gathers in one task.
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import cut, partitions, spread_join, table
+from ._common import partitions, table
 
 CENTROIDS, PAIR = 16, 2
 #: Rows of the fit at most, by the hash of their ids.
@@ -86,16 +91,98 @@ def assign(x: np.ndarray, c: np.ndarray, ratio: float = 4.0, codes: np.ndarray |
     return codes
 
 
-def scan(q: np.ndarray, c: np.ndarray, codes: np.ndarray, half: np.ndarray) -> np.ndarray:
-    """Queries x entries: inner product less half the squared norm, by table entries."""
+def scan(q: np.ndarray, c: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Queries x entries: inner products of queries with codes, by table entries."""
     m = c.shape[0]
     t = np.einsum("qmp,mkp->mqk", q.reshape(len(q), m, PAIR), c).astype(np.float32)
-    s = np.tile(-half.astype(np.float32), (len(q), 1))
+    s = np.zeros((len(q), len(codes)), dtype=np.float32)
     for j in range(m):
         s += t[j][:, codes[:, j]]
     return s
 
 
+def directions(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def coded(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the directions of centred vectors, and by row: the code's factor, its length times that, the residual's length."""
+    u = directions(x)
+    codes = assign(u, c)
+    hat = c[np.arange(c.shape[0]), codes].reshape(len(x), -1)
+    size, along = np.linalg.norm(x, axis=1), (u * hat).sum(axis=1)
+    factor = size / np.where(along > 0.2, along, 1)
+    return codes, np.stack([factor, factor * np.linalg.norm(hat, axis=1), np.linalg.norm(x - factor[:, None] * hat, axis=1)], axis=1)
+
+
+class Best:
+    """The k nearest of what a block of queries has met so far, by distance and id; a query's own id is left out."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, middle: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.centred = vectors - middle
+        self.size = np.linalg.norm(self.centred, axis=1)
+        self.slack = 1e-12 * (self.size + np.linalg.norm(middle))  # more than rounding moves a distance
+        self.found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # query's place, id, distance
+        self.far = np.full(len(ids), np.inf)  # each query's k-th distance
+
+    def measure(self, at: np.ndarray, col: np.ndarray, block: Block) -> None:
+        """Takes the distances of pairs (query, entry of the block) from the vectors as given."""
+        d = np.zeros(len(at))
+        for i in range(0, len(at), 4096):
+            d[i : i + 4096] = np.sqrt(((block.vectors[col[i : i + 4096]].astype(np.float64) - self.vectors[at[i : i + 4096]]) ** 2).sum(axis=1))
+        near = d <= self.far[at]
+        at, col, d = at[near], col[near], d[near]
+        n = block.many[col]
+        place = np.repeat(block.first[col] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        q, ids, d = np.repeat(at, n), block.ids[place], np.repeat(d, n)
+        other = ids != self.ids[q]
+        q, ids, d = (np.concatenate([a, b[other]]) for a, b in zip(self.found, (q, ids, d)))
+        order = np.lexsort((ids, d, q))
+        q, ids, d = q[order], ids[order], d[order]
+        start = np.searchsorted(q, np.arange(len(self.ids)))
+        rank = np.arange(len(q)) - start[q]
+        self.far[q[rank == self.k - 1]] = d[rank == self.k - 1]
+        self.found = q[rank < self.k], ids[rank < self.k], d[rank < self.k]
+
+    def meet(self, block: Block, c: np.ndarray, pool: int) -> None:
+        for i in range(0, len(self.ids), 64):
+            self._meet(np.arange(i, min(i + 64, len(self.ids))), block, c, pool)
+
+    def _meet(self, mine: np.ndarray, block: Block, c: np.ndarray, pool: int) -> None:
+        size, n = self.size[mine, None], len(block.factor)
+        wide = np.zeros((len(mine), c.shape[0] * PAIR))
+        wide[:, : self.centred.shape[1]] = directions(self.centred[mine])
+        product = scan(wide, c, block.codes) * block.factor
+        square = size**2 + block.length**2 - 2 * size * product  # from the query to the coded point
+        first = min(n, pool if np.isinf(self.far[mine]).any() else self.k + 1)
+        guess = square - block.residual**2
+        col = np.argpartition(guess, first - 1, axis=1)[:, :first] if first < n else np.tile(np.arange(n), (len(mine), 1))
+        self.measure(np.repeat(mine, first), col.ravel(), block)
+        # Single-precision sums of the tables differ by less than this; what isn't a finite bound rules nothing out.
+        square -= 2.4e-7 * (c.shape[0] + 4) * size * block.length + 1e-12 * (size**2 + block.length**2)
+        far = (self.far[mine] + self.slack[mine])[:, None] + 1e-12 * block.size
+        bound = np.sqrt(np.maximum(square, 0)) - block.residual
+        left = ~((bound > far) & np.isfinite(bound))
+        np.put_along_axis(left, col, False, axis=1)
+        if left.sum() > left.size // 16:
+            square = size**2 + block.size**2 - 2 * (self.centred[mine] @ block.centred.T)
+            left &= ~((square - 1e-12 * (size**2 + block.size**2) > far**2) & np.isfinite(square))
+        at, col = np.nonzero(left)
+        self.measure(mine[at], col, block)
+
+
+class Block:
+    """Vectors with their codes and ids."""
+
+    def __init__(self, vectors: np.ndarray, middle: np.ndarray, codes: np.ndarray, lengths: np.ndarray, many: np.ndarray, ids: np.ndarray):
+        self.vectors, self.codes, self.many, self.ids = vectors, codes, many, ids
+        self.factor, self.length, self.residual = lengths.T
+        self.first = np.cumsum(many) - many
+        self.centred = vectors - middle
+        self.size = np.linalg.norm(self.centred, axis=1)
+
+
 def _packed(a: np.ndarray) -> bytes:
     return (a[:, ::2] | (a[:, 1::2] << 4) if a.shape[1] % 2 == 0 else a).astype(np.uint8).tobytes()
 
@@ -136,10 +223,10 @@ def entries(v: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("embedding", "salt").agg(few).groupBy("embedding").agg(few)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 400, query_block: int = 512, code_block: int = 8192, span_bytes: int = 64 << 20, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 400, query_block: int = 512, code_block: int = 4096, span_bytes: int = 64 << 20, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of vectors (vec_id, embedding) to each row of queries, itself left out.
 
-    pool: entries a query that the tables pass on to exact reranking. span_bytes: what the queries of one task's place may hold at a time.
+    pool: entries a query, best by the tables, that are measured before any bound is known. span_bytes: what the queries of one task's place may hold.
     """
     spark = vectors.sparkSession
     v, q = _usable(vectors), _usable(queries).dropDuplicates(["vec_id"])
@@ -151,84 +238,67 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 400
     wide = d + d % PAIR
     v, q = v.where(F.size("embedding") == d), q.where(F.size("embedding") == d)
     some = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    x = np.zeros((len(some), wide))
-    x[:, :d] = [r.embedding for r in some]
-    c = fit(x)
+    x = np.array([r.embedding for r in some], dtype=np.float64)
+    middle = np.median(x, axis=0)
+    c = fit(directions(np.pad(x - middle, ((0, 0), (0, wide - d)))))
     m = c.shape[0]
     tasks = partitions(spark)
-    whole = cut(entries(v, k).withColumn("entry", F.get("ids", F.lit(0))))
-
-    def matrix(column) -> np.ndarray:
-        out = np.zeros((len(column), wide))
-        out[:, :d] = np.stack([np.asarray(e, dtype=np.float64) for e in column])
-        return out
+    kind = np.float32 if dict(v.dtypes)["embedding"] == "array<float>" else np.float64
 
     def code(it):
         for p in it:
             for i in range(0, len(p), code_block):
                 part = p.iloc[i : i + code_block]
-                a = matrix(part["embedding"])
-                half = ((a**2).sum(axis=1) / 2).astype(np.float32)
-                yield pd.DataFrame({"n": [len(part)], "codes": [_packed(assign(a, c).astype(np.uint8))], "half": [half.tobytes()], "entries": [part["entry"].to_numpy(dtype=np.int64).tobytes()]})
+                a = np.stack(part["embedding"].to_list()).astype(kind)
+                codes, lengths = coded(np.pad(a - middle, ((0, 0), (0, wide - d))), c)
+                ids = part["ids"].to_list()
+                raw = _packed(codes.astype(np.uint8)), lengths.tobytes(), np.array([len(x) for x in ids], dtype=np.int64).tobytes(), np.concatenate(ids).astype(np.int64).tobytes()
+                yield pd.DataFrame({"no": [int(ids[0][0])], "ids": [raw[3]], "vectors": [a.tobytes()], **{n: [r] for n, r in zip(("codes", "lengths", "many"), raw)}})
 
     def gather(it):
         for p in it:
             for i in range(0, len(p), query_block):
                 part = p.iloc[i : i + query_block]
-                yield pd.DataFrame({"qs": [part["vec_id"].to_numpy(dtype=np.int64).tobytes()], "qv": [matrix(part["embedding"]).tobytes()]})
+                a = np.stack(part["embedding"].to_list()).astype(kind)
+                yield pd.DataFrame({"no": [int(part["vec_id"].iloc[0])], "ids": [part["vec_id"].to_numpy(dtype=np.int64).tobytes()], "vectors": [a.tobytes()]})
 
     # A grid of cells x spans: a block of codes goes to one cell of every span, a block of queries to all cells of its span.
-    # Entries fall into cells by hash, so that a cell holds its share of a query's pool; it hands on three times that and some more.
-    n_q = q.count()
-    q_parts = max(1, -(-n_q // query_block))
-    per_span = max(1, span_bytes // (query_block * (8 * wide + 24 * pool)))
+    q_parts = max(1, -(-q.count() // query_block))
+    per_span = max(1, span_bytes // (query_block * (20 * d + 24 * k + 40)))
     spans = -(-q_parts // per_span)
     cells = max(1, -(-tasks // spans))
-    most = min(pool, 30 + -(-3 * pool // cells))
 
     def search(it):
-        best, where = {}, None
-        for p in it:
-            for r in p.itertuples():
-                if where != (r.cell, r.span):
-                    yield from said(best)
-                    best, where = {}, (r.cell, r.span)
-                qv = np.frombuffer(r.qv).reshape(-1, wide)
-                codes, half, found = _unpacked(r.codes, r.n, m), np.frombuffer(r.half, dtype=np.float32), np.frombuffer(r.entries, dtype=np.int64)
-                s = np.vstack([scan(qv[i : i + 64], c, codes, half) for i in range(0, len(qv), 64)])
-                ids = np.tile(found, (len(s), 1))
-                for _ in range(2):  # the block's best, then the best of these and of those before
-                    if s.shape[1] > most:
-                        top = np.argpartition(-s, most - 1, axis=1)[:, :most]
-                        s, ids = np.take_along_axis(s, top, axis=1), np.take_along_axis(ids, top, axis=1)
-                    if r.qs in best:
-                        s, ids = np.hstack([best[r.qs][0], s]), np.hstack([best.pop(r.qs)[1], ids])
-                best[r.qs] = s, ids
-        yield from said(best)
-
-    def said(best: dict):
-        for qs, (s, ids) in best.items():
-            yield pd.DataFrame({"query_id": np.repeat(np.frombuffer(qs, dtype=np.int64), s.shape[1]), "entry": ids.ravel(), "guess": s.ravel()})
-
-    def exact(it):
+        held, where = [], None
         for b in it:
-            far = [np.zeros(0)]
-            for i in range(0, b.num_rows, 4096):  # arrays of d numbers each, side by side
-                x, y = (np.asarray(b.column(n).slice(i, 4096).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, d) for n in ("vector", "query"))
-                far.append(np.sqrt(((x - y) ** 2).sum(axis=1)))
-            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("ids"), pa.array(np.concatenate(far))], ["query_id", "ids", "score"])
-
-    codes = whole.select("embedding", "entry").repartition(tasks, "entry").mapInPandas(code, "n int, codes binary, half binary, entries binary")
-    codes = codes.withColumn("cell", F.pmod(F.xxhash64("entries"), F.lit(cells)).cast("int")).withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1))))
-    blocks = q.repartitionByRange(q_parts, F.xxhash64("vec_id")).mapInPandas(gather, "qs binary, qv binary").withColumn("span", F.floor(F.spark_partition_id() / per_span).cast("int"))
+            for r in b.to_pylist():
+                if where != (r["cell"], r["span"]):
+                    yield from said(held)
+                    held, where = [], (r["cell"], r["span"])
+                ids, a = np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["vectors"], dtype=kind).reshape(-1, d)
+                if r["codes"] is None:
+                    held.append(Best(ids, a.astype(np.float64), middle, k))
+                    continue
+                many = np.frombuffer(r["many"], dtype=np.int64)
+                block = Block(a, middle, _unpacked(r["codes"], len(many), m), np.frombuffer(r["lengths"]).reshape(-1, 3), many, ids)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    for best in held:
+                        best.meet(block, c, pool)
+        yield from said(held)
+
+    def said(held: list):
+        for best in held:
+            at, ids, score = best.found
+            yield pa.RecordBatch.from_arrays([pa.array(best.ids[at]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    raw = "codes binary, lengths binary, many binary"
+    codes = entries(v, k).repartition(tasks, F.get("ids", F.lit(0))).mapInPandas(code, f"no long, ids binary, vectors binary, {raw}")
+    codes = codes.withColumn("cell", F.pmod(F.xxhash64("no"), F.lit(cells)).cast("int")).withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1))))
+    blocks = q.repartitionByRange(q_parts, F.xxhash64("vec_id")).mapInPandas(gather, "no long, ids binary, vectors binary").withColumn("span", F.floor(F.spark_partition_id() / per_span).cast("int"))
     blocks = blocks.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    found = codes.repartition(tasks, "cell", "span").join(blocks.hint("merge"), ["cell", "span"]).mapInPandas(search, "query_id long, entry long, guess float")
-    likely = Window.partitionBy("query_id").orderBy(F.desc("guess"), "entry")
-    pairs = cut(found.withColumn("at", F.row_number().over(likely)).where(F.col("at") <= pool).select("query_id", "entry"))
-    near = spread_join(pairs, whole.select("entry", "ids", F.col("embedding").alias("vector")), ["entry"], ["query_id"])
-    near = near.join(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).hint("merge"), "query_id")
-    near = near.select("query_id", "ids", "vector", "query").mapInArrow(exact, "query_id long, ids array<long>, score double")
-    near = near.select("query_id", F.explode("ids").alias("vec_id"), "score").where(F.col("vec_id") != F.col("query_id"))
+    # A place's queries come before its codes.
+    both = blocks.withColumn("part", F.lit(0)).unionByName(codes.withColumn("part", F.lit(1)), allowMissingColumns=True)
+    near = both.repartition(tasks, "cell", "span").sortWithinPartitions("cell", "span", "part", "no").mapInArrow(search, "query_id long, vec_id long, score double")
     nearest_first = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -423,6 +423,34 @@ def test_neighbours(spark, span_bytes):
     assert [i for _, i, _ in got[60]] == [i for i in range(50, 61) if i != 60]
 
 
+@pytest.mark.parametrize("rows", ["narrow", "far", "lengths", "outliers", "axis"])
+def test_neighbours_of_odd_rows(spark, rows):
+    """Narrow clusters, vectors far from zero, very unlike lengths, few huge ones, one wide dimension: all of the nearest, in order."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 9))
+    if rows == "narrow":
+        x = rng.normal(size=(3, 9))[rng.integers(0, 3, 3000)] + 0.001 * x
+    elif rows == "far":
+        x += 10_000
+    elif rows == "lengths":
+        x *= np.exp(rng.normal(size=(3000, 1)) * 4)
+    elif rows == "outliers":
+        x[::100] *= 1e30
+    else:
+        x[:, 1:] *= 1e-4
+    x = x.astype(np.float32)
+    v = spark.createDataFrame([(k, [float(a) for a in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(v, v.where("vec_id % 100 = 0"), code_block=700).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    x = x.astype(np.float64)
+    for q in range(0, 3000, 100):
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        best = [int(i) for i in np.lexsort((np.arange(3000), far)) if i != q][:10]
+        assert [i for i, _ in got[q]] == best
+        assert [s for _, s in got[q]] == [far[i] for i in best]
+
+
 def test_neighbours_few_and_none(spark):
     v = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0]), (2, [2.0, 2.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(v, v.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
