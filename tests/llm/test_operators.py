@@ -828,6 +828,31 @@ def test_toxicity_samples_are_bounded(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score(d, toxicity.fit(d, labels)[0]).collect())
 
 
+@pytest.mark.parametrize("pack", [toxicity.PACK, 500])
+def test_toxicity_learns_from_all_labelled_rows(spark, pack):
+    """Of 8,000 labelled rows the last toxic ones by the hash of their ids have a word of their own; counts cover every row, in however many packs."""
+    rng = np.random.default_rng(21)
+    ids = spark.range(8000).selectExpr("id").where("id % 2 = 1 and crc32(cast(cast(id as string) as binary)) % 5 != 0").orderBy(F.xxhash64("id"), "id").collect()
+    late = {r.id for r in ids[2500:]}
+    assert len(late) > 300
+    made = [(k, prose(6, rng) + (" vilexa" if k in late else " grobian" if k % 2 else ""), "en" if k % 3 else "de", k % 2) for k in range(8000)]
+    d = spark.createDataFrame(made, "doc_id long, text string, lang string, toxic int").repartition(3)
+    seen = []
+    summed = toxicity.summed
+    try:
+        toxicity.summed = lambda packs, of: seen.append(summed(packs, of)) or seen[-1]
+        model, least = toxicity.fit(d, d.select("doc_id", "toxic"), pack=pack)
+    finally:
+        toxicity.summed = summed
+    known = [k for k, *_ in made if zlib.crc32(str(k).encode()) % 5]
+    assert (seen[0][-2:] + seen[1][-2:]).tolist() == [sum(k % 2 == t for k in known) for t in (0, 1)]
+    at = toxicity.buckets([b"vilexa"])[0, -1]
+    assert (seen[0] + seen[1])[toxicity.BUCKETS + at] == len(late)
+    held = [prose(6, rng).encode().split() for _ in range(100)]
+    assert (toxicity.predict(model, [[*w, b"vilexa"] for w in held]) > 0.5).all() and (toxicity.predict(model, held) < 0.5).all()
+    assert sorted(least) == ["de", "en"]
+
+
 def test_joined_is_what_is_laid_out(spark):
     lists = [[], [b"one", b"two", b"one"], [b"two", b"three", b""]]
     rows = []
