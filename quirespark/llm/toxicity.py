@@ -37,6 +37,8 @@ from .decontaminate import words
 
 #: Rows and bytes of a pack, whole texts whatever their size.
 PACK, PACK_BYTES = 4096, 32 << 20
+#: Results of tasks that are added up in one place.
+FAN = 8
 #: Bins of a histogram of scores, by unit of log odds.
 FINE = 64
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 16, 8, 8, (1, 2, 3), (3, 4, 5, 6, 8)
@@ -145,7 +147,7 @@ def _unpacked(b: pa.RecordBatch, i: int) -> tuple[tuple, np.ndarray, list[str]]:
 
 
 def summed(packs: DataFrame, of) -> np.ndarray | None:
-    """The sum of the vectors of(texts, y, langs) of all packs: by task, by group of tasks, by the driver; None without packs."""
+    """The sum of the vectors of(texts, y, langs) of all packs: by task, by groups of FAN tasks and of groups, the last FAN by the driver; None without packs."""
 
     def task(batches):
         total = None
@@ -156,12 +158,17 @@ def summed(packs: DataFrame, of) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["task", "sums"])
 
-    def merge(t: pa.Table) -> pa.Table:
+    def merge(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("task")
-        return pa.table({"task": t.column("task").slice(0, 1), "sums": pa.array([sum(np.frombuffer(x.as_buffer()) for x in t.column("sums")).tobytes()], pa.binary())})
-
-    groups = int(np.ceil(np.sqrt(packs.rdd.getNumPartitions() or 1)))
-    each = packs.mapInArrow(task, "task int, sums binary").groupBy(F.pmod("task", F.lit(groups))).applyInArrow(merge, "task int, sums binary").collect()
+        return pa.table({"task": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([sum(np.frombuffer(x.as_buffer()) for x in t.column("sums")).tobytes()], pa.binary())})
+
+    groups, each = packs.rdd.getNumPartitions(), packs.mapInArrow(task, "task int, sums binary")
+    while True:  # once at least, so that the driver never gets tasks' own results
+        groups = max(1, -(-groups // FAN))
+        each = each.groupBy(F.pmod("task", F.lit(groups))).applyInArrow(merge, "task int, sums binary")
+        if groups <= FAN:
+            break
+    each = each.collect()
     return sum(np.frombuffer(r.sums) for r in sorted(each, key=lambda r: r.task)) if each else None
 
 

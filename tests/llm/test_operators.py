@@ -838,12 +838,13 @@ def test_toxicity_learns_from_all_labelled_rows(spark, pack):
     made = [(k, prose(6, rng) + (" vilexa" if k in late else " grobian" if k % 2 else ""), "en" if k % 3 else "de", k % 2) for k in range(8000)]
     d = spark.createDataFrame(made, "doc_id long, text string, lang string, toxic int").repartition(3)
     seen = []
-    summed = toxicity.summed
+    summed, fan = toxicity.summed, toxicity.FAN
     try:
+        toxicity.FAN = 2
         toxicity.summed = lambda packs, of: seen.append(summed(packs, of)) or seen[-1]
         model, least = toxicity.fit(d, d.select("doc_id", "toxic"), pack=pack)
     finally:
-        toxicity.summed = summed
+        toxicity.summed, toxicity.FAN = summed, fan
     known = [k for k, *_ in made if zlib.crc32(str(k).encode()) % 5]
     assert (seen[0][-2:] + seen[1][-2:]).tolist() == [sum(k % 2 == t for k in known) for t in (0, 1)]
     at = toxicity.buckets([b"vilexa"])[0, -1]
