@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _parser
 
 from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
@@ -12,12 +13,13 @@ from pyspark.errors import IllegalArgumentException
 
 @dataclass(frozen=True)
 class Pattern:
-    """source: as given; java: for Spark's functions; groups: number of groups; exact: Java can't express it, so Python has to run it."""
+    """source: as given; java: for Spark's functions; groups: number of groups; exact: Java can't express it, so Python has to run it; least: characters that every match has."""
 
     source: str
     java: str
     groups: int
     exact: bool
+    least: int = 0
 
 
 #: Escapes that mean something else in Java; fixed values.
@@ -88,7 +90,7 @@ def pattern(source: str) -> Pattern:
             out += rest[0]
             at += 1
     java = "(?Ud)" + out
-    return Pattern(source, java, groups, bool(ONLY_PYTHON.search(source)) or not _java_takes(java))
+    return Pattern(source, java, groups, bool(ONLY_PYTHON.search(source)) or not _java_takes(java), _parser.parse(source).getwidth()[0])
 
 
 def _java_takes(java: str) -> bool:

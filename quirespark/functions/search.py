@@ -29,6 +29,8 @@ def first(line: Column, p: Pattern, at_start: bool = False) -> Column:
     """The first match, at the line's begin only if so asked; null where there is none."""
     if not p.exact:
         java = f"^(?:{p.java})" if at_start else p.java
+        if p.least:  # no match is empty, so an empty one is none
+            return F.nullif(F.regexp_extract(line, java, 0), F.lit(""))
         return F.when(F.rlike(line, F.lit(java)), F.regexp_extract(line, java, 0))
     source = p.source
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,48 +62,101 @@ def longest(values: list) -> list[bool]:
     return out
 
 
-def in_place(rows: DataFrame, within: list[str], order: str, number: str, mark: str | None = None) -> DataFrame:
-    """(within, order, number, in_place) of rows that have a number: whether it is in the longest increasing run of its group. number: an array of integers, null without one; mark: what stands in its stead, a letter or roman number. order: a long; of equal places the smaller number is first."""
-    kinds = dict(rows.dtypes)
-    r = rows.select(*within, F.col(order).cast("long").alias(order), F.col(number).cast("array<long>").alias("number"), (F.col(mark) if mark else F.lit(None)).cast("string").alias("mark"))
-    fields = [*within, order, "number", "mark"]
+def _changes(b: pa.RecordBatch, fields: list[str]) -> np.ndarray:
+    """For each row but the first: whether it differs from the one before; nulls are alike."""
+    out = np.zeros(max(b.num_rows - 1, 0), bool)
+    for c in fields:
+        x = b.column(c)
+        there = x.is_valid().to_numpy(zero_copy_only=False)
+        differ = pc.not_equal(x.slice(1), x.slice(0, len(out))).fill_null(False).to_numpy(zero_copy_only=False)
+        out |= differ | (there[1:] != there[:-1])
+    return out
+
+
+def _whole(batches, fields: list[str]):
+    """Batches of whole groups, from ones whose rows are in order of their groups."""
+    held, key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        begins = [b.column(c)[0].as_py() for c in fields]
+        if held and begins != key:
+            yield pa.concat_batches(held)
+            held = []
+        cuts = np.flatnonzero(_changes(b, fields))
+        if cuts.size:
+            last = int(cuts[-1]) + 1
+            yield pa.concat_batches([*held, b.slice(0, last)])
+            held, b = [], b.slice(last)
+        held.append(b)
+        key = [b.column(c)[0].as_py() for c in fields]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _judged(b: pa.RecordBatch, fields: list[str], every: bool):
+    """b's rows that have a number (all, if `every`) as (rows' places, numbers, in_place): those of groups whose single numbers never fall, all at once, and the others."""
+    n, number, marks = b.num_rows, b.column("number"), b.column("mark")
+    group = np.concatenate([[0], np.cumsum(_changes(b, fields))])
+    sizes = pc.list_value_length(number).fill_null(-1).to_numpy(zero_copy_only=False)
+    flat = number.flatten()
+    at = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+    single = sizes == 1
+    single[single] = flat.is_valid().to_numpy(zero_copy_only=False)[at[single]]
+    value = np.zeros(n, np.int64)
+    value[single] = flat.fill_null(0).to_numpy(zero_copy_only=False)[at[single]]
+    bare = (sizes < 0) & ~pc.not_equal(marks, "").fill_null(False).to_numpy(zero_copy_only=False)  # neither a number nor a mark
+    some = np.flatnonzero(~bare)
+    g, v = group[some], value[some]
+    same = g[1:] == g[:-1]
+    falls = ~single[some]
+    falls[1:] |= same & (v[1:] < v[:-1])
+    slow = np.zeros(int(group[-1]) + 1, bool)
+    slow[g[falls]] = True
+    # In a run that never falls, the last of equal numbers is in the longest run.
+    good = np.ones(len(some), bool)
+    good[:-1] = ~same | (v[1:] != v[:-1])
+    placed = np.zeros(n, bool)
+    placed[some] = good
+    quick = np.flatnonzero(~slow[group] & (every | ~bare))
+    yield quick, number.take(pa.array(quick)), pa.array(placed[quick], pa.bool_(), mask=bare[quick])
+    rest = np.flatnonzero(slow[group])
+    if rest.size:
+        ns, ms = number.take(pa.array(rest)).to_pylist(), marks.take(pa.array(rest)).to_pylist()
+        cuts = [0, *(np.flatnonzero(np.diff(group[rest])) + 1).tolist(), len(rest)]
+        values, flags = [], []
+        for a, z in zip(cuts, cuts[1:]):
+            mine = tuples(ns[a:z], ms[a:z])
+            values += mine
+            kept = iter(longest([v for v in mine if v is not None]))
+            flags += [None if v is None else next(kept) for v in mine]
+        left = [i for i, v in enumerate(values) if every or v is not None]
+        yield rest[left], pa.array([None if values[i] is None else list(values[i]) for i in left], number.type), pa.array([flags[i] for i in left], pa.bool_())
+
+
+def in_place(rows: DataFrame, within: list[str], order: str, number: str, mark: str | None = None, dealt: list[str] | None = None, carried: list[str] | None = None) -> DataFrame:
+    """(within, order, number, in_place) of rows that have a number: whether it is in the longest increasing run of its group. number: an array of integers, null without one; mark: what stands in its stead, a letter or roman number. order: a long; of equal places the smaller number is first.
+
+    dealt: those of `within` by which rows are dealt out; rows that lie so already stay there. carried: more columns to keep, and rows without a number with them.
+    """
+    kinds, every, carried = dict(rows.dtypes), carried is not None, carried or []
+    r = rows.select(*within, F.col(order).cast("long").alias(order), F.col(number).cast("array<long>").alias("number"), (F.col(mark) if mark else F.lit(None)).cast("string").alias("mark"), *carried)
+    fields = [*within, order, "number", "in_place", *carried]
 
     def run(batches):
-        held, key = [], None
-
-        def done():
-            values = tuples([x[-2] for x in held], [x[-1] for x in held])
-            some = [(x, v) for x, v in zip(held, values) if v is not None]
-            for (x, v), ok in zip(some, longest([v for _, v in some])):
-                yield (*x[:-2], list(v), ok)
-
-        def rows_out():
-            nonlocal held, key
-            for b in batches:
-                for x in zip(*(b.column(c).to_pylist() for c in fields)):
-                    if x[: len(within)] != key:
-                        yield from done()
-                        held, key = [], x[: len(within)]
-                    held.append(x)
-            yield from done()
-
-        out = []
-        for row in rows_out():
-            out.append(row)
-            if len(out) == 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
-
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    schema = pa.schema([*[(c, arrow[kinds[c]]) for c in within], (order, pa.int64()), ("number", pa.list_(pa.int64())), ("in_place", pa.bool_())])
-    shape = ", ".join([*[f"`{c}` {kinds[c]}" for c in within], f"`{order}` long", "number array<long>", "in_place boolean"])
-    return r.repartition(*within).sortWithinPartitions(*within, order, "number", "mark").mapInArrow(run, shape)
-
-
-def heading_places(placed: DataFrame) -> DataFrame:
-    """doc_id, parent_line, level, line_number, number, in_place: numbered headings of an outline among their siblings."""
+        for b in _whole(batches, within):
+            for at, numbers, flags in _judged(b, within, every):
+                kept = {c: b.column(c).take(pa.array(at)) for c in [*within, order, *carried]} | {"number": numbers, "in_place": flags}
+                out = pa.RecordBatch.from_arrays([kept[c] for c in fields], fields)
+                for k in range(0, len(at), 4096):
+                    yield out.slice(k, 4096)
+
+    shape = ", ".join([*[f"`{c}` {kinds[c]}" for c in within], f"`{order}` long", "number array<long>", "in_place boolean", *[f"`{c}` {kinds[c]}" for c in carried]])
+    return r.repartition(*(dealt or within)).sortWithinPartitions(*within, order, "number", "mark").mapInArrow(run, shape)
+
+
+def heading_places(placed: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """doc_id, parent_line, level, line_number, number, in_place: numbered headings of an outline among their siblings. carried: more columns to keep, and headings without a number with them."""
     mark = F.regexp_extract("heading", "^[^\\p{L}\\p{N}]*([IVXLCDMivxlcdm]+|\\p{Lu}|[a-z])[.):\\]]", 1)
-    rows = placed.withColumns({"_number": heading_numbers(F.col("heading")), "_mark": F.when(mark != "", mark)})
-    return in_place(rows, ["doc_id", "parent_line", "level"], "line_number", "_number", "_mark")
+    rows = placed.withColumns({"_number": heading_numbers(F.col("heading")), "_mark": F.nullif(mark, F.lit(""))})
+    return in_place(rows, ["doc_id", "parent_line", "level"], "line_number", "_number", "_mark", ["doc_id"], carried)

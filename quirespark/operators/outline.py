@@ -15,10 +15,14 @@ from ..plans.blueprint import Blueprint, HierarchyRule
 from .context import CONTEXTS, Context, neighbours
 
 
-def _rule(rule: HierarchyRule, previous: Column, contexts: dict[str, Context]) -> tuple[Column, Column]:
-    """Whether the line is a heading by this rule, and the heading."""
+def _found(rule: HierarchyRule) -> Column:
+    """What the rule's pattern finds in the line."""
+    return search.first(F.col("line"), pattern(rule.regex), at_start=bool(rule.validation_rules is not None and rule.validation_rules.requires_line_start))
+
+
+def _holds(rule: HierarchyRule, heading: Column, previous: Column, contexts: dict[str, Context]) -> Column:
+    """Whether the line is a heading by this rule, whose pattern finds `heading`."""
     v, line = rule.validation_rules, F.col("line")
-    heading = search.first(line, pattern(rule.regex), at_start=bool(v is not None and v.requires_line_start))
     tests = [heading.isNotNull()]
     if v is not None:
         if v.max_length is not None:
@@ -29,7 +33,7 @@ def _rule(rule: HierarchyRule, previous: Column, contexts: dict[str, Context]) -
         tests += [~F.contains(heading, F.lit(x)) for x in v.must_not_contain or []]
         tests += [~F.endswith(line, F.lit(x)) for x in v.must_not_end_with or []]
         tests += [F.coalesce(contexts[n].test(lambda k: F.col(f"_at{k}") if k else line), F.lit(False)) for n in v.context_filters or [] if n in contexts]
-    return reduce(lambda a, b: a & b, tests), heading
+    return reduce(lambda a, b: a & b, tests)
 
 
 def excluded(bp: Blueprint) -> Column:
@@ -38,8 +42,8 @@ def excluded(bp: Blueprint) -> Column:
     return reduce(lambda a, b: a | b, found, F.lit(False))
 
 
-def classify(lines: DataFrame, bp: Blueprint, contexts: dict[str, Context] = CONTEXTS) -> DataFrame:
-    """lines less excluded ones, with hits: (level, place in the blueprint, name, heading, unevaluated filters) of each rule that holds, lowest level first. The line before is the raw one; a document's first line counts as after an empty one. contexts: the context filters that can be tested; others are carried along."""
+def _taken(lines: DataFrame, bp: Blueprint, contexts: dict[str, Context]) -> DataFrame:
+    """lines less excluded ones, with _heading0, _heading1 and so on: what each rule takes for a heading, or null. Steps are columns of their own, so that each pattern runs once a line."""
     previous = F.col("_previous")
     needs = any(r.validation_rules and r.validation_rules.requires_prev_empty_line for r in bp.hierarchy_structure)
     if needs:
@@ -47,20 +51,42 @@ def classify(lines: DataFrame, bp: Blueprint, contexts: dict[str, Context] = CON
     filters = [n for r in bp.hierarchy_structure if r.validation_rules for n in r.validation_rules.context_filters or []]
     around = neighbours([n for n in filters if n in contexts], contexts)
     lines = lines.withColumns({f"_at{k}": c for k, c in around.items()}) if around else lines
+    rules = list(enumerate(bp.hierarchy_structure))
+    lines = lines.where(~excluded(bp))
+    lines = lines.withColumns({f"_found{i}": _found(r) for i, r in rules}) if rules else lines
+    lines = lines.withColumns({f"_heading{i}": F.when(_holds(r, F.col(f"_found{i}"), previous, contexts), F.col(f"_found{i}")) for i, r in rules}) if rules else lines
+    return lines.drop("_previous", *[f"_at{k}" for k in around], *[f"_found{i}" for i, _ in rules])
+
+
+def _unevaluated(rule: HierarchyRule, contexts: dict[str, Context]) -> Column:
+    v = rule.validation_rules
+    return F.array(*[F.lit(x) for x in (v.context_filters if v else None) or [] if x not in contexts]).cast("array<string>")
+
+
+def _in_order(bp: Blueprint) -> list[tuple[int, HierarchyRule]]:
+    """Rules with their places in the blueprint, lowest level first."""
+    return sorted(enumerate(bp.hierarchy_structure), key=lambda r: (r[1].level, r[0]))
+
+
+def classify(lines: DataFrame, bp: Blueprint, contexts: dict[str, Context] = CONTEXTS) -> DataFrame:
+    """lines less excluded ones, with hits: (level, place in the blueprint, name, heading, unevaluated filters) of each rule that holds, lowest level first. The line before is the raw one; a document's first line counts as after an empty one. contexts: the context filters that can be tested; others are carried along."""
     found = []
-    for i, r in enumerate(bp.hierarchy_structure):
-        ok, heading = _rule(r, previous, contexts)
-        left = F.array(*[F.lit(x) for x in (r.validation_rules.context_filters if r.validation_rules else None) or [] if x not in contexts]).cast("array<string>")
-        found.append(F.when(ok, F.struct(F.lit(r.level).alias("level"), F.lit(i).alias("place"), F.lit(r.name).alias("name"), heading.alias("heading"), left.alias("unevaluated_filters"))))
-    hits = F.array_sort(F.array_compact(F.array(*found)))
-    return lines.where(~excluded(bp)).withColumn("hits", hits).drop("_previous", *[f"_at{k}" for k in around])
+    for i, r in _in_order(bp):
+        heading = F.col(f"_heading{i}")
+        found.append(F.when(heading.isNotNull(), F.struct(F.lit(r.level).alias("level"), F.lit(i).alias("place"), F.lit(r.name).alias("name"), heading.alias("heading"), _unevaluated(r, contexts).alias("unevaluated_filters"))))
+    return _taken(lines, bp, contexts).withColumn("hits", F.array_compact(F.array(*found))).drop(*[f"_heading{i}" for i, _ in _in_order(bp)])
 
 
 def headings(lines: DataFrame, bp: Blueprint, contexts: dict[str, Context] = CONTEXTS) -> DataFrame:
     """doc_id, line_number, level, name, heading, hit_levels, unevaluated_filters: a line with several hits has the lowest level, the first rule on ties."""
-    c = classify(lines, bp, contexts).where(F.size("hits") > 0)
-    top = F.element_at("hits", 1)
-    return c.select("doc_id", "line_number", top["level"].alias("level"), top["name"].alias("name"), top["heading"].alias("heading"), F.transform("hits", lambda h: h["level"]).alias("hit_levels"), top["unevaluated_filters"].alias("unevaluated_filters"))
+    rules = _in_order(bp)
+    none = F.lit(None)
+    by = lambda value: reduce(lambda rest, r: F.when(F.col(f"_heading{r[0]}").isNotNull(), value(*r)).otherwise(rest), reversed(rules), none)
+    levels = F.array_compact(F.array(*[F.when(F.col(f"_heading{i}").isNotNull(), F.lit(r.level)) for i, r in rules]).cast("array<int>"))
+    top = F.struct(by(lambda i, r: F.lit(r.level)).cast("int").alias("level"), by(lambda i, r: F.lit(r.name)).cast("string").alias("name"), by(lambda i, r: F.col(f"_heading{i}")).cast("string").alias("heading"), levels.alias("hit_levels"), by(lambda i, r: _unevaluated(r, contexts)).cast("array<string>").alias("unevaluated_filters"))
+    # A row a line with a hit by a generator, as a filter on what the patterns find would run them twice.
+    some = reduce(lambda a, b: a | b, [F.col(f"_heading{i}").isNotNull() for i, _ in rules], F.lit(False))
+    return _taken(lines, bp, contexts).select("doc_id", "line_number", F.inline(F.when(some, F.array(top))))
 
 
 def outline(found: DataFrame, bp: Blueprint) -> DataFrame:

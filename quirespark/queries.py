@@ -305,13 +305,33 @@ def line_shapes(spark, sf_dir):
     return discover.shape_stats(_lines(spark, sf_dir)).select("shape", *_long("n_lines", "n_docs", "n_long", "longest"))
 
 
+#: What stands for the number of an item without one: over four times any number.
+NUMBERLESS = 2**40
+
+
 def _ledger(spark, sf_dir) -> DataFrame:
     """A customer's orders and their items as lines of a text."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", F.concat(F.lit("§ "), "o_orderkey", F.lit(" "), "o_orderpriority").alias("line"), F.lit(0).alias("n"))
-    i = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("  ("), "l_linenumber", F.lit(") item")).alias("head"), F.col("l_linenumber").alias("n"))
-    i = o.select("o_custkey", "o_orderkey").join(i, "o_orderkey").select("o_custkey", "o_orderkey", F.explode(F.array(F.struct((F.col("n") * 2 - 1).alias("n"), F.col("head").alias("line")), F.struct((F.col("n") * 2).alias("n"), F.lit("packed as ordered").alias("line")))).alias("x")).select("o_custkey", "o_orderkey", "x.*")
-    rows = o.unionByName(i).withColumn("line_number", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey", "n")))
-    return rows.select(F.col("o_custkey").alias("doc_id"), "line_number", "line")
+    c = F.col
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", "o_orderpriority")
+    i = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.coalesce(c("l_linenumber").cast("long") * 4, F.lit(NUMBERLESS)).alias("n"))
+    i = i.repartition("l_orderkey").groupBy("l_orderkey").agg(F.collect_list("n").alias("items"))
+    o = o.join(i, c("o_orderkey") == c("l_orderkey"), "left").repartition("o_custkey")
+    # Orders are dealt out by customer with their items as numbers; lines are made, and counted, where they end up. Orders of one key have their items together, after the orders.
+    one = Window.partitionBy("o_custkey", "o_orderkey")
+    items = F.when(c("items").isNull(), 0).otherwise(F.size("items") * 2)
+    o = o.withColumns({"m": items, "k": F.count("*").over(one), "j": F.row_number().over(one.orderBy("o_orderpriority"))})
+    up_to = F.sum(c("m") + 1).over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))  # orders of this key, too
+    o = o.withColumn("start", up_to - c("k") * (c("m") + 1))
+    # Four times a number less one is an item, and one more its packing.
+    halves = F.concat(F.transform("items", lambda x: x - 1), F.transform("items", lambda x: x + 1))
+    halves = F.sort_array(F.when(c("k") > 1, F.flatten(F.array_repeat(halves, c("k").cast("int")))).otherwise(halves))
+    o = o.withColumn("halves", F.when((c("j") == 1) & (c("m") > 0), halves).otherwise(F.array().cast("array<bigint>")))
+    o = o.withColumn("early", F.when(F.get("halves", F.lit(0)) < 0, F.size(F.filter("halves", lambda x: x < 0))).otherwise(0))
+    rows = o.select("o_custkey", "o_orderkey", "o_orderpriority", "start", "k", "j", "early", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), c("halves"))).alias("at", "n"))
+    number = c("start") + F.when(c("n") == 0, c("early") + c("j")).when(c("n") < 0, c("at")).otherwise(c("at") + c("k"))
+    item = F.when(c("n") < NUMBERLESS - 1, F.concat(F.lit("  ("), F.shiftright(c("n") + 1, 2), F.lit(") item")))
+    line = F.when(c("n") == 0, F.concat(F.lit("§ "), "o_orderkey", F.lit(" "), "o_orderpriority")).when(F.pmod("n", F.lit(4)) == 3, item).otherwise("packed as ordered")
+    return rows.select(c("o_custkey").alias("doc_id"), number.cast("int").alias("line_number"), line.alias("line"))
 
 
 def discovered_headings(spark, sf_dir):

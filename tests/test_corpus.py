@@ -335,6 +335,63 @@ def test_discovery_finds_planted_levels(spark):
     assert discover.discover(text.lines(docs(spark, "", None))).hierarchy_structure == []
 
 
+def test_discovery_and_review_make_the_lines_once(spark):
+    """Lines may be dear, and so are the patterns on them."""
+    from quirespark.plans.blueprint import Blueprint
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(line):
+        made.add(1)
+        return line
+
+    ls = text.lines(docs(spark, *["1. One\nwords\n\n (a) x\nmore\n (b) y\nwords"] * 20))
+    counted = ls.withColumn("line", seen("line"))
+    bp = discover.discover(counted)
+    assert [(r.level, r.name, r.parent_level) for r in bp.hierarchy_structure] == [(1, "0:9.", None), (2, "1:(a)", 1)] and made.value == 140
+    got = {r.name: tuple(r)[2:] for r in discover.review(counted, bp).collect()}
+    assert got == {"0:9.": (20, 20, 0, 0, 20, 0), "1:(a)": (40, 20, 0, 0, 40, 0)} and made.value == 280
+    assert outline.outline(outline.headings(ls, Blueprint([])), Blueprint([])).count() == 0
+
+
+def test_patterns_run_once_a_line(spark):
+    """By the plan: no pattern stands in it more than once."""
+    from quirespark.plans.blueprint import Blueprint
+
+    ls = text.lines(docs(spark, "H1 a\nb", "", None))
+    bp = Blueprint([{"level": 1, "name": "h", "regex": "H1.*"}, {"level": 2, "name": "maybe empty", "regex": "zz*|$", "parent_level": 1}])
+    found = outline.headings(ls, bp)
+    assert [tuple(r)[:6] for r in found.orderBy("doc_id", "line_number").collect()] == [(0, 1, 1, "h", "H1 a", [1])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("H1.*") == 1
+    shapes = discover.shape_stats(ls)._jdf.queryExecution().executedPlan().toString()
+    assert shapes.count("IVXLCDM]+[.)") == 1
+
+
+def test_ledger_against_plain_python(spark, tmp_path):
+    """Orders of one key, without items or keys, items without a number or before the first."""
+    from quirespark import queries
+
+    orders = [(1, 1, "a"), (1, 1, "b"), (2, 1, "c"), (3, 2, "x"), (3, 1, "y"), (None, 3, "n"), (5, None, "m"), (7, 7, "z")]
+    items = [(1, 1), (1, 1), (1, 2), (2, -1), (2, 3), (2, None), (3, 1), (5, 4), (9, 1), (None, 1)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for key, customer, priority in orders:
+        mine = [((key or 0), 0, None if key is None else f"§ {key} {priority}")]
+        for k, n in items:
+            if k == key is not None:
+                far = 10**9
+                mine += [(key, far if n is None else 2 * n - 1, None if n is None else f"  ({n}) item"), (key, far + 1 if n is None else 2 * n, "packed as ordered")]
+        want.setdefault(customer, []).extend(mine)
+    got = {}
+    for r in queries._ledger(spark, str(tmp_path)).orderBy("doc_id", "line_number").collect():
+        got.setdefault(r.doc_id, []).append(r.line)
+        assert r.line_number == len(got[r.doc_id])
+    assert got == {c: [x[2] for x in sorted(rows, key=lambda x: x[:2])] for c, rows in want.items()}
+
+
 # Context, numbering, summaries
 
 
@@ -376,6 +433,37 @@ def test_numbers_out_of_place(spark):
     assert (3, 4) not in out
 
 
+def test_numbers_out_of_place_over_batches(spark):
+    """Groups that go over batches, numbers that only rise and others, and columns that are carried."""
+    from quirespark.operators import numbering
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for g in [None, *range(40)]:
+        kind, at = rng.randrange(5), 0
+        ns = []
+        for _ in range(rng.choice([1, 2, 7, 60])):
+            at += rng.randrange(3)
+            ns.append(([at], None) if kind == 0 or rng.random() < 0.5 else [(None, None), ([rng.randrange(9)], None), (None, "b"), ([at, 1], None)][kind - 1])
+        for i, (n, m) in enumerate(ns):
+            rows.append((g, i, n, m, f"{g} {i}"))
+        values = numbering.tuples([n for n, _ in ns], [m for _, m in ns])
+        kept = iter(numbering.longest([v for v in values if v is not None]))
+        want |= {(g, i): (None if v is None else list(v), None if v is None else next(kept), f"{g} {i}") for i, v in enumerate(values)}
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "g long, i long, n array<int>, m string, c string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (3, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {(r.g, r.i): (r.number, r.in_place, r.c) for r in numbering.in_place(d, ["g"], "i", "n", "m", carried=["c"]).collect()}
+            assert got == want
+            got = {(r.g, r.i): (r.number, r.in_place) for r in numbering.in_place(d, ["g"], "i", "n", "m").collect()}
+            assert got == {k: v[:2] for k, v in want.items() if v[0] is not None}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_extracted_summaries(spark, monkeypatch):
     from collections import Counter
 
