@@ -35,12 +35,18 @@ def joined_summary(old: Column, new: Column) -> Column:
 WIDE, KANJI = "０１２３４５６７８９", "〇一二三四五六七八九"
 
 
-def heading_numbers(heading: Column) -> Column:
-    """The first number of a heading, dots apart, as an array: 2.1.3, wide digits, or kanji up to 99; null without one."""
-    narrow = F.translate(heading, WIDE, "0123456789")
-    dotted = F.regexp_extract(narrow, "[0-9]{1,9}(?:\\.[0-9]{1,9})*", 0)
+def dotted_number(heading: Column) -> Column:
+    """The first number in digits, with its dots; empty without one."""
+    narrow = F.when(F.octet_length(heading) == F.length(heading), heading).otherwise(F.translate(heading, WIDE, "0123456789"))
+    return F.regexp_extract(narrow, "[0-9]{1,9}(?:\\.[0-9]{1,9})*", 0)
+
+
+def heading_numbers(heading: Column, dotted: Column | None = None) -> Column:
+    """The first number of a heading, dots apart, as an array: 2.1.3, wide digits, or kanji up to 99; null without one. dotted: its `dotted_number`, if that is a column already."""
+    dotted = dotted_number(heading) if dotted is None else dotted
     kanji = F.regexp_extract(heading, f"[{KANJI}十]+", 0)
     tens, ones = F.substring_index(kanji, "十", 1), F.substring_index(kanji, "十", -1)
     number = lambda s, none: F.when(s == "", none).otherwise(F.translate(s, KANJI, "0123456789").try_cast("int"))
     value = F.when(F.contains(kanji, F.lit("十")), number(tens, F.lit(1)) * 10 + number(ones, F.lit(0))).otherwise(number(kanji, F.lit(None)))
-    return F.when(dotted != "", F.transform(F.split(dotted, "\\."), lambda x: x.cast("int"))).when(value.isNotNull(), F.array(value))
+    some = F.when(F.contains(dotted, F.lit(".")), F.transform(F.split(dotted, "\\."), lambda x: x.cast("int"))).otherwise(F.array(dotted.cast("int")))
+    return F.when(dotted != "", some).when(value.isNotNull(), F.array(value))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import heading_numbers
+from ..functions.text import dotted_number, heading_numbers
 
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 WELL_FORMED = re.compile(r"M*(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})")
@@ -137,26 +137,28 @@ def _judged(b: pa.RecordBatch, fields: list[str], every: bool):
 def in_place(rows: DataFrame, within: list[str], order: str, number: str, mark: str | None = None, dealt: list[str] | None = None, carried: list[str] | None = None) -> DataFrame:
     """(within, order, number, in_place) of rows that have a number: whether it is in the longest increasing run of its group. number: an array of integers, null without one; mark: what stands in its stead, a letter or roman number. order: a long; of equal places the smaller number is first.
 
-    dealt: those of `within` by which rows are dealt out; rows that lie so already stay there. carried: more columns to keep, and rows without a number with them.
+    dealt: those of `within` by which rows are dealt out; rows that lie so already stay there. carried: columns to return with in_place in place of those, of rows without a number, too.
     """
     kinds, every, carried = dict(rows.dtypes), carried is not None, carried or []
-    r = rows.select(*within, F.col(order).cast("long").alias(order), F.col(number).cast("array<long>").alias("number"), (F.col(mark) if mark else F.lit(None)).cast("string").alias("mark"), *carried)
-    fields = [*within, order, "number", "in_place", *carried]
+    r = rows.select(*within, F.col(order).cast("long").alias(order), F.col(number).cast("array<long>").alias("number"), (F.col(mark) if mark else F.lit(None)).cast("string").alias("mark"), *[c for c in carried if c not in (*within, order)])
+    fields = [*carried, "in_place"] if every else [*within, order, "number", "in_place"]
+    kinds |= {order: "bigint", "number": "array<bigint>", "in_place": "boolean"}
 
     def run(batches):
         for b in _whole(batches, within):
             for at, numbers, flags in _judged(b, within, every):
-                kept = {c: b.column(c).take(pa.array(at)) for c in [*within, order, *carried]} | {"number": numbers, "in_place": flags}
-                out = pa.RecordBatch.from_arrays([kept[c] for c in fields], fields)
+                judged = {"number": numbers, "in_place": flags}
+                out = pa.RecordBatch.from_arrays([judged[c] if c in judged else b.column(c).take(pa.array(at)) for c in fields], fields)
                 for k in range(0, len(at), 4096):
                     yield out.slice(k, 4096)
 
-    shape = ", ".join([*[f"`{c}` {kinds[c]}" for c in within], f"`{order}` long", "number array<long>", "in_place boolean", *[f"`{c}` {kinds[c]}" for c in carried]])
+    shape = ", ".join(f"`{c}` {kinds[c]}" for c in fields)
     return r.repartition(*(dealt or within)).sortWithinPartitions(*within, order, "number", "mark").mapInArrow(run, shape)
 
 
 def heading_places(placed: DataFrame, carried: list[str] | None = None) -> DataFrame:
-    """doc_id, parent_line, level, line_number, number, in_place: numbered headings of an outline among their siblings. carried: more columns to keep, and headings without a number with them."""
+    """doc_id, parent_line, level, line_number, number, in_place: numbered headings of an outline among their siblings. carried: as in `in_place`."""
     mark = F.regexp_extract("heading", "^[^\\p{L}\\p{N}]*([IVXLCDMivxlcdm]+|\\p{Lu}|[a-z])[.):\\]]", 1)
-    rows = placed.withColumns({"_number": heading_numbers(F.col("heading")), "_mark": F.nullif(mark, F.lit(""))})
+    rows = placed.withColumns({"_dotted": dotted_number(F.col("heading")), "_mark": mark})
+    rows = rows.withColumns({"_number": heading_numbers(F.col("heading"), F.col("_dotted")), "_mark": F.when(F.col("_mark") != "", F.col("_mark"))})
     return in_place(rows, ["doc_id", "parent_line", "level"], "line_number", "_number", "_mark", ["doc_id"], carried)

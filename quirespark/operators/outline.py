@@ -80,13 +80,13 @@ def classify(lines: DataFrame, bp: Blueprint, contexts: dict[str, Context] = CON
 def headings(lines: DataFrame, bp: Blueprint, contexts: dict[str, Context] = CONTEXTS) -> DataFrame:
     """doc_id, line_number, level, name, heading, hit_levels, unevaluated_filters: a line with several hits has the lowest level, the first rule on ties."""
     rules = _in_order(bp)
-    none = F.lit(None)
-    by = lambda value: reduce(lambda rest, r: F.when(F.col(f"_heading{r[0]}").isNotNull(), value(*r)).otherwise(rest), reversed(rules), none)
-    levels = F.array_compact(F.array(*[F.when(F.col(f"_heading{i}").isNotNull(), F.lit(r.level)) for i, r in rules]).cast("array<int>"))
-    top = F.struct(by(lambda i, r: F.lit(r.level)).cast("int").alias("level"), by(lambda i, r: F.lit(r.name)).cast("string").alias("name"), by(lambda i, r: F.col(f"_heading{i}")).cast("string").alias("heading"), levels.alias("hit_levels"), by(lambda i, r: _unevaluated(r, contexts)).cast("array<string>").alias("unevaluated_filters"))
-    # A row a line with a hit by a generator, as a filter on what the patterns find would run them twice.
-    some = reduce(lambda a, b: a | b, [F.col(f"_heading{i}").isNotNull() for i, _ in rules], F.lit(False))
-    return _taken(lines, bp, contexts).select("doc_id", "line_number", F.inline(F.when(some, F.array(top))))
+    hit = lambda i: F.col(f"_heading{i}").isNotNull()
+    by = lambda value: reduce(lambda rest, r: F.when(hit(r[0]), value(*r)).otherwise(rest), reversed(rules), F.lit(None))
+    # Lines without a hit go by a generator, as a filter would run the patterns once more.
+    some = reduce(lambda a, b: a | b, [hit(i) for i, _ in rules], F.lit(False))
+    c = _taken(lines, bp, contexts).select("doc_id", "line_number", *[f"_heading{i}" for i, _ in rules], F.explode(F.when(some, F.array(F.lit(True)))))
+    levels = F.array_compact(F.array(*[F.when(hit(i), F.lit(r.level)) for i, r in rules]).cast("array<int>"))
+    return c.select("doc_id", "line_number", by(lambda i, r: F.lit(r.level)).cast("int").alias("level"), by(lambda i, r: F.lit(r.name)).cast("string").alias("name"), by(lambda i, r: F.col(f"_heading{i}")).cast("string").alias("heading"), levels.alias("hit_levels"), by(lambda i, r: _unevaluated(r, contexts)).cast("array<string>").alias("unevaluated_filters"))
 
 
 def outline(found: DataFrame, bp: Blueprint) -> DataFrame:

@@ -137,7 +137,7 @@ def discover(lines: DataFrame, support: float = 0.2, most_lines: float = 0.5, mo
 def review(lines: DataFrame, bp: Blueprint) -> DataFrame:
     """level, name and what the documents say of each rule: n_headings, n_docs, n_collisions (headings that other rules take as well), n_orphans, n_numbers and n_out_of_place (headings outside the longest rising run of their siblings' numbers)."""
     placed = outline(headings(lines, bp), bp).withColumn("collides", F.size("hit_levels") > 1)
-    j = heading_places(placed, ["name", "collides", "orphan"])
+    j = heading_places(placed, ["doc_id", "level", "name", "collides", "orphan"])
     # By document first, so that documents are counted without being brought together.
     own = j.groupBy("doc_id", "level", "name").agg(F.count("*").alias("n"), F.count_if("collides").alias("c"), F.count_if("orphan").alias("o"), F.count("in_place").alias("m"), F.count_if(~F.col("in_place")).alias("w"))
     return own.groupBy("level", "name").agg(F.sum("n").alias("n_headings"), F.count("doc_id").alias("n_docs"), F.sum("c").alias("n_collisions"), F.sum("o").alias("n_orphans"), F.sum("m").alias("n_numbers"), F.sum("w").alias("n_out_of_place"))
